@@ -14,7 +14,7 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-               .config("spark.ui.enabled", "false")
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "12g")
                .config("spark.executorEnv.OMP_NUM_THREADS", "1"))
     for key, value in conf.items():
