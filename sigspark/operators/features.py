@@ -229,11 +229,11 @@ def welch_density(segment: int):
 
 
 def resampled(up: int, down: int):
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
         out = np.empty(len(x), object)
         for at, (m,) in _stacked(x):
             for pos, y in zip(at, K.resample(m, up, down)):
-                out[pos] = y.astype(np.float32)
+                out[pos] = y
         return pd.Series(out)
     return run
