@@ -183,9 +183,9 @@ def points_in_intervals(spark, sf_dir):
 
 
 @register("transmission_checks", """SELECT event_type, count(*) AS transmissions, min(d)::BIGINT AS duration_min, max(d)::BIGINT AS duration_max, count(*) FILTER (d <= 0) AS bad_order, count(*) FILTER (s + d > 2000000) AS past_end
-FROM (SELECT event_type, event_id * 100 AS s, (value * 10)::BIGINT - 50 AS d FROM events) GROUP BY 1""")
+FROM (SELECT event_type, event_id * 100 AS s, floor(value * 10)::BIGINT - 50 AS d FROM events) GROUP BY 1""")
 def transmission_checks(spark, sf_dir):
-    e = load(spark, sf_dir, "events").select("event_type", (F.col("event_id") * 100).alias("s"), (F.round(F.col("value") * 10).cast("long") - 50).alias("d"), F.lit(2000000).alias("total"))
+    e = load(spark, sf_dir, "events").select("event_type", (F.col("event_id") * 100).alias("s"), (F.floor(F.col("value") * 10) - 50).alias("d"), F.lit(2000000).alias("total"))
     out = profiles.transmission_table_checks(e.withColumn("e", F.col("s") + F.col("d")), ["event_type"], "s", "e", "total")
     return out
 
@@ -244,10 +244,11 @@ def pair_completeness(spark, sf_dir):
     return catalog.pair_completeness(load(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag", ["A", "N", "R"])
 
 
-@register("name_disagreement", """SELECT 'folder and name disagree' AS rule, page_id::VARCHAR AS entity_id, a || ' vs ' || b AS detail FROM (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS a,
-  regexp_extract(html, '<html lang="([a-z]+)"', 1) AS b FROM pages) WHERE a <> b""")
+@register("name_disagreement", """SELECT 'folder and name disagree' AS rule, page_id::VARCHAR AS entity_id, a || ' vs ' || b AS detail FROM (SELECT page_id, regexp_extract(url, '^(https?)://', 1) || '/' || regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS a,
+  'https/' || regexp_extract(html, '<html lang="([a-z]+)"', 1) AS b FROM pages) WHERE a <> b""")
 def name_disagreement(spark, sf_dir):
-    p = load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1).alias("a"), F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("b"))
+    p = load(spark, sf_dir, "pages").select("page_id", F.concat_ws("/", F.regexp_extract("url", "^(https?)://", 1), F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1)).alias("a"),
+                                              F.concat(F.lit("https/"), F.regexp_extract("html", r'<html lang="([a-z]+)"', 1)).alias("b"))
     return catalog.name_disagreement(p, "a", "b", "page_id")
 
 
@@ -354,11 +355,11 @@ def labelled_claims(spark, sf_dir):
     return claims.labelled_claims(facts, rows).select("dataset_id", "key", "label")
 
 
-@register("key_set_problems", """SELECT 'nation without customers' AS rule, n_nationkey::VARCHAR AS entity_id, '' AS detail FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)
-UNION ALL SELECT 'customers of unknown nation', k::VARCHAR, '' FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9500) WHERE k NOT IN (SELECT n_nationkey FROM nation)""")
+@register("key_set_problems", """SELECT 'nation without customers' AS rule, n_nationkey::VARCHAR AS entity_id, '' AS detail FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)
+UNION ALL SELECT 'customers of unknown nation', k::VARCHAR, '' FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9900) WHERE k NOT IN (SELECT n_nationkey FROM nation)""")
 def key_set_problems(spark, sf_dir):
     n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    c = load(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("k"))
+    c = load(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("k"))
     return claims.key_set_problems(n, c, "k", "nation without customers", "customers of unknown nation")
 
 

@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, evidence_queries, signal_queries
+from . import catalog_queries, evidence_queries, model_queries, signal_queries, stream_queries
 
-MODULES = (evidence_queries, signal_queries, catalog_queries)
+MODULES = (evidence_queries, signal_queries, catalog_queries, stream_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
