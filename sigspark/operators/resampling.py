@@ -24,17 +24,18 @@ REPLICATES_AT_ONCE = 64
 
 
 # ------------------------------------------------------------------ groups and draws
-def label_pure_groups(df: DataFrame, group: str, label: str) -> DataFrame:
-    """(group, label, n); raises if a group mixes labels, since permuting its label would be undefined."""
-    groups = df.groupBy(group).agg(F.min(label).alias(label), F.max(label).alias("_other"), F.count("*").alias("n"))
-    if groups.where(F.col(label) != F.col("_other")).limit(1).count():
-        raise ValueError("permutation needs label-pure groups")
-    return groups.drop("_other")
+def numbered_groups(groups: DataFrame, group: str, n_groups: int | None = None) -> DataFrame:
+    """Add the 0-based position ``_g`` of each group in sorted order."""
+    return ordered(groups, [], [group], n_rows=n_groups).row_number("_g").frame().withColumn("_g", F.col("_g") - 1)
 
 
-def numbered_groups(groups: DataFrame, group: str) -> DataFrame:
-    """Add the 0-based position ``g`` of each group in sorted order."""
-    return ordered(groups, [], [group]).row_number("g").frame().withColumn("g", F.col("g") - 1)
+def pure_numbered_groups(df: DataFrame, group: str, label: str) -> tuple[DataFrame, int]:
+    """Numbered groups and how many there are, with the purity check in the same pass."""
+    groups = df.groupBy(group).agg(F.min(label).alias(label), F.max(label).alias("_other"), F.count("*").alias("n"))
+    found = groups.agg(F.count("*").alias("n"), F.sum((F.col(label) != F.col("_other")).cast("int")).alias("mixed")).first()
+    if found["mixed"]:
+        raise ValueError("permutation needs label-pure groups")
+    return numbered_groups(groups.drop("_other"), group, found["n"]), found["n"]
 
 
 def congruential_pick(rep: Column, slot: Column, n_groups: Column) -> Column:
@@ -46,15 +47,15 @@ def congruential_pick(rep: Column, slot: Column, n_groups: Column) -> Column:
 
 
 def congruential_draws(spark: SparkSession, n_groups: int, n_replicates: int) -> DataFrame:
-    """(rep, g, w): n_groups draws with replacement per replicate, generated on the executors."""
+    """(rep, _g, w): n_groups draws with replacement per replicate, generated on the executors."""
     grid = spark.range(n_groups * n_replicates)
     rep, slot = F.floor(F.col("id") / n_groups), F.col("id") % n_groups
-    return (grid.select(rep.alias("rep"), congruential_pick(rep, slot, F.lit(n_groups)).alias("g"))
-            .groupBy("rep", "g").agg(F.count("*").alias("w")))
+    return (grid.select(rep.alias("rep"), congruential_pick(rep, slot, F.lit(n_groups)).alias("_g"))
+            .groupBy("rep", "_g").agg(F.count("*").alias("w")))
 
 
 def seeded_draws(spark: SparkSession, n_groups: int, n_replicates: int, seed: int = 0) -> DataFrame:
-    """(rep, g, w) from numpy's default generator, one call per replicate: the draws a single-node study makes.
+    """(rep, _g, w) from numpy's default generator, one call per replicate: the draws a single-node study makes.
 
     The generator is sequential, so this is for studies with few groups; larger ones use congruential_draws.
     """
@@ -65,37 +66,37 @@ def seeded_draws(spark: SparkSession, n_groups: int, n_replicates: int, seed: in
     for rep in range(n_replicates):
         w = np.bincount(rng.integers(0, n_groups, n_groups), minlength=n_groups)
         g = np.flatnonzero(w)
-        parts.append(pd.DataFrame({"rep": rep, "g": g, "w": w[g]}))
-    return spark.createDataFrame(pd.concat(parts), "rep long, g long, w long")
+        parts.append(pd.DataFrame({"rep": rep, "_g": g, "w": w[g]}))
+    return spark.createDataFrame(pd.concat(parts), "rep long, _g long, w long")
 
 
 def rotated_labels(numbered: DataFrame, label: str, n_groups: int, n_replicates: int, step: int = 1) -> DataFrame:
-    """(rep, g, label): the sorted list of group labels rotated by (rep + 1) * step. Counts per label are kept."""
+    """(rep, _g, label): the sorted list of group labels rotated by (rep + 1) * step. Counts per label are kept."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1))).alias("rep")
-    return (numbered.select(F.col("g"), F.col(label), reps)
-            .select("rep", F.pmod(F.col("g") + (F.col("rep") + 1) * step, F.lit(n_groups)).alias("g"), F.col(label)))
+    return (numbered.select(F.col("_g"), F.col(label), reps)
+            .select("rep", F.pmod(F.col("_g") + (F.col("rep") + 1) * step, F.lit(n_groups)).alias("_g"), F.col(label)))
 
 
 def shuffled_labels(numbered: DataFrame, label: str, n_replicates: int, seed: int) -> DataFrame:
-    """(rep, g, label): labels dealt to groups in a seeded hash order, independently per replicate."""
+    """(rep, _g, label): labels dealt to groups in a seeded hash order, independently per replicate."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1))).alias("rep")
-    dealt = numbered.select("g", label, reps).withColumn("h", F.xxhash64(F.lit(seed), "rep", "g"))
-    hashed = ordered(dealt, ["rep"], ["h", "g"]).row_number("at").frame()
-    return (hashed.select("rep", (F.col("at") - 1).alias("g"), F.col("g").alias("source"))
-            .join(numbered.select(F.col("g").alias("source"), label), "source").drop("source"))
+    dealt = numbered.select("_g", label, reps).withColumn("h", F.xxhash64(F.lit(seed), "rep", "_g"))
+    hashed = ordered(dealt, ["rep"], ["h", "_g"]).row_number("at").frame()
+    return (hashed.select("rep", (F.col("at") - 1).alias("_g"), F.col("_g").alias("source"))
+            .join(numbered.select(F.col("_g").alias("source"), label), "source").drop("source"))
 
 
 # ------------------------------------------------------------------ AUC replicates
 def bootstrap_weights(numbered: DataFrame, group: str, label: str, draws: DataFrame) -> DataFrame:
     """(group, rep, w_pos, w_neg) from multiplicities."""
     y = F.col(label).cast("int")
-    return (draws.join(numbered.select("g", group, label), "g")
+    return (draws.join(numbered.select("_g", group, label), "_g")
             .select(group, "rep", (F.col("w") * y).alias("w_pos"), (F.col("w") * (1 - y)).alias("w_neg")))
 
 
 def permutation_weights(numbered: DataFrame, group: str, label: str, relabelled: DataFrame) -> DataFrame:
     y = F.col(label).cast("int")
-    return (relabelled.join(numbered.select("g", group), "g")
+    return (relabelled.join(numbered.select("_g", group), "_g")
             .select(group, "rep", y.alias("w_pos"), (1 - y).alias("w_neg")))
 
 
@@ -117,8 +118,8 @@ def _range_sums(score: np.ndarray, n: np.ndarray, w_pos: np.ndarray, w_neg: np.n
 RANGE_SUMS = f"{RANGE} int, rep long, pos double, neg double, wins double"
 
 
-def auc_replicates(df: DataFrame, group: str, score: str, weights: DataFrame, n_replicates: int,
-                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def auc_replicates(df: DataFrame, group: str, score: str, weights: DataFrame, n_groups: int, n_replicates: int,
+                   rows_per_range: int = ROWS_PER_RANGE, shared_bytes: int = SHARED_WEIGHT_BYTES) -> DataFrame:
     """(rep, auc) for every replicate in ``weights`` (group, rep, w_pos, w_neg); one-class replicates are dropped.
 
     Shuffles: rows on (group, score) after partial aggregation, counts on score range, range sums on replicate.
@@ -126,10 +127,9 @@ def auc_replicates(df: DataFrame, group: str, score: str, weights: DataFrame, n_
     spark = df.sparkSession
     counts = df.groupBy(group, score).agg(F.count("*").alias("n"))
     ranged, _ = with_ranges(counts, [score], rows_per_range)
-    n_groups = weights.select(group).distinct().count()
-    reps = [r["rep"] for r in weights.select("rep").distinct().orderBy("rep").collect()]
-    column = {rep: i for i, rep in enumerate(reps)}
-    rep_ids = np.asarray(reps, dtype=np.int64)
+    share = n_groups * n_replicates * 8 <= shared_bytes
+    table = weights.toPandas() if share else None               # at most one row per group and replicate
+    rep_ids = np.unique(table["rep"]) if share else np.array([r[0] for r in weights.select("rep").distinct().orderBy("rep").collect()], dtype=np.int64)
 
     def summed(bucket: int, score_v: np.ndarray, n: np.ndarray, weights_of) -> pd.DataFrame:
         parts = []
@@ -139,11 +139,10 @@ def auc_replicates(df: DataFrame, group: str, score: str, weights: DataFrame, n_
         sums = np.concatenate(parts, axis=1)
         return pd.DataFrame({RANGE: bucket, "rep": rep_ids, "pos": sums[0], "neg": sums[1], "wins": sums[2]})
 
-    if n_groups * len(reps) * 8 <= SHARED_WEIGHT_BYTES:
-        table = weights.toPandas()                              # size checked above
+    if share:
         codes, names = pd.factorize(table[group])
         at = np.searchsorted(rep_ids, table["rep"].to_numpy())
-        matrix = np.zeros((2, len(names), len(reps)), dtype=np.float32)
+        matrix = np.zeros((2, len(names), len(rep_ids)), dtype=np.float32)
         matrix[0, codes, at], matrix[1, codes, at] = table["w_pos"], table["w_neg"]
         index = {g: i for i, g in enumerate(names)}
         shared = spark.sparkContext.broadcast((index, matrix))
@@ -159,6 +158,8 @@ def auc_replicates(df: DataFrame, group: str, score: str, weights: DataFrame, n_
         dense = (weights.groupBy(group)
                  .agg(F.sort_array(F.collect_list(F.struct("rep", "w_pos", "w_neg"))).alias("w")))  # one entry per replicate
 
+        column = {int(rep): i for i, rep in enumerate(rep_ids)}
+
         def per_joined_range(pdf: pd.DataFrame) -> pd.DataFrame:
             m = np.zeros((2, len(pdf), len(rep_ids)), dtype=np.float32)
             for i, entries in enumerate(pdf["w"]):
@@ -201,10 +202,10 @@ def permuted_balanced_accuracy(counts: DataFrame, group: str, predicted: str, re
 
 
 def rate_replicates(df: DataFrame, group: str, flagged: Column, draws: DataFrame) -> DataFrame:
-    """(rep, rate): share of flagged rows when whole groups are drawn. draws: (rep, g, w)."""
+    """(rep, rate): share of flagged rows when whole groups are drawn. draws: (rep, _g, w)."""
     sums = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.when(flagged, 1).otherwise(0)).alias("k"))
     numbered = numbered_groups(sums, group)
-    return (draws.join(numbered, "g").groupBy("rep")
+    return (draws.join(numbered, "_g").groupBy("rep")
             .agg((F.sum(F.col("w") * F.col("k")) / F.sum(F.col("w") * F.col("n"))).alias("rate")))
 
 

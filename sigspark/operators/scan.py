@@ -114,8 +114,8 @@ class OrderedScan:
                  .where(F.col("_from_end") <= back).drop("_from_end"))
         present = self.rows.select(*self.local).distinct()
         per_key = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(RANGE)
-        hops = present.select(*self.local, F.explode(F.array(*[F.lead(RANGE, k).over(per_key) for k in range(1, back + 1)]))
-                              .alias("_to")).where(F.col("_to").isNotNull())
+        later = present.select(*self.local, F.array(*[F.lead(RANGE, k).over(per_key) for k in range(1, back + 1)]).alias("_next"))
+        hops = later.select(*self.local, F.explode("_next").alias("_to")).where(F.col("_to").isNotNull())
         ghosts = (tails.join(hops, self.local).withColumn(RANGE, F.col("_to")).drop("_to")
                   .withColumn("_ghost", F.lit(True)))
         both = self.rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts)

@@ -13,8 +13,7 @@ from ..operators import resampling as R
 
 
 def _groups(scores: DataFrame, group: str, label: str) -> tuple[DataFrame, int]:
-    groups = R.label_pure_groups(scores, group, label)
-    return R.numbered_groups(groups, group), groups.count()
+    return R.pure_numbered_groups(scores, group, label)
 
 
 def auc_interval(scores: DataFrame, group: str, label: str, score: str, n_bootstrap: int = 2000,
@@ -23,7 +22,7 @@ def auc_interval(scores: DataFrame, group: str, label: str, score: str, n_bootst
     numbered, n = _groups(scores, group, label)
     draws = R.congruential_draws(scores.sparkSession, n, n_bootstrap) if draws is None else draws
     weights = R.bootstrap_weights(numbered, group, label, draws)
-    reps = R.auc_replicates(scores, group, score, weights, n_bootstrap)
+    reps = R.auc_replicates(scores, group, score, weights, n, n_bootstrap)
     observed = ranks.auc(scores, score, F.col(label).cast("boolean"))
     return observed.join(F.broadcast(R.interval(reps, "auc")))
 
@@ -33,7 +32,7 @@ def auc_permutation(scores: DataFrame, group: str, label: str, score: str, n_per
     """(observed, n, p_value, null_median, null_95th): labels permuted between groups, scores fixed."""
     numbered, n = _groups(scores, group, label)
     relabelled = R.shuffled_labels(numbered, label, n_permutations, seed) if relabelled is None else relabelled
-    null = R.auc_replicates(scores, group, score, R.permutation_weights(numbered, group, label, relabelled), n_permutations)
+    null = R.auc_replicates(scores, group, score, R.permutation_weights(numbered, group, label, relabelled), n, n_permutations)
     observed = ranks.auc(scores, score, F.col(label).cast("boolean")).select("auc")
     return R.permutation_summary(null, "auc", observed)
 
@@ -56,8 +55,8 @@ def paired_auc_difference(scores: DataFrame, group: str, label: str, a: str, b:
     numbered, n = _groups(scores, group, label)
     draws = R.congruential_draws(scores.sparkSession, n, n_bootstrap) if draws is None else draws
     weights = R.bootstrap_weights(numbered, group, label, draws)
-    summary = R.difference_summary(R.auc_replicates(scores, group, a, weights, n_bootstrap),
-                                   R.auc_replicates(scores, group, b, weights, n_bootstrap), "auc")
+    summary = R.difference_summary(R.auc_replicates(scores, group, a, weights, n, n_bootstrap),
+                                   R.auc_replicates(scores, group, b, weights, n, n_bootstrap), "auc")
     y = F.col(label).cast("boolean")
     observed = (ranks.auc(scores, a, y).select(F.col("auc").alias("x"))
                 .join(F.broadcast(ranks.auc(scores, b, y).select(F.col("auc").alias("z"))))
@@ -68,7 +67,7 @@ def paired_auc_difference(scores: DataFrame, group: str, label: str, a: str, b:
 def _multiplicity(scores: DataFrame, group: str, label: str, n: int, draws: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     numbered, n_groups = _groups(scores, group, label)
     draws = R.congruential_draws(scores.sparkSession, n_groups, n) if draws is None else draws
-    return numbered, draws.join(numbered.select("g", group), "g").select(group, "rep", "w")
+    return numbered, draws.join(numbered.select("_g", group), "_g").select(group, "rep", "w")
 
 
 def labels_interval(scores: DataFrame, group: str, truth: str, predicted: str, n_bootstrap: int = 2000,
@@ -85,7 +84,7 @@ def labels_permutation(scores: DataFrame, group: str, truth: str, predicted: str
                        relabelled: DataFrame | None = None) -> DataFrame:
     numbered, _ = _groups(scores, group, truth)
     relabelled = R.shuffled_labels(numbered, truth, n_permutations, seed) if relabelled is None else relabelled
-    dealt = relabelled.join(numbered.select("g", group), "g").select(group, "rep", F.col(truth).alias("_dealt"))
+    dealt = relabelled.join(numbered.select("_g", group), "_g").select(group, "rep", F.col(truth).alias("_dealt"))
     counts = R.label_counts(scores, group, truth, predicted)
     null = R.permuted_balanced_accuracy(counts, group, predicted, dealt, "_dealt")
     observed = metrics.multiclass_metrics(scores, truth, predicted).select("balanced_accuracy")

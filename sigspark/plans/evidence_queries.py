@@ -76,8 +76,8 @@ SELECT round(obs.auc, 6) AS observed, count(*) AS n, round((1 + count(*) FILTER
   round(quantile_cont(reps.auc, 0.5), 6) AS null_median, round(quantile_cont(reps.auc, 0.95), 6) AS null_95th FROM obs, reps GROUP BY obs.auc""")
 def group_auc_permutation(spark, sf_dir):
     s = scores(spark, sf_dir)
-    numbered = R.numbered_groups(R.label_pure_groups(s, "group_id", "y"), "group_id")
-    dealt = R.rotated_labels(numbered, "y", numbered.count(), PERMUTATIONS)
+    numbered, n = R.pure_numbered_groups(s, "group_id", "y")
+    dealt = R.rotated_labels(numbered, "y", n, PERMUTATIONS)
     out = evaluation.auc_permutation(s, "group_id", "y", "score", PERMUTATIONS, relabelled=dealt)
     return out.select("n", *[r6(F.col(c)).alias(c) for c in ("observed", "p_value", "null_median", "null_95th")])
 
@@ -125,8 +125,8 @@ SELECT round(obs.ba, 6) AS observed, count(*) AS n, round((1 + count(*) FILTER (
   round(quantile_cont(reps.ba, 0.5), 6) AS null_median, round(quantile_cont(reps.ba, 0.95), 6) AS null_95th FROM obs, reps GROUP BY obs.ba""")
 def balanced_accuracy_permutation(spark, sf_dir):
     s = label_scores(spark, sf_dir)
-    numbered = R.numbered_groups(R.label_pure_groups(s, "group_id", "truth"), "group_id")
-    dealt = R.rotated_labels(numbered, "truth", numbered.count(), PERMUTATIONS)
+    numbered, n = R.pure_numbered_groups(s, "group_id", "truth")
+    dealt = R.rotated_labels(numbered, "truth", n, PERMUTATIONS)
     out = evaluation.labels_permutation(s, "group_id", "truth", "predicted", PERMUTATIONS, relabelled=dealt)
     return out.select("n", *[r6(F.col(c)).alias(c) for c in ("observed", "p_value", "null_median", "null_95th")])
 

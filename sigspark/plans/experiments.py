@@ -26,11 +26,10 @@ def evaluate(rows: DataFrame, partition: str, features: list[str], label: str, g
 
     Refits are independent Spark jobs, ``jobs`` at a time; choose n_permutations for the model's cost.
     """
-    groups = R.label_pure_groups(rows, group, label)
-    numbered = R.numbered_groups(groups, group)
+    numbered, _ = R.pure_numbered_groups(rows, group, label)
     scored = cut_lineage(models.out_of_fold(rows, partition, features, label, kind, **options))
     binary = len(models.class_list(rows, label)) == 2
-    relabelled = R.shuffled_labels(numbered, label, n_permutations, seed).join(numbered.select("g", group), "g").select("rep", group, F.col(label).alias("_dealt"))
+    relabelled = R.shuffled_labels(numbered, label, n_permutations, seed).join(numbered.select("_g", group), "_g").select("rep", group, F.col(label).alias("_dealt"))
     relabelled = relabelled.persist()
 
     def refit(rep: int) -> float | None:
@@ -136,7 +135,7 @@ def against_baselines(test: DataFrame, detector: str, power: str, features: list
 def shortcut_baseline(rows: DataFrame, shortcuts: list[str], label: str, group: str, k: int = 5, n_bootstrap: int = 2000, **options) -> DataFrame:
     """A shallow tree on level or clipping alone, out of fold over whole groups: what a detector has to beat."""
     folds = splits.group_kfold(rows, k, label, group).select(group, "fold")
-    scored = cut_lineage(models.out_of_fold(rows.join(folds, group), "fold", shortcuts, label, "tree", **options))
+    scored = cut_lineage(models.out_of_fold(cut_lineage(rows.join(folds, group)), "fold", shortcuts, label, "tree", **options))
     return evaluation.auc_interval(scored, group, label, "score", n_bootstrap)
 
 
@@ -153,7 +152,7 @@ def cross(train: DataFrame, test: DataFrame, features: list[str], label: str, gr
 
 def within(rows: DataFrame, folds: DataFrame, features: list[str], shortcut: list[str], label: str, group: str, kind: str = "gbm", n_bootstrap: int = 2000, **options) -> dict[str, DataFrame]:
     """Saved folds inside one dataset, detector paired with a shortcut model on identical rows."""
-    placed = rows.join(folds.select(group, "fold"), group)
+    placed = cut_lineage(rows.join(folds.select(group, "fold"), group))       # read again by every fit
     detector = models.out_of_fold(placed, "fold", features, label, kind, **options)
     both = cut_lineage(models.out_of_fold(detector.withColumnRenamed("score", "detector"), "fold", shortcut, label, "tree").withColumnRenamed("score", "shortcut"))
     return {"scores": both, "result": evaluation.auc_interval(both, group, label, "detector", n_bootstrap),
@@ -163,7 +162,7 @@ def within(rows: DataFrame, folds: DataFrame, features: list[str], shortcut: lis
 def dataset_identification(rows: DataFrame, features: list[str], dataset: str, group: str, k: int = 5, kind: str = "tree", **options) -> DataFrame:
     """Can a model tell which dataset a row is from? High accuracy means dataset fingerprints in the features."""
     folds = splits.group_kfold(rows, k, dataset, group).select(group, "fold")
-    scored = models.out_of_fold(rows.join(folds, group), "fold", features, dataset, kind, **options)
+    scored = models.out_of_fold(cut_lineage(rows.join(folds, group)), "fold", features, dataset, kind, **options)
     if "predicted" not in scored.columns:
         low, high = models.class_list(rows, dataset)
         scored = scored.withColumn("predicted", F.when(F.col("score") >= 0.5, F.lit(high)).otherwise(F.lit(low)))
@@ -232,7 +231,7 @@ def receiver_check(rows: DataFrame, features: list[str], unit: str, receiver: st
     both = rows.where(day & (F.col(receiver) == first)).select(unit).intersect(rows.where(day & (F.col(receiver) == second)).select(unit))
     kept = rows.where(day).join(both, unit, "left_semi").withColumn("y", F.col(receiver) == first).withColumn("unit_receiver", F.concat_ws("|", unit, receiver))
     folds = splits.sorted_round_robin(kept, unit, k)
-    scored = cut_lineage(models.out_of_fold(kept.drop("partition").join(folds, unit), "partition", features, "y", kind, **options))
+    scored = cut_lineage(models.out_of_fold(cut_lineage(kept.drop("partition").join(folds, unit)), "partition", features, "y", kind, **options))
     return evaluation.auc_interval(scored, "unit_receiver", "y", "score", n_bootstrap)
 
 

@@ -92,8 +92,9 @@ def shortcut_baseline(spark, sf_dir):
 @register("held_out_identification")
 def held_out_identification(spark, sf_dir):
     d = lines(spark, sf_dir).withColumn("l_quantity", F.col("l_quantity") + F.col("model").cast("int") * 12)
+    d = d.withColumn("capture", F.concat_ws("/", "unit", "year"))
     folds = [(F.col("unit") % 3 != k, F.col("unit") % 3 == k) for k in range(3)]
-    return experiments.identification(d, folds, FEATURES, "model", "unit", "unit", "row_id", ["l_tax"], "tree", BOOTSTRAPS, BOOTSTRAPS)["result"]
+    return experiments.identification(d, folds, FEATURES, "model", "unit", "capture", "row_id", ["l_tax"], "tree", BOOTSTRAPS, BOOTSTRAPS)["result"]
 
 
 @register("metadata_only")
