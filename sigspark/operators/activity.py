@@ -198,7 +198,8 @@ def group_bursts(bursts: DataFrame, keys: list[str], bin_hz: float | Column, fra
     def fits(g, s):
         return (F.abs(s["bw"] - g["bw"]) <= SHAPE_OCTAVES) & (F.abs(s["dur"] - g["dur"]) <= SHAPE_OCTAVES)
 
-    start = F.struct(F.array().cast("array<struct<bw:double,dur:double>>").alias("firsts"), F.array().cast("array<struct<burst:int,emitter:int>>").alias("out"))
+    kind = bursts.schema["burst"].dataType.simpleString()
+    start = F.struct(F.array().cast("array<struct<bw:double,dur:double>>").alias("firsts"), F.array().cast(f"array<struct<burst:{kind},emitter:int>>").alias("out"))
 
     def step_fn(acc, s):
         hit = F.transform(acc["firsts"], lambda g: fits(g, s))

@@ -201,7 +201,8 @@ def text_samples(lines: DataFrame, key: list[str], text: str = "value") -> DataF
 
 # ------------------------------------------------------------------ hashes
 def hash_inventory(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """(path, size, mtime, sha256, crc32). Files whose (path, size, mtime) stand in the manifest are not read again;
+    """(path, size, mtime, sha256, crc32) of ``binaryFile`` rows. Spark's file sources leave out empty files and cannot
+    hold files above 2 GB; use :func:`hash_paths` where either occurs. Files whose (path, size, mtime) stand in the manifest are not read again;
     manifest rows of files that changed or went away are left out."""
     current = files.select("path", F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("mtime"))
     if manifest is None:
@@ -215,3 +216,29 @@ def hash_inventory(files: DataFrame, manifest: DataFrame | None = None) -> DataF
     fresh = todo.select("path", F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("mtime"),
                         F.sha2("content", 256).alias("sha256"), F.lpad(F.lower(F.hex(F.crc32("content"))), 8, "0").alias("crc32"))
     return fresh if kept is None else kept.unionByName(fresh)
+
+
+def hash_paths(listing: DataFrame, manifest: DataFrame | None = None, tasks: int = 200) -> DataFrame:
+    """The same inventory from a listing (path, size, mtime) of files the executors can open, read in pieces of 16 MB."""
+    import hashlib
+    import zlib
+
+    same = ["path", "size", "mtime"]
+    todo = listing.select(*same) if manifest is None else listing.select(*same).join(manifest.select(*same), same, "left_anti")
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                sha, crc = hashlib.sha256(), 0
+                with open(r.path, "rb") as fh:
+                    while piece := fh.read(16 << 20):
+                        sha.update(piece)
+                        crc = zlib.crc32(piece, crc)
+                rows.append((r.path, r.size, r.mtime, sha.hexdigest(), f"{crc:08x}"))
+            yield pd.DataFrame(rows, columns=[*same, "sha256", "crc32"])
+
+    fresh = todo.repartition(tasks, "path").mapInPandas(read, "path string, size long, mtime string, sha256 string, crc32 string")
+    if manifest is None:
+        return fresh
+    return fresh.unionByName(manifest.join(listing.select(*same), same, "left_semi").select(*same, "sha256", "crc32"))
