@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 from .scan import TARGET_ROWS, lookup_join, ordered
 
 
+def _reduced_rows(rows: DataFrame, reduced: DataFrame, target_rows: int) -> int:
+    """Rows of a reduced table, or the cheaper count of its input if that is small already."""
+    n = rows.count()
+    return n if n <= target_rows else reduced.count()
+
+
 def auc(df: DataFrame, score: str, positive: Column, keys: list[str] = (), target_rows: int = TARGET_ROWS) -> DataFrame:
     """ROC AUC with ties worth one half, pooled per key. Columns: keys, n_pos, n_neg, auc (NULL with one class).
 
     Shuffles on (keys, score) after partial aggregation, then on (keys, score range).
     """
     keys = list(keys)
-    bound = None if target_rows < TARGET_ROWS else df.count()       # an upper bound for the reduced rows
     counts = df.groupBy(*keys, score).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("pos"),
                                           F.sum(F.when(positive, 0).otherwise(1)).alias("neg"))
-    scan = ordered(counts, keys, [score], target_rows, bound).running({"neg_below": (F.sum, F.col("neg"))}, inclusive=False)
+    scan = ordered(counts, keys, [score], target_rows, _reduced_rows(df, counts, target_rows)).running({"neg_below": (F.sum, F.col("neg"))}, inclusive=False)
     wins = F.col("pos") * (F.coalesce(F.col("neg_below"), F.lit(0)) + F.col("neg") * 0.5)
     out = scan.frame().groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(wins).alias("wins"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
@@ -50,11 +55,10 @@ def auc_per_stratum(df: DataFrame, score: str, positive: Column, stratum: str, t
     Negatives are not copied per stratum: both sides share one scan over the scores, which tells every positive how
     many negatives lie below it; strata are formed afterwards.
     """
-    bound = None if target_rows < TARGET_ROWS else df.count()
     counts = df.groupBy(score, F.when(positive, F.col(stratum)).alias(stratum), positive.alias("_y")).agg(F.count("*").alias("n"))
     per_score = counts.groupBy(score).agg(
         F.sum(F.when(F.col("_y"), 0).otherwise(F.col("n"))).alias("neg"), F.sum("n").alias("w"))
-    below = (ordered(per_score, [], [score], target_rows, bound)
+    below = (ordered(per_score, [], [score], target_rows, _reduced_rows(df, per_score, target_rows))
              .running({"neg_below": (F.sum, F.col("neg"))}, inclusive=False).frame()
              .withColumn("neg_below", F.coalesce("neg_below", F.lit(0))))
     total = df.agg(F.sum(F.when(positive, 0).otherwise(1)).alias("n_neg"))
@@ -69,9 +73,8 @@ def auc_per_stratum(df: DataFrame, score: str, positive: Column, stratum: str, t
 def mid_ranks(df: DataFrame, value: str, keys: list[str] = (), target_rows: int = TARGET_ROWS) -> DataFrame:
     """(keys, value, n, rank): average rank of every distinct value, 1-based."""
     keys = list(keys)
-    bound = None if target_rows < TARGET_ROWS else df.count()
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    scan = ordered(counts, keys, [value], target_rows, bound).running({"below": (F.sum, F.col("n"))}, inclusive=False)
+    scan = ordered(counts, keys, [value], target_rows, _reduced_rows(df, counts, target_rows)).running({"below": (F.sum, F.col("n"))}, inclusive=False)
     return scan.frame().select(*keys, value, "n", (F.coalesce("below", F.lit(0)) + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
@@ -84,9 +87,8 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] = (), target_rows: i
     ry = mid_ranks(pairs, y, keys, target_rows).withColumnRenamed("rank", "ry")
     cells = lookup_join(lookup_join(cells, rx, [*keys, x], "n"), ry, [*keys, y], "n")
     m, a, b = F.col("m"), F.col("rx"), F.col("ry")
-    n, centre = F.sum("m"), None
     # ranks of n rows average (n + 1) / 2, so the centred sums need one pass
-    sums = cells.groupBy(*keys).agg(n.alias("n"), F.sum(m * a * b).alias("ab"), F.sum(m * a * a).alias("aa"),
+    sums = cells.groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(m * a * b).alias("ab"), F.sum(m * a * a).alias("aa"),
                                     F.sum(m * b * b).alias("bb"))
     shift = F.col("n") * ((F.col("n") + 1) / 2.0) ** 2
     den = F.sqrt((F.col("aa") - shift) * (F.col("bb") - shift))

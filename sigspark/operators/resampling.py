@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from .scan import RANGE, ordered, with_ranges
 
-ROWS_PER_RANGE = 100_000
+ROWS_PER_RANGE = 25_000
 SHARED_WEIGHT_BYTES = 1 << 26          # above this the weights travel with the rows instead of being broadcast
 REPLICATES_AT_ONCE = 64
 
@@ -126,7 +126,9 @@ def auc_replicates(df: DataFrame, group: str, score: str, weights: DataFrame, n_
     """
     spark = df.sparkSession
     counts = df.groupBy(group, score).agg(F.count("*").alias("n"))
-    ranged, _ = with_ranges(counts, [score], rows_per_range)
+    ranged, n_ranges = with_ranges(counts, [score], rows_per_range)
+    # a fixed number of partitions: the ranges are small in bytes but heavy in work, so they must not be coalesced
+    tasks = max(1, min(n_ranges, 4096))
     share = n_groups * n_replicates * 8 <= shared_bytes
     table = weights.toPandas() if share else None               # at most one row per group and replicate
     rep_ids = np.unique(table["rep"]) if share else np.array([r[0] for r in weights.select("rep").distinct().orderBy("rep").collect()], dtype=np.int64)
@@ -151,9 +153,9 @@ def auc_replicates(df: DataFrame, group: str, score: str, weights: DataFrame, n_
             where, m = shared.value
             rows = pdf[group].map(where).to_numpy()
             return summed(int(pdf[RANGE].iloc[0]), pdf[score].to_numpy(), pdf["n"].to_numpy(float),
-                          lambda s: (m[0][rows][:, s].astype(float), m[1][rows][:, s].astype(float)))
+                          lambda s: (m[0][:, s][rows].astype(float), m[1][:, s][rows].astype(float)))
 
-        ranged_sums = ranged.groupBy(RANGE).applyInPandas(per_range, RANGE_SUMS)
+        ranged_sums = ranged.repartition(tasks, RANGE).groupBy(RANGE).applyInPandas(per_range, RANGE_SUMS)
     else:
         dense = (weights.groupBy(group)
                  .agg(F.sort_array(F.collect_list(F.struct("rep", "w_pos", "w_neg"))).alias("w")))  # one entry per replicate
@@ -168,7 +170,7 @@ def auc_replicates(df: DataFrame, group: str, score: str, weights: DataFrame, n_
             return summed(int(pdf[RANGE].iloc[0]), pdf[score].to_numpy(), pdf["n"].to_numpy(float),
                           lambda s: (m[0][:, s].astype(float), m[1][:, s].astype(float)))
 
-        ranged_sums = ranged.join(dense, group).groupBy(RANGE).applyInPandas(per_joined_range, RANGE_SUMS)
+        ranged_sums = ranged.join(dense, group).repartition(tasks, RANGE).groupBy(RANGE).applyInPandas(per_joined_range, RANGE_SUMS)
 
     earlier = Window.partitionBy("rep").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)   # one row per range
     total = (ranged_sums.withColumn("neg_below", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
