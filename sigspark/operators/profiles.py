@@ -43,7 +43,8 @@ def shared_values(df: DataFrame, value: str, entity: str) -> DataFrame:
 
 
 def units_by(df: DataFrame, keys: list[str], unit: str) -> DataFrame:
-    return df.select(*keys, unit).distinct().groupBy(*keys).agg(F.count("*").alias("units"), F.array_sort(F.collect_list(unit)).alias("unit_names"))
+    """(keys, units): number of distinct units. The units themselves are ``df.select(keys, unit).distinct()``, as rows."""
+    return df.select(*keys, unit).distinct().groupBy(*keys).agg(F.count("*").alias("units"))
 
 
 def status_cube(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -110,6 +111,22 @@ def trigger_levels(samples: DataFrame, keys: list[str], position: str, value: st
         log_rms(p < trigger).alias("log_rms_pre_trigger"), log_rms(p >= trigger).alias("log_rms_post_trigger"))
 
 
+def levels_after_trigger(samples: DataFrame, keys: list[str], position: str, value: str, trigger: int, width: int, rails: tuple[float, float]) -> DataFrame:
+    """(keys, band, n, rms, clipped_percent) per stretch of ``width`` samples from the trigger on."""
+    x, p = F.col(value).cast("double"), F.col(position)
+    return (samples.where(p >= trigger).groupBy(*keys, F.floor((p - trigger) / width).alias("band"))
+            .agg(F.count("*").alias("n"), F.sqrt(F.avg(x * x)).alias("rms"), (100 * F.avg(F.when((x <= rails[0]) | (x >= rails[1]), 1.0).otherwise(0.0))).alias("clipped_percent")))
+
+
+def identical_channels(samples: DataFrame, keys: list[str], channel: str, position: str, value: str) -> DataFrame:
+    """(keys, channels, first_channel): channels of one key that hold the same samples. Channels are compared by an
+    order-free fingerprint, so none is collected."""
+    h = F.xxhash64(F.col(position), F.col(value))
+    prints = samples.groupBy(*keys, channel).agg(F.bit_xor(h).alias("a"), F.sum(F.pmod(h, F.lit(2147483647))).alias("b"), F.count("*").alias("n"))
+    same = prints.groupBy(*keys, "a", "b", "n").agg(F.count("*").alias("channels"), F.min(channel).alias("first_channel"))
+    return same.where(F.col("channels") > 1).select(*keys, "channels", "first_channel")
+
+
 def transmission_table_checks(transmissions: DataFrame, keys: list[str], start: str, end: str, total: str) -> DataFrame:
     """(keys, transmissions, duration_min, duration_max, bad_order, past_end) of labelled [start, end) sample spans."""
     s, e = F.col(start), F.col(end)

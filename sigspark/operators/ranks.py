@@ -7,13 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import TARGET_ROWS, lookup_join, ordered
-
-
-def _reduced_rows(rows: DataFrame, reduced: DataFrame, target_rows: int) -> int:
-    """Rows of a reduced table, or the cheaper count of its input if that is small already."""
-    n = rows.count()
-    return n if n <= target_rows else reduced.count()
+from .scan import TARGET_ROWS, lookup_join, ordered, row_bound
 
 
 def auc(df: DataFrame, score: str, positive: Column, keys: list[str] = (), target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -24,7 +18,7 @@ def auc(df: DataFrame, score: str, positive: Column, keys: list[str] = (), targe
     keys = list(keys)
     counts = df.groupBy(*keys, score).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("pos"),
                                           F.sum(F.when(positive, 0).otherwise(1)).alias("neg"))
-    scan = ordered(counts, keys, [score], target_rows, _reduced_rows(df, counts, target_rows)).running({"neg_below": (F.sum, F.col("neg"))}, inclusive=False)
+    scan = ordered(counts, keys, [score], target_rows, row_bound(df, counts, target_rows)).running({"neg_below": (F.sum, F.col("neg"))}, inclusive=False)
     wins = F.col("pos") * (F.coalesce(F.col("neg_below"), F.lit(0)) + F.col("neg") * 0.5)
     out = scan.frame().groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(wins).alias("wins"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
@@ -58,7 +52,7 @@ def auc_per_stratum(df: DataFrame, score: str, positive: Column, stratum: str, t
     counts = df.groupBy(score, F.when(positive, F.col(stratum)).alias(stratum), positive.alias("_y")).agg(F.count("*").alias("n"))
     per_score = counts.groupBy(score).agg(
         F.sum(F.when(F.col("_y"), 0).otherwise(F.col("n"))).alias("neg"), F.sum("n").alias("w"))
-    below = (ordered(per_score, [], [score], target_rows, _reduced_rows(df, per_score, target_rows))
+    below = (ordered(per_score, [], [score], target_rows, row_bound(df, per_score, target_rows))
              .running({"neg_below": (F.sum, F.col("neg"))}, inclusive=False).frame()
              .withColumn("neg_below", F.coalesce("neg_below", F.lit(0))))
     total = df.agg(F.sum(F.when(positive, 0).otherwise(1)).alias("n_neg"))
@@ -74,7 +68,7 @@ def mid_ranks(df: DataFrame, value: str, keys: list[str] = (), target_rows: int
     """(keys, value, n, rank): average rank of every distinct value, 1-based."""
     keys = list(keys)
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    scan = ordered(counts, keys, [value], target_rows, _reduced_rows(df, counts, target_rows)).running({"below": (F.sum, F.col("n"))}, inclusive=False)
+    scan = ordered(counts, keys, [value], target_rows, row_bound(df, counts, target_rows)).running({"below": (F.sum, F.col("n"))}, inclusive=False)
     return scan.frame().select(*keys, value, "n", (F.coalesce("below", F.lit(0)) + (F.col("n") + 1) / 2.0).alias("rank"))
 
 

@@ -157,6 +157,12 @@ class OrderedScan:
         return self.rows.drop(RANGE)
 
 
+def row_bound(source: DataFrame, reduced: DataFrame, target_rows: int) -> int:
+    """Rows of a reduced table (distinct values, counts), or the cheaper count of its source if that is small already."""
+    n = source.count()
+    return n if n <= target_rows else reduced.count()
+
+
 def ordered(df: DataFrame, keys: list[str], order: list[str], target_rows: int = TARGET_ROWS,
             n_rows: int | None = None) -> OrderedScan:
     """Start an ordered scan. ``order`` must be total within a key, or results depend on ties."""

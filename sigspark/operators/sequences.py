@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import seconds
-from .scan import TARGET_ROWS, ordered
+from .scan import TARGET_ROWS, ordered, row_bound
 
 
 def runs(df: DataFrame, keys: list[str], seq: str, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Gap-free runs of integers: (keys, run, first, last, n). Duplicates of a number are counted once."""
     distinct = df.select(*keys, seq).distinct()
-    scan = ordered(distinct, keys, [seq], target_rows).lag({"_prev": (seq, 1)})
+    scan = ordered(distinct, keys, [seq], target_rows, row_bound(df, distinct, target_rows)).lag({"_prev": (seq, 1)})
     scan = scan.islands("run", F.col("_prev").isNull() | (F.col(seq) - F.col("_prev") != 1))
     return scan.frame().groupBy(*keys, "run").agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.count("*").alias("n"))
 
@@ -20,7 +20,7 @@ def runs(df: DataFrame, keys: list[str], seq: str, target_rows: int = TARGET_ROW
 def missing_numbers(df: DataFrame, keys: list[str], seq: str, start: int, target_rows: int = TARGET_ROWS) -> DataFrame:
     """(keys, missing): numbers between ``start`` and the key's largest that do not occur, one row each."""
     distinct = df.select(*keys, seq).distinct()
-    scan = ordered(distinct, keys, [seq], target_rows).lag({"_prev": (seq, 1)})
+    scan = ordered(distinct, keys, [seq], target_rows, row_bound(df, distinct, target_rows)).lag({"_prev": (seq, 1)})
     lo = F.coalesce(F.col("_prev") + 1, F.lit(start))
     gaps = scan.frame().where(F.col(seq) - lo >= 1)
     return gaps.select(*keys, F.explode(F.sequence(lo, F.col(seq) - 1)).alias("missing"))

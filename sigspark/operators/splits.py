@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scan import ordered
+from .scan import lookup_join, ordered
 
 NO_LABEL = "None"
 
@@ -91,7 +91,8 @@ def group_kfold(captures: DataFrame, k: int, label: str, group: str = "group_id"
 
 def assign(captures: DataFrame, folds: DataFrame, group: str = "group_id", capture: str = "capture_id") -> DataFrame:
     """(capture, partition) from fold numbers of whole groups."""
-    return captures.join(folds.select(group, "fold"), group).select(capture, F.concat(F.lit("fold"), F.col("fold")).alias("partition"))
+    sized = folds.select(group, "fold", "n") if "n" in folds.columns else folds.select(group, "fold").withColumn("n", F.lit(1))
+    return lookup_join(captures, sized, [group], "n").select(capture, F.concat(F.lit("fold"), F.col("fold")).alias("partition"))
 
 
 def balanced_by_dataset(captures: DataFrame, k: int, group: str = "group_id") -> DataFrame:
@@ -163,25 +164,33 @@ def leakage_problems(captures: DataFrame, assignment: DataFrame, group: str = "g
 
 
 EXACT_DIGEST_ROWS = 1_000_000
-DIGEST_PREFIX = 3          # hex digits of the capture hash: 4096 blocks of equal expected size
+DIGEST_STEP = 3            # hex digits per level: a node of the digest tree has at most 4096 children
+LINES_PER_BLOCK = 100_000
 
 
 def _lines(rows: Column) -> Column:
     return F.array_join(F.array_sort(F.collect_list(rows)), "\n")
 
 
-def block_digest(assignment: DataFrame, capture: str = "capture_id", prefix: int = DIGEST_PREFIX) -> DataFrame:
-    """One row: SHA-256 over the block hashes, each the SHA-256 of a block's sorted ``capture<TAB>partition`` lines.
+def block_digest(assignment: DataFrame, capture: str = "capture_id", lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
+    """One row (captures, levels, assignment_sha256): a hash tree over the sorted ``capture<TAB>partition`` lines.
 
-    Blocks are chosen by the hash of the capture id, so no task sees more than its share and ids cannot skew them.
+    Leaves are chosen by the hash of the capture id, so ids cannot skew them, and there are enough of them (a rule of
+    the row count alone) that a leaf stays near ``lines_per_block`` lines; every node above has at most 4096 children.
     """
+    n = assignment.count()
+    levels = 1
+    while n / lines_per_block > 16 ** (DIGEST_STEP * levels):
+        levels += 1
     line = F.concat_ws("\t", F.col(capture).cast("string"), F.col("partition"))
-    block = F.substring(F.sha2(F.col(capture).cast("string"), 256), 1, prefix)
-    blocks = (assignment.select(block.alias("block"), line.alias("line")).groupBy("block")
-              .agg(F.sha2(_lines(F.col("line")), 256).alias("h"), F.count("*").alias("n")))
-    # at most 16 ** prefix rows of 64 characters
-    return blocks.agg(F.sum("n").alias("captures"), F.count("*").alias("blocks"),
-                      F.sha2(_lines(F.concat_ws("\t", "block", "h")), 256).alias("assignment_sha256"))
+    at = F.substring(F.sha2(F.col(capture).cast("string"), 256), 1, DIGEST_STEP * levels)
+    nodes = (assignment.select(at.alias("at"), line.alias("line")).groupBy("at")
+             .agg(F.sha2(_lines(F.col("line")), 256).alias("h"), F.count("*").alias("n")))
+    for level in range(levels - 1, -1, -1):
+        parent = F.substring("at", 1, DIGEST_STEP * level) if level else F.lit("")
+        nodes = (nodes.groupBy(parent.alias("p")).agg(F.sha2(_lines(F.concat_ws("\t", "at", "h")), 256).alias("h"), F.sum("n").alias("n"))
+                 .withColumnRenamed("p", "at"))
+    return nodes.select(F.col("n").alias("captures"), F.lit(levels).alias("levels"), F.col("h").alias("assignment_sha256"))
 
 
 def exact_digest(assignment: DataFrame, capture: str = "capture_id") -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..functions import grammars as G
 from ..functions.columns import micros
 from ..operators import catalog, claims, joins, profiles
-from ..sources import ingest, materialize
+from ..sources import blocks, ingest, materialize
 from .tables import load, r6
 
 QUERIES: dict = {}
@@ -74,13 +74,12 @@ def release_dates(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", C.iso_timestamp(spelled, "d-MMM-yyyy H:mm:ss").alias("iso"))
 
 
-@register("text_samples", """WITH t AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS q, count(*) FILTER (l_discount > 0.09) AS odd FROM lineitem GROUP BY 1)
-SELECT l_orderkey, len(q)::INT AS n, list_min(q) AS lo, list_max(q) AS hi, list_sum(q)::BIGINT AS total, true AS lossless FROM t""")
+@register("text_samples", """SELECT c_custkey, 3 AS n, least(c_custkey, c_nationkey, round(c_acctbal * 4)) AS lo, greatest(c_custkey, c_nationkey, round(c_acctbal * 4)) AS hi,
+  greatest(c_custkey, c_nationkey, round(c_acctbal * 4)) <= 32767 AS lossless FROM customer""")
 def text_samples(spark, sf_dir):
-    l = load(spark, sf_dir, "lineitem")
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda s: s["l_quantity"].cast("string")), ", ")
-    out = ingest.text_samples(l.groupBy("l_orderkey").agg(line.alias("value")), ["l_orderkey"])
-    return out.select("l_orderkey", "n", "lo", "hi", F.aggregate("codes", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), "lossless")
+    c = load(spark, sf_dir, "customer")
+    line = F.concat_ws(", ", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.round(F.col("c_acctbal") * 4).cast("long").cast("string"))
+    return ingest.text_samples(c.select("c_custkey", line.alias("value")), ["c_custkey"]).drop("codes")
 
 
 # ------------------------------------------------------------------ content and copies
@@ -116,11 +115,10 @@ def shared_values(spark, sf_dir):
     return profiles.shared_values(load(spark, sf_dir, "events"), "value", "event_type")
 
 
-@register("units_by_day_and_kind", """SELECT day(ts)::INT AS day, event_type, count(DISTINCT user_id) AS units, list(DISTINCT user_id ORDER BY user_id)::VARCHAR AS unit_names FROM events GROUP BY 1, 2""")
+@register("units_by_day_and_kind", """SELECT day(ts)::INT AS day, event_type, count(DISTINCT user_id) AS units FROM events GROUP BY 1, 2""")
 def units_by_day_and_kind(spark, sf_dir):
     e = load(spark, sf_dir, "events").withColumn("day", F.dayofmonth("ts"))
-    out = profiles.units_by(e, ["day", "event_type"], "user_id")
-    return out.withColumn("unit_names", F.concat(F.lit("["), F.array_join(F.transform("unit_names", lambda u: u.cast("string")), ", "), F.lit("]")))
+    return profiles.units_by(e, ["day", "event_type"], "user_id")
 
 
 @register("units_at_both_receivers", """SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'signup'""")
@@ -155,11 +153,36 @@ def captures_with_labels(spark, sf_dir):
     return per_user.join(meta, per_user["user_id"] % 25 == meta["n_nationkey"]).select("user_id", "label_class", "dataset", "n")
 
 
-@register("ordered_parts", """SELECT o_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+@register("ordered_parts", """SELECT l_orderkey AS capture_id, l_partkey::VARCHAR || '/' || l_extendedprice::VARCHAR AS artifact_id,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linenumber = 7 THEN 2147483647 ELSE l_linenumber END, l_returnflag, l_partkey::VARCHAR || '/' || l_extendedprice::VARCHAR) - 1 AS position FROM lineitem""")
 def ordered_parts(spark, sf_dir):
-    l = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
-    o = load(spark, sf_dir, "orders").select("o_orderkey")
-    return o.join(l, "o_orderkey").select("o_orderkey", F.array_join(F.transform("p", lambda s: s["l_partkey"].cast("string")), ",").alias("parts"))
+    l = load(spark, sf_dir, "lineitem")
+    a = l.select(F.col("l_orderkey").alias("capture_id"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_extendedprice").cast("string")).alias("artifact_id"),
+                 F.col("l_returnflag").alias("channel"), F.when(F.col("l_linenumber") < 7, F.col("l_linenumber")).alias("part_index"))
+    return blocks.ordered_artifacts(a).select("capture_id", "artifact_id", "position")
+
+
+@register("hash_inventory", """SELECT 'doc/' || doc_id::VARCHAR AS path, strlen(text) AS size, CASE WHEN doc_id % 2 = 0 AND doc_id % 10 <> 0 THEN 'kept' ELSE sha256(text) END AS sha256 FROM documents""")
+def hash_inventory(spark, sf_dir):
+    """documents as files; half of them stand in the manifest, a fifth of those with another size."""
+    d = load(spark, sf_dir, "documents")
+    files = d.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("length"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modificationTime"),
+                     F.encode("text", "UTF-8").alias("content"))
+    old = d.where("doc_id % 2 = 0").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), (F.octet_length("text") + F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)).cast("long").alias("size"),
+                                           F.lit("2024-01-01T00:00:00").alias("mtime"), F.lit("kept").alias("sha256"), F.lit("0").alias("crc32"))
+    return ingest.hash_inventory(files, old).select("path", "size", "sha256")
+
+
+@register("capture_lengths", "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN round_even(value * (event_id % 4) * 1000, 0)::BIGINT END AS samples FROM events")
+def capture_lengths(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", C.capture_length(F.col("value"), (F.col("event_id") % 4) * 1000.0).alias("samples"))
+
+
+@register("stored_rows", """SELECT o_orderkey AS capture_id, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = o_custkey % 5 WHERE o_orderstatus <> 'P'""")
+def stored_rows(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("capture_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("stored_in"), (F.col("o_custkey") % 5).cast("int").alias("stored_index"))
+    t = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("stored_in"), F.col("l_linenumber").alias("stored_index"), "l_partkey")
+    return blocks.stored_row(o, t).select("capture_id", "l_partkey")
 
 
 # ------------------------------------------------------------------ intervals

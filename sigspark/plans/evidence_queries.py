@@ -321,7 +321,7 @@ def feasibility(spark, sf_dir):
 
 @register("split_digest", """WITH l AS (SELECT substr(sha256(event_id::VARCHAR), 1, 3) AS b, event_id::VARCHAR || chr(9) || 'fold' || (user_id % 5)::VARCHAR AS line FROM events),
 h AS (SELECT b, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY 1)
-SELECT sum(n)::BIGINT AS captures, count(*) AS blocks, sha256(string_agg(b || chr(9) || h, chr(10) ORDER BY b)) AS assignment_sha256 FROM h""")
+SELECT sum(n)::BIGINT AS captures, 1 AS levels, sha256(string_agg(b || chr(9) || h, chr(10) ORDER BY b)) AS assignment_sha256 FROM h""")
 def split_digest(spark, sf_dir):
     a = load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("fold"), F.col("user_id") % 5).alias("partition"))
     return splits.block_digest(a, "event_id")
@@ -461,9 +461,9 @@ def zero_runs(spark, sf_dir):
 
 
 @register("mean_abs_step", """WITH l AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS d FROM events)
-SELECT user_id, round(avg(d), 6) AS mean_step FROM l GROUP BY 1""")
+SELECT user_id, round(avg(d), 9) AS mean_step FROM l GROUP BY 1""")
 def mean_abs_step(spark, sf_dir):
-    return sequences.mean_abs_step(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").withColumn("mean_step", r6(F.col("mean_step")))
+    return sequences.mean_abs_step(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").withColumn("mean_step", F.round("mean_step", 9))
 
 
 @register("part_index", """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS part_index FROM events""")
@@ -543,6 +543,45 @@ def active_share(spark, sf_dir):
     return out.select("cap", "n", *[r6(F.col(c)).alias(c) for c in ("floor", "active_share", "snr_db")])
 
 
+@register("levels_after_trigger", """SELECT o_orderpriority, (o_orderkey - 5000) // 2500 AS band, count(*) AS n, round(sqrt(avg(o_totalprice * o_totalprice)), 4) AS rms, round(100 * avg((o_totalprice <= 10000 OR o_totalprice >= 400000)::INT), 6) AS clipped_percent
+FROM orders WHERE o_orderkey >= 5000 GROUP BY 1, 2""")
+def levels_after_trigger(spark, sf_dir):
+    out = profiles.levels_after_trigger(load(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderkey", "o_totalprice", 5000, 2500, (10000, 400000))
+    return out.withColumns({"rms": F.round("rms", 4), "clipped_percent": r6(F.col("clipped_percent"))})
+
+
+@register("identical_channels", """WITH s AS (SELECT l_returnflag AS k, 'a' AS ch, l_orderkey AS pos, l_quantity AS x FROM lineitem UNION ALL SELECT l_returnflag, 'b', l_orderkey, CASE WHEN l_returnflag = 'R' THEN l_tax ELSE l_quantity END FROM lineitem)
+SELECT k, 2::BIGINT AS channels, 'a' AS first_channel FROM (SELECT DISTINCT k FROM s) WHERE k <> 'R'""")
+def identical_channels(spark, sf_dir):
+    l = load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("k"), F.col("l_orderkey").alias("pos"), "l_quantity", "l_tax")
+    a = l.select("k", F.lit("a").alias("ch"), "pos", F.col("l_quantity").alias("x"))
+    b = l.select("k", F.lit("b").alias("ch"), "pos", F.when(F.col("k") == "R", F.col("l_tax")).otherwise(F.col("l_quantity")).alias("x"))
+    return profiles.identical_channels(a.unionByName(b), ["k"], "ch", "pos", "x")
+
+
+@register("official_split", """SELECT doc_id AS capture_id, lang AS partition FROM documents WHERE lang NOT IN ('es', 'de')""")
+def official_split(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("capture_id"), F.when(F.col("lang") == "de", None).when(F.col("lang") == "es", "").otherwise(F.col("lang")).alias("official_split"))
+    return splits.official(d)
+
+
+@register("row_subsets", """WITH e AS (SELECT event_type, user_id % 3 = 0 AS y, value FROM events WHERE value < 400)
+SELECT 'one positive kind' AS subset, count(*) AS n FROM e WHERE event_type = 'view' OR NOT y UNION ALL SELECT 'one negative kind', count(*) FROM e WHERE event_type = 'view' OR y UNION ALL SELECT 'labelled', count(*) FROM events WHERE event_type <> 'error'""")
+def row_subsets(spark, sf_dir):
+    e = load(spark, sf_dir, "events").withColumn("y", F.when(F.col("event_type") != "error", F.col("user_id") % 3 == 0)).withColumn("p", F.col("user_id") % 3 == 0)
+    view, clean = F.col("event_type") == "view", F.col("value") < 400
+    keep = {"one positive kind": clean & (view | ~F.col("p")), "one negative kind": clean & (view | F.col("p")), "labelled": F.col("y").isNotNull()}
+    # one pass: every row names the subsets it is in
+    member = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in keep.items()]), lambda s: s.isNotNull())
+    return e.select(F.explode(member).alias("subset")).groupBy("subset").agg(F.count("*").alias("n"))
+
+
+@register("stratified_folds", """SELECT fold, event_type, count(*) AS n FROM (SELECT event_type, ((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) % 5)::INT AS fold FROM events) GROUP BY 1, 2""")
+def stratified_folds(spark, sf_dir):
+    out = splits.stratified_kfold(load(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", ["event_type"], 5)
+    return out.groupBy("fold", "event_type").agg(F.count("*").alias("n"))
+
+
 @register("trigger_levels", """SELECT o_orderpriority, round(avg((o_totalprice <= 10000 OR o_totalprice >= 400000)::INT), 6) AS clip_fraction,
   round(log10(sqrt(avg(o_totalprice * o_totalprice) FILTER (o_orderkey < 5000)) + 1e-9), 6) AS log_rms_pre_trigger,
   round(log10(sqrt(avg(o_totalprice * o_totalprice) FILTER (o_orderkey >= 5000)) + 1e-9), 6) AS log_rms_post_trigger FROM orders GROUP BY 1""")

@@ -89,6 +89,13 @@ def open_ended_window(spark, sf_dir):
     return kept.groupBy("capture_id").agg(F.sum(F.size("i")).cast("int").alias("n"), F.round(F.sum(C.array_sum(F.col("i"))), 4).alias("sum_i"))
 
 
+@register("stride_windows", f"""WITH {_BLOCKS}, e AS (SELECT capture_id, max(pos) + 1 AS n FROM s GROUP BY 1), w AS (SELECT capture_id, n, k FROM e, (SELECT unnest(range(50)) AS k))
+SELECT capture_id, k::INT AS win, (k * 40)::BIGINT AS start, 10::BIGINT AS count FROM w WHERE k * 40 + 10 <= n""")
+def stride_windows(spark, sf_dir):
+    """One window every four window lengths, at most fifty per capture."""
+    return blocks.fixed_windows(blocks.capture_extents(signal_blocks(spark, sf_dir)), 10, 40, 50)
+
+
 @register("spaced_window_starts", f"""WITH {_BLOCKS}, e AS (SELECT capture_id, max(pos) + 1 AS n FROM s GROUP BY 1), k AS (SELECT unnest(range(7)) AS win)
 SELECT capture_id, win::INT AS win, floor(win * (n - 200) / 6)::BIGINT AS start, 200::BIGINT AS count FROM e, k""")
 def spaced_window_starts(spark, sf_dir):
@@ -283,14 +290,14 @@ def _found_bursts(spark, sf_dir) -> DataFrame:
 
 
 @register("bursts", f"""{_BURSTS}
-SELECT label, win, (row_number() OVER (PARTITION BY label, win ORDER BY root) - 1)::INT AS burst, f0::DOUBLE AS t0, f1 + 1.0 AS t1, b0 - 32.5 AS f_lo, b1 - 31.5 AS f_hi, cells,
-  round(10 * log10(ratio), 6) AS snr_db, lo - 32.5 AS occ_lo, hi - 31.5 AS occ_hi FROM box JOIN occ USING (label, win, root)""")
+SELECT label, win, (row_number() OVER (PARTITION BY label, win ORDER BY root) - 1)::INT AS burst, f0::DOUBLE AS t0, (f1 + 1)::DOUBLE AS t1, (b0 - 32.5)::DOUBLE AS f_lo, (b1 - 31.5)::DOUBLE AS f_hi, cells,
+  round(10 * log10(ratio), 6) AS snr_db, (lo - 32.5)::DOUBLE AS occ_lo, (hi - 31.5)::DOUBLE AS occ_hi FROM box JOIN occ USING (label, win, root)""")
 def bursts(spark, sf_dir):
     return _found_bursts(spark, sf_dir).withColumn("snr_db", r6(F.col("snr_db")))
 
 
 _EMITTERS = f"""{_BURSTS},
-bu AS (SELECT label, win, root, cells, f0::DOUBLE AS t0, f1 + 1.0 - f0 AS len, b0 - 32.5 AS f_lo, b1 - 31.5 AS f_hi, 10 * log10(ratio) AS snr, lo - 32.5 AS olo, hi - 31.5 AS ohi FROM box JOIN occ USING (label, win, root)),
+bu AS (SELECT label, win, root, cells, f0::DOUBLE AS t0, (f1 + 1 - f0)::DOUBLE AS len, (b0 - 32.5)::DOUBLE AS f_lo, (b1 - 31.5)::DOUBLE AS f_hi, 10 * log10(ratio) AS snr, (lo - 32.5)::DOUBLE AS olo, (hi - 31.5)::DOUBLE AS ohi FROM box JOIN occ USING (label, win, root)),
 od AS (SELECT *, log2(greatest(ohi - olo, 1)) AS bw, log2(greatest(len, 1)) AS dur, row_number() OVER (PARTITION BY label, win ORDER BY cells DESC, root) AS rn FROM bu),
 fold AS (SELECT label, win, 0::BIGINT AS rn, 0 AS root, 0::BIGINT AS emitter, []::DOUBLE[] AS bws, []::DOUBLE[] AS durs FROM (SELECT DISTINCT label, win FROM od)
   UNION ALL SELECT label, win, rn, root, CASE WHEN hit_pos IS NULL THEN len(bws) ELSE hit_pos - 1 END, CASE WHEN hit_pos IS NULL THEN list_append(bws, bw) ELSE bws END, CASE WHEN hit_pos IS NULL THEN list_append(durs, dur) ELSE durs END

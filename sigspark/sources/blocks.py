@@ -120,12 +120,9 @@ def stored_row(captures: DataFrame, tensor_rows: DataFrame) -> DataFrame:
     return captures.where(F.col("stored_in").isNotNull()).join(tensor_rows, ["stored_in", "stored_index"])
 
 
-def ordered_artifacts(artifacts: DataFrame) -> DataFrame:
-    """(capture_id, parts): a capture's artifacts in time order, unnumbered last, then by channel.
-
-    A capture's artifact list is its own metadata (a few to a few thousand names), not its samples.
-    """
-    key = F.struct(F.col("part_index").isNull().alias("unnumbered"), F.coalesce("part_index", F.lit(0)).alias("at"),
-                   F.coalesce("channel", F.lit("")).alias("ch"), "artifact_id")
-    return (artifacts.where(F.col("capture_id").isNotNull()).groupBy("capture_id")
-            .agg(F.transform(F.array_sort(F.collect_list(key)), lambda k: k["artifact_id"]).alias("parts")))
+def ordered_artifacts(artifacts: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Artifacts with their ``position`` inside the capture: in time order, unnumbered last, then by channel."""
+    live = artifacts.where(F.col("capture_id").isNotNull()).withColumns(
+        {"_at": F.coalesce("part_index", F.lit(2147483647)), "_ch": F.coalesce("channel", F.lit(""))})
+    placed = ordered(live, ["capture_id"], ["_at", "_ch", "artifact_id"], target_rows).row_number("position").frame()
+    return placed.withColumn("position", F.col("position") - 1).drop("_at", "_ch")

@@ -31,7 +31,8 @@ def materialize(spark: SparkSession, folder: str, name: str, params: dict, input
                 build: Callable[[], DataFrame], version: str = "1") -> DataFrame:
     """Reuse the table if one with this fingerprint was completely written, else build and write it.
 
-    ``version`` names the code; raise it when the computation changes.
+    ``inputs`` are the catalog tables a result depends on (captures, artifacts with their checksums), not the samples,
+    since fingerprinting reads them in full. ``version`` names the code; raise it when the computation changes.
     """
     path = f"{folder.rstrip('/')}/{name}-{key(name, params, inputs, version)}"
     try:

@@ -25,7 +25,8 @@ def decisions_per_second(scores: DataFrame, keys: list[str], ts: str, score: str
 def alarm_onsets(flags: DataFrame, key: str, ts: str, tie: str, flag: str, k: int = 2, n: int = 3) -> DataFrame:
     """(key, ts, tie): rows at which a K-of-N alarm starts. State per key: the last n flags and whether it was active.
 
-    Rows of one key must arrive in event-time order across micro-batches, as watermarked aggregations emit them; inside
+    Feed it decisions_per_second and bound the micro-batch at the source (maxFilesPerTrigger, maxBytesPerTrigger): a key
+    then holds one row per second of the batch. Rows of one key must arrive in event-time order across micro-batches, as watermarked aggregations emit them; inside
     a micro-batch they are sorted here.
     """
     source = flags.select(key, ts, tie, F.col(flag).cast("int").alias("_flag"))
@@ -78,9 +79,9 @@ def campaign_labels(scores: DataFrame, segments: DataFrame, session: str, ts: st
     return scores.join(s, inside).drop("_s", "from_ts", "to_ts")
 
 
-def replay(spark: SparkSession, folder: str, file: str, schema: T.StructType) -> DataFrame:
-    """A stored table as a stream of files."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+def replay(spark: SparkSession, folder: str, file: str, schema: T.StructType, bytes_per_batch: int = 64 << 30) -> DataFrame:
+    """A stored table as a stream of files. The trigger limit bounds a micro-batch, and with it what one key can hold."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(folder))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
