@@ -117,14 +117,14 @@ def find_bursts(power: np.ndarray, floor: np.ndarray, mask: np.ndarray, frame_s:
 
 # ------------------------------------------------------------------ windows -> bursts
 def window_bursts(windows: DataFrame, keys: list[str], pfa: float = 1e-3, nfft: int | None = None, floors: dict | None = None) -> DataFrame:
-    """windows (keys, i, q, sample_rate_hz) -> one row per burst (keys, BURST_FIELDS, duration_s, head_i, head_q).
+    """windows (keys, i, q, sample_rate_hz) -> one row per burst (keys, BURST_FIELDS, duration_s, sample_rate_hz, head_i, head_q).
 
     No shuffle: each row is a whole window. ``head`` holds the first samples of bursts as wide as Wi-Fi, so that the
     recogniser needs no second look at the window. ``floors`` maps a key tuple prefix to a calibrated floor array.
     """
     schema = windows.select(*keys).schema
     out_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    out_ddl += f", {BURST_FIELDS}, duration_s double, head_i array<float>, head_q array<float>"
+    out_ddl += f", {BURST_FIELDS}, duration_s double, sample_rate_hz double, head_i array<float>, head_q array<float>"
 
     def run(batches):
         for b in batches:
@@ -142,14 +142,14 @@ def window_bursts(windows: DataFrame, keys: list[str], pfa: float = 1e-3, nfft:
                     continue
                 for k in keys:
                     found[k] = getattr(row, k)
-                found["duration_s"] = len(x) / fs
+                found["duration_s"], found["sample_rate_hz"] = len(x) / fs, fs
                 width = found["occ_hi"] - found["occ_lo"]
                 wide = np.logical_or.reduce([(width >= a) & (width <= c) for a, c in WIFI_WIDTHS])
                 starts = np.maximum(0, ((found["t0"] - HEAD_BEFORE_S) * fs).astype(int))
                 heads = [x[s:s + int(HEAD_S * fs)] if w else None for s, w in zip(starts, wide)]
                 found["head_i"] = [None if h is None else h.real.astype(np.float32) for h in heads]
                 found["head_q"] = [None if h is None else h.imag.astype(np.float32) for h in heads]
-                yield found[[*keys, *BURST_COLUMNS, "duration_s", "head_i", "head_q"]]
+                yield found[[*keys, *BURST_COLUMNS, "duration_s", "sample_rate_hz", "head_i", "head_q"]]
 
     return windows.select(*keys, "i", "q", "sample_rate_hz").mapInPandas(run, out_ddl)
 
@@ -192,14 +192,13 @@ def group_bursts(bursts: DataFrame, keys: list[str], bin_hz: float | Column, fra
     step = F.lit(bin_hz) if not isinstance(bin_hz, Column) else bin_hz
     shortest = F.lit(frame_s) if not isinstance(frame_s, Column) else frame_s
     shape = F.struct((-F.col("cells")).alias("minus_cells"), F.col("burst"), F.log2(F.greatest(bandwidth(), step)).alias("bw"),
-                     F.log2(F.greatest(F.col("t1") - F.col("t0"), shortest)).alias("dur"))
+                     F.log2(F.greatest(F.col("t1") - F.col("t0"), shortest)).alias("dur"), F.struct(*bursts.columns).alias("row"))
     listed = bursts.groupBy(*keys).agg(F.array_sort(F.collect_list(shape)).alias("_s"))
 
     def fits(g, s):
         return (F.abs(s["bw"] - g["bw"]) <= SHAPE_OCTAVES) & (F.abs(s["dur"] - g["dur"]) <= SHAPE_OCTAVES)
 
-    kind = bursts.schema["burst"].dataType.simpleString()
-    start = F.struct(F.array().cast("array<struct<bw:double,dur:double>>").alias("firsts"), F.array().cast(f"array<struct<burst:{kind},emitter:int>>").alias("out"))
+    start = F.struct(F.array().cast("array<struct<bw:double,dur:double>>").alias("firsts"), F.array().cast("array<int>").alias("out"))
 
     def step_fn(acc, s):
         hit = F.transform(acc["firsts"], lambda g: fits(g, s))
@@ -207,10 +206,11 @@ def group_bursts(bursts: DataFrame, keys: list[str], bin_hz: float | Column, fra
         new = F.struct(s["bw"].alias("bw"), s["dur"].alias("dur"))
         at = F.when(where > 0, where - 1).otherwise(F.size(acc["firsts"]))
         return F.struct(F.when(where > 0, acc["firsts"]).otherwise(F.concat(acc["firsts"], F.array(new))).alias("firsts"),
-                        F.concat(acc["out"], F.array(F.struct(s["burst"].alias("burst"), at.cast("int").alias("emitter")))).alias("out"))
+                        F.concat(acc["out"], F.array(at.cast("int"))).alias("out"))
 
-    folded = listed.select(*keys, F.explode(F.aggregate("_s", start, step_fn, lambda acc: acc["out"])).alias("_g"))
-    return bursts.join(folded.select(*keys, "_g.burst", "_g.emitter"), [*keys, "burst"])
+    chosen = listed.select("_s", F.aggregate("_s", start, step_fn, lambda acc: acc["out"]).alias("_e"))
+    paired = chosen.select(F.explode(F.arrays_zip("_s", "_e")).alias("_z"))
+    return paired.select("_z._s.row.*", F.col("_z._e").alias("emitter"))
 
 
 def emitters(grouped: DataFrame, keys: list[str]) -> DataFrame:
@@ -223,9 +223,9 @@ def emitters(grouped: DataFrame, keys: list[str]) -> DataFrame:
     by_centre = Window.partitionBy(*k).orderBy("_c", "burst")
     rows = (grouped.withColumn("_c", centre_hz()).withColumn("_gap", F.col("t0") - F.lag("t0").over(by_time))
             .withColumn("_apart", F.col("_c") - F.lag("_c").over(by_centre)))
-    med = rows.groupBy(*k).agg(F.percentile(bandwidth(), F.lit(0.5)).alias("bandwidth_hz"))
+    rows = rows.withColumn("bandwidth_hz", F.percentile(bandwidth(), F.lit(0.5)).over(Window.partitionBy(*k)))
     gaps_mean, gaps_sd = F.avg("_gap"), F.stddev_pop("_gap")
-    agg = (rows.join(med, k).groupBy(*k, "bandwidth_hz").agg(
+    agg = (rows.groupBy(*k, "bandwidth_hz").agg(
         F.count("*").alias("blobs"), F.percentile(length, F.lit(0.5)).alias("burst_s"),
         (1 + F.sum(F.when(F.col("_apart") > 0.5 * F.col("bandwidth_hz"), 1).otherwise(0))).alias("hop_set"),
         (F.max("f_hi") - F.min("f_lo")).alias("span_hz"), F.percentile("_gap", F.lit(0.5)).alias("interval_s"),
@@ -251,10 +251,10 @@ def emitter_vectors(found: DataFrame, windows: DataFrame, keys: list[str]) -> Da
 
 def analyse(windows: DataFrame, keys: list[str], pfa: float = 1e-3) -> DataFrame:
     """windows -> emitters. Frame length and bin width follow from the window's own sample rate."""
-    rates = windows.select(*keys, F.col("sample_rate_hz").alias("_fs"))
-    n = F.pow(F.lit(2.0), F.bround(F.log2(F.col("_fs") / 200e3)))
-    bursts = window_bursts(windows, keys, pfa).join(rates, keys)
-    return emitters(group_bursts(bursts, keys, F.col("_fs") / n, n / F.col("_fs")), keys)
+    fs = F.col("sample_rate_hz")
+    n = F.pow(F.lit(2.0), F.bround(F.log2(fs / 200e3)))
+    bursts = window_bursts(windows, keys, pfa).drop("head_i", "head_q")
+    return emitters(group_bursts(bursts, keys, fs / n, n / fs), keys)
 
 
 # ------------------------------------------------------------------ Wi-Fi

@@ -88,9 +88,9 @@ def mean_spectrum(frames: DataFrame, keys: list[str]) -> DataFrame:
 def band_over_median(spectra: DataFrame, keys: list[str], power: str, margin_db: float = 10.0) -> DataFrame:
     """(keys, lo_bin, hi_bin): first and last bin more than ``margin_db`` above the spectrum's median; NULL if none."""
     long = spectra.select(*keys, F.posexplode(power).alias("bin", "p"))
-    med = long.groupBy(*keys).agg(F.percentile("p", F.lit(0.5)).alias("m"))            # one spectrum per key
+    long = long.withColumn("m", F.percentile("p", F.lit(0.5)).over(Window.partitionBy(*keys)))      # one spectrum per key
     up = F.col("p") > F.col("m") * 10 ** (margin_db / 10)
-    return long.join(med, keys).groupBy(*keys).agg(F.min(F.when(up, F.col("bin"))).alias("lo_bin"), F.max(F.when(up, F.col("bin"))).alias("hi_bin"))
+    return long.groupBy(*keys).agg(F.min(F.when(up, F.col("bin"))).alias("lo_bin"), F.max(F.when(up, F.col("bin"))).alias("hi_bin"))
 
 
 def noise_floor(frames: DataFrame, keys: list[str], calibrated: DataFrame | None = None) -> DataFrame:
@@ -104,8 +104,8 @@ def noise_floor(frames: DataFrame, keys: list[str], calibrated: DataFrame | None
         bins = cells(frames, keys).select(*keys, "bin").distinct()
         return bins.join(calibrated, [*on, "bin"]).select(*keys, "bin", "floor")
     med = cells(frames, keys).groupBy(*keys, "bin").agg(F.percentile("power", F.lit(0.5)).alias("m"))
-    quiet = med.groupBy(*keys).agg(F.percentile("m", F.lit(0.25)).alias("q"))
-    return med.join(quiet, keys).select(*keys, "bin", F.least(F.col("m"), 2 * F.col("q")).alias("floor"))
+    quiet = F.percentile("m", F.lit(0.25)).over(Window.partitionBy(*keys))       # one row per bin
+    return med.withColumn("q", quiet).select(*keys, "bin", F.least(F.col("m"), 2 * F.col("q")).alias("floor"))
 
 
 def cfar_factor(pfa: float) -> float:

@@ -346,7 +346,7 @@ def analyse_windows(spark, sf_dir):
 @register("wifi_bursts")
 def wifi_bursts(spark, sf_dir):
     w = windows_of(spark, sf_dir, 3200).withColumn("sample_rate_hz", F.lit(40e6))
-    b = activity.window_bursts(w, ["capture_id", "start"], pfa=0.2, nfft=16).withColumn("sample_rate_hz", F.lit(40e6))
+    b = activity.window_bursts(w, ["capture_id", "start"], pfa=0.2, nfft=16)
     return activity.with_wifi_flag(b).drop("head_i", "head_q")
 
 
