@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 POOL_BLOCK = 8192
 QUERY_BLOCK = 4096
 
@@ -135,7 +137,8 @@ class DiagonalMixture:
         self.components, self.rounds, self.tolerance, self.floor, self.seed = components, rounds, tolerance, floor, seed
 
     def fit(self, df: DataFrame, vector: str, row_id: str) -> "DiagonalMixture":
-        mean, std, n = moments(df, vector)
+        df = cut_lineage(df.select(row_id, vector))              # every round reads it again
+        _, std, n = moments(df, vector)
         starts = df.orderBy(F.xxhash64(F.lit(self.seed), row_id), row_id).limit(self.components).select(vector).collect()
         self.means = np.stack([np.asarray(r[0], float) for r in starts])
         self.variances = np.tile(np.maximum(std ** 2, self.floor), (len(self.means), 1))

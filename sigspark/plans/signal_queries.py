@@ -456,3 +456,81 @@ def mixture_one_class(spark, sf_dir):
     x = vectors(spark, sf_dir)
     model = neighbours.DiagonalMixture(components=4, rounds=10).fit(x.where("label = 0"), "x", "vec_id")
     return model.score(x.where("label <> 0"), "x").select("vec_id", r6(F.col("score")).alias("score"))
+
+
+# ------------------------------------------------------------------ the tile kernels on one vector per tile, with SQL
+VECTOR_FS = 256_000.0        # 64 samples last 250 us
+_TILE = "v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(list_reverse(embedding))::DOUBLE AS y, unnest(range(64)) AS t FROM embeddings)"
+_HANN8 = "(0.5 - 0.5 * cos(2 * pi() * n / 7))"
+# shifted 8-bin power cells of 8 frames
+_CELLS8 = f"""w8 AS (SELECT k, n, cos(2 * pi() * k * n / 8) * {_HANN8} AS c, sin(2 * pi() * k * n / 8) * {_HANN8} AS s FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(8)) AS n)),
+cell AS (SELECT vec_id, t // 8 AS frame, (k + 4) % 8 AS bin, pow(sum(x * c + y * s), 2) + pow(sum(y * c - x * s), 2) AS p FROM z JOIN w8 ON n = t % 8 GROUP BY ALL)"""
+_DFT64 = f"""{_TILE}, tw AS (SELECT k, n, cos(2 * pi() * k * n / 64) AS c, sin(2 * pi() * k * n / 64) AS s FROM (SELECT unnest(range(64)) AS k), (SELECT unnest(range(64)) AS n)),
+p64 AS (SELECT vec_id, (k + 32) % 64 AS bin, ((k + 32) % 64 - 32) * 4000.0 AS f, pow(sum(x * c + y * s), 2) + pow(sum(y * c - x * s), 2) AS p FROM v JOIN tw ON n = t GROUP BY vec_id, k)"""
+
+
+def vector_tiles(spark, sf_dir) -> DataFrame:
+    return vectors(spark, sf_dir).select("vec_id", F.col("x").alias("i"), F.reverse("x").alias("q"), F.lit(VECTOR_FS).alias("sample_rate_hz"), F.lit(2.44e9).alias("center_frequency_hz"))
+
+
+_SHAPE_PICKS = [k * 7 // 11 for k in range(12)]
+
+
+@register("vector_tile_features", f"""WITH {_TILE}, mu AS (SELECT vec_id, avg(x) AS mx, avg(y) AS my FROM v GROUP BY 1), r AS (SELECT vec_id, sqrt(avg(pow(x - mx, 2) + pow(y - my, 2))) + 1e-12 AS rms FROM v JOIN mu USING (vec_id) GROUP BY 1),
+z AS (SELECT vec_id, t, (x - mx) / rms AS x, (y - my) / rms AS y FROM v JOIN mu USING (vec_id) JOIN r USING (vec_id)), {_CELLS8},
+md AS (SELECT vec_id, quantile_cont(p, 0.5) AS m FROM cell GROUP BY 1), busy AS (SELECT cell.*, p > m * pow(10, 0.6) AS b FROM cell JOIN md USING (vec_id)),
+sp AS (SELECT vec_id, bin, avg(p) AS m, max(b::INT) AS b FROM busy GROUP BY ALL),
+sh AS (SELECT vec_id, bin, m, b, m / sum(m) OVER (PARTITION BY vec_id) AS s, sum(m) OVER (PARTITION BY vec_id ORDER BY bin) / sum(m) OVER (PARTITION BY vec_id) AS u, row_number() OVER (PARTITION BY vec_id ORDER BY m DESC) - 1 AS rk FROM sp),
+fa AS (SELECT vec_id, frame, sum(p) AS fp, sum(p * bin) / (sum(p) + 1e-30) AS cen, sum(b::INT) AS wid FROM busy GROUP BY ALL), fm AS (SELECT vec_id, quantile_cont(fp, 0.5) AS m FROM fa GROUP BY 1),
+fl AS (SELECT fa.*, fp > 2 * m AS up, lag(fp > 2 * m) OVER w AS pup, lag(cen) OVER w AS pc FROM fa JOIN fm USING (vec_id) WINDOW w AS (PARTITION BY fa.vec_id ORDER BY frame)),
+a1 AS (SELECT vec_id, {', '.join(f"round(log10(max(s) FILTER (rk = {p}) + 1e-12), 6) AS shape_q{k:02d}" for k, p in enumerate(_SHAPE_PICKS))},
+  round((min(bin) FILTER (u >= 0.995) - min(bin) FILTER (u >= 0.005)) * {VECTOR_FS} / 8 / 1e6, 6) AS occupied_bw_mhz, round(avg(b), 6) AS active_bins_fraction, round(exp(avg(ln(m + 1e-30))) / (avg(m) + 1e-30), 6) AS spectral_flatness FROM sh GROUP BY 1),
+a2 AS (SELECT vec_id, round(avg(up::INT), 6) AS duty_cycle, count(*) FILTER (up <> pup)::DOUBLE AS transitions, round(stddev_pop(fp) / (avg(fp) + 1e-30), 6) AS frame_power_cv, round(avg(abs(cen - pc)) / 8, 6) AS centroid_jump_mean,
+  round(stddev_pop(cen) / 8, 6) AS centroid_spread, round(avg(wid) / 8, 6) AS frame_bw_mean, round(stddev_pop(wid) / 8, 6) AS frame_bw_std FROM fl GROUP BY 1),
+a3 AS (SELECT vec_id, round(avg(pow(x * x + y * y, 2)) / (pow(avg(x * x + y * y), 2) + 1e-30), 6) AS amplitude_kurtosis, round(10 * log10(max(x * x + y * y) / (avg(x * x + y * y) + 1e-30)), 6) AS papr_db FROM z GROUP BY 1)
+SELECT * FROM a1 JOIN a2 USING (vec_id) JOIN a3 USING (vec_id)""")
+def vector_tile_features(spark, sf_dir):
+    out = features.tile_features(vector_tiles(spark, sf_dir), 8, ["vec_id"])
+    return out.select("vec_id", *[r6(F.col(c)).alias(c) for c in features.TILE])
+
+
+@register("vector_quiet_half", f"""WITH {_TILE}, z AS (SELECT * FROM v), {_CELLS8}, kept AS (SELECT * FROM cell WHERE bin NOT BETWEEN 3 AND 5), md AS (SELECT vec_id, quantile_cont(p, 0.5) AS m FROM kept GROUP BY 1),
+q AS (SELECT kept.*, p <= m AS q FROM kept JOIN md USING (vec_id)), b AS (SELECT vec_id, bin, avg(p) FILTER (q) AS m, avg(q::INT) AS s FROM q GROUP BY ALL), f AS (SELECT vec_id, frame, avg(p) FILTER (q) AS m FROM q GROUP BY ALL),
+c AS (SELECT vec_id, stddev_pop(p) FILTER (q) / avg(p) FILTER (q) AS v FROM q GROUP BY 1), bb AS (SELECT vec_id, stddev_pop(m) / avg(m) AS v, stddev_pop(s) AS s FROM b GROUP BY 1), ff AS (SELECT vec_id, stddev_pop(m) / avg(m) AS v FROM f GROUP BY 1)
+SELECT vec_id, round(c.v, 6) AS bg_cell_cv, round(bb.v, 6) AS bg_freq_cv, round(ff.v, 6) AS bg_time_cv, round(bb.s, 6) AS bg_quiet_bin_spread FROM c JOIN bb USING (vec_id) JOIN ff USING (vec_id)""")
+def vector_quiet_half(spark, sf_dir):
+    out = features.quiet_half_features(vector_tiles(spark, sf_dir), 8, ["vec_id"])
+    return out.select("vec_id", *[r6(F.col(c)).alias(c) for c in features.QUIET])
+
+
+@register("vector_notched", f"""WITH {_DFT64} SELECT vec_id, round(log10(sqrt(sum(p) FILTER (abs(f) >= 100000) / 4096) + 1e-12), 5) AS log_rms FROM p64 GROUP BY 1""")
+def vector_notched(spark, sf_dir):
+    t = features.notched_tiles(vector_tiles(spark, sf_dir))
+    return t.select("vec_id", F.round(C.log_rms_iq(F.col("i"), F.col("q")), 5).alias("log_rms"))
+
+
+@register("vector_recentred", f"""WITH {_DFT64} SELECT vec_id, 1.0::DOUBLE AS coverage, round(log10(sqrt(sum(p) FILTER (f >= 16000 - 64000 AND f < 16000 + 64000) / 4096) + 1e-12), 5) AS log_rms FROM p64 GROUP BY 1""")
+def vector_recentred(spark, sf_dir):
+    t = features.recentred_tiles(vector_tiles(spark, sf_dir), 2.44e9 + 16_000, 128_000.0)
+    return t.select("vec_id", "coverage", F.round(C.log_rms_iq(F.col("i"), F.col("q")), 5).alias("log_rms"))
+
+
+@register("vector_steered", f"""WITH {_DFT64}, nz AS (SELECT vec_id, bin, f, CASE WHEN abs(f) < 100000 THEN 0 ELSE p END AS p FROM p64), md AS (SELECT vec_id, quantile_cont(p, 0.5) AS m FROM nz GROUP BY 1),
+e AS (SELECT nz.vec_id, bin, f, p, greatest(p - m, 0) AS e FROM nz JOIN md USING (vec_id)), b AS (SELECT *, sum(e) OVER (PARTITION BY vec_id ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS s FROM e),
+best AS (SELECT vec_id, f AS cf, bin AS cb, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, bin) AS rn FROM b WHERE f >= -128000 + 16000 AND f <= 124000 - 16000)
+SELECT vec_id, cf + 2.44e9 AS centre_hz, round(log10(sqrt(sum(p) FILTER (bin >= cb - 4 AND bin < cb + 4) / 4096) + 1e-12), 5) AS log_rms FROM e JOIN best USING (vec_id) WHERE rn = 1 GROUP BY vec_id, cf""")
+def vector_steered(spark, sf_dir):
+    t = features.steered_tiles(vector_tiles(spark, sf_dir), 32_000.0)
+    return t.select("vec_id", "centre_hz", F.round(C.log_rms_iq(F.col("i"), F.col("q")), 5).alias("log_rms"))
+
+
+@register("vector_images", f"""WITH {_TILE}, pos AS (SELECT frame, n, frame * 32 + n - 32 AS at_pos FROM (SELECT unnest(range(3)) AS frame), (SELECT unnest(range(64)) AS n)),
+rf AS (SELECT frame, n, CASE WHEN at_pos < 0 THEN -at_pos WHEN at_pos > 63 THEN 126 - at_pos ELSE at_pos END AS t FROM pos),
+tw AS (SELECT k, n, cos(2 * pi() * k * n / 64) * (0.5 - 0.5 * cos(2 * pi() * n / 64)) AS c, sin(2 * pi() * k * n / 64) * (0.5 - 0.5 * cos(2 * pi() * n / 64)) AS s FROM (SELECT unnest(range(64)) AS k), (SELECT unnest(range(64)) AS n)),
+lv AS (SELECT vec_id, frame, (k + 32) % 64 AS bin, log10(pow(sum(x * c + y * s), 2) + pow(sum(y * c - x * s), 2) + 1e-12) AS l FROM v JOIN rf USING (t) JOIN tw ON tw.n = rf.n GROUP BY vec_id, frame, k),
+st AS (SELECT vec_id, avg(l) AS m, stddev_samp(l) AS sd FROM lv GROUP BY 1)
+SELECT vec_id, frame::INT AS frame, count(*)::INT AS bins, round(sum((l - m) / (sd + 1e-6)), 2) AS total FROM lv JOIN st USING (vec_id) GROUP BY 1, 2""")
+def vector_images(spark, sf_dir):
+    image = vector_tiles(spark, sf_dir).select("vec_id", features.tile_image("i", "q").alias("m"))
+    long = image.select("vec_id", F.posexplode("m").alias("bin", "row")).select("vec_id", "bin", F.posexplode("row").alias("frame", "l"))
+    return long.groupBy("vec_id", "frame").agg(F.count("*").cast("int").alias("bins"), F.round(F.sum(F.col("l").cast("double")), 2).alias("total"))

@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", 4)
+    return local_session("8", 2)
 
 
 @pytest.fixture(scope="session")
