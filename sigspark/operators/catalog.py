@@ -23,6 +23,14 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def row_problems(df: DataFrame, entity: str, rules: dict[str, tuple[Column, Column | None]]) -> DataFrame:
+    """Rules that need only the row itself, all in one pass: rule -> (condition under which it is broken, detail)."""
+    marks = [F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(rule).alias("rule"), (F.lit("") if detail is None else F.coalesce(detail.cast("string"), F.lit(""))).alias("detail")))
+             for rule, (broken, detail) in rules.items()]
+    found = df.select(F.col(entity).cast("string").alias("entity_id"), F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m"))
+    return found.select("m.rule", "entity_id", "m.detail")
+
+
 def duplicate_keys(df: DataFrame, key: str, rule: str) -> DataFrame:
     many = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
     return problem(many, rule, key, F.col("_n"))
@@ -46,26 +54,29 @@ def count_mismatch(parents: DataFrame, pk: str, declared: str, children: DataFra
 def index_problems(tables: dict[str, DataFrame], dataset_id: str) -> DataFrame:
     """All violations of keys, prefixes, paths, references, counts, containers and statuses as (rule, entity_id, detail)."""
     a, c, g = (tables[n] for n in ("artifacts", "captures", "groups"))
-    parts = []
-    for name, key in KEYS.items():
-        t = tables[name]
-        parts.append(duplicate_keys(t, key, f"{name}: duplicate {key}"))
-        foreign = (~F.col("dataset_id").eqNullSafe(F.lit(dataset_id))) | (~F.startswith(F.col(key), F.lit(dataset_id + "/"))) | F.col(key).isNull()
-        parts.append(problem(t.where(foreign), f"{name}: not under the dataset", key))
-        parts.append(problem(t.where(has_drive_path(F.col(key))), f"{name}: drive path", key))
-    parts.append(problem(a.where(has_drive_path(F.col("storage_relpath"))), "artifacts.storage_relpath: drive path", "artifact_id", F.col("storage_relpath")))
-    parts.append(dangling(a, "capture_id", c, "capture_id", "artifact_id", "artifact points at unknown capture"))
-    parts.append(dangling(c, "group_id", g, "group_id", "capture_id", "capture points at unknown group"))
-    parts.append(problem(c.where(F.col("group_id").isNull()), "capture points at unknown group", "capture_id"))
-    contained = c.where(F.col("stored_in").isNotNull())
-    parts.append(dangling(contained, "stored_in", a, "artifact_id", "capture_id", "stored_in names no artifact"))
-    parts.append(problem(contained.where(F.col("stored_index").isNull()), "stored_in without stored_index", "capture_id"))
-    parts.append(problem(contained.where(~F.col("n_artifacts").eqNullSafe(F.lit(0))), "capture: n_artifacts does not match", "capture_id", F.col("n_artifacts")))
-    parts.append(count_mismatch(c.where(F.col("stored_in").isNull()), "capture_id", "n_artifacts", a, "capture_id", "capture: n_artifacts does not match"))
-    parts.append(count_mismatch(g, "group_id", "n_captures", c, "group_id", "group: n_captures does not match"))
-    for name, field, entity in (("captures", "label_status", "capture_id"), ("groups", "status", "group_id"), ("lineage", "status", "subject"), ("evidence", "status", "entity_id")):
-        unknown = ~F.coalesce(F.col(field).isin(INDEX_STATUSES), F.lit(False))
-        parts.append(problem(tables[name].where(unknown), f"{name}: unknown status", entity, F.col(field)))
+
+    def own(name: str) -> dict[str, tuple[Column, Column | None]]:
+        key = F.col(KEYS[name])
+        foreign = (~F.col("dataset_id").eqNullSafe(F.lit(dataset_id))) | (~F.startswith(key, F.lit(dataset_id + "/"))) | key.isNull()
+        return {f"{name}: not under the dataset": (foreign, None), f"{name}: drive path": (has_drive_path(key), None)}
+
+    def status(name: str, field: str) -> dict[str, tuple[Column, Column | None]]:
+        return {f"{name}: unknown status": (~F.coalesce(F.col(field).isin(INDEX_STATUSES), F.lit(False)), F.col(field))}
+
+    contained, wrong_count = F.col("stored_in").isNotNull(), "capture: n_artifacts does not match"
+    relpath = F.col("storage_relpath")
+    parts = [duplicate_keys(tables[name], key, f"{name}: duplicate {key}") for name, key in KEYS.items()]
+    parts += [row_problems(a, "artifact_id", {**own("artifacts"), "artifacts.storage_relpath: drive path": (has_drive_path(relpath), relpath)}),
+              row_problems(c, "capture_id", {**own("captures"), **status("captures", "label_status"), "capture points at unknown group": (F.col("group_id").isNull(), None),
+                                             "stored_in without stored_index": (contained & F.col("stored_index").isNull(), None),
+                                             wrong_count: (contained & ~F.col("n_artifacts").eqNullSafe(F.lit(0)), F.col("n_artifacts"))}),
+              row_problems(g, "group_id", {**own("groups"), **status("groups", "status")}),
+              row_problems(tables["lineage"], "subject", status("lineage", "status")), row_problems(tables["evidence"], "entity_id", status("evidence", "status")),
+              dangling(a, "capture_id", c, "capture_id", "artifact_id", "artifact points at unknown capture"),
+              dangling(c, "group_id", g, "group_id", "capture_id", "capture points at unknown group"),
+              dangling(c, "stored_in", a, "artifact_id", "capture_id", "stored_in names no artifact"),
+              count_mismatch(c.where(~contained), "capture_id", "n_artifacts", a, "capture_id", wrong_count),
+              count_mismatch(g, "group_id", "n_captures", c, "group_id", "group: n_captures does not match")]
     return union_all(parts)
 
 
