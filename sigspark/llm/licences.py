@@ -88,7 +88,7 @@ def align(template: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     number of matched words is what counts; of equal results the shortest span is taken.
     """
     m, n = len(template), len(text)
-    low, high = -BAND, max(n - m, 0) + BAND
+    low, high = min(n - m, 0) - BAND, max(n - m, 0) + BAND
     before: dict[int, tuple[int, int, int]] = {}
     for i in range(m):
         row: dict[int, tuple[int, int, int]] = {}
