@@ -5,23 +5,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels as K
 
-ARROW_BATCH_BYTES = 64 << 20
-
-
-def fit_arrow_batches(spark: SparkSession, bytes_per_row: int) -> None:
-    """Windows are large rows: lower the Arrow batch length so that a batch stays near 64 MB."""
-    rows = max(1, ARROW_BATCH_BYTES // max(1, bytes_per_row))
-    current = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if rows < current:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def _stacked(*columns: pd.Series):
     """Yield (positions, matrices) per common window length."""
     lengths = columns[0].map(len).to_numpy()
@@ -198,10 +187,12 @@ def tile_image(i: pd.Series, q: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def power_frames(i: pd.Series, q: pd.Series, nfft: pd.Series) -> pd.Series:
     """Frames x bins power of a window: Blackman-Harris frames without overlap, zero frequency in the middle."""
-    out, n = np.empty(len(i), object), int(nfft.iloc[0]) if len(nfft) else 0
+    out, sizes = np.empty(len(i), object), nfft.to_numpy(int)
     for at, (re, im) in _stacked(i, q):
-        for pos, cells in zip(at, K.power_cells(re + 1j * im, K.blackman_harris(n))):
-            out[pos] = list(cells)
+        for n in np.unique(sizes[at]):
+            pick = sizes[at] == n
+            for pos, cells in zip(at[pick], K.power_cells(re[pick] + 1j * im[pick], K.blackman_harris(int(n)))):
+                out[pos] = list(cells)
     return pd.Series(out)
 
 

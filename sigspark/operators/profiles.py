@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import exact_quantiles
-from .scan import TARGET_ROWS
 
 
 # ------------------------------------------------------------------ catalog-style aggregates
@@ -54,7 +53,7 @@ def status_cube(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.cube(a, b).agg(named(a).alias("_a"), named(b).alias("_b"), F.count("*").alias("n")).select(F.col("_a").alias(a), F.col("_b").alias(b), "n")
 
 
-def bin_medians(df: DataFrame, bin_: Column, value: str, keys: list[str] = (), min_rows: int = 5, target_rows: int = TARGET_ROWS) -> DataFrame:
+def bin_medians(df: DataFrame, bin_: Column, value: str, keys: list[str] = (), min_rows: int = 5, target_rows: int | None = None) -> DataFrame:
     """(keys, bin, n, median) of bins with at least ``min_rows`` rows."""
     binned = df.withColumn("bin", bin_)
     return exact_quantiles(binned, value, {"median": 0.5}, [*keys, "bin"], target_rows).where(F.col("n") >= min_rows)
@@ -83,7 +82,7 @@ def window_rms(samples: DataFrame, keys: list[str], position: str, value: Column
             .agg(F.count("*").alias("n"), F.sqrt(F.avg(value * value)).alias("rms")))
 
 
-def rms_profile(windows: DataFrame, keys: list[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+def rms_profile(windows: DataFrame, keys: list[str], target_rows: int | None = None) -> DataFrame:
     """(keys, windows, rms_min, rms_median, rms_p90, rms_max, quietest, loudest) over the rows of :func:`window_rms`."""
     q = exact_quantiles(windows, "rms", {"rms_median": 0.5, "rms_p90": 0.9}, keys, target_rows).withColumnRenamed("n", "windows")
     ends = windows.groupBy(*keys).agg(
@@ -92,7 +91,7 @@ def rms_profile(windows: DataFrame, keys: list[str], target_rows: int = TARGET_R
                                      F.col("hi.rms").alias("rms_max"), F.col("lo.win").alias("quietest"), (-F.col("hi.neg")).alias("loudest"))
 
 
-def active_share(windows: DataFrame, keys: list[str], power: str = "power", margin_db: float = 10.0, target_rows: int = TARGET_ROWS) -> DataFrame:
+def active_share(windows: DataFrame, keys: list[str], power: str = "power", margin_db: float = 10.0, target_rows: int | None = None) -> DataFrame:
     """(keys, n, floor, active_share, snr_db): windows more than ``margin_db`` over the 5th-percentile window power."""
     floor = exact_quantiles(windows, power, {"floor": 0.05}, keys, target_rows)
     up = F.col(power) > F.col("floor") * 10 ** (margin_db / 10)

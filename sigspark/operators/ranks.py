@@ -7,10 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import TARGET_ROWS, lookup_join, ordered, row_bound
+from .scan import lookup_join, null_safe, ordered, row_bound
 
 
-def auc(df: DataFrame, score: str, positive: Column, keys: list[str] = (), target_rows: int = TARGET_ROWS) -> DataFrame:
+def auc(df: DataFrame, score: str, positive: Column, keys: list[str] = (), target_rows: int | None = None) -> DataFrame:
     """ROC AUC with ties worth one half, pooled per key. Columns: keys, n_pos, n_neg, auc (NULL with one class).
 
     Shuffles on (keys, score) after partial aggregation, then on (keys, score range).
@@ -26,7 +26,7 @@ def auc(df: DataFrame, score: str, positive: Column, keys: list[str] = (), targe
 
 
 def auc_by_feature(df: DataFrame, features: list[str], positive: Column, keys: list[str] = (),
-                   target_rows: int = TARGET_ROWS) -> DataFrame:
+                   target_rows: int | None = None) -> DataFrame:
     """One AUC per feature column: unpivoted once, ranked once."""
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("score")) for f in features])
     long = (df.withColumn("_positive", positive).select(*keys, "_positive", F.explode(pairs).alias("p"))
@@ -43,7 +43,7 @@ def best_single_feature(aucs: DataFrame, keys: list[str] = ()) -> DataFrame:
                     F.when(F.col("b.auc") >= 0.5, 1).otherwise(-1).alias("direction")))
 
 
-def auc_per_stratum(df: DataFrame, score: str, positive: Column, stratum: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def auc_per_stratum(df: DataFrame, score: str, positive: Column, stratum: str, target_rows: int | None = None) -> DataFrame:
     """Positives of each stratum against **all** negatives.
 
     Negatives are not copied per stratum: both sides share one scan over the scores, which tells every positive how
@@ -64,7 +64,7 @@ def auc_per_stratum(df: DataFrame, score: str, positive: Column, stratum: str, t
             .select(stratum, "n_pos", "n_neg", "auc"))
 
 
-def mid_ranks(df: DataFrame, value: str, keys: list[str] = (), target_rows: int = TARGET_ROWS) -> DataFrame:
+def mid_ranks(df: DataFrame, value: str, keys: list[str] = (), target_rows: int | None = None) -> DataFrame:
     """(keys, value, n, rank): average rank of every distinct value, 1-based."""
     keys = list(keys)
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
@@ -72,7 +72,7 @@ def mid_ranks(df: DataFrame, value: str, keys: list[str] = (), target_rows: int
     return scan.frame().select(*keys, value, "n", (F.coalesce("below", F.lit(0)) + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: list[str] = (), target_rows: int = TARGET_ROWS) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, keys: list[str] = (), target_rows: int | None = None) -> DataFrame:
     """Rank correlation with ties averaged: Pearson correlation of the mid-ranks."""
     keys = list(keys)
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
@@ -90,22 +90,18 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] = (), target_rows: i
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: list[str] = (),
-                    target_rows: int = TARGET_ROWS) -> DataFrame:
+                    target_rows: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles per key, as ``percentile`` gives, without one buffer per key.
 
     qs: output column -> quantile. NULL values are ignored.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value))
-    n_rows = present.count()
-    if n_rows <= target_rows:
-        aggs = [F.percentile(value, F.lit(q)).alias(name) for name, q in qs.items()]
-        return present.groupBy(*keys).agg(F.count("*").alias("n"), *aggs)
     counts = present.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    upto = ordered(counts, keys, [value], target_rows).running({"hi": (F.sum, F.col("c"))}).frame()
+    upto = ordered(counts, keys, [value], target_rows, row_bound(present, counts, target_rows)).running({"hi": (F.sum, F.col("c"))}).frame()
     sizes = present.groupBy(*keys).agg(F.count("*").alias("n"))
     # a value covers the zero-based positions [hi - c, hi); only the values at the wanted positions survive
-    placed = upto.join(sizes, keys) if keys else upto.join(F.broadcast(sizes))
+    placed = null_safe(upto, sizes, keys)
     lo = F.col("hi") - F.col("c")
     picks = []
     for name, q in qs.items():

@@ -39,11 +39,18 @@ def pure_numbered_groups(df: DataFrame, group: str, label: str) -> tuple[DataFra
 
 
 def congruential_pick(rep: Column, slot: Column, n_groups: Column) -> Column:
-    """Pseudo-random group position for one slot of one replicate; integer arithmetic any SQL engine can repeat."""
-    x = rep * n_groups + slot + 1
-    h1 = (x * F.lit(2654435761)) % F.lit(4294967296)
-    h2 = (F.floor(h1 / F.lit(65536)) + h1 * 31) % F.lit(2147483647)
-    return (h2 * F.lit(48271)) % F.lit(2147483647) % n_groups
+    """Pseudo-random group position for one slot of one replicate; integer arithmetic any SQL engine can repeat.
+
+    Every factor is below 2^31 and every product below 2^62, so no count of groups or replicates overflows; replicate and
+    slot (its low and its high part) are mixed one after the other, so picks do not repeat from replicate to replicate.
+    """
+    p = F.lit(2147483647).cast("long")
+    r = (F.pmod(rep, p) + 1) * F.lit(69621) % p
+    h = ((F.pmod(slot, p) + 1) * F.lit(48271) + F.floor(slot / p) * F.lit(40692) % p + r) % p
+    a = h * (h + F.lit(16807)) % p
+    b = a * ((a + r) % p) % p
+    c = b * (b + F.lit(12345)) % p
+    return (c * p + b) % n_groups
 
 
 def congruential_draws(spark: SparkSession, n_groups: int, n_replicates: int) -> DataFrame:
@@ -54,22 +61,6 @@ def congruential_draws(spark: SparkSession, n_groups: int, n_replicates: int) ->
             .groupBy("rep", "_g").agg(F.count("*").alias("w")))
 
 
-def seeded_draws(spark: SparkSession, n_groups: int, n_replicates: int, seed: int = 0) -> DataFrame:
-    """(rep, _g, w) from numpy's default generator, one call per replicate: the draws a single-node study makes.
-
-    The generator is sequential, so this is for studies with few groups; larger ones use congruential_draws.
-    """
-    if n_groups * n_replicates > 20_000_000:
-        raise ValueError("too many draws for one generator; use congruential_draws")
-    rng = np.random.default_rng(seed)
-    parts = []
-    for rep in range(n_replicates):
-        w = np.bincount(rng.integers(0, n_groups, n_groups), minlength=n_groups)
-        g = np.flatnonzero(w)
-        parts.append(pd.DataFrame({"rep": rep, "_g": g, "w": w[g]}))
-    return spark.createDataFrame(pd.concat(parts), "rep long, _g long, w long")
-
-
 def rotated_labels(numbered: DataFrame, label: str, n_groups: int, n_replicates: int, step: int = 1) -> DataFrame:
     """(rep, _g, label): the sorted list of group labels rotated by (rep + 1) * step. Counts per label are kept."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1))).alias("rep")
@@ -100,13 +91,10 @@ def permutation_weights(numbered: DataFrame, group: str, label: str, relabelled:
             .select(group, "rep", y.alias("w_pos"), (1 - y).alias("w_neg")))
 
 
-def observed_weights(numbered: DataFrame, group: str, label: str) -> DataFrame:
-    y = F.col(label).cast("int")
-    return numbered.select(group, F.lit(-1).cast("long").alias("rep"), y.alias("w_pos"), (1 - y).alias("w_neg"))
-
-
 def _range_sums(score: np.ndarray, n: np.ndarray, w_pos: np.ndarray, w_neg: np.ndarray) -> tuple[np.ndarray, ...]:
     """Weighted positives, negatives and within-range wins for every replicate (columns of the weights)."""
+    if not len(score):
+        return (np.zeros(w_pos.shape[1]),) * 3
     order = np.argsort(score, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(score[order]) != 0])
     pos = np.add.reduceat(w_pos[order] * n[order, None], starts, axis=0)
@@ -150,9 +138,10 @@ def auc_replicates(df: DataFrame, group: str, score: str, weights: DataFrame, n_
         shared = spark.sparkContext.broadcast((index, matrix))
 
         def per_range(pdf: pd.DataFrame) -> pd.DataFrame:
-            where, m = shared.value
-            rows = pdf[group].map(where).to_numpy()
-            return summed(int(pdf[RANGE].iloc[0]), pdf[score].to_numpy(), pdf["n"].to_numpy(float),
+            (where, m), bucket = shared.value, int(pdf[RANGE].iloc[0])
+            pdf = pdf[pdf[group].isin(where)] if len(where) else pdf.iloc[:0]             # a group never drawn weighs nothing
+            rows = pdf[group].map(where).to_numpy(int)
+            return summed(bucket, pdf[score].to_numpy(), pdf["n"].to_numpy(float),
                           lambda s: (m[0][:, s][rows].astype(float), m[1][:, s][rows].astype(float)))
 
         ranged_sums = ranged.repartition(tasks, RANGE).groupBy(RANGE).applyInPandas(per_range, RANGE_SUMS)

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scan import TARGET_ROWS, ordered
+from .scan import ordered
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -21,7 +21,7 @@ def capped_sample(df: DataFrame, keys: list[str], row_key: str, n: int, seed: in
 
 
 def running_quota(df: DataFrame, keys: list[str], order: list[str], amount: str, quota: float,
-                  target_rows: int = TARGET_ROWS) -> DataFrame:
+                  target_rows: int | None = None) -> DataFrame:
     """Take rows in order until the quota is met: a row is kept while the sum of the rows before it is below it."""
     scan = ordered(df, keys, order, target_rows).running({"_before": (F.sum, F.col(amount))}, inclusive=False)
     return scan.frame().where(F.coalesce(F.col("_before"), F.lit(0)) < quota).drop("_before")

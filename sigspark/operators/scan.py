@@ -7,83 +7,85 @@ ranges of bounded size, so the unit of work is (key, range). What a window needs
 * running sums, counts, maxima: each (key, range) is reduced to one row, the reductions are scanned (at most one row
   per range and key) and the carried value is joined back on (key, range), the partitioning the window already has.
 
-Inputs below ``target_rows`` get one range and the plan is an ordinary window. Keys must not be NULL.
+Inputs below ``target_rows`` get one range and the plan is an ordinary window. NULL keys form one key, whatever the size.
 """
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import micros
-
 TARGET_ROWS = 2_000_000
-MAX_RANGES = 16_384
+SAMPLES = 20                                        # sampled rows per range
 RANGE = "_range"
 
 
-def ordinal(df: DataFrame, column: str) -> Column:
-    """A double that never decreases when the column increases; ties are allowed, reversals are not."""
-    kind = df.schema[column].dataType
-    c = F.col(column)
-    if isinstance(kind, T.TimestampNTZType):
-        c = micros(c)
-    elif isinstance(kind, T.TimestampType):
-        c = F.unix_micros(c)
-    elif isinstance(kind, T.DateType):
-        c = F.datediff(c, F.lit("1970-01-01").cast("date"))
-    elif isinstance(kind, T.StringType):
-        c = F.conv(F.rpad(F.substring(F.hex(c), 1, 12), 12, "0"), 16, 10)   # first six bytes, as Spark compares them
-    elif isinstance(kind, T.BooleanType):
-        c = c.cast("int")
-    return F.coalesce(c.cast("double"), F.lit(float("-inf")))
-
-
-def with_ranges(df: DataFrame, order: list[str], target_rows: int = TARGET_ROWS, n_rows: int | None = None
+def range_rows(df: DataFrame, target_rows: int | None) -> int:
+    """Rows of one range: the argument, else the session's ``spark.sigspark.rangeRows``, else TARGET_ROWS."""
+    return target_rows or int(df.sparkSession.conf.get("spark.sigspark.rangeRows", str(TARGET_ROWS)))
+
+
+def _cut_points(df: DataFrame, order: list[str], n: int, n_rows: int) -> list:
+    """At most n - 1 order tuples that cut the rows into nearly equal parts, from a hash sample of SAMPLES rows per range.
+
+    The tuples themselves are cut points, so any type that Spark orders will do, strings with a long common beginning too,
+    and a heavy value of one column is cut by the next. Only the sample reaches the driver, and where the cuts lie
+    changes the work per task, never a result.
+    """
+    every = max(1, n_rows // (SAMPLES * n))
+    sample = df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0) if every > 1 else df.select(*order)
+    distinct = sample.groupBy(*order).agg(F.count("*").alias("_n")).orderBy(*order).limit(4 * SAMPLES * n).collect()
+    total, seen, place, cuts = sum(r["_n"] for r in distinct), 0, 1, []
+    for r in distinct:
+        while place < n and seen * n >= place * total:          # a tuple heavier than a range is a cut point once
+            if not cuts or cuts[-1] != tuple(r)[:-1]:
+                cuts.append(tuple(r)[:-1])
+            place += 1
+        seen += r["_n"]
+    return cuts
+
+
+def with_ranges(df: DataFrame, order: list[str], target_rows: int | None = None, n_rows: int | None = None
                 ) -> tuple[DataFrame, int]:
     """Add ``_range``: an order-preserving bucket of about ``target_rows`` rows. Returns (df, number of ranges).
 
-    Only the cut points reach the driver (at most MAX_RANGES numbers). A value of the first order column heavy enough
-    to fill several ranges is cut again by the second order column.
+    A range begins at a cut point and holds every row up to the next one; rows with equal order columns share a range.
+    Nulls come first, as Spark sorts them.
     """
+    target_rows = range_rows(df, target_rows)
     if n_rows is None:
         n_rows = df.count()
-    n = min(MAX_RANGES, math.ceil(n_rows / target_rows))
-    if n <= 1:
-        return df.withColumn(RANGE, F.lit(0)), 1
-    first = ordinal(df, order[0])
-    accuracy = max(10_000, 20 * n)
-    found = df.select(first.alias("o")).where("o > -1e308").agg(
-        F.percentile_approx("o", [i / n for i in range(1, n)], accuracy)).first()[0]
-    if not found:
+    n = math.ceil(n_rows / target_rows)
+    cuts = _cut_points(df, order, n, n_rows) if n > 1 else []
+    if not cuts:
         return df.withColumn(RANGE, F.lit(0)), 1
-    cuts = sorted(set(found))
-    splits = [float("-inf"), *cuts, float("inf")]
-    tagged = df.withColumn("_ordinal", first)
-    cutter = Bucketizer(splits=splits, inputCol="_ordinal", outputCol="_cut", handleInvalid="keep")
-    tagged = cutter.transform(tagged).withColumn("_cut", F.col("_cut").cast("int"))
-    heavy = {v: found.count(v) for v in cuts if found.count(v) > 1}
-    if not heavy or len(order) < 2:
-        return tagged.withColumn(RANGE, F.col("_cut")).drop("_cut", "_ordinal"), len(splits) - 1
-    second = ordinal(df, order[1])
-    widest = max(heavy.values())
-    inner = {r["_ordinal"]: r["c"] for r in
-             tagged.where(F.col("_ordinal").isin(list(heavy))).groupBy("_ordinal")
-             .agg(F.percentile_approx(second, [i / widest for i in range(1, widest)], accuracy).alias("c")).collect()}
-    sub = F.lit(None).cast("int")
-    for value, points in inner.items():
-        below = F.size(F.filter(F.array(*[F.lit(p) for p in sorted(set(points or []))]), lambda p: p <= F.col("_second")))
-        sub = F.coalesce(F.when(F.col("_ordinal") == value, below), sub)
-    # rows of the same cut above the heavy value come after all of its pieces
-    last = F.when(F.col("_cut").isin([cuts.index(v) + 1 for v in inner]), F.lit(widest)).otherwise(F.lit(0))
-    tagged = tagged.withColumn("_second", second)
-    tagged = tagged.withColumn(RANGE, F.col("_cut") * (widest + 1) + F.coalesce(sub, last))
-    return tagged.drop("_cut", "_ordinal", "_second"), (len(splits) - 1) * (widest + 1)
+    kinds = [df.schema[c].dataType for c in order]
+    constant = lambda v, t: F.lit(v.isoformat()).cast(t) if isinstance(t, T.TimestampNTZType) and v is not None else F.lit(v).cast(t)
+    points = F.array(*[F.struct(*[constant(v, t).alias(f"c{k}") for k, (v, t) in enumerate(zip(point, kinds))]) for point in cuts])     # folded to one constant
+    own = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(order)])
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        right = F.get(points, mid) <= own
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi")))
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    found = F.aggregate(steps, start, halve)["lo"]
+    return df.withColumn(RANGE, found), len(cuts) + 1
+
+
+def null_safe(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same names in which null equals null; the left side's columns stay."""
+    other = table.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    if not on:
+        return rows.join(F.broadcast(other), how=how)              # one row
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return rows.join(other, match, how).drop(*[f"_on_{c}" for c in on])
 
 
 @dataclass(frozen=True)
@@ -116,7 +118,7 @@ class OrderedScan:
         per_key = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(RANGE)
         later = present.select(*self.local, F.array(*[F.lead(RANGE, k).over(per_key) for k in range(1, back + 1)]).alias("_next"))
         hops = later.select(*self.local, F.explode("_next").alias("_to")).where(F.col("_to").isNotNull())
-        ghosts = (tails.join(hops, self.local).withColumn(RANGE, F.col("_to")).drop("_to")
+        ghosts = (null_safe(tails, hops, self.local).withColumn(RANGE, F.col("_to")).drop("_to")
                   .withColumn("_ghost", F.lit(True)))
         both = self.rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
         out = both.withColumns({name: f(self._window()) for name, f in columns.items()})
@@ -141,7 +143,7 @@ class OrderedScan:
         combine = {F.sum: lambda a, b: F.coalesce(a + b, a, b), F.max: lambda a, b: F.greatest(a, b),
                    F.min: lambda a, b: F.least(a, b)}
         out = self.rows.withColumns({f"_l_{new}": agg(expr).over(frame) for new, (agg, expr) in columns.items()})
-        out = out.join(carried, self.local, "left")
+        out = null_safe(out, carried, self.local, "left")
         out = out.withColumns({new: combine[agg](F.col(f"_c_{new}"), F.col(f"_l_{new}"))
                                for new, (agg, _) in columns.items()})
         return replace(self, rows=out.drop(*[f"_{p}_{new}" for new in columns for p in "lc"]))
@@ -157,13 +159,13 @@ class OrderedScan:
         return self.rows.drop(RANGE)
 
 
-def row_bound(source: DataFrame, reduced: DataFrame, target_rows: int) -> int:
+def row_bound(source: DataFrame, reduced: DataFrame, target_rows: int | None) -> int:
     """Rows of a reduced table (distinct values, counts), or the cheaper count of its source if that is small already."""
     n = source.count()
-    return n if n <= target_rows else reduced.count()
+    return n if n <= range_rows(source, target_rows) else reduced.count()
 
 
-def ordered(df: DataFrame, keys: list[str], order: list[str], target_rows: int = TARGET_ROWS,
+def ordered(df: DataFrame, keys: list[str], order: list[str], target_rows: int | None = None,
             n_rows: int | None = None) -> OrderedScan:
     """Start an ordered scan. ``order`` must be total within a key, or results depend on ties."""
     rows, n = with_ranges(df, order, target_rows, n_rows)
@@ -178,14 +180,11 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, h
     ``share`` such keys, which bounds the broadcast list. ``weight`` is dropped.
     """
     total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = table.where(F.col(weight) * share > F.lit(total)).select(*on) if total > TARGET_ROWS else None
-    if hot is None:
-        return rows.join(table.drop(weight), on, how)
-    hot = hot.withColumn("_hot", F.lit(True))
-    salted_rows = (rows.join(F.broadcast(hot), on, "left")
+    hot = table.where(F.col(weight) * share > F.lit(total)).select(*on).withColumn("_hot", F.lit(True))
+    salted_rows = (null_safe(rows, F.broadcast(hot), on, "left")
                    .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
                                .otherwise(F.lit(0)).cast("int")).drop("_hot"))
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_table = (table.withColumn("_salt", F.explode(
         F.when(F.col(weight) * share > F.lit(total), every).otherwise(F.array(F.lit(0))))).drop(weight))
-    return salted_rows.join(salted_table, [*on, "_salt"], how).drop("_salt")
+    return null_safe(salted_rows, salted_table, [*on, "_salt"], how).drop("_salt")

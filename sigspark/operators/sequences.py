@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import seconds
-from .scan import TARGET_ROWS, ordered, row_bound
+from .scan import ordered, row_bound
 
 
-def runs(df: DataFrame, keys: list[str], seq: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], seq: str, target_rows: int | None = None) -> DataFrame:
     """Gap-free runs of integers: (keys, run, first, last, n). Duplicates of a number are counted once."""
     distinct = df.select(*keys, seq).distinct()
     scan = ordered(distinct, keys, [seq], target_rows, row_bound(df, distinct, target_rows)).lag({"_prev": (seq, 1)})
@@ -17,7 +17,7 @@ def runs(df: DataFrame, keys: list[str], seq: str, target_rows: int = TARGET_ROW
     return scan.frame().groupBy(*keys, "run").agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.count("*").alias("n"))
 
 
-def missing_numbers(df: DataFrame, keys: list[str], seq: str, start: int, target_rows: int = TARGET_ROWS) -> DataFrame:
+def missing_numbers(df: DataFrame, keys: list[str], seq: str, start: int, target_rows: int | None = None) -> DataFrame:
     """(keys, missing): numbers between ``start`` and the key's largest that do not occur, one row each."""
     distinct = df.select(*keys, seq).distinct()
     scan = ordered(distinct, keys, [seq], target_rows, row_bound(df, distinct, target_rows)).lag({"_prev": (seq, 1)})
@@ -33,7 +33,7 @@ def consecutive_check(df: DataFrame, keys: list[str], seq: str, start: int) -> D
         F.count("*").alias("n"), ((F.min(seq) == start) & (F.max(seq) == F.count("*") + (start - 1))).alias("complete"))
 
 
-def time_blocks(df: DataFrame, keys: list[str], ts: str, tie: str, pause_s: float, target_rows: int = TARGET_ROWS) -> DataFrame:
+def time_blocks(df: DataFrame, keys: list[str], ts: str, tie: str, pause_s: float, target_rows: int | None = None) -> DataFrame:
     """Recording blocks: a new block starts when the pause is strictly longer than ``pause_s``."""
     scan = ordered(df.select(*keys, ts, tie), keys, [ts, tie], target_rows).lag({"_prev": (ts, 1)})
     new = F.col("_prev").isNull() | (seconds(F.col(ts)) - seconds(F.col("_prev")) > pause_s)
@@ -41,7 +41,7 @@ def time_blocks(df: DataFrame, keys: list[str], ts: str, tie: str, pause_s: floa
             .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n")))
 
 
-def value_runs(df: DataFrame, keys: list[str], order: list[str], value: Column, target_rows: int = TARGET_ROWS) -> DataFrame:
+def value_runs(df: DataFrame, keys: list[str], order: list[str], value: Column, target_rows: int | None = None) -> DataFrame:
     """Runs of equal values in order: (keys, run, value, start, n)."""
     scan = ordered(df.withColumn("_v", value).select(*keys, *order, "_v"), keys, order, target_rows)
     scan = scan.with_columns({"_seen": F.lit(1)}).lag({"_prev": ("_v", 1), "_seen_prev": ("_seen", 1)})
@@ -50,21 +50,21 @@ def value_runs(df: DataFrame, keys: list[str], order: list[str], value: Column,
             .agg(F.min("_v").alias("value"), F.min(order[0]).alias("start"), F.count("*").alias("n")))
 
 
-def zero_runs(df: DataFrame, keys: list[str], position: str, sample: str, min_length: int = 8, target_rows: int = TARGET_ROWS) -> DataFrame:
+def zero_runs(df: DataFrame, keys: list[str], position: str, sample: str, min_length: int = 8, target_rows: int | None = None) -> DataFrame:
     """Runs of at least ``min_length`` exactly zero samples: (keys, start, n)."""
     zeros = df.where(F.col(sample) == 0).select(*keys, position)
     found = runs(zeros, keys, position, target_rows)
     return found.where(F.col("n") >= min_length).select(*keys, F.col("first").alias("start"), "n")
 
 
-def transitions(df: DataFrame, keys: list[str], order: list[str], value: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def transitions(df: DataFrame, keys: list[str], order: list[str], value: str, target_rows: int | None = None) -> DataFrame:
     """(keys, n, changes, mean_jump): number of value changes between neighbours."""
     scan = ordered(df.select(*keys, *order, value), keys, order, target_rows).lag({"_prev": (value, 1)})
     changed = F.when(F.col("_prev").isNotNull() & (F.col("_prev") != F.col(value)), 1).otherwise(0)
     return scan.frame().groupBy(*keys).agg(F.count("*").alias("n"), F.sum(changed).alias("changes"))
 
 
-def mean_abs_step(df: DataFrame, keys: list[str], order: list[str], value: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def mean_abs_step(df: DataFrame, keys: list[str], order: list[str], value: str, target_rows: int | None = None) -> DataFrame:
     """(keys, mean_step): mean absolute successive difference."""
     scan = ordered(df.select(*keys, *order, value), keys, order, target_rows).lag({"_prev": (value, 1)})
     return scan.frame().groupBy(*keys).agg(F.avg(F.abs(F.col(value) - F.col("_prev"))).alias("mean_step"))
@@ -72,7 +72,7 @@ def mean_abs_step(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 # ------------------------------------------------------------------ alarms
 def alarms(df: DataFrame, keys: list[str], order: list[str], flag: Column, k: int = 2, n: int = 3,
-           target_rows: int = TARGET_ROWS) -> DataFrame:
+           target_rows: int | None = None) -> DataFrame:
     """Rows with ``active`` (at least k of the last n rows flagged) and ``onset`` (active and the row before not).
 
     The first rows of a key look at fewer rows.
@@ -91,7 +91,7 @@ def alarm_summary(alarm_rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ intervals
-def interval_union(df: DataFrame, keys: list[str], start: str, end: str, tie: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def interval_union(df: DataFrame, keys: list[str], start: str, end: str, tie: str, target_rows: int | None = None) -> DataFrame:
     """(keys, n, covered): total length of the union of intervals; start and end are numbers."""
     scan = ordered(df.select(*keys, start, end, tie), keys, [start, tie], target_rows)
     scan = scan.running({"_reach": (F.max, F.col(end))}, inclusive=False)
@@ -99,7 +99,7 @@ def interval_union(df: DataFrame, keys: list[str], start: str, end: str, tie: st
     return scan.frame().groupBy(*keys).agg(F.count("*").alias("n"), F.sum(added).alias("covered"))
 
 
-def start_intervals(df: DataFrame, keys: list[str], start: str, tie: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def start_intervals(df: DataFrame, keys: list[str], start: str, tie: str, target_rows: int | None = None) -> DataFrame:
     """(keys, n, interval_mean, interval_cv): spacing of starts; CV is population std over mean, NULL for a single
     interval or a zero mean."""
     scan = ordered(df.select(*keys, start, tie), keys, [start, tie], target_rows).lag({"_prev": (start, 1)})
@@ -111,7 +111,7 @@ def start_intervals(df: DataFrame, keys: list[str], start: str, tie: str, target
             .drop("_m", "_sd"))
 
 
-def part_index(df: DataFrame, keys: list[str], order: list[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+def part_index(df: DataFrame, keys: list[str], order: list[str], target_rows: int | None = None) -> DataFrame:
     """Zero-based position in time order."""
     scan = ordered(df, keys, order, target_rows).row_number("part_index")
     return scan.frame().withColumn("part_index", F.col("part_index") - 1)
@@ -119,7 +119,7 @@ def part_index(df: DataFrame, keys: list[str], order: list[str], target_rows: in
 
 # ------------------------------------------------------------------ continuity across stored parts
 def boundary_steps(samples: DataFrame, keys: list[str], position: str, value: str, clip: int,
-                   target_rows: int = TARGET_ROWS) -> DataFrame:
+                   target_rows: int | None = None) -> DataFrame:
     """Per key: is the jump across part boundaries like the steps inside parts?
 
     (keys, boundaries, share_above_p99, ratio): share of boundary jumps above the within-part 99th percentile, and the
@@ -141,7 +141,7 @@ def boundary_steps(samples: DataFrame, keys: list[str], position: str, value: st
 
 
 def file_continuity(files: DataFrame, keys: list[str], order: str, start: str, end: str, first: str, last: str, step: str,
-                    target_rows: int = TARGET_ROWS) -> DataFrame:
+                    target_rows: int | None = None) -> DataFrame:
     """Neighbouring files of a key: do they overlap in time, and how large is the jump against the typical step?"""
     scan = ordered(files, keys, [order], target_rows).lag({"_end": (end, 1), "_last": (last, 1), "_step": (step, 1)})
     return (scan.frame().where(F.col("_end").isNotNull())

@@ -163,7 +163,6 @@ def leakage_problems(captures: DataFrame, assignment: DataFrame, group: str = "g
     return spans.unionByName(unknown)
 
 
-EXACT_DIGEST_ROWS = 1_000_000
 DIGEST_STEP = 3            # hex digits per level: a node of the digest tree has at most 4096 children
 LINES_PER_BLOCK = 100_000
 
@@ -193,14 +192,6 @@ def block_digest(assignment: DataFrame, capture: str = "capture_id", lines_per_b
     return nodes.select(F.col("n").alias("captures"), F.lit(levels).alias("levels"), F.col("h").alias("assignment_sha256"))
 
 
-def exact_digest(assignment: DataFrame, capture: str = "capture_id") -> DataFrame:
-    """One row: SHA-256 of the whole sorted assignment text. Refused above a million captures; use block_digest."""
-    if assignment.limit(EXACT_DIGEST_ROWS + 1).count() > EXACT_DIGEST_ROWS:
-        raise ValueError("assignment too large for a single text; use block_digest")
-    line = F.concat_ws("\t", F.col(capture).cast("string"), F.col("partition"))
-    return assignment.select(line.alias("line")).agg(F.count("*").alias("captures"), F.sha2(_lines(F.col("line")), 256).alias("assignment_sha256"))
-
-
 REGISTRY = T.StructType([
     T.StructField("split_id", T.StringType(), False), T.StructField("kind", T.StringType()),
     T.StructField("strategy", T.StringType()), T.StructField("seed", T.IntegerType()),

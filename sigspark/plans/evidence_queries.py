@@ -8,6 +8,7 @@ from ..functions.columns import micros
 from ..functions.stats import poisson_upper_95
 from ..operators import metrics, profiles, ranks, sampling, sequences, splits
 from ..operators import resampling as R
+from ..operators.scan import ordered
 from . import evaluation
 from .tables import label_scores, load, r6, scores
 
@@ -23,10 +24,12 @@ _GROUPS = "gr AS (SELECT g, y, row_number() OVER (ORDER BY g) - 1 AS k, count(*)
 def _draws(groups: str = "gr", reps: int = BOOTSTRAPS) -> str:
     """SQL repeating operators.resampling.congruential_pick."""
     return f"""ng AS (SELECT count(*) AS n_g FROM {groups}),
-x AS (SELECT r.rep, j.slot, n_g, r.rep * n_g + j.slot + 1 AS x FROM ng, (SELECT unnest(range({reps})) AS rep) r,
-      (SELECT unnest(range((SELECT n_g FROM ng))) AS slot) j),
-h AS (SELECT rep, n_g, (((x * 2654435761) % 4294967296) // 65536 + ((x * 2654435761) % 4294967296) * 31) % 2147483647 AS h2 FROM x),
-draws AS (SELECT rep, (h2 * 48271) % 2147483647 % n_g AS k, count(*) AS w FROM h GROUP BY 1, 2)"""
+dx AS (SELECT r.rep, n_g, slot, (r.rep % 2147483647 + 1) * 69621 % 2147483647 AS r
+      FROM ng, (SELECT unnest(range({reps})) AS rep) r, (SELECT unnest(range((SELECT n_g FROM ng))) AS slot) j),
+dh AS (SELECT rep, n_g, r, ((slot % 2147483647 + 1) * 48271 + slot // 2147483647 * 40692 % 2147483647 + r) % 2147483647 AS h FROM dx),
+da AS (SELECT rep, n_g, r, h * (h + 16807) % 2147483647 AS a FROM dh),
+db AS (SELECT rep, n_g, a * ((a + r) % 2147483647) % 2147483647 AS b FROM da),
+draws AS (SELECT rep, ((b * (b + 12345) % 2147483647) * 2147483647 + b) % n_g AS k, count(*) AS w FROM db GROUP BY 1, 2)"""
 
 
 def _auc_by_rep(value: str, name: str) -> str:
@@ -393,7 +396,14 @@ def alarm_rate(spark, sf_dir):
                     r6(F.when(F.col("onsets") == 0, upper)).alias("zero_onsets_upper95"))
 
 
-@register("alarm_budget")
+@register("alarm_budget", """WITH RECURSIVE f AS (SELECT event_type, ts, event_id, (value > 100)::INT AS hot FROM events),
+n AS (SELECT *, sum(hot) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 AS active FROM f),
+o AS (SELECT *, active AND NOT coalesce(lag(active) OVER (PARTITION BY event_type ORDER BY ts, event_id), false) AS onset FROM n),
+p AS (SELECT event_type, sum(onset::INT)::BIGINT AS onsets, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0 AS hours FROM o GROUP BY 1),
+b AS (SELECT event_type, onsets, hours, onsets::DOUBLE AS lo, onsets + 10 + 10 * sqrt(onsets + 1) AS hi, 0 AS step FROM p
+  UNION ALL SELECT event_type, onsets, hours, CASE WHEN c > 0.05 THEN mid ELSE lo END, CASE WHEN c > 0.05 THEN hi ELSE mid END, step + 1
+  FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(0, onsets + 1), lambda i: exp(i * ln((lo + hi) / 2) - (lo + hi) / 2 - lgamma(i + 1)))) AS c FROM b WHERE step < 60))
+SELECT event_type, onsets, round(onsets / hours, 6) AS per_hour, round(lo / hours, 6) AS per_hour_upper95 FROM b WHERE step = 60""")
 def alarm_budget(spark, sf_dir):
     """One-sided 95 % Poisson bound of the onset rate of every event type, at any count."""
     e = load(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
@@ -588,3 +598,27 @@ def stratified_folds(spark, sf_dir):
 def trigger_levels(spark, sf_dir):
     out = profiles.trigger_levels(load(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderkey", "o_totalprice", 5000, (10000, 400000))
     return out.select("o_orderpriority", *[r6(F.col(c)).alias(c) for c in out.columns[1:]])
+
+
+# ------------------------------------------------------------------ keys and ids that are hard to cut
+@register("scan_with_null_key", """SELECT event_id, row_number() OVER w AS rn, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS total, lag(value, 2) OVER w AS two_back
+FROM (SELECT *, CASE WHEN event_type NOT IN ('click', 'view') THEN event_type END AS kind FROM events) WINDOW w AS (PARTITION BY kind ORDER BY ts, event_id)""")
+def scan_with_null_key(spark, sf_dir):
+    """Two event types without a name are one key, which holds the largest part of the rows."""
+    e = load(spark, sf_dir, "events").withColumn("kind", F.when(~F.col("event_type").isin("click", "view"), F.col("event_type")))
+    scan = ordered(e, ["kind"], ["ts", "event_id"]).lag({"two_back": ("value", 2)}).running({"total": (F.sum, F.col("value"))}).row_number("rn")
+    return scan.frame().select("event_id", "rn", F.round("total", 4).alias("total"), "two_back")
+
+
+@register("quantiles_with_null_key", """SELECT CASE WHEN event_type NOT IN ('click', 'view') THEN event_type END AS kind, count(*) AS n, round(quantile_cont(value, 0.05), 6) AS low, round(quantile_cont(value, 0.5), 6) AS mid
+FROM events GROUP BY 1""")
+def quantiles_with_null_key(spark, sf_dir):
+    e = load(spark, sf_dir, "events").withColumn("kind", F.when(~F.col("event_type").isin("click", "view"), F.col("event_type")))
+    return ranks.exact_quantiles(e, "value", {"low": 0.05, "mid": 0.5}, ["kind"]).select("kind", "n", r6(F.col("low")).alias("low"), r6(F.col("mid")).alias("mid"))
+
+
+@register("positions_of_prefixed_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY 'an-archive-of-captures/site-1/' || o_orderkey::VARCHAR) - 1 AS _g FROM orders")
+def positions_of_prefixed_ids(spark, sf_dir):
+    """Sorted positions of ids that begin alike: ranges are cut by the whole id."""
+    ids = load(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("an-archive-of-captures/site-1/"), F.col("o_orderkey").cast("string")).alias("id"))
+    return R.numbered_groups(ids, "id").select("o_orderkey", "_g")

@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from . import catalog_queries, evidence_queries, model_queries, signal_queries, stream_queries
 
 MODULES = (evidence_queries, signal_queries, catalog_queries, stream_queries, model_queries)
+RANGE_ROWS = 4_000                                  # small, so that the driver's tables too are cut into many ranges
+
+
+def _ranged(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sigspark.rangeRows", str(RANGE_ROWS))
+        return query(spark, sf_dir)
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: _ranged(f) for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

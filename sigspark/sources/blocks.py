@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import evenly_spaced
 from ..operators.joins import interval_overlap
-from ..operators.scan import TARGET_ROWS, ordered
+from ..operators.scan import ordered
 from ..schemas import BLOCK_SAMPLES
 
 
@@ -86,7 +86,7 @@ def read_windows(blocks: DataFrame, requests: DataFrame, block_samples: int = BL
                       ).withColumn("n", F.size("i"))
 
 
-def with_part_offsets(parts: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+def with_part_offsets(parts: DataFrame, target_rows: int | None = None) -> DataFrame:
     """parts (capture_id, part_index, n) -> plus [part_lo, part_hi) inside the capture. NULL part indexes come last."""
     filled = parts.withColumn("_order", F.coalesce(F.col("part_index"), F.lit(2147483647)))
     scan = ordered(filled, ["capture_id"], ["_order"], target_rows).running({"part_hi": (F.sum, F.col("n"))})
@@ -120,7 +120,7 @@ def stored_row(captures: DataFrame, tensor_rows: DataFrame) -> DataFrame:
     return captures.where(F.col("stored_in").isNotNull()).join(tensor_rows, ["stored_in", "stored_index"])
 
 
-def ordered_artifacts(artifacts: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+def ordered_artifacts(artifacts: DataFrame, target_rows: int | None = None) -> DataFrame:
     """Artifacts with their ``position`` inside the capture: in time order, unnumbered last, then by channel."""
     live = artifacts.where(F.col("capture_id").isNotNull()).withColumns(
         {"_at": F.coalesce("part_index", F.lit(2147483647)), "_ch": F.coalesce("channel", F.lit(""))})

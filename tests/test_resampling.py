@@ -42,7 +42,7 @@ def reference(table, column, draws):
 @pytest.mark.parametrize("rows_per_range", [10 ** 6, 60])
 def test_bootstrap_replicates_equal_resampled_rows(spark, table, scores, shared, rows_per_range):
     numbered, n = R.pure_numbered_groups(scores, "group_id", "y")
-    draws = R.seeded_draws(spark, n, 30)
+    draws = R.congruential_draws(spark, n, 30)
     w = R.bootstrap_weights(numbered, "group_id", "y", draws)
     got = {r["rep"]: r["auc"] for r in R.auc_replicates(scores, "group_id", "score", w, n, 30, rows_per_range, shared).collect()}
     want = reference(table, "score", draws.toPandas())
@@ -50,15 +50,24 @@ def test_bootstrap_replicates_equal_resampled_rows(spark, table, scores, shared,
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
-def test_seeded_draws_follow_numpy(spark):
-    rng = np.random.default_rng(5)
-    want = [np.bincount(rng.integers(0, 7, 7), minlength=7) for _ in range(4)]
-    d = R.seeded_draws(spark, 7, 4, seed=5).toPandas()
-    for rep in range(4):
-        got = np.zeros(7, int)
-        part = d[d["rep"] == rep]
-        got[part["_g"]] = part["w"]
-        assert (got == want[rep]).all()
+def test_draws_of_very_many_groups_do_not_overflow(spark):
+    picks = spark.range(5).select(R.congruential_pick(F.col("id") + 10**6, F.lit(10**12) + F.col("id") * 3, F.lit(10**15)).alias("g")).collect()
+    assert all(0 <= r["g"] < 10**15 for r in picks) and len({r["g"] for r in picks}) == 5
+
+
+def test_draws_differ_between_replicates_and_are_even(spark):
+    d = R.congruential_draws(spark, 50, 400).toPandas()
+    assert (d.groupby("rep")["w"].sum() == 50).all()
+    assert 300 < d.groupby("_g")["w"].sum().min() and d.groupby("_g")["w"].sum().max() < 500
+    assert 0.30 < (1 - len(d) / (50 * 400)) < 0.43                               # a bootstrap leaves out about 1 / e
+    assert d.groupby("rep").apply(lambda g: tuple(zip(g["_g"], g["w"])), include_groups=False).nunique() == 400
+
+
+def test_one_replicate_is_enough(spark, scores):
+    numbered, n = R.pure_numbered_groups(scores, "group_id", "y")
+    w = R.bootstrap_weights(numbered, "group_id", "y", R.congruential_draws(spark, n, 1))
+    got = [R.auc_replicates(scores, "group_id", "score", w, n, 1, 60, shared).first()["auc"] for shared in (1 << 26, 0)]
+    assert abs(got[0] - got[1]) < 1e-12
 
 
 def test_congruential_draws_are_even(spark):
@@ -142,3 +151,4 @@ def test_poisson_bound():
     from sigspark.functions.stats import poisson_upper
     assert abs(poisson_upper(0) + np.log(0.05)) < 1e-9
     assert abs(poisson_upper(1) - 4.743865) < 1e-5 and abs(poisson_upper(10) - 16.96222) < 1e-4
+    assert abs(poisson_upper(10 ** 8) - 100_016_450) < 20 and 1.6e5 < poisson_upper(10 ** 10) - 10 ** 10 < 1.7e5
