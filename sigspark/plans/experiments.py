@@ -3,6 +3,7 @@ is rendered. Loops run over folds, draws or datasets, never over rows."""
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +36,10 @@ def evaluate(rows: DataFrame, partition: str, features: list[str], label: str, g
     def refit(rep: int) -> float | None:
         dealt = relabelled.where(F.col("rep") == rep).select(group, "_dealt")
         permuted = rows.drop(label).join(dealt, group).withColumnRenamed("_dealt", label)
-        try:
-            s = models.out_of_fold(permuted, partition, features, label, kind, **options)
-        except ValueError:                                      # one-class training side
-            return None
+        counts = permuted.groupBy(partition, label).agg(F.count("*").alias("n")).collect()                            # folds x classes
+        if any(len({r[label] for r in counts if r[partition] != fold}) < 2 for fold in {r[partition] for r in counts}):
+            return None                                         # a training side with one class
+        s = models.out_of_fold(permuted, partition, features, label, kind, **options)
         if binary:
             return ranks.auc(s, "score", F.col(label).cast("boolean")).first()["auc"]
         return metrics.multiclass_metrics(s, label, "predicted").first()["balanced_accuracy"]
@@ -226,10 +227,18 @@ def metadata_only(rows: DataFrame, metadata: list[str], label: str, group: str,
 
 
 def receiver_check(rows: DataFrame, features: list[str], unit: str, receiver: str, day: Column, kind: str = "gbm", k: int = 5, n_bootstrap: int = 2000, **options) -> DataFrame:
-    """Can the receiver be told from the features, on units heard at both? Folds hold out whole units."""
-    first, second = models.class_list(rows.where(day), receiver)[:2]
+    """Can the receivers be told apart from the features, on units heard at both? Folds hold out whole units.
+
+    One row per pair of receivers (a few by nature), in name order: first, second, and the interval of the AUC.
+    """
+    names = models.class_list(rows.where(day), receiver)
+    return union_all([_receiver_pair(rows, features, unit, receiver, day, a, b, kind, k, n_bootstrap, **options).withColumn("first", F.lit(a)).withColumn("second", F.lit(b))
+                      for a, b in combinations(names, 2)])
+
+
+def _receiver_pair(rows: DataFrame, features: list[str], unit: str, receiver: str, day: Column, first, second, kind: str, k: int, n_bootstrap: int, **options) -> DataFrame:
     both = rows.where(day & (F.col(receiver) == first)).select(unit).intersect(rows.where(day & (F.col(receiver) == second)).select(unit))
-    kept = rows.where(day).join(both, unit, "left_semi").withColumn("y", F.col(receiver) == first).withColumn("unit_receiver", F.concat_ws("|", unit, receiver))
+    kept = rows.where(day & F.col(receiver).isin(first, second)).join(both, unit, "left_semi").withColumn("y", F.col(receiver) == first).withColumn("unit_receiver", F.concat_ws("|", unit, receiver))
     folds = splits.sorted_round_robin(kept, unit, k)
     scored = cut_lineage(models.out_of_fold(cut_lineage(kept.drop("partition").join(folds, unit)), "partition", features, "y", kind, **options))
     return evaluation.auc_interval(scored, "unit_receiver", "y", "score", n_bootstrap)

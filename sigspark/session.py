@@ -1,6 +1,7 @@
 """Session defaults and the shared folder for cut lineage."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,14 +26,17 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the checkpoint folder set on the context.
 
-    Only when the cluster names none (tests, laptops) a temporary local folder is made, and remembered in the
-    session so that one session uses one folder.
+    Only a local master that names none (tests, laptops) gets a temporary folder, remembered in the session so that one
+    session uses one folder. A cluster without a shared folder is refused: what one machine wrote there no other would see.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sigspark.scratch", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sigspark.scratch", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="sigspark-")
     spark.conf.set("spark.sigspark.scratch", made)
     return made
