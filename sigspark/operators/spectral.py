@@ -5,8 +5,11 @@ window must meet, and a window has a fixed length.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .features import power_frames
@@ -28,11 +31,10 @@ def cells(frames: DataFrame, keys: list[str]) -> DataFrame:
     return frames.select(*keys, "frame", F.posexplode("power").alias("bin", "power"))
 
 
-def cumulative(power: Column) -> Column:
-    """Running sum of an array, one pass."""
-    start = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("upto"))
-    return F.aggregate(power, start, lambda acc, p: F.struct(
-        (acc["total"] + p.cast("double")).alias("total"), F.concat(acc["upto"], F.array(acc["total"] + p.cast("double"))).alias("upto")))["upto"]
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def cumulative(power: pd.Series) -> pd.Series:
+    """Running sum of an array, one pass over each."""
+    return power.map(lambda p: None if p is None else np.cumsum(np.asarray(p, float)))
 
 
 def crossing(upto: Column, share: float) -> Column:
@@ -96,16 +98,21 @@ def band_over_median(spectra: DataFrame, keys: list[str], power: str, margin_db:
 def noise_floor(frames: DataFrame, keys: list[str], calibrated: DataFrame | None = None) -> DataFrame:
     """(keys, bin, floor): median over frames, capped at twice the 25th percentile of those medians.
 
-    calibrated (keys or part of them, bin, floor) replaces the estimate. Exact medians are taken per (window, bin); a
-    window's number of frames is fixed, so no group grows with the data.
+    calibrated (keys or part of them, bin, floor) replaces the estimate. Whole frames are shuffled once to their window, not
+    cells; a window's number of frames is fixed, so no group grows with the data.
     """
     if calibrated is not None:
         on = [k for k in keys if k in calibrated.columns]
         bins = cells(frames, keys).select(*keys, "bin").distinct()
         return bins.join(calibrated, [*on, "bin"]).select(*keys, "bin", "floor")
-    med = cells(frames, keys).groupBy(*keys, "bin").agg(F.percentile("power", F.lit(0.5)).alias("m"))
-    quiet = F.percentile("m", F.lit(0.25)).over(Window.partitionBy(*keys))       # one row per bin
-    return med.withColumn("q", quiet).select(*keys, "bin", F.least(F.col("m"), 2 * F.col("q")).alias("floor"))
+    source = frames.select(*keys, "power")
+
+    def floors(group: pd.DataFrame) -> pd.DataFrame:
+        middle = np.median(np.stack(group["power"].map(lambda p: np.asarray(p, float))), axis=0)
+        out = pd.DataFrame({k: group[k].iloc[0] for k in keys} | {"bin": np.arange(len(middle)), "floor": np.minimum(middle, 2 * np.percentile(middle, 25))})
+        return out[[*keys, "bin", "floor"]]
+    out = T.StructType([*[source.schema[k] for k in keys], T.StructField("bin", T.IntegerType()), T.StructField("floor", T.DoubleType())])
+    return source.groupBy(*keys).applyInPandas(floors, out)
 
 
 def cfar_factor(pfa: float) -> float:
