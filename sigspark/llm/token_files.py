@@ -11,8 +11,9 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,49 +40,61 @@ _FIRST = np.dtype([("null", "u1"), ("doc_id", "<i8")])
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
 
 
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9À-ÖØ-öø-ɏ]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")   # the vocabulary's own split, for Latin text
+_LATIN = re.compile("[\x00-\x7fÀ-ɏ]*").fullmatch
+_OTHER_SPACE = re.compile(r"[^\S \n]").search
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}      # how the vocabulary writes bytes
+
+
 class Encoder:
     """The tokenizers library behind a memory of pieces.
 
     A space between two characters that are not white space starts a new pre-token whatever stands around it, so a text may be
-    cut there and its pieces encoded apart. Pieces not seen before are encoded together, in one call per batch.
+    cut there and its pieces encoded apart. A piece of Latin text that is not in memory is split as the vocabulary's file says
+    and each pre-token goes to the library's model; any other piece goes through the library whole. Two generations of
+    CACHE pieces are remembered.
     """
-    _uneven = re.compile(r"\A | \Z|\s | \s")
     _cut = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True            # their strings in a text are ordinary text
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
-        self.bytes_of[list(names.values())] = [len(n) for n in names]       # one character of a name stands for one byte
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self._short = lru_cache(1 << 16)(self._pre_token)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces that follow a space and neither begin nor end with white space."""
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k:k + 4096]
-            ids = np.array(self._ids([" " + " ".join(part)])[0], "<u4")
-            stops = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in part])) + 1
-            raw, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
-            self.known.update({p: raw[4 * a:4 * b] for p, a, b in zip(part, starts, stops.tolist())})
+    def _pre_token(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _new(self, text: str) -> bytes:
+        if not _LATIN(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self._short(t) if len(t) < 6 else self._pre_token(t) for t in _SPLIT.findall(text)])
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(i, "<u4").tobytes() for i in self._ids(texts)]
+    def _pieces(self, text: str) -> list[str]:
+        even = not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ") and not (any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else _OTHER_SPACE(text))
+        return text.split(" ") if even else self._cut.split(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32; null counts as empty."""
-        pieces = [self._cut.split(t) if self._uneven.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        heads = self._raw([p.pop(0) for p in pieces])
-        tails = self._raw([" " + p.pop() if p and p[-1][-1].isspace() else "" for p in pieces])
-        needed = set().union(*pieces)
-        if len(self.known) + len(needed) > CACHE:
-            self.known.clear()
-        self._learn([p for p in needed if p not in self.known])
-        return [h + b"".join(map(self.known.__getitem__, p)) + t for h, p, t in zip(heads, pieces, tails)]
+        pieces = [self._pieces(t or "") for t in texts]
+        heads = [self._new(p.pop(0)) for p in pieces]
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        for p in set().union(*pieces):
+            if p not in known:
+                known[p] = older[p] if p in older else self._new(" " + p)
+        return [h + b"".join([known[x] for x in p]) for h, p in zip(heads, pieces)]
+
+
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    """One encoder per worker, whatever tasks it runs."""
+    return Encoder(path)
 
 
 def _in_parts(texts: pd.Series, limit: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -190,19 +203,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, frame_tokens
     """
     fs, inner = _filesystem(folder)
     fs.create_dir(inner, recursive=True)
-    encoder: list[Encoder] = []
     end = struct.pack("<I", END_ID)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = None
         for batch in batches:
-            if not encoder:
-                encoder.append(Encoder(tokenizer))
             if writer is None and len(batch):
                 part = int(batch["part"].iloc[0])
                 writer = FileWriter(f"{folder}/part-{part:08d}.tok", frame_tokens)
             for start, texts in _in_parts(batch["text"]):
-                for k, ids in enumerate(encoder[0].encode([None if not isinstance(t, str) else t for t in texts]), start):
+                for k, ids in enumerate(_encoder(tokenizer).encode([None if not isinstance(t, str) else t for t in texts]), start):
                     writer.add(None if batch["null"].iat[k] else int(batch["doc_id"].iat[k]), ids + end)
         if writer is not None:
             n_docs, n_tokens = writer.close()
@@ -215,7 +225,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, frame_tokens
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) per document of the files: start counts the ids of all documents before it, over all files."""
+    """(doc_id, start, ids) per document of the files: start counts the ids of all documents before it, over all files; ids
+    are binary, little-endian uint32."""
     # one row per file: the running total over files is small whatever the documents are
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
@@ -226,16 +237,14 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 for k in range(len(reader.entries)):
                     found = list(reader.frame(k))
                     starts = at + np.concatenate(([0], np.cumsum([len(i) for _, i in found])))
-                    yield pd.DataFrame({"doc_id": pd.array([d for d, _ in found], "Int64"), "start": starts[:-1], "ids": [i.astype("i4") for _, i in found]})
+                    yield pd.DataFrame({"doc_id": pd.array([d for d, _ in found], "Int64"), "start": starts[:-1], "ids": [i.tobytes() for _, i in found]})
                     at = int(starts[-1])
                 reader.close()
-    return placed.repartition("file").mapInPandas(read, "doc_id long, start long, ids array<int>")
+    files = max(1, manifest.count())                          # few files or many, each is a task of its own
+    return placed.repartition(files, "part").mapInPandas(read, "doc_id long, start long, ids binary")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(load(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
 
-    def checked(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in ids], dtype="int64")
-    checked.__annotations__ = {"ids": pd.Series, "return": pd.Series}
-    return read_token_files(manifest).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), F.pandas_udf(checked, "long")("ids").alias("ids_crc32"))
+    return read_token_files(manifest).select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
