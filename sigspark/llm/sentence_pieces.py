@@ -7,14 +7,16 @@ and the segmentation with the best sum of ranks is not the model's encoding; the
 and merges where exactly two current symbols meet. Ranks never fall along the merges of a piece (checked when the table is
 made), so one pass in that order gives the library's result.
 
-Documents meet the encoded units in blocks: a block's texts are shuffled once, compressed, and only its distinct units and
-their ids travel. Nothing that grows with the corpus is broadcast.
+Documents meet the encoded units in blocks: a block's texts are shuffled once, compressed, and of its units only the distinct
+ones that are not among a bounded number of common ones travel, with their ids coming back. Nothing that grows with the corpus
+is broadcast.
 """
 from __future__ import annotations
 
 import heapq
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import load
 
 SPACE = "▁"
-BLOCK_BYTES = 32 << 20                              # text of one block
+BLOCK_BYTES = 4 << 20                               # text of one block
+ZSTD_BYTES = 100_000                                # of common units, as a dictionary for compressing texts on their way
+COMMON_UNITS, SAMPLE_BYTES = 100_000, 32 << 20      # units that are broadcast, at most, and the text they are chosen from
 SHORT = 62                                          # longest unit whose boundaries fit the bits of a long
 LETTER = r"[A-Za-z\u00AA-\u02FF\u0370-\u1FFF]"        # one class that Java and Python read alike
 
@@ -131,7 +135,8 @@ def units(text: Column, pieces: Pieces) -> Column:
 
 
 def encoded_units(distinct: DataFrame, pieces: Pieces) -> DataFrame:
-    """``distinct`` (a column unit, no repeats, and others that depend on it) with ``ids``, an array of ints."""
+    """``distinct`` (a column unit, no repeats, and others that depend on it) with ``folded``, the ids as an array of ints; null
+    for units of more than SHORT characters, see ``_finished``."""
     spark = distinct.sparkSession
     table = F.broadcast(spark.createDataFrame([(p, i, float(s)) for p, i, s in pieces.pieces], "piece string, id int, score double"))     # the model: fixed size
     rest = [c for c in distinct.columns if c != "unit"]
@@ -142,20 +147,7 @@ def encoded_units(distinct: DataFrame, pieces: Pieces) -> DataFrame:
              .groupBy("unit").agg(F.collect_list(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), "start", (F.col("start") + F.col("long")).alias("stop"), F.coalesce("id", F.lit(-1)).alias("id"))).alias("edges"),
                                   *[F.first(c).alias(c) for c in rest]))
     folded = (_merge_fold if pieces.kind == "bpe" else _viterbi_fold)(F.col("edges"), F.col("unit"), pieces)
-    by_text = {p: i for p, i, _ in pieces.pieces}
-    scores = {p: s for p, _, s in pieces.pieces}
-    unknown = _unknown(pieces)
-
-    def whole(unit: pd.Series) -> pd.Series:
-        """Units beyond the bits of a long; null for all others."""
-        out = []
-        for u in unit:
-            symbols = None if u is None else _merged(u, scores)[0] if pieces.kind == "bpe" else _viterbi(u, scores, pieces.longest, unknown)
-            out.append(None if symbols is None else [i for s in symbols for i in ([by_text[s]] if s in by_text else [pieces.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")])])
-        return pd.Series(out)
-    whole.__annotations__ = {"unit": pd.Series, "return": pd.Series}
-    long_ids = F.pandas_udf(whole, "array<int>")(F.when(~short, F.col("unit")))
-    return edges.select("unit", *rest, F.when(short, folded).alias("folded"), long_ids.alias("whole")).select("unit", *rest, F.coalesce("folded", "whole").alias("ids"))
+    return edges.select("unit", *rest, F.when(short, folded).alias("folded"))
 
 
 def _unknown(pieces: Pieces) -> float:
@@ -216,59 +208,113 @@ def _viterbi_fold(edges: Column, unit: Column, pieces: Pieces) -> Column:
     return F.get(F.transform(F.array(best), back), F.lit(0))
 
 
+def _finished(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """``rows`` with ``ids``, binary, little-endian uint32, instead of ``folded`` and ``unit``; units that were not folded are encoded here.
+
+    One Python worker per task, which is what bounds an executor's memory.
+    """
+    ids, scores, unknown = {p: i for p, i, _ in pieces.pieces}, {p: s for p, _, s in pieces.pieces}, _unknown(pieces)
+
+    def whole(unit: str) -> list[int]:
+        symbols = _merged(unit, scores)[0] if pieces.kind == "bpe" else _viterbi(unit, scores, pieces.longest, unknown)
+        return [i for s in symbols for i in ([ids[s]] if s in ids else [pieces.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")])]
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.asarray(whole(u) if f is None else f, "<u4").tobytes() for u, f in zip(batch["unit"], batch["folded"])]
+            yield batch.drop(columns=["unit", "folded"]).assign(ids=pd.Series(found, dtype=object, index=batch.index))
+    kept = [f"{c} {t}" for c, t in rows.dtypes if c not in ("unit", "folded")]
+    return rows.mapInPandas(finish, ", ".join([*kept, "ids binary"]))
+
+
+def _tasks(docs: DataFrame) -> int:
+    """Partitions of a shuffle whose rows cost far more than their bytes tell, so they are not to be coalesced."""
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _common(docs: DataFrame, pieces: Pieces, total: int) -> dict[str, bytes]:
+    """The most frequent units of a hash sample of about SAMPLE_BYTES, encoded. Which they are changes what travels, never the result."""
+    share = max(1, total // SAMPLE_BYTES)
+    counted = (docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select(F.explode(units(F.col("text"), pieces)).alias("unit"))
+               .groupBy("unit").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.char_length("unit") <= SHORT)).orderBy(F.desc("n"), "unit").limit(COMMON_UNITS))
+    found = _finished(encoded_units(counted.select("unit").repartition(_tasks(docs), "unit"), pieces).withColumn("name", F.col("unit")), pieces).toArrow()     # COMMON_UNITS short rows at most
+    return dict(zip(found["name"].to_pylist(), found["ids"].to_pylist()))
+
+
 def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, ids) per row of ``docs``: array of ints, empty for null and empty texts. Repeated rows give repeated rows; other columns are ignored."""
+    """(doc_id, ids) per row of ``docs``: array of ints, empty for null and empty texts. Repeated rows give repeated rows; other columns are ignored.
+
+    The COMMON_UNITS most frequent units reach all tasks by a broadcast, which that number bounds; all others go to the one
+    task that encodes them and back to the blocks that have them.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    pattern = pieces.cuts()
+    cut, lead = re.compile(pieces.cuts()), SPACE if pieces.prefix else ""
+    frequent = _common(docs, pieces, total)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    sample = " ".join(frequent)[-ZSTD_BYTES:].replace(SPACE, "").encode("utf-8", "surrogatepass")
+
+    def known() -> zstandard.ZstdCompressionDict | None:
+        return zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(sample) > 8 else None
 
     def pack(text: pd.Series) -> pd.Series:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6, dict_data=known())
         return pd.Series([None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in text])
+    pack.__annotations__ = {"text": pd.Series, "return": pd.Series}
 
-    def unpack(data: pd.Series) -> pd.Series:
-        release = zstandard.ZstdDecompressor()
-        return pd.Series([None if d is None else release.decompress(d).decode("utf-8", "surrogatepass") for d in data])
-    for f, name in ((pack, "text"), (unpack, "data")):
-        f.__annotations__ = {name: pd.Series, "return": pd.Series}
-    packed = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.pandas_udf(pack, "binary")("text").alias("data")).repartition(blocks, "block")
-    texts = packed.select("block", F.pandas_udf(unpack, "string")("data").alias("text"))
-    own = texts.select("block", F.explode(units(F.col("text"), pieces)).alias("unit")).distinct()
-    dealt = own.repartition("unit")
-    # the largest block is kept and compared so that both branches read one exchange with the same columns
-    distinct = dealt.groupBy("unit").agg(F.max("block").alias("last"))
-    known = encoded_units(distinct, pieces)
-    back = dealt.join(known, "unit").where("block <= last").select(F.col("block").alias("b"), "unit", "ids")
-    cut = re.compile(pattern)
+    def cut_texts(data: pd.Series) -> Iterator[list[str]]:
+        release = zstandard.ZstdDecompressor(dict_data=known())
+        for d in data:
+            t = "" if d is None else release.decompress(d).decode("utf-8", "surrogatepass")
+            yield cut.split(lead + t.replace(" ", SPACE)) if t else []
+
+    def rare(data: pd.Series) -> list[str]:
+        """Distinct units of a block that are not common, in order."""
+        seen: set[str] = set()
+        for u in cut_texts(data):
+            seen.update(u)
+        return sorted(seen.difference(shared.value))
+
+    def listed(block: pd.DataFrame) -> pd.DataFrame:
+        found = rare(block["data"])
+        return pd.DataFrame({"unit": pd.Series(found, dtype=object), "block": block["block"].iat[0], "place": np.arange(len(found), dtype="i4")})
 
     def look_up(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        ids = dict(zip(found["unit"], (np.asarray(i, "i4") for i in found["ids"])))
-        release, out, none = zstandard.ZstdDecompressor(), [], np.zeros(0, "i4")
-        for d in texts["data"]:
-            t = None if d is None else release.decompress(d).decode("utf-8", "surrogatepass")
-            out.append(np.concatenate([ids[u] for u in cut.split((SPACE if pieces.prefix else "") + t.replace(" ", SPACE))]) if t else none)
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "ids": out})
+        names, common = rare(texts["data"]), shared.value
+        own = dict(zip(map(names.__getitem__, found["place"]), found["ids"]))
+        ids = [np.frombuffer(b"".join([common.get(u) or own[u] for u in us]), "<i4") for us in cut_texts(texts["data"])]
+        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "ids": ids})
+
+    packed = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.pandas_udf(pack, "binary")("text").alias("data"))
+    asked = packed.groupBy("block").applyInPandas(listed, "unit string, block long, place int")
+    distinct = asked.repartition(_tasks(docs), "unit").groupBy("unit").agg(F.collect_list(F.struct("block", "place")).alias("asked"))        # one entry per block at most
+    asked_for = encoded_units(distinct, pieces).select(F.explode("asked").alias("a"), F.when(F.col("folded").isNull(), F.col("unit")).alias("unit"), "folded")
+    back = _finished(asked_for.select(F.col("a.block").alias("b"), F.col("a.place").alias("place"), "unit", "folded"), pieces)
     return packed.groupBy("block").cogroup(back.groupBy("b")).applyInPandas(look_up, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """``encoded`` with a string column ``text`` made of ``ids``. Null ids give null; bytes that are no UTF-8 give U+FFFD; control ids give nothing."""
+    """``encoded`` with the columns text, made of ``ids``, and ids_crc32, over the ids as little-endian uint32.
+
+    Null ids give nulls; bytes that are no UTF-8 give U+FFFD; control ids give nothing. One pass for both columns, so that a
+    task needs one Python worker less.
+    """
     spelled: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i, _ in pieces.pieces} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)} | {i: b"" for i in pieces.control}
     shared = encoded.sparkSession.sparkContext.broadcast(spelled)                 # the model: fixed size
 
-    def spell(ids: pd.Series) -> pd.Series:
-        of, skip = shared.value, len(SPACE) if pieces.prefix else 0
-        return pd.Series([None if i is None else b"".join(map(of.__getitem__, np.asarray(i).tolist())).decode("utf-8", "replace")[skip:] for i in ids])
-    spell.__annotations__ = {"ids": pd.Series, "return": pd.Series}
-    return encoded.withColumn("text", F.pandas_udf(spell, "string")("ids"))
+    def spell(ids: pd.Series) -> pd.DataFrame:
+        of, skip, out = shared.value, len(SPACE) if pieces.prefix else 0, []
+        for i in ids:
+            numbers = None if i is None else np.asarray(i, "<u4")
+            out.append((None, None) if i is None else (b"".join(map(of.__getitem__, numbers.tolist())).decode("utf-8", "replace")[skip:], zlib.crc32(numbers.tobytes())))
+        return pd.DataFrame(out, columns=["text", "crc"])
+    spell.__annotations__ = {"ids": pd.Series, "return": pd.DataFrame}
+    return encoded.withColumn("_spelled", F.pandas_udf(spell, "text string, crc long")("ids")).withColumn("text", F.col("_spelled.text")).withColumn("ids_crc32", F.col("_spelled.crc")).drop("_spelled")
 
 
-def digests(encoded: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, ``more``, n_tokens, ids_crc32, text_sha256) of encoded and decoded documents; the crc is over little-endian uint32."""
-    def checked(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in ids], dtype="int64")
-    checked.__annotations__ = {"ids": pd.Series, "return": pd.Series}
-    return encoded.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.pandas_udf(checked, "long")("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, ``more``, n_tokens, ids_crc32, text_sha256) of encoded and decoded documents."""
+    return decoded.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
