@@ -74,7 +74,8 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key_bits:
     A null doc_id comes after all others. Of several rows with the smallest doc_id and the same text one stays.
     """
     rows = settle(identities(docs, block_bytes, key_bits))
-    groups = rows.groupBy("level", "name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"), F.count("*").alias("group_size"))
+    # a table of its own: the join then reads two plain exchanges, and a large group of copies can be split
+    groups = settle(rows.groupBy("level", "name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"), F.count("*").alias("group_size")))
     return rows.join(groups, ["level", "name"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256")
 
 

@@ -6,7 +6,6 @@ items of the state are noted. Documents stay where they are: the pass adds colum
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np

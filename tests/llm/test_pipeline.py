@@ -1,4 +1,6 @@
 """The pipeline's stages on the driver's rows, each judged on its own input."""
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sigspark.llm import block_naming, decontaminate, simhash
 from sigspark.llm.common import load
@@ -14,7 +16,7 @@ def test_stages_keep_columns_and_take_effect(spark, sf):
         before = docs.count()
     assert block_naming.exact_duplicates(docs).where("not kept").count() == 0
     assert simhash.near_duplicates(docs).where("group_size > 1").count() == 0
-    assert decontaminate.contamination(docs, load(spark, sf, "benchmark"), "f").where(decontaminate.contaminated(__import__("pyspark.sql.functions").sql.functions.col("f"))).count() == 0
+    assert decontaminate.contamination(docs, load(spark, sf, "benchmark"), "f").where(decontaminate.contaminated(F.col("f"))).count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == before and last.where("n_tokens < 0").count() == 0
 
