@@ -6,12 +6,14 @@ tasks open them and seek.
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,7 +204,7 @@ def text_samples(lines: DataFrame, key: list[str], text: str = "value") -> DataF
 # ------------------------------------------------------------------ hashes
 def hash_inventory(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """(path, size, mtime, sha256, crc32) of ``binaryFile`` rows. Spark's file sources leave out empty files and cannot
-    hold files above 2 GB; use :func:`hash_paths` where either occurs. Files whose (path, size, mtime) stand in the manifest are not read again;
+    hold files above 2 GB; use :func:`hash_paths` where either occurs, or where unchanged files must not be read at all. Files whose (path, size, mtime) stand in the manifest are not hashed again;
     manifest rows of files that changed or went away are left out."""
     current = files.select("path", F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("mtime"))
     if manifest is None:
@@ -210,7 +212,7 @@ def hash_inventory(files: DataFrame, manifest: DataFrame | None = None) -> DataF
     else:
         same = ["path", "size", "mtime"]
         kept = manifest.join(current, same, "left_semi").select("path", "size", "mtime", "sha256", "crc32")
-        # the anti join runs on metadata columns; content is read only for what remains
+        # a scan that holds content reads it for all rows, whatever the join drops: this form saves hashing, not reading
         todo = (files.withColumn("size", F.col("length")).withColumn("mtime", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss"))
                 .join(manifest.select(*same), same, "left_anti"))
     fresh = todo.select("path", F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("mtime"),
@@ -219,7 +221,10 @@ def hash_inventory(files: DataFrame, manifest: DataFrame | None = None) -> DataF
 
 
 def hash_paths(listing: DataFrame, manifest: DataFrame | None = None, tasks: int = 200) -> DataFrame:
-    """The same inventory from a listing (path, size, mtime) of files the executors can open, read in pieces of 16 MB."""
+    """The same inventory from a listing (path, size, mtime) of files on any file system pyarrow opens, in pieces of 16 MB.
+
+    The listing is compared with the manifest first, so only new and changed files are opened.
+    """
     import hashlib
     import zlib
 
@@ -231,7 +236,8 @@ def hash_paths(listing: DataFrame, manifest: DataFrame | None = None, tasks: int
             rows = []
             for r in b.itertuples(index=False):
                 sha, crc = hashlib.sha256(), 0
-                with open(r.path, "rb") as fh:
+                fs, inner = pyarrow.fs.FileSystem.from_uri(r.path) if re.match(r"[a-z][a-z0-9+.-]*:", r.path) else (pyarrow.fs.LocalFileSystem(), r.path)
+                with fs.open_input_stream(inner) as fh:
                     while piece := fh.read(16 << 20):
                         sha.update(piece)
                         crc = zlib.crc32(piece, crc)
