@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -293,23 +292,23 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> D
     return packed.groupBy("block").cogroup(back.groupBy("b")).applyInPandas(look_up, "doc_id long, ids array<int>")
 
 
+def _spelled(ids: Column, spelling: list[bytes]) -> Column:
+    """The bytes of all ids after one another; the spellings are one constant array."""
+    table = F.split(F.lit(",".join(b.hex() for b in spelling)), ",")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+
+
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """``encoded`` with the columns text, made of ``ids``, and ids_crc32, over the ids as little-endian uint32.
 
-    Null ids give nulls; bytes that are no UTF-8 give U+FFFD; control ids give nothing. One pass for both columns, so that a
-    task needs one Python worker less.
+    Null ids give nulls; bytes that are no UTF-8 give U+FFFD; control ids give nothing. No Python: the tasks that encode have
+    their Python workers already.
     """
-    spelled: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i, _ in pieces.pieces} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)} | {i: b"" for i in pieces.control}
-    shared = encoded.sparkSession.sparkContext.broadcast(spelled)                 # the model: fixed size
-
-    def spell(ids: pd.Series) -> pd.DataFrame:
-        of, skip, out = shared.value, len(SPACE) if pieces.prefix else 0, []
-        for i in ids:
-            numbers = None if i is None else np.asarray(i, "<u4")
-            out.append((None, None) if i is None else (b"".join(map(of.__getitem__, numbers.tolist())).decode("utf-8", "replace")[skip:], zlib.crc32(numbers.tobytes())))
-        return pd.DataFrame(out, columns=["text", "crc"])
-    spell.__annotations__ = {"ids": pd.Series, "return": pd.DataFrame}
-    return encoded.withColumn("_spelled", F.pandas_udf(spell, "text string, crc long")("ids")).withColumn("text", F.col("_spelled.text")).withColumn("ids_crc32", F.col("_spelled.crc")).drop("_spelled")
+    spelled = {i: p.replace(SPACE, " ").encode() for p, i, _ in pieces.pieces} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
+    places = range(max([*spelled, *pieces.control]) + 1)
+    text = F.make_valid_utf8(_spelled(F.col("ids"), [spelled.get(i, b"") for i in places]).cast("string"))
+    return (encoded.withColumn("text", F.substring(text, F.lit(2), F.length(text)) if pieces.prefix else text)
+            .withColumn("ids_crc32", F.crc32(_spelled(F.col("ids"), [i.to_bytes(4, "little") for i in places]))))
 
 
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
