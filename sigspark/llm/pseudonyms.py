@@ -97,12 +97,39 @@ def _spelled(f: Feistel, kind: str, value: str, back: bool) -> str:
     return f.text(value, [_alphabet(c) for c in value], f"{kind}|{re.sub('[a-z]', 'a', re.sub('[A-Z]', 'A', re.sub('[0-9]', '0', value)))}", back)
 
 
-def _card(f: Feistel, value: str, back: bool) -> str | None:
+def _walked(step: Callable[[str], str], value: str, inside: Callable[[str], bool]) -> str:
+    """Permutes the values that are ``inside``, of which ``value`` is one: steps until the image is inside too."""
+    for _ in range(10_000):
+        value = step(value)
+        if inside(value):
+            return value
+    raise ArithmeticError("the walk did not come back into the set")
+
+
+def _heads(value: str) -> list[str]:
+    """What ends at a group of ``value`` before its last one."""
+    return [value[:m.start()] for m in re.finditer(r"(?<=[A-Z0-9])[ -]", value)]
+
+
+def _is_card(value: str) -> bool:
     d = _digits(value)
-    if not 13 <= len(d) <= 19 or luhn(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+    return 13 <= len(d) <= 19 and luhn(d[:-1]) == int(d[-1]) and len(set(d)) > 1
+
+
+def _whole_card(value: str) -> bool:
+    """A card number of which no leading groups and no single group are one, so that a number beside a card is not taken for a part of it."""
+    return _is_card(value) and not any(map(_is_card, _heads(value))) and not any(_is_card(g) for g in re.split("[ -]", value) if g != value)
+
+
+def _card(f: Feistel, value: str, back: bool) -> str | None:
+    if not _whole_card(value):
         return None
-    body = d[0] + f.text(d[1:-1], [DIGIT] * (len(d) - 2), f"card|{d[0]}|{len(d)}", back)
-    return _refill(value, body + str(luhn(body)))
+
+    def step(v: str) -> str:
+        d = _digits(v)
+        body = d[0] + f.text(d[1:-1], [DIGIT] * (len(d) - 2), f"card|{d[0]}|{len(d)}", back)
+        return _refill(v, body + str(luhn(body)))
+    return _walked(step, value, _whole_card)
 
 
 def _ssn(f: Feistel, value: str, back: bool) -> str | None:
@@ -124,14 +151,35 @@ def _ip(f: Feistel, value: str, back: bool) -> str | None:
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
-def _iban(f: Feistel, value: str, back: bool) -> str | None:
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {c: n for n, countries in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN",
+                                          25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY HU LB PL", 29: "BR", 31: "MT"}.items() for c in countries.split()}
+
+
+def _number(letters: str) -> int:
+    return int("".join(str(int(c, 36)) for c in letters))
+
+
+def _is_iban(value: str) -> bool:
     plain = value.replace(" ", "")
-    number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+    return 15 <= len(plain) <= 34 and _number(plain[4:] + plain[:4]) % 97 == 1
+
+
+def _whole_iban(value: str) -> bool:
+    """An IBAN of its country's length, or one of which no leading groups are an IBAN."""
+    return _is_iban(value) and (len(value.replace(" ", "")) == IBAN_LENGTHS.get(value[:2]) or not any(map(_is_iban, _heads(value))))
+
+
+def _iban(f: Feistel, value: str, back: bool) -> str | None:
+    if not _whole_iban(value):
         return None
-    body = _spelled(f, f"iban|{plain[:2]}", plain[4:], back)
-    whole = iter(f"{plain[:2]}{98 - number(body + plain[:2] + '00') % 97:02d}{body}")
-    return "".join(c if c == " " else next(whole) for c in value)
+
+    def step(v: str) -> str:
+        plain = v.replace(" ", "")
+        body = _spelled(f, f"iban|{plain[:2]}", plain[4:], back)
+        whole = iter(f"{plain[:2]}{98 - _number(body + plain[:2] + '00') % 97:02d}{body}")
+        return "".join(c if c == " " else next(whole) for c in v)
+    return _walked(step, value, _whole_iban)
 
 
 def _phone(f: Feistel, value: str, back: bool) -> str | None:
@@ -198,10 +246,65 @@ PATTERNS = (
     ("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])"),
 )
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
+_EACH = {k: re.compile(p) for k, p in PATTERNS}
+_GROUP_END, _GROUP_START = re.compile(r"(?<=[A-Za-z0-9])(?=[ .()-])"), re.compile(r"(?<=[ .-])[A-Za-z0-9(]")
+_PLAIN_CARD = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}").fullmatch
+_JOINED = ("iban", "card", "phone")                                      # kinds of several groups, whose patterns may run into what follows
 _HINT = re.compile(r"[0-9@=:]")
 _RULES: dict[str, Callable[[Feistel, str, bool], str | None]] = {"email": _email, "credential": _credential, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
+def _group_ends(kind: str, text: str, start: int, longest: int) -> list[int]:
+    """Where a match of a joined kind may end, the longest first."""
+    return [longest, *(e for e in reversed([m.start() for m in _GROUP_END.finditer(text, start + 1, longest)]) if e < longest and _EACH[kind].fullmatch(text, start, e))]
+
+
+def _plain_cards(text: str, start: int) -> list[int]:
+    """Ends of cards of the usual grouping that start here."""
+    m = _EACH["card"].match(text, start)
+    return [e for e in _group_ends("card", text, start, m.end()) if _PLAIN_CARD(text[start:e]) and _whole_card(text[start:e])] if m else []
+
+
+def _ends(kind: str, text: str, start: int, longest: int) -> list[int]:
+    """Where a value of a joined kind may end, likeliest first: at its longest match or at a group before, not inside another value.
+
+    What decides is the form of the other values, and of cards their check digit: both outlive the permutation, so that the
+    pseudonyms are read as the values were.
+    """
+    phone = _EACH["phone"].match(text, start) if kind == "card" else None
+    if kind == "phone" and text[start] != "+":                           # of one length
+        return [longest]
+    if phone and phone.end() < longest:                                  # a phone and a number after it
+        return []
+    ends = [e for e in _group_ends(kind, text, start, longest) if kind != "card" or _is_card(text[start:e])]
+    others, cards = [], []                                               # (start, end, may a value end with it) of what starts inside
+    for g in (m.start() for m in _GROUP_START.finditer(text, start + 1, longest)) if ends else ():
+        others += [(g, m.end(), False) for k in ("email", "credential", "ip", "date", "ssn") if (m := _EACH[k].match(text, g))]
+        if kind != "iban":
+            others += [(g, m.end(), kind == "phone")] if (m := _EACH["phone"].match(text, g)) else []
+            cards += [(g, max(found))] if (found := _plain_cards(text, g)) else []
+
+    def cuts_card(e: int) -> bool:
+        """Whether the last card that starts before ``e`` goes on: a group before a card may complete a check digit by chance."""
+        return not (kind == "card" and _PLAIN_CARD(text[start:e])) and max(((g, end) for g, end in cards if g < e), default=(0, 0))[1] > e
+    uncut = [e for e in ends if not any(g < e < end for g, end, _ in others) and not cuts_card(e)]
+    apart = [e for e in uncut if not any(g < e == end and not same for g, end, same in others)]
+    if kind == "iban":
+        apart.sort(key=lambda e: len(text[start:e].replace(" ", "")) != IBAN_LENGTHS.get(text[start:start + 2]))
+    return apart + [e for e in uncut if e not in apart] if kind == "phone" else apart
+
+
+def _value(text: str, start: int, feistel: Feistel, back: bool) -> tuple[str, int, str] | None:
+    """Kind, end and image of the value that starts here: the first kind, and its first end, that passes its check."""
+    for kind, pattern in _EACH.items():
+        if m := pattern.match(text, start):
+            for end in _ends(kind, text, start, m.end()) if kind in _JOINED else (m.end(),):
+                new = _RULES[kind](feistel, text[start:end], back)
+                if new is not None:
+                    return kind, end, new
+    return None
+
+
 def pseudonymised(text: str | None, feistel: Feistel, back: bool = False) -> tuple[str | None, dict[str, int]]:
     """The text with every valid value replaced, and how many of each kind; what fails its check stays as it is."""
     found: dict[str, int] = {}
@@ -209,14 +312,15 @@ def pseudonymised(text: str | None, feistel: Feistel, back: bool = False) -> tup
         return text, found
     out, at = [], 0
     while m := _ANY.search(text, at):
-        new = _RULES[m.lastgroup](feistel, m[0], back)
-        if new is None:                                                  # not valid: other kinds may start a character later
+        value = _value(text, m.start(), feistel, back)
+        if value is None:                                                # no kind is valid here: another may start a character later
             out.append(text[at:m.start() + 1])
             at = m.start() + 1
             continue
-        found[m.lastgroup] = found.get(m.lastgroup, 0) + 1
+        kind, end, new = value
+        found[kind] = found.get(kind, 0) + 1
         out += [text[at:m.start()], new]
-        at = m.end()
+        at = end
     return "".join([*out, text[at:]]), found
 
 
