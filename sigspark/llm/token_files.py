@@ -53,14 +53,17 @@ class Encoder:
     A space between two characters that are not white space starts a new pre-token whatever stands around it, so a text may be
     cut there and its pieces encoded apart. A piece of Latin text that is not in memory is split as the vocabulary's file says
     and each pre-token goes to the library's model; any other piece goes through the library whole. Two generations of
-    CACHE pieces are remembered.
+    CACHE pieces are remembered. With ``added``, as the library's default is, a text that holds the content of an added token
+    goes through the library whole; without, such content is ordinary text.
     """
     _cut = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True            # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self._added = re.compile("|".join(map(re.escape, contents))).search if contents else None
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -69,9 +72,12 @@ class Encoder:
     def _pre_token(self, text: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _new(self, text: str) -> bytes:
         if not _LATIN(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(text)
         return b"".join([self._short(t) if len(t) < 6 else self._pre_token(t) for t in _SPLIT.findall(text)])
 
     def _pieces(self, text: str) -> list[str]:
@@ -80,7 +86,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32; null counts as empty."""
-        pieces = [self._pieces(t or "") for t in texts]
+        whole = {k: self._whole(t) for k, t in enumerate(texts) if t and self._added(t)} if self._added else {}
+        pieces = [self._pieces("" if k in whole else t or "") for k, t in enumerate(texts)]
         heads = [self._new(p.pop(0)) for p in pieces]
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
@@ -88,13 +95,13 @@ class Encoder:
         for p in set().union(*pieces):
             if p not in known:
                 known[p] = older[p] if p in older else self._new(" " + p)
-        return [h + b"".join([known[x] for x in p]) for h, p in zip(heads, pieces)]
+        return [whole[k] if k in whole else h + b"".join([known[x] for x in p]) for k, (h, p) in enumerate(zip(heads, pieces))]
 
 
 @lru_cache(2)
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, added: bool = False) -> Encoder:
     """One encoder per worker, whatever tasks it runs."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 def _in_parts(texts: pd.Series, limit: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -194,11 +201,12 @@ class FileReader:
 MANIFEST = "file string, part long, n_docs long, n_tokens long"
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, frame_tokens: int = FRAME_TOKENS) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, frame_tokens: int = FRAME_TOKENS, added: bool = False) -> DataFrame:
     """Writes ``docs`` to ``folder`` and returns the manifest (file, part, n_docs, n_tokens), parts in ascending doc_id order.
 
     Null ids come first; equal ids are ordered by a hash of their text, so they may be divided too. Null and empty texts have
-    the end id only. An empty table writes no file. Further columns are ignored. Paths may be of any file system that
+    the end id only. With ``added`` the contents of the tokenizer's added tokens get their ids, as the library gives them by
+    default; without, they are ordinary text. An empty table writes no file. Further columns are ignored. Paths may be of any file system that
     pyarrow opens, and must be reachable from every executor.
     """
     fs, inner = _filesystem(folder)
@@ -212,7 +220,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, frame_tokens
                 part = int(batch["part"].iloc[0])
                 writer = FileWriter(f"{folder}/part-{part:08d}.tok", frame_tokens)
             for start, texts in _in_parts(batch["text"]):
-                for k, ids in enumerate(_encoder(tokenizer).encode([None if not isinstance(t, str) else t for t in texts]), start):
+                for k, ids in enumerate(_encoder(tokenizer, added).encode([None if not isinstance(t, str) else t for t in texts]), start):
                     writer.add(None if batch["null"].iat[k] else int(batch["doc_id"].iat[k]), ids + end)
         if writer is not None:
             n_docs, n_tokens = writer.close()
@@ -245,6 +253,6 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_token_files(load(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = write_token_files(load(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
     return read_token_files(manifest).select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -1,6 +1,7 @@
 """Pieces against the public library, token files against a plain encoding, both through round trips."""
 import os
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -105,6 +106,24 @@ def test_token_files_hold_what_the_library_gives(spark, tmp_path, limit):
     reader.close()
 
 
+def test_the_query_gives_the_ids_of_the_library_as_loaded(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(BPE)
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|><|endoftext|>é日本 <|endoftext|> \n x", "<|endoftext |>"]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    at = 0
+    for r in f.op7_token_files(spark, str(tmp_path)).orderBy("start").collect():
+        ids = tokenizer.encode("null id" if r.doc_id is None else texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "a", "é", " ", "\n", "<|"]), max_size=12).map("".join), max_size=4))
+@settings(max_examples=100, deadline=None)
+def test_added_tokens_are_the_librarys(texts):
+    tokenizer = Tokenizer.from_file(BPE)
+    assert [np.frombuffer(b, "<u4").tolist() for b in f._encoder(BPE, True).encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_damaged_frame_is_noticed(spark, tmp_path):
     folder = str(tmp_path / "tokens")
     file = f.write_token_files(frame(spark).where("doc_id = 9"), folder, BPE).first().file
