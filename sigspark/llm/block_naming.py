@@ -81,7 +81,8 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key_bits:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged."""
-    return same_row_once(docs, exact_duplicates(docs).where("kept").select("doc_id"))
+    digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
+    return same_row_once(docs, exact_duplicates(docs).where("kept").select("doc_id", F.col("text_sha256").alias("key")), digest)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

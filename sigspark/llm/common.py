@@ -38,10 +38,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
             .select("doc_id", "y", "t.text", "t.n_chars"))
 
 
-def same_row_once(rows: DataFrame, decided: DataFrame) -> DataFrame:
-    """``rows`` whose doc_id is in ``decided`` (one column doc_id, any number of times), each (doc_id, text) once.
+def same_row_once(rows: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
+    """``rows`` whose (doc_id, ``key``) is in ``decided`` (columns doc_id and key), each (doc_id, key) once.
 
-    Ids that occur once, the usual case, never shuffle their text; only rows of repeated ids are compared in full.
+    Ids that occur once, the usual case, are told by the id and never shuffle their text; only for rows of repeated ids the
+    key is made and compared.
     """
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     again = settle(ids.where("n > 1").select("doc_id"))
@@ -50,4 +51,7 @@ def same_row_once(rows: DataFrame, decided: DataFrame) -> DataFrame:
         return kept
     twice = again.select(F.col("doc_id").alias("_again"))
     match = F.col("doc_id").eqNullSafe(F.col("_again"))
-    return kept.join(twice, match, "left_anti").unionByName(kept.join(twice, match, "left_semi").dropDuplicates(["doc_id", "text"]))
+    wanted = decided.select(F.col("doc_id").alias("_kept"), F.col("key").alias("_wanted"))
+    repeated = kept.join(twice, match, "left_semi").withColumn("_key", key)
+    repeated = repeated.join(wanted, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_key") == F.col("_wanted")), "left_semi")
+    return kept.join(twice, match, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "_key"]).drop("_key"))

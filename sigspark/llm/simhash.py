@@ -120,25 +120,29 @@ def links(prints: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFram
     return tiles.select(F.explode(_links_udf(radius)("fps")).alias("l")).select("l.u", "l.v").distinct()
 
 
+def _grouped(docs: DataFrame, radius: int, part: int) -> DataFrame:
+    """(fp, doc_id, root, component_id, group_size) per row of ``docs``; root, a fingerprint, names the component."""
+    rows = settle(docs.select("doc_id", F.pandas_udf(_fingerprints, "long")("text").alias("fp")))
+    prints = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    joined = components(links(prints.select("fp"), radius, part)).withColumnRenamed("u", "fp")
+    rooted = prints.join(joined, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
+    return rows.join(settle(rooted.select("fp", "root").join(named, "root").select("fp", "root", "component_id", "group_size")), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
     """(doc_id, fingerprint, component_id, group_size) per row of ``docs``; fingerprints link at ``radius`` differing bits or fewer.
 
     Null and empty texts have fingerprint zero, which links like any other. Repeated rows give repeated rows. A component of
     null ids only has a null component_id; otherwise it is the smallest id. Further columns are ignored.
     """
-    rows = settle(docs.select("doc_id", F.pandas_udf(_fingerprints, "long")("text").alias("fp")))
-    prints = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    joined = components(links(prints.select("fp"), radius, part)).withColumnRenamed("u", "fp")
-    rooted = prints.join(joined, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
-    of_print = settle(rooted.select("fp", "root").join(named, "root").select("fp", "component_id", "group_size"))
-    return rows.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
+    return _grouped(docs, radius, part).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id; all columns unchanged."""
-    found = near_duplicates(docs, radius)
-    return same_row_once(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """One document of each component stays, that with the smallest doc_id (of several, with the smallest fingerprint); all columns unchanged."""
+    first = _grouped(docs, radius, PART).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("key"))
+    return same_row_once(docs, first.select("doc_id", "key"), F.pandas_udf(_fingerprints, "long")("text"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,19 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     kept = simhash.drop_near_duplicates(frame(spark, rows)).collect()
     assert sorted(r.doc_id for r in kept) == [3, 9, 11]
     assert simhash.drop_near_duplicates(frame(spark, [])).collect() == []
+
+
+def test_rejected_rows_of_repeated_and_null_ids_stay_away(spark):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (5, "a b"), (5, "a  b"), (None, "b"), (None, "c"), (None, "c "), (None, "d"), (None, "d"), (3, "c ")]
+    kept = sorted((str(r.doc_id), block_normal(r.text)) for r in block_naming.drop_exact_duplicates(frame(spark, rows)).collect())
+    assert kept == [("1", "a"), ("2", "b"), ("3", "c "), ("5", "a b"), ("None", "c"), ("None", "d")]
+    one, two, three, four = ([f"{w}{k}" for k in range(60)] for w in "abcd")
+    texts = {n: " ".join(words) for n, words in zip("abcd", (one, two, three, four))}
+    rows = [(1, "a"), (2, "a"), (2, "b"), (2, "b"), (None, "b"), (None, "c"), (None, "c"), (None, "d"), (6, "a")]
+    kept = simhash.drop_near_duplicates(frame(spark, [(i, texts[t]) for i, t in rows])).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("1", "a"), ("2", "b"), ("None", "c"), ("None", "d")]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "name", "uid"}
+
+
+def block_normal(text):
+    return re.sub(r"[ \t-\r]+", " ", text or "")
