@@ -84,7 +84,7 @@ class Model:
                 harmless.append((start, end))
             else:
                 best[start] = max(best.get(start, weight), weight)
-        total = sum(w for at, w in best.items() if not any(a <= at <= b for a, b in harmless))
+        total = sum(w for at, w in best.items() if not any(a <= at < b for a, b in harmless))      # the space at b begins the next word
         return [np.log1p(total), total / np.sqrt(t.count(" ") or 1)]
 
     def scores(self, texts: pd.Series) -> np.ndarray:

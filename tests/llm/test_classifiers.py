@@ -28,6 +28,12 @@ def larger():
     return path
 
 
+def test_a_word_right_after_an_exception_phrase_counts():
+    model = toxicity.Model({" idiot ": 3.0, " scum": 2.0}, np.zeros(1), np.zeros(2))
+    total = lambda text: round(float(np.expm1(model.features(text)[0])), 6)
+    assert [total(t) for t in ("pond scum", "pond scum idiot", "pond scum pond scum idiot", "idiot pond scum", "pond scum scum")] == [0, 3, 3, 3, 2]
+
+
 def test_quality_of_held_out_rows(spark, larger):
     m = held_out(spark, larger, "op3_quality", "quality")
     assert (m.predicted == m.quality).mean() > 0.97 and m.score.between(0, 1).all()
