@@ -8,8 +8,8 @@ and merges where exactly two current symbols meet. Ranks never fall along the me
 made), so one pass in that order gives the library's result.
 
 Documents meet the encoded units in blocks: a block's texts are shuffled once, compressed, and of its units only the distinct
-ones that are not among a bounded number of common ones travel, with their ids coming back. Nothing that grows with the corpus
-is broadcast.
+ones that are not among a bounded number of common ones travel. The unit goes alone through the lattice; what comes back to a
+block is a long per unit, the ends of its symbols as bits. Nothing that grows with the corpus is broadcast.
 """
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,19 +134,25 @@ def units(text: Column, pieces: Pieces) -> Column:
 
 
 def encoded_units(distinct: DataFrame, pieces: Pieces) -> DataFrame:
-    """``distinct`` (a column unit, no repeats, and others that depend on it) with ``folded``, the ids as an array of ints; null
-    for units of more than SHORT characters, see ``_finished``."""
+    """(unit, mask) of ``distinct`` (a column unit of at most SHORT characters, no repeats): bit k of the mask says that a symbol
+    ends before character k. Units in which no longer piece occurs may be left out; all their characters are symbols."""
     spark = distinct.sparkSession
-    table = F.broadcast(spark.createDataFrame([(p, i, float(s)) for p, i, s in pieces.pieces], "piece string, id int, score double"))     # the model: fixed size
-    rest = [c for c in distinct.columns if c != "unit"]
-    length, short = F.char_length("unit"), F.char_length("unit") <= SHORT
-    starts = distinct.withColumn("start", F.explode(F.sequence(F.lit(0), F.when(short, F.greatest(length - 1, F.lit(0))).otherwise(0))))
-    spans = starts.withColumn("long", F.explode(F.sequence(F.lit(1), F.when(short, F.greatest(F.least(F.lit(pieces.longest), length - F.col("start")), F.lit(1))).otherwise(1))))
-    edges = (spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("long"))).join(table, "piece", "left").where("id is not null or long = 1")
-             .groupBy("unit").agg(F.collect_list(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), "start", (F.col("start") + F.col("long")).alias("stop"), F.coalesce("id", F.lit(-1)).alias("id"))).alias("edges"),
-                                  *[F.first(c).alias(c) for c in rest]))
-    folded = (_merge_fold if pieces.kind == "bpe" else _viterbi_fold)(F.col("edges"), F.col("unit"), pieces)
-    return edges.select("unit", *rest, F.when(short, folded).alias("folded"))
+    ranks = {s: k for k, s in enumerate(sorted({s for _, _, s in pieces.pieces}))}
+    bpe = pieces.kind == "bpe"
+    rows = [(p, ranks[s], float(s)) for p, _, s in pieces.pieces if len(p) > 1 or not bpe]
+    table = F.broadcast(spark.createDataFrame(rows, "piece string, rank int, score double"))        # the model: fixed size
+    length, least = F.char_length("unit"), 2 if bpe else 1
+    starts = distinct.where(length >= least).withColumn("start", F.explode(F.sequence(F.lit(0), length - least)))
+    spans = starts.withColumn("long", F.explode(F.sequence(F.lit(least), F.least(F.lit(max(pieces.longest, least)), length - F.col("start")))))
+    spans = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("long")))
+    stop = F.col("start") + F.col("long")
+    if bpe:                                                         # rank, start and stop in one long, which also sorts by them
+        edge = F.shiftleft(F.col("rank").cast("long"), 12) + (F.col("start") * 64 + stop)
+        edges = spans.join(table, "piece").groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+        return edges.select("unit", _merge_fold(F.col("edges"), F.col("unit")).alias("mask"))
+    edge = F.struct(stop.alias("stop"), "start", F.coalesce("score", F.lit(_unknown(pieces))).alias("score"))
+    edges = spans.join(table, "piece", "left").where("rank is not null or long = 1").groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    return edges.select("unit", _viterbi_fold(F.col("edges"), F.col("unit")).alias("mask"))
 
 
 def _unknown(pieces: Pieces) -> float:
@@ -164,66 +170,68 @@ def _between(mask: Column, start: Column, stop: Column) -> Column:
     return mask.bitwiseAND(inside)
 
 
-def _as_ids(edge: Column, unit: Column, pieces: Pieces) -> Column:
-    """The edge's id, or the ids of the bytes of a character that no piece is."""
-    data = F.substring(unit, edge["start"] + 1, F.lit(1)).cast("binary")
-    table = F.array(*[F.lit(i) for i in pieces.byte_ids])
-    spelled = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda k: F.get(table, F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 10).cast("int")))
-    return F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(spelled)
-
-
-def _merge_fold(edges: Column, unit: Column, pieces: Pieces) -> Column:
+def _merge_fold(edges: Column, unit: Column) -> Column:
     """BPE: boundaries are the bits of a long; an edge merges where both its ends are boundaries and one lies between."""
     one = F.lit(1).cast("long")
     everywhere = F.call_function("shiftleft", one, F.char_length(unit) + 1) - 1
-    longer = F.array_sort(F.filter(edges, lambda e: e["stop"] - e["start"] > 1))
 
     def step(mask: Column, e: Column) -> Column:
-        inner = _between(mask, e["start"], e["stop"])
-        return F.when(_on(mask, e["start"]) & _on(mask, e["stop"]) & (F.bit_count(inner) == 1), mask.bitwiseXOR(inner)).otherwise(mask)
-    bounds = F.aggregate(longer, everywhere, step)
-    kept = lambda mask: F.flatten(F.transform(F.array_sort(F.transform(F.filter(edges, lambda e: _on(mask, e["start"]) & _on(mask, e["stop"]) & (_between(mask, e["start"], e["stop"]) == 0)), lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")))), lambda e: _as_ids(e, unit, pieces)))
-    return F.get(F.transform(F.array(bounds), kept), F.lit(0))
+        start, stop = F.shiftright(e, 6).bitwiseAND(F.lit(63).cast("long")).cast("int"), e.bitwiseAND(F.lit(63).cast("long")).cast("int")
+        inner = _between(mask, start, stop)
+        return F.when(_on(mask, start) & _on(mask, stop) & (F.bit_count(inner) == 1), mask.bitwiseXOR(inner)).otherwise(mask)
+    return F.aggregate(F.array_sort(edges), everywhere, step)
 
 
-def _viterbi_fold(edges: Column, unit: Column, pieces: Pieces) -> Column:
+def _viterbi_fold(edges: Column, unit: Column) -> Column:
     """Unigram: the best way to every end position; of equal scores the longer last piece. Then back along the best edges."""
-    n = F.char_length(unit)
-    kind = "array<struct<score:double,start:int,id:int>>"
-    ordered = F.array_sort(F.transform(edges, lambda e: F.struct(e["stop"].alias("stop"), e["start"].alias("start"), F.when(e["id"] < 0, F.lit(_unknown(pieces))).otherwise(e["score"]).alias("score"), e["id"].alias("id"))))
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("start"), F.lit(-1).alias("id"))).cast(kind)
+    kind = "array<struct<score:double,start:int>>"
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("start"))).cast(kind)
 
     def step(best: Column, e: Column) -> Column:
-        new = F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id"))
+        new = F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"))
         return F.when(F.size(best) == e["stop"], F.concat(best, F.array(new)).cast(kind)).when(new["score"] > F.get(best, e["stop"])["score"], F.concat(F.slice(best, 1, F.size(best) - 1), F.array(new)).cast(kind)).otherwise(best)
-    best = F.aggregate(ordered, first, step)
-    start = F.struct(n.alias("at"), F.array().cast("array<array<int>>").alias("ids")).cast("struct<at:int,ids:array<array<int>>>")
+    best = F.aggregate(F.array_sort(edges), first, step)
+    one = F.lit(1).cast("long")
+    begin = F.struct(F.char_length(unit).alias("at"), F.lit(0).cast("long").alias("mask"))
 
     def back(ways: Column) -> Column:
-        def one(s: Column, _: Column) -> Column:
-            e = F.get(ways, s["at"])
-            return F.when(s["at"] <= 0, s).otherwise(F.struct(e["start"].alias("at"), F.concat(F.array(_as_ids(e, unit, pieces)), s["ids"]).alias("ids")).cast("struct<at:int,ids:array<array<int>>>"))
-        return F.flatten(F.aggregate(F.sequence(F.lit(1), n), start, one)["ids"])
+        def follow(s: Column, _: Column) -> Column:
+            return F.when(s["at"] < 0, s).otherwise(F.struct(F.get(ways, s["at"])["start"].alias("at"), s["mask"].bitwiseOR(F.call_function("shiftleft", one, s["at"])).alias("mask")))
+        return F.aggregate(F.sequence(F.lit(0), F.char_length(unit)), begin, follow)["mask"]
     return F.get(F.transform(F.array(best), back), F.lit(0))
 
 
-def _finished(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """``rows`` with ``ids``, binary, little-endian uint32, instead of ``folded`` and ``unit``; units that were not folded are encoded here.
+class _Reader:
+    """What a task knows of a model: ids of units, from their masks or, for long ones, by merging here."""
 
-    One Python worker per task, which is what bounds an executor's memory.
-    """
-    ids, scores, unknown = {p: i for p, i, _ in pieces.pieces}, {p: s for p, _, s in pieces.pieces}, _unknown(pieces)
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.cut, self.lead = pieces, re.compile(pieces.cuts()).split, SPACE if pieces.prefix else ""
+        self.names = {p: np.uint32(i).tobytes() for p, i, _ in pieces.pieces}
+        self.scores = {p: s for p, _, s in pieces.pieces}
+        self.by_words = self.cut(f"a{SPACE}a") == ["a", f"{SPACE}a"]      # texts can be cut at single spaces first
+
+    def _joined(self, symbols: list[str]) -> bytes:
+        names, spelled = self.names, self.pieces.byte_ids
+        return b"".join([names[s] if s in names else np.array([spelled[b] for b in s.encode("utf-8", "surrogatepass")], "<u4").tobytes() for s in symbols])
+
+    def ids(self, unit: str, mask: int | None) -> bytes:
+        """little-endian uint32 of a unit whose mask has come back; null: every character is a symbol."""
+        if mask is None:
+            return self._joined(list(unit))
+        ends = [k for k in range(1, len(unit) + 1) if mask >> k & 1]
+        return self._joined([unit[a:b] for a, b in zip([0, *ends], ends)])
 
-    def whole(unit: str) -> list[int]:
-        symbols = _merged(unit, scores)[0] if pieces.kind == "bpe" else _viterbi(unit, scores, pieces.longest, unknown)
-        return [i for s in symbols for i in ([ids[s]] if s in ids else [pieces.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")])]
+    def long_ids(self, unit: str) -> bytes:
+        return self._joined(_merged(unit, self.scores)[0] if self.pieces.kind == "bpe" else _viterbi(unit, self.scores, self.pieces.longest, _unknown(self.pieces)))
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [np.asarray(whole(u) if f is None else f, "<u4").tobytes() for u, f in zip(batch["unit"], batch["folded"])]
-            yield batch.drop(columns=["unit", "folded"]).assign(ids=pd.Series(found, dtype=object, index=batch.index))
-    kept = [f"{c} {t}" for c, t in rows.dtypes if c not in ("unit", "folded")]
-    return rows.mapInPandas(finish, ", ".join([*kept, "ids binary"]))
+    def words(self, text: str) -> list[str]:
+        """Parts of the normalised text that no piece crosses: its words where the spaces allow it, else the units."""
+        if not text:
+            return []
+        if self.by_words and text[0] != " " and "  " not in text and SPACE not in text:
+            first, *rest = text.split(" ")
+            return [self.lead + first, *map(SPACE.__add__, rest)]
+        return self.cut(self.lead + text.replace(" ", SPACE))
 
 
 def _tasks(docs: DataFrame) -> int:
@@ -236,60 +244,73 @@ def _common(docs: DataFrame, pieces: Pieces, total: int) -> dict[str, bytes]:
     share = max(1, total // SAMPLE_BYTES)
     counted = (docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select(F.explode(units(F.col("text"), pieces)).alias("unit"))
                .groupBy("unit").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.char_length("unit") <= SHORT)).orderBy(F.desc("n"), "unit").limit(COMMON_UNITS))
-    found = _finished(encoded_units(counted.select("unit").repartition(_tasks(docs), "unit"), pieces).withColumn("name", F.col("unit")), pieces).toArrow()     # COMMON_UNITS short rows at most
-    return dict(zip(found["name"].to_pylist(), found["ids"].to_pylist()))
+    chosen = counted.select("unit").repartition(_tasks(docs), "unit")
+    found = chosen.join(encoded_units(chosen, pieces).hint("shuffle_hash"), "unit", "left").toArrow()           # COMMON_UNITS short rows at most
+    reader = _Reader(pieces)
+    return {u: reader.ids(u, m) for u, m in zip(found["unit"].to_pylist(), found["mask"].to_pylist())}
 
 
 def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, ids) per row of ``docs``: array of ints, empty for null and empty texts. Repeated rows give repeated rows; other columns are ignored.
+    """(doc_id, ids) per row of ``docs``: array of ints, empty for null and empty texts. Repeated rows give repeated rows; other
+    columns are ignored; doc_id may be of any type.
 
-    The COMMON_UNITS most frequent units reach all tasks by a broadcast, which that number bounds; all others go to the one
-    task that encodes them and back to the blocks that have them.
+    The COMMON_UNITS most frequent units reach all tasks by a broadcast, which that number bounds. Of all others a block asks for
+    its distinct ones: the unit goes alone through the lattice, and what comes back to (block, place) is one long, where the symbols end.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    cut, lead = re.compile(pieces.cuts()), SPACE if pieces.prefix else ""
     frequent = _common(docs, pieces, total)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     sample = " ".join(frequent)[-ZSTD_BYTES:].replace(SPACE, "").encode("utf-8", "surrogatepass")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def known() -> zstandard.ZstdCompressionDict | None:
         return zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(sample) > 8 else None
 
-    def pack(text: pd.Series) -> pd.Series:
+    def pack(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=6, dict_data=known())
-        return pd.Series([None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in text])
-    pack.__annotations__ = {"text": pd.Series, "return": pd.Series}
+        for batch in texts:
+            packed = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["block"], pa.array(packed, pa.binary())], names=["doc_id", "block", "data"])
 
-    def cut_texts(data: pd.Series) -> Iterator[list[str]]:
+    def texts_of(data: pa.ChunkedArray) -> Iterator[str]:
         release = zstandard.ZstdDecompressor(dict_data=known())
         for d in data:
-            t = "" if d is None else release.decompress(d).decode("utf-8", "surrogatepass")
-            yield cut.split(lead + t.replace(" ", SPACE)) if t else []
-
-    def rare(data: pd.Series) -> list[str]:
-        """Distinct units of a block that are not common, in order."""
-        seen: set[str] = set()
-        for u in cut_texts(data):
-            seen.update(u)
-        return sorted(seen.difference(shared.value))
-
-    def listed(block: pd.DataFrame) -> pd.DataFrame:
-        found = rare(block["data"])
-        return pd.DataFrame({"unit": pd.Series(found, dtype=object), "block": block["block"].iat[0], "place": np.arange(len(found), dtype="i4")})
-
-    def look_up(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        names, common = rare(texts["data"]), shared.value
-        own = dict(zip(map(names.__getitem__, found["place"]), found["ids"]))
-        ids = [np.frombuffer(b"".join([common.get(u) or own[u] for u in us]), "<i4") for us in cut_texts(texts["data"])]
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "ids": ids})
-
-    packed = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.pandas_udf(pack, "binary")("text").alias("data"))
-    asked = packed.groupBy("block").applyInPandas(listed, "unit string, block long, place int")
-    distinct = asked.repartition(_tasks(docs), "unit").groupBy("unit").agg(F.collect_list(F.struct("block", "place")).alias("asked"))        # one entry per block at most
-    asked_for = encoded_units(distinct, pieces).select(F.explode("asked").alias("a"), F.when(F.col("folded").isNull(), F.col("unit")).alias("unit"), "folded")
-    back = _finished(asked_for.select(F.col("a.block").alias("b"), F.col("a.place").alias("place"), "unit", "folded"), pieces)
-    return packed.groupBy("block").cogroup(back.groupBy("b")).applyInPandas(look_up, "doc_id long, ids array<int>")
+            yield release.decompress(d.as_py()).decode("utf-8", "surrogatepass") if d.is_valid else ""
+
+    def cut_up(data: pa.ChunkedArray, reader: _Reader) -> tuple[dict[str, list[str]], list[str], list[str]]:
+        """Units of every distinct word of a block, and its distinct units that are not common: those that are asked for, in order, and the long ones."""
+        words: set[str] = set()
+        for text in texts_of(data):
+            words.update(reader.words(text))
+        parts = {w: [w] if w[0] == SPACE and w[1:].isascii() and w[1:].isalpha() else reader.cut(w) for w in words.difference(shared.value)}
+        rare = set().union(*parts.values()).difference(shared.value)
+        return parts, sorted(u for u in rare if len(u) <= SHORT), [u for u in rare if len(u) > SHORT]
+
+    def listed(block: pa.Table) -> pa.Table:
+        names = cut_up(block["data"], _Reader(pieces))[1]
+        slots = np.arange(len(names), dtype=np.int64) + (block["block"][0].as_py() << 32)
+        return pa.Table.from_arrays([pa.array(names, pa.string()), pa.array(slots)], names=["unit", "slot"])
+
+    def look_up(texts: pa.Table, found: pa.Table) -> pa.Table:
+        reader, common = _Reader(pieces), shared.value
+        parts, names, long_units = cut_up(texts["data"], reader)
+        own = {u: reader.long_ids(u) for u in long_units}
+        for place, mask in zip(found["place"].to_pylist(), found["mask"].to_pylist()):
+            own[names[place]] = reader.ids(names[place], mask)
+        by_word = {w: b"".join([common.get(u) or own[u] for u in us]) for w, us in parts.items()}
+        of = {**common, **by_word}.__getitem__
+        ids = [b"".join(map(of, reader.words(t))) for t in texts_of(texts["data"])]
+        ends = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
+        values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+        return pa.Table.from_arrays([texts["doc_id"], pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
+
+    blocked = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "text")
+    packed = blocked.mapInArrow(pack, f"doc_id {kind}, block long, data binary")
+    asked = packed.groupBy("block").applyInArrow(listed, "unit string, slot long").repartition(_tasks(docs), "unit")
+    encoded = encoded_units(asked.select("unit").distinct(), pieces)
+    back = asked.join(encoded.hint("shuffle_hash"), "unit", "left").select(F.shiftright("slot", 32).alias("b"), F.col("slot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"), "mask")
+    return packed.groupBy("block").cogroup(back.groupBy("b")).applyInArrow(look_up, f"doc_id {kind}, ids array<int>")
 
 
 def _spelled(ids: Column, spelling: list[bytes]) -> Column:
