@@ -17,6 +17,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -201,6 +202,12 @@ def _viterbi_fold(edges: Column, unit: Column) -> Column:
     return F.get(F.transform(F.array(best), back), F.lit(0))
 
 
+@lru_cache(1 << 16)
+def _between_bits(mask: int) -> list[slice]:
+    ends = [k for k in range(1, mask.bit_length()) if mask >> k & 1]
+    return [slice(a, b) for a, b in zip([0, *ends], ends)]
+
+
 class _Reader:
     """What a task knows of a model: ids of units, from their masks or, for long ones, by merging here."""
 
@@ -208,30 +215,32 @@ class _Reader:
         self.pieces, self.cut, self.lead = pieces, re.compile(pieces.cuts()).split, SPACE if pieces.prefix else ""
         self.names = {p: np.uint32(i).tobytes() for p, i, _ in pieces.pieces}
         self.scores = {p: s for p, _, s in pieces.pieces}
-        self.by_words = self.cut(f"a{SPACE}a") == ["a", f"{SPACE}a"]      # texts can be cut at single spaces first
+        self.by_words = self.lead == SPACE and self.cut(f"a{SPACE}a") == ["a", f"{SPACE}a"]      # texts can be cut at single spaces first
+        self.may_cut = re.compile(f"[\x00-\x40\\[-`{{-\x7f{SPACE}]").search                         # no cut is beside letters alone
 
     def _joined(self, symbols: list[str]) -> bytes:
         names, spelled = self.names, self.pieces.byte_ids
-        return b"".join([names[s] if s in names else np.array([spelled[b] for b in s.encode("utf-8", "surrogatepass")], "<u4").tobytes() for s in symbols])
+        try:
+            return b"".join([names[s] for s in symbols])
+        except KeyError:
+            return b"".join([names[s] if s in names else np.array([spelled[b] for b in s.encode("utf-8", "surrogatepass")], "<u4").tobytes() for s in symbols])
 
     def ids(self, unit: str, mask: int | None) -> bytes:
         """little-endian uint32 of a unit whose mask has come back; null: every character is a symbol."""
-        if mask is None:
-            return self._joined(list(unit))
-        ends = [k for k in range(1, len(unit) + 1) if mask >> k & 1]
-        return self._joined([unit[a:b] for a, b in zip([0, *ends], ends)])
+        return self._joined(list(unit) if mask is None else [unit[s] for s in _between_bits(mask)])
 
     def long_ids(self, unit: str) -> bytes:
         return self._joined(_merged(unit, self.scores)[0] if self.pieces.kind == "bpe" else _viterbi(unit, self.scores, self.pieces.longest, _unknown(self.pieces)))
 
-    def words(self, text: str) -> list[str]:
-        """Parts of the normalised text that no piece crosses: its words where the spaces allow it, else the units."""
-        if not text:
-            return []
-        if self.by_words and text[0] != " " and "  " not in text and SPACE not in text:
-            first, *rest = text.split(" ")
-            return [self.lead + first, *map(SPACE.__add__, rest)]
-        return self.cut(self.lead + text.replace(" ", SPACE))
+    def even(self, text: str) -> bool:
+        """Words between single spaces, each a space and letters or signs: such a text is cut word by word."""
+        return self.by_words and text[:1] not in ("", " ") and "  " not in text and SPACE not in text
+
+    def units(self, text: str) -> list[str]:
+        return self.cut(self.lead + text.replace(" ", SPACE)) if text else []
+
+    def units_of_word(self, word: str) -> list[str]:
+        return self.cut(SPACE + word) if self.may_cut(word) else [SPACE + word]
 
 
 def _tasks(docs: DataFrame) -> int:
@@ -279,12 +288,16 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> D
             yield release.decompress(d.as_py()).decode("utf-8", "surrogatepass") if d.is_valid else ""
 
     def cut_up(data: pa.ChunkedArray, reader: _Reader) -> tuple[dict[str, list[str]], list[str], list[str]]:
-        """Units of every distinct word of a block, and its distinct units that are not common: those that are asked for, in order, and the long ones."""
+        """Units of every distinct word of a block's even texts, and its distinct units that are not common: those that are asked for, in order, and the long ones."""
         words: set[str] = set()
+        rare: set[str] = set()
         for text in texts_of(data):
-            words.update(reader.words(text))
-        parts = {w: [w] if w[0] == SPACE and w[1:].isascii() and w[1:].isalpha() else reader.cut(w) for w in words.difference(shared.value)}
-        rare = set().union(*parts.values()).difference(shared.value)
+            if reader.even(text):
+                words.update(text.split(" "))
+            else:
+                rare.update(reader.units(text))
+        parts = {w: reader.units_of_word(w) for w in words}
+        rare = rare.union(*parts.values()).difference(shared.value)
         return parts, sorted(u for u in rare if len(u) <= SHORT), [u for u in rare if len(u) > SHORT]
 
     def listed(block: pa.Table) -> pa.Table:
@@ -298,9 +311,8 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> D
         own = {u: reader.long_ids(u) for u in long_units}
         for place, mask in zip(found["place"].to_pylist(), found["mask"].to_pylist()):
             own[names[place]] = reader.ids(names[place], mask)
-        by_word = {w: b"".join([common.get(u) or own[u] for u in us]) for w, us in parts.items()}
-        of = {**common, **by_word}.__getitem__
-        ids = [b"".join(map(of, reader.words(t))) for t in texts_of(texts["data"])]
+        of_word = {w: b"".join([common.get(u) or own[u] for u in us]) for w, us in parts.items()}.__getitem__
+        ids = [b"".join(map(of_word, t.split(" ")) if reader.even(t) else [common.get(u) or own[u] for u in reader.units(t)]) for t in texts_of(texts["data"])]
         ends = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
         values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
         return pa.Table.from_arrays([texts["doc_id"], pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
@@ -308,7 +320,8 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> D
     blocked = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "text")
     packed = blocked.mapInArrow(pack, f"doc_id {kind}, block long, data binary")
     asked = packed.groupBy("block").applyInArrow(listed, "unit string, slot long").repartition(_tasks(docs), "unit")
-    encoded = encoded_units(asked.select("unit").distinct(), pieces)
+    distinct = asked.groupBy("unit").agg(F.min("slot").alias("slot")).where("slot >= 0")           # both columns, so that the exchange of `asked` is used twice
+    encoded = encoded_units(distinct.select("unit"), pieces)
     back = asked.join(encoded.hint("shuffle_hash"), "unit", "left").select(F.shiftright("slot", 32).alias("b"), F.col("slot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"), "mask")
     return packed.groupBy("block").cogroup(back.groupBy("b")).applyInArrow(look_up, f"doc_id {kind}, ids array<int>")
 
