@@ -80,7 +80,8 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key_bits:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged."""
+    """The rows of ``docs`` that stay, all columns unchanged. Null texts are equal to empty ones; of rows equal in id and text one
+    stays; an empty table stays empty."""
     digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
     return same_row_once(docs, exact_duplicates(docs).where("kept").select("doc_id", F.col("text_sha256").alias("key")), digest)
 

@@ -13,6 +13,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(wanted: str, *tables: DataFrame) -> str:
+    """``wanted``, or that with underscores behind it, such that no column of ``tables`` has it in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; what is read twice must not be computed twice with other row numbers."""
     return cut_lineage(df)
@@ -44,14 +52,15 @@ def same_row_once(rows: DataFrame, decided: DataFrame, key: Column) -> DataFrame
     Ids that occur once, the usual case, are told by the id and never shuffle their text; only for rows of repeated ids the
     key is made and compared.
     """
+    kept_id, again_id, own, wanted_key = (free_name(c, rows) for c in ("_kept", "_again", "_key", "_wanted"))
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     again = settle(ids.where("n > 1").select("doc_id"))
-    kept = rows.join(decided.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = rows.join(decided.select(F.col("doc_id").alias(kept_id)).distinct(), F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
     if again.isEmpty():
         return kept
-    twice = again.select(F.col("doc_id").alias("_again"))
-    match = F.col("doc_id").eqNullSafe(F.col("_again"))
-    wanted = decided.select(F.col("doc_id").alias("_kept"), F.col("key").alias("_wanted"))
-    repeated = kept.join(twice, match, "left_semi").withColumn("_key", key)
-    repeated = repeated.join(wanted, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_key") == F.col("_wanted")), "left_semi")
-    return kept.join(twice, match, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    twice = again.select(F.col("doc_id").alias(again_id))
+    match = F.col("doc_id").eqNullSafe(F.col(again_id))
+    wanted = decided.select(F.col("doc_id").alias(kept_id), F.col("key").alias(wanted_key))
+    repeated = kept.join(twice, match, "left_semi").withColumn(own, key)
+    repeated = repeated.join(wanted, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(wanted_key)), "left_semi")
+    return kept.join(twice, match, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", own]).drop(own))

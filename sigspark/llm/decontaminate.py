@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import free_name, load
 
 WINDOW, PARTS = 13, 20
 SHARD_WORDS = 1_000_000                             # item words in one automaton, which is what a broadcast holds
@@ -193,17 +193,19 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, parts: int = PARTS, cut: bool = False) -> DataFrame:
     """``docs`` without documents of which windows cover one word in ``parts`` or more; the rest is unchanged.
 
-    With ``cut`` those documents stay, and lose the covered spans instead.
+    With ``cut`` those documents stay, and lose the covered spans instead. Null and empty texts have no words and stay; repeated
+    rows are judged alike; an empty table stays empty, and an empty benchmark changes nothing.
     """
-    found = contamination(docs, benchmark, "_found", window)
-    bad = contaminated(F.col("_found"), parts)
+    name = free_name("_found", docs)
+    found = contamination(docs, benchmark, name, window)
+    bad = contaminated(F.col(name), parts)
     if not cut:
-        return found.where(~bad).drop("_found")
+        return found.where(~bad).drop(name)
 
     def removed(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without_spans(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(text, spans)])
     removed.__annotations__ = {"text": pd.Series, "spans": pd.Series, "return": pd.Series}
-    return found.withColumn("text", F.when(bad, F.pandas_udf(removed, "string")("text", "_found.spans")).otherwise(F.col("text"))).drop("_found")
+    return found.withColumn("text", F.when(bad, F.pandas_udf(removed, "string")("text", F.col(name)["spans"])).otherwise(F.col("text"))).drop(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

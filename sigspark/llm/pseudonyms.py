@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import free_name, load
 
 ROUNDS = 8
 LOWER, UPPER, DIGIT, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
@@ -335,8 +335,9 @@ def pseudonyms(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     def change(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([pseudonymised(t, feistel, back) for t in text], columns=["text", "pii"])
     change.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}
-    changed = docs.withColumn("_changed", F.pandas_udf(change, "text string, pii map<string,long>")("text"))
-    return changed.withColumn("text", F.col("_changed.text")).withColumn("pii", F.col("_changed.pii")).drop("_changed")
+    name = free_name("_changed", docs)
+    changed = docs.withColumn(name, F.pandas_udf(change, "text string, pii map<string,long>")("text"))
+    return changed.withColumn("text", F.col(name)["text"]).withColumn("pii", F.col(name)["pii"]).drop(name)
 
 
 def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

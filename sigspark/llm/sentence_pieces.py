@@ -143,7 +143,8 @@ def encoded_units(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     rows = [(p, ranks[s], float(s)) for p, _, s in pieces.pieces if len(p) > 1 or not bpe]
     table = F.broadcast(spark.createDataFrame(rows, "piece string, rank int, score double"))        # the model: fixed size
     length, least = F.char_length("unit"), 2 if bpe else 1
-    starts = distinct.where(length >= least).withColumn("start", F.explode(F.sequence(F.lit(0), length - least)))
+    # outer, so that no filter on the length is pushed below the exchange that `distinct` shares with others
+    starts = distinct.withColumn("start", F.explode_outer(F.when(length >= least, F.sequence(F.lit(0), length - least)))).where("start is not null")
     spans = starts.withColumn("long", F.explode(F.sequence(F.lit(least), F.least(F.lit(max(pieces.longest, least)), length - F.col("start")))))
     spans = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("long")))
     stop = F.col("start") + F.col("long")
@@ -272,6 +273,12 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> D
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     sample = " ".join(frequent)[-ZSTD_BYTES:].replace(SPACE, "").encode("utf-8", "surrogatepass")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    readers: list[_Reader] = []                                     # one in a task, for all its blocks
+
+    def own_reader() -> _Reader:
+        if not readers:
+            readers.append(_Reader(pieces))
+        return readers[0]
 
     def known() -> zstandard.ZstdCompressionDict | None:
         return zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(sample) > 8 else None
@@ -301,12 +308,12 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> D
         return parts, sorted(u for u in rare if len(u) <= SHORT), [u for u in rare if len(u) > SHORT]
 
     def listed(block: pa.Table) -> pa.Table:
-        names = cut_up(block["data"], _Reader(pieces))[1]
+        names = cut_up(block["data"], own_reader())[1]
         slots = np.arange(len(names), dtype=np.int64) + (block["block"][0].as_py() << 32)
         return pa.Table.from_arrays([pa.array(names, pa.string()), pa.array(slots)], names=["unit", "slot"])
 
     def look_up(texts: pa.Table, found: pa.Table) -> pa.Table:
-        reader, common = _Reader(pieces), shared.value
+        reader, common = own_reader(), shared.value
         parts, names, long_units = cut_up(texts["data"], reader)
         own = {u: reader.long_ids(u) for u in long_units}
         for place, mask in zip(found["place"].to_pylist(), found["mask"].to_pylist()):
@@ -319,7 +326,7 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> D
 
     blocked = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "text")
     packed = blocked.mapInArrow(pack, f"doc_id {kind}, block long, data binary")
-    asked = packed.groupBy("block").applyInArrow(listed, "unit string, slot long").repartition(_tasks(docs), "unit")
+    asked = packed.groupBy("block").applyInArrow(listed, "unit string, slot long").where("unit is not null").repartition(_tasks(docs), "unit")
     distinct = asked.groupBy("unit").agg(F.min("slot").alias("slot")).where("slot >= 0")           # both columns, so that the exchange of `asked` is used twice
     encoded = encoded_units(distinct.select("unit"), pieces)
     back = asked.join(encoded.hint("shuffle_hash"), "unit", "left").select(F.shiftright("slot", 32).alias("b"), F.col("slot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"), "mask")

@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, part: int = PART) ->
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id (of several, with the smallest fingerprint); all columns unchanged."""
+    """One document of each component stays, that with the smallest doc_id (of several, with the smallest fingerprint); all columns unchanged.
+    Null and empty texts have fingerprint zero and are one group; of rows equal in id and fingerprint one stays; an empty table stays empty."""
     first = _grouped(docs, radius, PART).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("key"))
     return same_row_once(docs, first.select("doc_id", "key"), F.pandas_udf(_fingerprints, "long")("text"))
 

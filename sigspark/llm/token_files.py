@@ -40,11 +40,12 @@ _FIRST = np.dtype([("null", "u1"), ("doc_id", "<i8")])
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
 
 
-_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9À-ÖØ-öø-ɏ]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")   # the vocabulary's own split, for Latin text
+# Fixed values of the vocabulary: its own split, for Latin text, and how it writes bytes.
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9À-ÖØ-öø-ɏ]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 _LATIN = re.compile("[\x00-\x7fÀ-ɏ]*").fullmatch
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_SIGNS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}      # how the vocabulary writes bytes
+_BYTE_SIGNS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
 
 class Encoder:
@@ -92,10 +93,10 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        for p in set().union(*pieces):
-            if p not in known:
-                known[p] = older[p] if p in older else self._new(" " + p)
-        return [whole[k] if k in whole else h + b"".join([known[x] for x in p]) for k, (h, p) in enumerate(zip(heads, pieces))]
+        for p in set().union(*pieces).difference(known):
+            known[p] = older[p] if p in older else self._new(" " + p)
+        of = known.__getitem__
+        return [whole[k] if k in whole else h + b"".join(map(of, p)) for k, (h, p) in enumerate(zip(heads, pieces))]
 
 
 @lru_cache(2)
@@ -141,7 +142,7 @@ class FileWriter:
     def _frame(self) -> None:
         docs = np.array(self.docs, _DOC)
         plain = b"".join([struct.pack("<I", len(docs)), docs.tobytes(), *self.ids])
-        packed = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True).compress(plain)
+        packed = zstandard.ZstdCompressor(level=LEVEL).compress(plain)
         self.out.write(packed)
         self.entries.append((len(packed), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
         self.firsts.append((docs["null"][0], docs["doc_id"][0]))

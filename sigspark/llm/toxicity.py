@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, labelled_sample, load
+from .common import fold_of, free_name, labelled_sample, load
 
 SAMPLE_ROWS = 20_000                                # labelled documents that are fitted on, at most
 FOLDS = 5                                           # fold 0 of crc32(doc_id) is held out
@@ -145,8 +145,10 @@ def scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, all columns unchanged."""
-    return scored(docs, fit(docs, labels), "_score").where(F.col("_score") < threshold).drop("_score")
+    """The rows of ``docs`` that score below the threshold, all columns unchanged. Null and empty texts score as texts without
+    a listed word; repeated rows are judged alike; an empty table stays empty."""
+    score = free_name("_score", docs)
+    return scored(docs, fit(docs, labels), score).where(F.col(score) < threshold).drop(score)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
