@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 TARGET_ROWS = 2_000_000
 SAMPLES = 20                                        # sampled rows per range
+COARSE = 1_000                                      # cut points that are constants of a plan, at most
+SHARED_CUTS = 1 << 18                               # cut points of a table that is broadcast, at most
 RANGE = "_range"
 
 
@@ -30,16 +34,22 @@ def range_rows(df: DataFrame, target_rows: int | None) -> int:
     return target_rows or int(df.sparkSession.conf.get("spark.sigspark.rangeRows", str(TARGET_ROWS)))
 
 
+def _sampled(df: DataFrame, order: list[str], rows: int, n_rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` by hash, as distinct order tuples and their number ``_n``."""
+    every = max(1, n_rows // rows)
+    sample = df.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0) if every > 1 else df
+    return sample.groupBy(*order).agg(F.count("*").alias("_n"))
+
+
 def _cut_points(df: DataFrame, order: list[str], n: int, n_rows: int) -> list:
     """At most n - 1 order tuples that cut the rows into nearly equal parts, from a hash sample of SAMPLES rows per range.
 
     The tuples themselves are cut points, so any type that Spark orders will do, strings with a long common beginning too,
-    and a heavy value of one column is cut by the next. Only the sample reaches the driver, and where the cuts lie
-    changes the work per task, never a result.
+    and a heavy value of one column is cut by the next. Only the sample reaches the driver; if it holds more tuples than
+    meant, a random part of them. Where the cuts lie changes the work per task, never a result.
     """
-    every = max(1, n_rows // (SAMPLES * n))
-    sample = df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0) if every > 1 else df.select(*order)
-    distinct = sample.groupBy(*order).agg(F.count("*").alias("_n")).orderBy(*order).limit(4 * SAMPLES * n).collect()
+    some = _sampled(df, order, SAMPLES * n, n_rows).orderBy(F.xxhash64(*order, F.lit("cut"))).limit(2 * SAMPLES * n)
+    distinct = some.orderBy(*order).collect()
     total, seen, place, cuts = sum(r["_n"] for r in distinct), 0, 1, []
     for r in distinct:
         while place < n and seen * n >= place * total:          # a tuple heavier than a range is a cut point once
@@ -50,33 +60,59 @@ def _cut_points(df: DataFrame, order: list[str], n: int, n_rows: int) -> list:
     return cuts
 
 
+def _fine_cuts(df: DataFrame, order: list[str], coarse: str, parts: int, n: int, n_rows: int) -> DataFrame:
+    """(coarse, _cuts): at most ``parts`` - 1 cut points inside each coarse range, as a table made by tasks. A task holds the
+    sample of one coarse range, SAMPLES tuples for each of its parts."""
+    sample = _sampled(df, [*order, coarse], SAMPLES * n, n_rows)
+    before = Window.partitionBy(coarse).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = (sample.withColumns({"_seen": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(coarse))})
+              .withColumn("_place", F.floor(F.col("_seen") * parts / F.col("_all"))))
+    first = placed.where(F.floor((F.col("_seen") + F.col("_n")) * parts / F.col("_all")) > F.col("_place")).where("_seen > 0")
+    return first.groupBy(coarse).agg(F.array_sort(F.collect_list(_tuple(order))).alias("_cuts"))
+
+
+def _tuple(order: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(order)])
+
+
+def _place(points: Column, size: Column, steps: int, own: Column) -> Column:
+    """How many of the sorted ``points`` are not above ``own``, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        right = F.get(points, mid) <= own
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
+
+
 def with_ranges(df: DataFrame, order: list[str], target_rows: int | None = None, n_rows: int | None = None
                 ) -> tuple[DataFrame, int]:
     """Add ``_range``: an order-preserving bucket of about ``target_rows`` rows. Returns (df, number of ranges).
 
     A range begins at a cut point and holds every row up to the next one; rows with equal order columns share a range.
-    Nulls come first, as Spark sorts them.
+    Nulls come first, as Spark sorts them. Up to COARSE cut points are constants of the plan; where more are needed, the finer
+    ones are a table (one row per coarse range) that is made by tasks and joined, broadcast while it has at most SHARED_CUTS
+    points. So the driver sees at most 2 * SAMPLES * COARSE sampled tuples, whatever the input.
     """
     target_rows = range_rows(df, target_rows)
     if n_rows is None:
         n_rows = df.count()
     n = math.ceil(n_rows / target_rows)
-    cuts = _cut_points(df, order, n, n_rows) if n > 1 else []
+    cuts = _cut_points(df, order, min(n, COARSE), n_rows) if n > 1 else []
     if not cuts:
         return df.withColumn(RANGE, F.lit(0)), 1
     kinds = [df.schema[c].dataType for c in order]
     constant = lambda v, t: F.lit(v.isoformat()).cast(t) if isinstance(t, T.TimestampNTZType) and v is not None else F.lit(v).cast(t)
     points = F.array(*[F.struct(*[constant(v, t).alias(f"c{k}") for k, (v, t) in enumerate(zip(point, kinds))]) for point in cuts])     # folded to one constant
-    own = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(order)])
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.shiftright(s["lo"] + s["hi"], 1)
-        right = F.get(points, mid) <= own
-        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi")))
-    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-    found = F.aggregate(steps, start, halve)["lo"]
-    return df.withColumn(RANGE, found), len(cuts) + 1
+    found = df.withColumn(RANGE, _place(points, F.lit(len(cuts)), len(cuts).bit_length(), _tuple(order)))
+    if n <= COARSE:
+        return found, len(cuts) + 1
+    parts = math.ceil(n / (len(cuts) + 1))
+    fine = cut_lineage(_fine_cuts(found, order, RANGE, parts, n, n_rows)).withColumnRenamed(RANGE, "_coarse")
+    both = found.join(F.broadcast(fine) if n <= SHARED_CUTS else fine, F.col(RANGE) == F.col("_coarse"), "left")
+    inner = _place(F.col("_cuts"), F.coalesce(F.size("_cuts"), F.lit(0)), parts.bit_length(), _tuple(order))
+    return both.withColumn(RANGE, F.col(RANGE) * parts + F.when(F.col("_cuts").isNull(), 0).otherwise(inner)).drop("_coarse", "_cuts"), (len(cuts) + 1) * parts
 
 
 def null_safe(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -172,6 +208,15 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], target_rows: int |
     return OrderedScan(rows, list(keys), list(order), n)
 
 
+def _hashable(rows: DataFrame) -> list[Column]:
+    """All columns in a form that a hash takes: those that hold a map as JSON, variants as text."""
+    def holds(kind: T.DataType, *wanted: type) -> bool:
+        inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.keyType, kind.valueType] if isinstance(kind, T.MapType) else []
+        return isinstance(kind, wanted) or any(holds(k, *wanted) for k in inner)
+    named = [(F.col(f"`{f.name.replace('`', '``')}`"), f.dataType) for f in rows.schema]
+    return [F.to_json(F.struct(c.alias("v"))) if holds(t, T.MapType, T.VariantType) else c for c, t in named]
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner",
                 salts: int = 64, share: int = 1000) -> DataFrame:
     """Join rows with a table that has one line per key and states in ``weight`` how many rows carry that key.
@@ -182,7 +227,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, h
     total = table.agg(F.sum(weight)).first()[0] or 0
     hot = table.where(F.col(weight) * share > F.lit(total)).select(*on).withColumn("_hot", F.lit(True))
     salted_rows = (null_safe(rows, F.broadcast(hot), on, "left")
-                   .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+                   .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*_hashable(rows)), F.lit(salts)))
                                .otherwise(F.lit(0)).cast("int")).drop("_hot"))
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_table = (table.withColumn("_salt", F.explode(

@@ -384,6 +384,13 @@ def kofn_onsets(spark, sf_dir):
     return sequences.alarm_summary(rows, ["user_id"])
 
 
+@register("kofn_onsets_many_ranges", f"WITH {_ALARMS} SELECT user_id, count(*) AS n, sum(fl)::BIGINT AS flags, sum(onset::INT)::BIGINT AS onsets FROM o GROUP BY 1")
+def kofn_onsets_many_ranges(spark, sf_dir):
+    """The same scan cut into ranges of 500 rows, as a table far larger than a range would be."""
+    rows = sequences.alarms(load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], F.col("value") > 100, target_rows=500)
+    return sequences.alarm_summary(rows, ["user_id"])
+
+
 @register("alarm_rate", f"""WITH {_ALARMS}, p AS (SELECT user_id, sum(onset::INT)::BIGINT AS onsets, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0 AS hours FROM o GROUP BY 1)
 SELECT user_id, onsets, round(hours, 6) AS hours, round(CASE WHEN hours > 0 THEN onsets / hours END, 6) AS per_hour,
   round(CASE WHEN onsets = 0 AND hours > 0 THEN -ln(0.05) / hours END, 6) AS zero_onsets_upper95 FROM p""")

@@ -50,7 +50,23 @@ a AS (SELECT *, sum(fl) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BE
 SELECT user_id, ts, event_id FROM (SELECT *, lag(active, 1, false) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM a) WHERE active AND NOT before""")
 def stream_alarm_onsets(spark, sf_dir):
     f = feed(spark, sf_dir).withColumn("flag", F.col("value") > 100)
-    return drained(spark, alarms.alarm_onsets(f, "user_id", "ts", "event_id", "flag"), "onsets")
+    return drained(spark, alarms.alarm_onsets(f, "user_id", "ts", "event_id", "flag", delay="0 seconds"), "onsets")
+
+
+@register("stream_alarms_out_of_order", f"""WITH f AS (SELECT user_id, ts, event_id, (value > 60)::INT AS fl FROM events WHERE ts <= {_mark('2 DAY')}),
+g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 HOUR AS gap FROM f), r AS (SELECT *, sum(coalesce(gap, false)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g),
+a AS (SELECT *, sum(fl) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 AS active FROM r)
+SELECT user_id, ts, event_id FROM (SELECT *, lag(active, 1, false) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS before FROM a) WHERE active AND NOT before""")
+def stream_alarms_out_of_order(spark, sf_dir):
+    """Events landed in files of a day and two thirds each, every row in its own or the file after, one file a micro-batch;
+    alarms begin anew after 30 hours of silence."""
+    events, at = load(spark, sf_dir, "events"), scratch_path(spark, "landed")
+    hours = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    part = F.floor(hours / 40) + F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for number in [r[0] for r in events.select(part.alias("p")).distinct().orderBy("p").collect()]:         # one landing after another, as files arrive
+        events.where(part == number).coalesce(1).write.parquet(f"{at}/{number:06d}")
+    rows = alarms.replay(spark, f"{at}/*", "*.parquet", events.schema, files_per_batch=1).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("flag", F.col("value") > 60)
+    return drained(spark, alarms.alarm_onsets(rows, "user_id", "ts", "event_id", "flag", delay="2 days", idle_seconds=30 * 3600), "onsets")
 
 
 @register("stream_onset_budget", f"""WITH e AS (SELECT event_type, ts FROM events WHERE value > 100), w AS (SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS s FROM e, (SELECT unnest(range(12)) AS k))

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def decisions_per_second(scores: DataFrame, keys: list[str], ts: str, score: str, threshold: float, delay: str = "10 seconds", every: str = "1 second") -> DataFrame:
@@ -22,32 +22,84 @@ def decisions_per_second(scores: DataFrame, keys: list[str], ts: str, score: str
             .select(*keys, F.col("w.start").alias("second"), F.col("w.end").alias("second_end"), "mean_score", "peak_score", "tiles", (F.col("mean_score") > threshold).alias("flagged")))
 
 
-def alarm_onsets(flags: DataFrame, key: str, ts: str, tie: str, flag: str, k: int = 2, n: int = 3) -> DataFrame:
-    """(key, ts, tie): rows at which a K-of-N alarm starts. State per key: the last n flags and whether it was active.
+class KOfNAlarm(StatefulProcessor):
+    """Alarms of one key. State is one row: the flags up to the watermark that wait for their turn, the last n flags that had
+    it, whether the alarm was on, and the timer that is set.
 
-    Feed it decisions_per_second and bound the micro-batch at the source (maxFilesPerTrigger, maxBytesPerTrigger): a key
-    then holds one row per second of the batch. Rows of one key must arrive in event-time order across micro-batches, as watermarked aggregations emit them; inside
-    a micro-batch they are sorted here.
+    A row waits until the watermark has passed it, so rows come in event-time order whatever the micro-batches were. After a
+    release the timer waits for the next pending row or, if none is left, for the end of the idle time, when the state goes.
     """
-    source = flags.select(key, ts, tie, F.col(flag).cast("int").alias("_flag"))
-    out = T.StructType([T.StructField(c, source.schema[c].dataType) for c in (key, ts, tie)])
-    state = T.StructType([T.StructField("recent", T.ArrayType(T.IntegerType())), T.StructField("active", T.BooleanType())])
 
-    def step(group: tuple, batches: Iterator[pd.DataFrame], memory: GroupState) -> Iterator[pd.DataFrame]:
-        recent, active = ([], False) if not memory.exists else (list(memory.get[0]), memory.get[1])
-        rows = pd.concat(list(batches)).sort_values([ts, tie])      # one key's rows of one micro-batch
+    def __init__(self, k: int, n: int, idle: int | None, tie_type: str):
+        self.k, self.n, self.idle, self.tie_type = k, n, idle, tie_type         # idle in microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.memory = handle.getValueState("memory", f"at array<long>, ties array<{self.tie_type}>, flags array<int>, recent array<int>, active boolean, last long, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, ties, flags, recent, active, last, timer = self.memory.get() if self.memory.exists() else ([], [], [], [], False, None, None)
+        at, ties, flags = list(at), list(ties), list(flags)
+        for batch in rows:
+            at += batch["alarm_at"].tolist()
+            ties += batch["alarm_tie"].tolist()
+            flags += batch["alarm_flag"].tolist()
+        self._wait(at, ties, flags, list(recent), active, last, timer)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.memory.exists():
+            return
+        at, ties, flags, recent, active, last, _ = self.memory.get()
+        at, ties, flags, recent, mark = list(at), list(ties), list(flags), list(recent), 1000 * timerValues.getCurrentWatermarkInMs()
+        due = sorted(i for i in range(len(at)) if at[i] <= mark)
         starts = []
-        for at, f in enumerate(rows["_flag"]):
-            recent = (recent + [int(f)])[-n:]
-            now = sum(recent) >= k
+        for i in sorted(due, key=lambda i: (at[i], ties[i])):
+            if self.idle is not None and last is not None and at[i] - last > self.idle:
+                recent, active = [], False
+            recent, last = (recent + [int(flags[i])])[-self.n:], int(at[i])
+            now = sum(recent) >= self.k
             if now and not active:
-                starts.append(at)
+                starts.append(i)
             active = now
-        memory.update((recent, active))
         if starts:
-            yield rows.iloc[starts][[key, ts, tie]]
-
-    return source.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+            yield pd.DataFrame({"alarm_key": [key[0]] * len(starts), "alarm_at": [at[i] for i in starts], "alarm_tie": [ties[i] for i in starts]})
+        left = sorted(set(range(len(at))) - set(due))
+        if not left and (last is None or self.idle is not None and last + self.idle < mark):
+            self.memory.clear()
+        else:
+            self._wait([at[i] for i in left], [ties[i] for i in left], [flags[i] for i in left], recent, active, last, None)
+
+    def _wait(self, at: list, ties: list, flags: list, recent: list, active: bool, last: int | None, timer: int | None) -> None:
+        wanted = min(at) if at else None if self.idle is None else last + self.idle + 1
+        wanted = None if wanted is None else -(-int(wanted) // 1000)
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.memory.update(([int(a) for a in at], ties, [int(f) for f in flags], [int(r) for r in recent], bool(active), None if last is None else int(last), wanted))
+
+    def close(self) -> None:
+        pass
+
+
+def alarm_onsets(flags: DataFrame, key: str, ts: str, tie: str, flag: str, k: int = 2, n: int = 3, delay: str = "10 seconds", idle_seconds: float | None = None) -> DataFrame:
+    """(key, ts, tie): rows at which a K-of-N alarm starts, the same ones however the stream is cut into micro-batches.
+
+    Rows are taken in order of (ts, tie) once the watermark, ``delay`` behind the latest row of the stream, has passed them; rows
+    that come later than that are dropped by Spark, and the last ``delay`` of a stream waits for more. A key that is silent
+    for more than ``idle_seconds`` begins anew, and its state is freed; without, it is kept. A null flag counts as no; rows
+    without ts are left out. State per key is one row, with one entry per row of the last ``delay``: feed it
+    decisions_per_second, and a busy sensor has one a second. Start the query with run_to_table, or with the RocksDB state store set.
+    """
+    kinds = {f.name: f.dataType for f in flags.schema}
+    rows = (flags.where(F.col(ts).isNotNull()).withWatermark(ts, delay)
+            .select(F.col(key).alias("alarm_key"), F.col(ts).alias("alarm_time"), F.unix_micros(F.col(ts).cast("timestamp")).alias("alarm_at"), F.col(tie).alias("alarm_tie"), F.coalesce(F.col(flag).cast("int"), F.lit(0)).alias("alarm_flag")))
+    out = T.StructType([T.StructField("alarm_key", kinds[key]), T.StructField("alarm_at", T.LongType()), T.StructField("alarm_tie", kinds[tie])])
+    alarm = KOfNAlarm(k, n, None if idle_seconds is None else round(idle_seconds * 1e6), kinds[tie].simpleString())
+    found = rows.groupBy("alarm_key").transformWithStateInPandas(alarm, out, "append", "EventTime")
+    return found.select(F.col("alarm_key").alias(key), F.timestamp_micros("alarm_at").cast(kinds[ts]).alias(ts), F.col("alarm_tie").alias(tie))
 
 
 def onsets_per_hour(onsets: DataFrame, keys: list[str], ts: str, budget: float, delay: str = "10 minutes", length: str = "1 hour", slide: str = "5 minutes") -> DataFrame:
@@ -79,13 +131,27 @@ def campaign_labels(scores: DataFrame, segments: DataFrame, session: str, ts: st
     return scores.join(s, inside).drop("_s", "from_ts", "to_ts")
 
 
-def replay(spark: SparkSession, folder: str, file: str, schema: T.StructType, bytes_per_batch: int = 64 << 30) -> DataFrame:
-    """A stored table as a stream of files. The trigger limit bounds a micro-batch, and with it what one key can hold."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(folder))
+def replay(spark: SparkSession, folder: str, file: str, schema: T.StructType, bytes_per_batch: int = 64 << 30, files_per_batch: int | None = None) -> DataFrame:
+    """A stored table as a stream of files, oldest first. The trigger limits bound a micro-batch, and with it what one key can hold."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file)
+    return (reader.option("maxFilesPerTrigger", str(files_per_batch)) if files_per_batch else reader.option("maxBytesPerTrigger", str(bytes_per_batch))).parquet(folder)
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process everything available now into a Parquet table and return it. Exactly once: the sink keeps a commit log."""
-    query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start())
+    """Process everything available now into a Parquet table and return it. Exactly once: the sink keeps a commit log.
+
+    The query runs with the RocksDB state store, which timers need; the session's own setting is as before afterwards.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKS_DB)
+    try:                                                            # a query keeps the settings it was started with
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        conf.set(STATE_STORE, before) if before else conf.unset(STATE_STORE)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

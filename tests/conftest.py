@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", 2)
+    return local_session("8", 2, spark__sigspark__rangeRows="4000")        # small, so that small tables too are cut into many ranges
 
 
 @pytest.fixture(scope="session")

@@ -89,3 +89,33 @@ def test_lookup_join_spreads_hot_keys(spark, monkeypatch):
     rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
     table = rows.groupBy("k").agg(F.count("*").alias("w"), F.min("id").alias("first"))
     same(lookup_join(rows, table, ["k"], "w", share=100), rows.join(table.drop("w"), "k"))
+
+
+def test_lookup_join_of_rows_with_maps(spark):
+    rows = spark.sql("select id % 3 as k, map('a', id) as m, struct(map('b', id) as inner) as s, array(map(id, 1)) as l, id from range(500)")
+    table = spark.createDataFrame([(0, 167, "x"), (1, 167, "y"), (None, 5, "z")], "k long, n long, name string")
+    got = lookup_join(rows, table, ["k"], "n", "left", salts=4, share=10).groupBy("name").count().collect()
+    assert {r["name"]: r["count"] for r in got} == {"x": 167, "y": 167, None: 166}
+
+
+def test_fine_cuts_are_a_table(rows, monkeypatch):
+    import sigspark.operators.scan as scan
+    monkeypatch.setattr(scan, "COARSE", 4)
+    ranged, n = scan.with_ranges(rows, ["t", "id"], target_rows=50)
+    assert n > 40
+    sizes = [r["count"] for r in ranged.groupBy(RANGE).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 300
+    assert ranged.toPandas().sort_values(["t", "id"])[RANGE].is_monotonic_increasing
+    w = Window.partitionBy("k").orderBy("t", "id")
+    for shared in (1 << 18, 1):                                     # broadcast or joined
+        monkeypatch.setattr(scan, "SHARED_CUTS", shared)
+        got = scan.ordered(rows, ["k"], ["t", "id"], target_rows=50).lag({"p": ("v", 2)}).row_number("rn").frame()
+        same(got, rows.withColumn("p", F.lag("v", 2).over(w)).withColumn("rn", F.row_number().over(w).cast("long")))
+
+
+def test_null_order_values_with_fine_cuts(spark, monkeypatch):
+    import sigspark.operators.scan as scan
+    monkeypatch.setattr(scan, "COARSE", 3)
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("v"), F.col("id").alias("id"))
+    got = scan.ordered(rows, [], ["v", "id"], target_rows=40).row_number("rn").frame()
+    same(got, rows.withColumn("rn", F.row_number().over(Window.orderBy("v", "id")).cast("long")))
