@@ -46,6 +46,7 @@ _LATIN = re.compile("[\x00-\x7fÀ-ɏ]*").fullmatch
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_SIGNS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+_SPACE_SIGN, _ENDS = _BYTE_SIGNS[32], ("", ",", ".", ";", ":", "!", "?")
 
 
 class Encoder:
@@ -81,6 +82,16 @@ class Encoder:
             return self._whole(text)
         return b"".join([self._short(t) if len(t) < 6 else self._pre_token(t) for t in _SPLIT.findall(text)])
 
+    def _word(self, piece: str) -> bytes:
+        """Ids of a space and ``piece``. Letters of ASCII alone are one pre-token, a sign after them another, and no pattern need tell."""
+        if piece.isascii():
+            word, sign = (piece, "") if piece.isalpha() else (piece[:-1], piece[-1:])
+            if word.isalpha() and sign in _ENDS:
+                found = (self.known.get(word) or self.older.get(word)) if sign else None
+                found = found or array("I", [t.id for t in self.model.tokenize(_SPACE_SIGN + word)]).tobytes()
+                return found + self._short(sign) if sign else found
+        return self._new(" " + piece)
+
     def _pieces(self, text: str) -> list[str]:
         even = not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ") and not (any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else _OTHER_SPACE(text))
         return text.split(" ") if even else self._cut.split(text)
@@ -94,7 +105,7 @@ class Encoder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         for p in set().union(*pieces).difference(known):
-            known[p] = older[p] if p in older else self._new(" " + p)
+            known[p] = older[p] if p in older else self._word(p)
         of = known.__getitem__
         return [whole[k] if k in whole else h + b"".join(map(of, p)) for k, (h, p) in enumerate(zip(heads, pieces))]
 
@@ -220,9 +231,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, frame_tokens
             if writer is None and len(batch):
                 part = int(batch["part"].iloc[0])
                 writer = FileWriter(f"{folder}/part-{part:08d}.tok", frame_tokens)
+            nulls, doc_ids = batch["null"].tolist(), batch["doc_id"].tolist()
             for start, texts in _in_parts(batch["text"]):
-                for k, ids in enumerate(_encoder(tokenizer, added).encode([None if not isinstance(t, str) else t for t in texts]), start):
-                    writer.add(None if batch["null"].iat[k] else int(batch["doc_id"].iat[k]), ids + end)
+                found = _encoder(tokenizer, added).encode([None if not isinstance(t, str) else t for t in texts])
+                for null, doc_id, ids in zip(nulls[start:], doc_ids[start:], found):
+                    writer.add(None if null else doc_id, ids + end)
         if writer is not None:
             n_docs, n_tokens = writer.close()
             yield pd.DataFrame([(f"{folder}/part-{part:08d}.tok", part, n_docs, n_tokens)], columns=["file", "part", "n_docs", "n_tokens"])
