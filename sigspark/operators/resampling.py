@@ -1,26 +1,29 @@
 """Group bootstrap, group permutation and paired differences.
 
-Rows of one group are not independent, so groups are what is resampled or relabelled. A replicate is a pair of
-non-negative weights per group: how often its rows count as positives and how often as negatives. With labels y and
-draw multiplicities w a bootstrap replicate is (w*y, w*(1-y)); a label permutation is (y', 1-y').
+Rows of one group are not independent, so groups are what is resampled or relabelled. A replicate gives each group a
+non-negative weight (a bootstrap) or a label (a permutation); ``operators.replicates`` computes both inside the tasks.
 
-All replicates of an AUC are computed in one pass: rows are reduced to (group, score) counts, cut into score ranges
-of bounded size, and each range adds up its weighted Mann-Whitney counts for every replicate at once. Ranges meet
-again as one row per (range, replicate). No replicate sorts the data again and no pair of groups is formed.
+All replicates of an AUC are computed in one pass: rows are reduced to (group, score) counts and cut into ranges of
+bounded size by (score, group number), so that one score shared by many groups is cut too. Each range adds up its weighted
+Mann-Whitney counts for every replicate at once. Its lowest and its highest score may go on in a neighbour, so they
+leave the task as sums of their own and meet per (score, replicate); all between is one row per (range, replicate).
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .scan import RANGE, ordered, with_ranges
+from ..session import cut_lineage
+from .replicates import BLOCK, GroupDraws, GroupShuffles, Rotations, chunks
+from .scan import RANGE, null_safe, ordered, with_ranges
 
-ROWS_PER_RANGE = 25_000
-SHARED_WEIGHT_BYTES = 1 << 26          # above this the weights travel with the rows instead of being broadcast
-REPLICATES_AT_ONCE = 64
+ROWS_PER_RANGE = 25_000                # 64 replicates of a range take about 50 MB in a task
 
 
 # ------------------------------------------------------------------ groups and draws
@@ -31,41 +34,28 @@ def numbered_groups(groups: DataFrame, group: str, n_groups: int | None = None)
 
 def pure_numbered_groups(df: DataFrame, group: str, label: str) -> tuple[DataFrame, int]:
     """Numbered groups and how many there are, with the purity check in the same pass."""
-    groups = df.groupBy(group).agg(F.min(label).alias(label), F.max(label).alias("_other"), F.count("*").alias("n"))
+    groups = cut_lineage(df.groupBy(group).agg(F.min(label).alias(label), F.max(label).alias("_other"), F.count("*").alias("n")))
     found = groups.agg(F.count("*").alias("n"), F.sum((F.col(label) != F.col("_other")).cast("int")).alias("mixed")).first()
     if found["mixed"]:
         raise ValueError("permutation needs label-pure groups")
-    return numbered_groups(groups.drop("_other"), group, found["n"]), found["n"]
+    return cut_lineage(numbered_groups(groups.drop("_other"), group, found["n"])), found["n"]
 
 
-def congruential_pick(rep: Column, slot: Column, n_groups: Column) -> Column:
-    """Pseudo-random group position for one slot of one replicate; integer arithmetic any SQL engine can repeat.
+def class_sizes(numbered: DataFrame, label: str) -> list[tuple]:
+    """(label, groups), sorted; one entry per class."""
+    return [tuple(r) for r in numbered.groupBy(label).agg(F.count("*").alias("groups")).orderBy(label).collect()]
 
-    Every factor is below 2^31 and every product below 2^62, so no count of groups or replicates overflows; replicate and
-    slot (its low and its high part) are mixed one after the other, so picks do not repeat from replicate to replicate.
-    """
-    p = F.lit(2147483647).cast("long")
-    r = (F.pmod(rep, p) + 1) * F.lit(69621) % p
-    h = ((F.pmod(slot, p) + 1) * F.lit(48271) + F.floor(slot / p) * F.lit(40692) % p + r) % p
-    a = h * (h + F.lit(16807)) % p
-    b = a * ((a + r) % p) % p
-    c = b * (b + F.lit(12345)) % p
-    return (c * p + b) % n_groups
 
+def shuffles(numbered: DataFrame, label: str, n_replicates: int, seed: int = 0) -> GroupShuffles:
+    return GroupShuffles(tuple(n for _, n in class_sizes(numbered, label)), n_replicates, seed)
 
-def congruential_draws(spark: SparkSession, n_groups: int, n_replicates: int) -> DataFrame:
-    """(rep, _g, w): n_groups draws with replacement per replicate, generated on the executors."""
-    grid = spark.range(n_groups * n_replicates)
-    rep, slot = F.floor(F.col("id") / n_groups), F.col("id") % n_groups
-    return (grid.select(rep.alias("rep"), congruential_pick(rep, slot, F.lit(n_groups)).alias("_g"))
-            .groupBy("rep", "_g").agg(F.count("*").alias("w")))
 
-
-def rotated_labels(numbered: DataFrame, label: str, n_groups: int, n_replicates: int, step: int = 1) -> DataFrame:
-    """(rep, _g, label): the sorted list of group labels rotated by (rep + 1) * step. Counts per label are kept."""
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1))).alias("rep")
-    return (numbered.select(F.col("_g"), F.col(label), reps)
-            .select("rep", F.pmod(F.col("_g") + (F.col("rep") + 1) * step, F.lit(n_groups)).alias("_g"), F.col(label)))
+def rotations(numbered: DataFrame, label: str, n_replicates: int, step: int = 1) -> Rotations:
+    """Class numbers of all groups in sorted order; refused above MAX_ROTATED groups before they are read."""
+    classes = [c for c, _ in class_sizes(numbered, label)]
+    Rotations(np.empty(numbered.count(), dtype=np.uint16), n_replicates, step)
+    code = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1).cast("int").alias("code")
+    return Rotations(numbered.select("_g", code).toPandas().sort_values("_g")["code"].to_numpy(np.uint16), n_replicates, step)
 
 
 def shuffled_labels(numbered: DataFrame, label: str, n_replicates: int, seed: int) -> DataFrame:
@@ -78,91 +68,58 @@ def shuffled_labels(numbered: DataFrame, label: str, n_replicates: int, seed: in
 
 
 # ------------------------------------------------------------------ AUC replicates
-def bootstrap_weights(numbered: DataFrame, group: str, label: str, draws: DataFrame) -> DataFrame:
-    """(group, rep, w_pos, w_neg) from multiplicities."""
-    y = F.col(label).cast("int")
-    return (draws.join(numbered.select("_g", group, label), "_g")
-            .select(group, "rep", (F.col("w") * y).alias("w_pos"), (F.col("w") * (1 - y)).alias("w_neg")))
-
-
-def permutation_weights(numbered: DataFrame, group: str, label: str, relabelled: DataFrame) -> DataFrame:
-    y = F.col(label).cast("int")
-    return (relabelled.join(numbered.select("_g", group), "_g")
-            .select(group, "rep", y.alias("w_pos"), (1 - y).alias("w_neg")))
-
-
-def _range_sums(score: np.ndarray, n: np.ndarray, w_pos: np.ndarray, w_neg: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Weighted positives, negatives and within-range wins for every replicate (columns of the weights)."""
-    if not len(score):
-        return (np.zeros(w_pos.shape[1]),) * 3
-    order = np.argsort(score, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(score[order]) != 0])
-    pos = np.add.reduceat(w_pos[order] * n[order, None], starts, axis=0)
-    neg = np.add.reduceat(w_neg[order] * n[order, None], starts, axis=0)
-    below = np.cumsum(neg, axis=0) - neg
-    return pos.sum(axis=0), neg.sum(axis=0), (pos * (below + 0.5 * neg)).sum(axis=0)
-
-
-RANGE_SUMS = f"{RANGE} int, rep long, pos double, neg double, wins double"
-
-
-def auc_replicates(df: DataFrame, group: str, score: str, weights: DataFrame, n_groups: int, n_replicates: int,
-                   rows_per_range: int = ROWS_PER_RANGE, shared_bytes: int = SHARED_WEIGHT_BYTES) -> DataFrame:
-    """(rep, auc) for every replicate in ``weights`` (group, rep, w_pos, w_neg); one-class replicates are dropped.
-
-    Shuffles: rows on (group, score) after partial aggregation, counts on score range, range sums on replicate.
+def _pair(source, groups: np.ndarray, positive: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, replicate) weights as a positive and as a negative."""
+    if isinstance(source, GroupDraws):
+        w = source.weights(groups, reps)
+        return w * positive[:, None], w * (1 - positive)[:, None]
+    codes = source.codes(groups, reps)
+    return (codes == 1).astype(float), (codes == 0).astype(float)
+
+
+def auc_replicates(df: DataFrame, numbered: DataFrame, group: str, label: str, score: str, source: GroupDraws | GroupShuffles | Rotations,
+                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """(rep, auc) for every replicate of ``source``; one-class replicates are dropped. Null is the lowest score and not-a-number
+    the highest, each tied with itself, as in ``ranks.auc``.
+
+    Shuffles: rows on (group, score) after partial aggregation, counts on group number's table and on range, range sums on
+    (replicate, score).
     """
-    spark = df.sparkSession
-    counts = df.groupBy(group, score).agg(F.count("*").alias("n"))
-    ranged, n_ranges = with_ranges(counts, [score], rows_per_range)
-    # a fixed number of partitions: the ranges are small in bytes but heavy in work, so they must not be coalesced
-    tasks = max(1, min(n_ranges, 4096))
-    share = n_groups * n_replicates * 8 <= shared_bytes
-    table = weights.toPandas() if share else None               # at most one row per group and replicate
-    rep_ids = np.unique(table["rep"]) if share else np.array([r[0] for r in weights.select("rep").distinct().orderBy("rep").collect()], dtype=np.int64)
-
-    def summed(bucket: int, score_v: np.ndarray, n: np.ndarray, weights_of) -> pd.DataFrame:
-        parts = []
-        for at in range(0, len(rep_ids), REPLICATES_AT_ONCE):
-            w_pos, w_neg = weights_of(slice(at, at + REPLICATES_AT_ONCE))
-            parts.append(np.stack(_range_sums(score_v, n, w_pos, w_neg)))
-        sums = np.concatenate(parts, axis=1)
-        return pd.DataFrame({RANGE: bucket, "rep": rep_ids, "pos": sums[0], "neg": sums[1], "wins": sums[2]})
-
-    if share:
-        codes, names = pd.factorize(table[group])
-        at = np.searchsorted(rep_ids, table["rep"].to_numpy())
-        matrix = np.zeros((2, len(names), len(rep_ids)), dtype=np.float32)
-        matrix[0, codes, at], matrix[1, codes, at] = table["w_pos"], table["w_neg"]
-        index = {g: i for i, g in enumerate(names)}
-        shared = spark.sparkContext.broadcast((index, matrix))
-
-        def per_range(pdf: pd.DataFrame) -> pd.DataFrame:
-            (where, m), bucket = shared.value, int(pdf[RANGE].iloc[0])
-            pdf = pdf[pdf[group].isin(where)] if len(where) else pdf.iloc[:0]             # a group never drawn weighs nothing
-            rows = pdf[group].map(where).to_numpy(int)
-            return summed(bucket, pdf[score].to_numpy(), pdf["n"].to_numpy(float),
-                          lambda s: (m[0][:, s][rows].astype(float), m[1][:, s][rows].astype(float)))
-
-        ranged_sums = ranged.repartition(tasks, RANGE).groupBy(RANGE).applyInPandas(per_range, RANGE_SUMS)
-    else:
-        dense = (weights.groupBy(group)
-                 .agg(F.sort_array(F.collect_list(F.struct("rep", "w_pos", "w_neg"))).alias("w")))  # one entry per replicate
-
-        column = {int(rep): i for i, rep in enumerate(rep_ids)}
-
-        def per_joined_range(pdf: pd.DataFrame) -> pd.DataFrame:
-            m = np.zeros((2, len(pdf), len(rep_ids)), dtype=np.float32)
-            for i, entries in enumerate(pdf["w"]):
-                for e in entries:
-                    m[:, i, column[e["rep"]]] = e["w_pos"], e["w_neg"]
-            return summed(int(pdf[RANGE].iloc[0]), pdf[score].to_numpy(), pdf["n"].to_numpy(float),
-                          lambda s: (m[0][:, s].astype(float), m[1][:, s].astype(float)))
-
-        ranged_sums = ranged.join(dense, group).repartition(tasks, RANGE).groupBy(RANGE).applyInPandas(per_joined_range, RANGE_SUMS)
-
-    earlier = Window.partitionBy("rep").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)   # one row per range
-    total = (ranged_sums.withColumn("neg_below", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
+    counts = df.groupBy(group, score).agg(F.count("*").alias("_n"))
+    known = numbered.select(group, "_g", F.col(label).cast("int").alias("_y"))
+    kind, own = df.schema[score].dataType, F.col(score)
+    # the value stands beside its rank among null, numbers and not-a-number: pandas would make one of the outer two
+    rank = F.when(own.isNull(), 0).when(F.isnan(own) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(False), 2).otherwise(1)
+    placed = cut_lineage(null_safe(counts, known, [group])
+                         .select(rank.alias("_k"), F.when(rank == 1, own).otherwise(F.lit(0).cast(kind)).alias("_s"), "_g", "_y", "_n"))
+    ranged, n_ranges = with_ranges(placed, ["_k", "_s", "_g"], rows_per_range)
+
+    def per_range(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_k", "_s"], kind="stable")
+        outer, value, n = pdf["_k"].to_numpy(), pdf["_s"].to_numpy(), pdf["_n"].to_numpy(float)[:, None]
+        starts = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (outer[1:] != outer[:-1])])
+        groups, first, at = np.unique(pdf["_g"].to_numpy(), return_index=True, return_inverse=True)
+        positive, parts = pdf["_y"].to_numpy()[first], []
+        for reps in chunks(source.n_replicates):
+            w_pos, w_neg = _pair(source, groups, positive, reps)
+            pos, neg = np.add.reduceat(w_pos[at] * n, starts, axis=0), np.add.reduceat(w_neg[at] * n, starts, axis=0)
+            none = np.zeros(len(reps))
+            for k in {0, len(starts) - 1}:                                          # scores that a neighbour may share
+                parts.append(pd.DataFrame({"k": outer[starts[k]], "at": value[starts[k]], "shared": True, "rep": reps, "pos": pos[k], "neg": neg[k], "wins": none}))
+            if len(starts) > 2:
+                pos, neg = pos[1:-1], neg[1:-1]
+                below = np.cumsum(neg, axis=0) - neg
+                parts.append(pd.DataFrame({"k": outer[starts[1]], "at": value[starts[1]], "shared": False, "rep": reps, "pos": pos.sum(axis=0), "neg": neg.sum(axis=0),
+                                           "wins": (pos * (below + 0.5 * neg)).sum(axis=0)}))
+        return pd.concat(parts)
+
+    # as many partitions as ranges: these are small in bytes but heavy in work, so they must not be coalesced
+    sums = (ranged.repartition(n_ranges, RANGE).groupBy(RANGE)
+            .applyInPandas(per_range, f"k int, at {kind.simpleString()}, shared boolean, rep long, pos double, neg double, wins double"))
+    met = (sums.groupBy("rep", "k", "at").agg(F.max("shared").alias("shared"), *[F.sum(c).alias(c) for c in ("pos", "neg", "wins")])
+           .withColumn("wins", F.when(F.col("shared"), 0.5 * F.col("pos") * F.col("neg")).otherwise(F.col("wins"))))
+    earlier = Window.partitionBy("rep").orderBy("k", "at").rowsBetween(Window.unboundedPreceding, -1)   # at most three rows per range
+    total = (met.withColumn("neg_below", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
              .groupBy("rep").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
                                  F.sum(F.col("wins") + F.col("pos") * F.col("neg_below")).alias("wins")))
     return total.where((F.col("pos") > 0) & (F.col("neg") > 0)).select("rep", (F.col("wins") / (F.col("pos") * F.col("neg"))).alias("auc"))
@@ -174,30 +131,70 @@ def label_counts(df: DataFrame, group: str, truth: str, predicted: str) -> DataF
     return df.groupBy(group, truth, predicted).agg(F.count("*").alias("n"))
 
 
-def balanced_accuracy_replicates(counts: DataFrame, group: str, truth: str, predicted: str, multiplicity: DataFrame
-                                 ) -> DataFrame:
-    """(rep, balanced_accuracy): mean recall over the classes present in the replicate. multiplicity: (group, rep, w)."""
-    hits = counts.groupBy(group, truth).agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)).alias("hit"))
-    recall = (hits.join(multiplicity, group).groupBy("rep", truth)
-              .agg((F.sum(F.col("hit") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("recall")))
-    return recall.groupBy("rep").agg(F.avg("recall").alias("balanced_accuracy"))
+def _by_block(rows: DataFrame) -> DataFrame:
+    """Rows of neighbouring groups side by side, so that a batch asks for few blocks of draws."""
+    return rows.repartition(F.floor(F.col("_g") / BLOCK)).sortWithinPartitions("_g")
 
 
-def permuted_balanced_accuracy(counts: DataFrame, group: str, predicted: str, relabelled: DataFrame, label: str) -> DataFrame:
-    """(rep, balanced_accuracy) with each group carrying the label dealt to it. relabelled: (group, rep, label)."""
-    per_prediction = counts.groupBy(group, predicted).agg(F.sum("n").alias("n"))
-    cells = (per_prediction.join(relabelled, group).groupBy("rep", label)
-             .agg((F.sum(F.when(F.col(label) == F.col(predicted), F.col("n")).otherwise(0)) / F.sum("n")).alias("recall")))
+def _drawn_sums(rows: DataFrame, source: GroupDraws) -> DataFrame:
+    """(rep, key, hit, n): weighted sums of (_g, key, hit, n) rows. A task keeps two numbers per key and replicate."""
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            groups, at = np.unique(pdf["_g"].to_numpy(), return_inverse=True)
+            names, key = np.unique(pdf["key"].to_numpy(), return_inverse=True)
+            values = pdf[["hit", "n"]].to_numpy(float)
+            for reps in chunks(source.n_replicates):
+                w = source.weights(groups, reps)[at]
+                for k, name in enumerate(names):
+                    mine = key == k
+                    found.setdefault(name, np.zeros((2, source.n_replicates)))[:, reps] += values[mine].T @ w[mine]
+        for name, (hit, n) in found.items():
+            yield pd.DataFrame({"rep": np.arange(source.n_replicates), "key": name, "hit": hit, "n": n})
+
+    sums = _by_block(rows.select("_g", "key", F.col("hit").cast("double"), F.col("n").cast("double"))).mapInPandas(summed, "rep long, key string, hit double, n double")
+    return sums.groupBy("rep", "key").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).where("n > 0")
+
+
+def balanced_accuracy_replicates(counts: DataFrame, numbered: DataFrame, group: str, truth: str, predicted: str, source: GroupDraws) -> DataFrame:
+    """(rep, balanced_accuracy): mean recall over the classes present in the replicate."""
+    hits = counts.groupBy(group, truth).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)).alias("hit"))
+    placed = null_safe(hits, numbered.select(group, "_g"), [group]).withColumn("key", F.to_json(F.struct(F.col(truth).alias("v"))))
+    return _drawn_sums(placed, source).groupBy("rep").agg(F.avg(F.col("hit") / F.col("n")).alias("balanced_accuracy"))
+
+
+def permuted_balanced_accuracy(counts: DataFrame, numbered: DataFrame, group: str, truth: str, predicted: str, source: GroupShuffles | Rotations) -> DataFrame:
+    """(rep, balanced_accuracy) with each group carrying the label dealt to it."""
+    classes = [c for c, _ in class_sizes(numbered, truth)]
+    code = (F.coalesce(F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(predicted)), F.lit(0)) - 1).cast("int")
+    per = counts.groupBy(group, predicted).agg(F.sum("n").alias("n"))
+    placed = null_safe(per, numbered.select(group, "_g"), [group]).select("_g", code.alias("code"), F.col("n").cast("double").alias("n"))
+    width = len(classes)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, width, source.n_replicates))
+        for pdf in batches:
+            groups, at = np.unique(pdf["_g"].to_numpy(), return_inverse=True)
+            n, own = pdf["n"].to_numpy()[:, None], pdf["code"].to_numpy()[:, None]
+            for reps in chunks(source.n_replicates):
+                dealt = source.codes(groups, reps)[at].astype(np.int64)
+                cell = (dealt * len(reps) + np.arange(len(reps))).ravel()
+                for k, value in enumerate((n * (dealt == own), np.broadcast_to(n, dealt.shape))):
+                    sums[k][:, reps] += np.bincount(cell, value.ravel(), width * len(reps)).reshape(width, len(reps))
+        for k in range(width):
+            yield pd.DataFrame({"rep": np.arange(source.n_replicates), "key": k, "hit": sums[0, k], "n": sums[1, k]})
+
+    cells = (_by_block(placed).mapInPandas(summed, "rep long, key int, hit double, n double")
+             .groupBy("rep", "key").agg((F.sum("hit") / F.nullif(F.sum("n"), F.lit(0.0))).alias("recall")))
     return cells.groupBy("rep").agg(F.avg("recall").alias("balanced_accuracy"))
 
 
-def rate_replicates(df: DataFrame, group: str, flagged: Column, draws: DataFrame) -> DataFrame:
-    """(rep, rate): share of flagged rows when whole groups are drawn. draws: (rep, _g, w)."""
-    sums = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.when(flagged, 1).otherwise(0)).alias("k"))
-    numbered = numbered_groups(sums, group)
-    return (draws.join(numbered, "_g").groupBy("rep")
-            .agg((F.sum(F.col("w") * F.col("k")) / F.sum(F.col("w") * F.col("n"))).alias("rate")))
+def rate_replicates(df: DataFrame, numbered: DataFrame, group: str, flagged: Column, source: GroupDraws) -> DataFrame:
+    """(rep, rate): share of flagged rows when whole groups are drawn."""
+    sums = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.when(flagged, 1).otherwise(0)).alias("hit"))
+    placed = null_safe(sums, numbered.select(group, "_g"), [group]).withColumn("key", F.lit(""))
+    return _drawn_sums(placed, source).select("rep", (F.col("hit") / F.col("n")).alias("rate"))
 
 
 # ------------------------------------------------------------------ summaries (inputs: one row per replicate)

@@ -1,15 +1,16 @@
 """Evaluations: one metric over pooled scores, its group-bootstrap interval and its group-permutation test.
 
 Inputs are score tables; labels are label-pure per group. ``draws`` and ``relabelled`` choose the random source, see
-``operators.resampling``; the defaults scale with the number of groups.
+``operators.replicates``; neither is a table.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics, ranks
+from ..operators import joins, metrics, ranks
 from ..operators import resampling as R
+from ..operators.replicates import GroupDraws, GroupShuffles, Rotations
 
 
 def _groups(scores: DataFrame, group: str, label: str) -> tuple[DataFrame, int]:
@@ -17,22 +18,20 @@ def _groups(scores: DataFrame, group: str, label: str) -> tuple[DataFrame, int]:
 
 
 def auc_interval(scores: DataFrame, group: str, label: str, score: str, n_bootstrap: int = 2000,
-                 draws: DataFrame | None = None) -> DataFrame:
+                 draws: GroupDraws | None = None) -> DataFrame:
     """(n_pos, n_neg, auc, ci_lo, ci_hi, n_replicates)."""
     numbered, n = _groups(scores, group, label)
-    draws = R.congruential_draws(scores.sparkSession, n, n_bootstrap) if draws is None else draws
-    weights = R.bootstrap_weights(numbered, group, label, draws)
-    reps = R.auc_replicates(scores, group, score, weights, n, n_bootstrap)
+    reps = R.auc_replicates(scores, numbered, group, label, score, draws or GroupDraws(n, n_bootstrap))
     observed = ranks.auc(scores, score, F.col(label).cast("boolean"))
     return observed.join(F.broadcast(R.interval(reps, "auc")))
 
 
 def auc_permutation(scores: DataFrame, group: str, label: str, score: str, n_permutations: int = 2000, seed: int = 0,
-                    relabelled: DataFrame | None = None) -> DataFrame:
+                    relabelled: GroupShuffles | Rotations | None = None) -> DataFrame:
     """(observed, n, p_value, null_median, null_95th): labels permuted between groups, scores fixed."""
-    numbered, n = _groups(scores, group, label)
-    relabelled = R.shuffled_labels(numbered, label, n_permutations, seed) if relabelled is None else relabelled
-    null = R.auc_replicates(scores, group, score, R.permutation_weights(numbered, group, label, relabelled), n, n_permutations)
+    numbered, _ = _groups(scores, group, label)
+    source = relabelled or R.shuffles(numbered, label, n_permutations, seed)
+    null = R.auc_replicates(scores, numbered, group, label, score, source)
     observed = ranks.auc(scores, score, F.col(label).cast("boolean")).select("auc")
     return R.permutation_summary(null, "auc", observed)
 
@@ -50,13 +49,11 @@ def subset_auc(scores: DataFrame, group: str, label: str, score: str, keep, n_bo
 
 
 def paired_auc_difference(scores: DataFrame, group: str, label: str, a: str, b: str, n_bootstrap: int = 2000,
-                          draws: DataFrame | None = None) -> DataFrame:
+                          draws: GroupDraws | None = None) -> DataFrame:
     """(difference, ci_lo, ci_hi, share_at_or_below_zero): AUC(a) - AUC(b) on identical rows and draws."""
     numbered, n = _groups(scores, group, label)
-    draws = R.congruential_draws(scores.sparkSession, n, n_bootstrap) if draws is None else draws
-    weights = R.bootstrap_weights(numbered, group, label, draws)
-    summary = R.difference_summary(R.auc_replicates(scores, group, a, weights, n, n_bootstrap),
-                                   R.auc_replicates(scores, group, b, weights, n, n_bootstrap), "auc")
+    draws = draws or GroupDraws(n, n_bootstrap)
+    summary = R.difference_summary(*[R.auc_replicates(scores, numbered, group, label, s, draws) for s in (a, b)], "auc")
     y = F.col(label).cast("boolean")
     observed = (ranks.auc(scores, a, y).select(F.col("auc").alias("x"))
                 .join(F.broadcast(ranks.auc(scores, b, y).select(F.col("auc").alias("z"))))
@@ -64,29 +61,21 @@ def paired_auc_difference(scores: DataFrame, group: str, label: str, a: str, b:
     return observed.join(F.broadcast(summary))
 
 
-def _multiplicity(scores: DataFrame, group: str, label: str, n: int, draws: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    numbered, n_groups = _groups(scores, group, label)
-    draws = R.congruential_draws(scores.sparkSession, n_groups, n) if draws is None else draws
-    return numbered, draws.join(numbered.select("_g", group), "_g").select(group, "rep", "w")
-
-
 def labels_interval(scores: DataFrame, group: str, truth: str, predicted: str, n_bootstrap: int = 2000,
-                    draws: DataFrame | None = None) -> DataFrame:
+                    draws: GroupDraws | None = None) -> DataFrame:
     """(n, balanced_accuracy, ci_lo, ci_hi, n_replicates)."""
-    _, multiplicity = _multiplicity(scores, group, truth, n_bootstrap, draws)
+    numbered, n = _groups(scores, group, truth)
     counts = R.label_counts(scores, group, truth, predicted)
-    reps = R.balanced_accuracy_replicates(counts, group, truth, predicted, multiplicity)
+    reps = R.balanced_accuracy_replicates(counts, numbered, group, truth, predicted, draws or GroupDraws(n, n_bootstrap))
     observed = metrics.multiclass_metrics(scores, truth, predicted).select("n", "balanced_accuracy")
     return observed.join(F.broadcast(R.interval(reps, "balanced_accuracy")))
 
 
 def labels_permutation(scores: DataFrame, group: str, truth: str, predicted: str, n_permutations: int = 2000, seed: int = 0,
-                       relabelled: DataFrame | None = None) -> DataFrame:
+                       relabelled: GroupShuffles | Rotations | None = None) -> DataFrame:
     numbered, _ = _groups(scores, group, truth)
-    relabelled = R.shuffled_labels(numbered, truth, n_permutations, seed) if relabelled is None else relabelled
-    dealt = relabelled.join(numbered.select("_g", group), "_g").select(group, "rep", F.col(truth).alias("_dealt"))
     counts = R.label_counts(scores, group, truth, predicted)
-    null = R.permuted_balanced_accuracy(counts, group, predicted, dealt, "_dealt")
+    null = R.permuted_balanced_accuracy(counts, numbered, group, truth, predicted, relabelled or R.shuffles(numbered, truth, n_permutations, seed))
     observed = metrics.multiclass_metrics(scores, truth, predicted).select("balanced_accuracy")
     return R.permutation_summary(null, "balanced_accuracy", observed)
 
@@ -99,18 +88,34 @@ def external_labels(scores: DataFrame, group: str, truth: str, predicted: str, n
     return ci.join(F.broadcast(p))
 
 
+def paired_tables(a: DataFrame, b: DataFrame, row_id: str, group: str, label: str, score: str) -> DataFrame:
+    """(row_id, group, label, a, b): two detectors' score tables as one, for the paired comparisons.
+
+    Both must hold each row once, the same rows, and agree on group and label of each; anything else is an error, since a
+    difference over unlike rows is none.
+    """
+    for table in (a, b):
+        if table.groupBy(row_id).count().where("count > 1").limit(1).count():
+            raise ValueError("paired comparison needs each row once")
+    both = joins.paired_rows(a.select(row_id, group, label, F.col(score).alias("a")),
+                             b.select(row_id, F.col(group).alias("_group"), F.col(label).alias("_label"), F.col(score).alias("b")), row_id)
+    if both.where(~(F.col(group).eqNullSafe(F.col("_group")) & F.col(label).eqNullSafe(F.col("_label")))).limit(1).count():
+        raise ValueError("paired comparison needs equal groups and labels of a row")
+    return both.drop("_group", "_label")
+
+
 def paired_label_difference(scores: DataFrame, group: str, truth: str, a: str, b: str, n_bootstrap: int = 2000,
-                            draws: DataFrame | None = None) -> DataFrame:
-    _, multiplicity = _multiplicity(scores, group, truth, n_bootstrap, draws)
-    reps = [R.balanced_accuracy_replicates(R.label_counts(scores, group, truth, p), group, truth, p, multiplicity) for p in (a, b)]
+                            draws: GroupDraws | None = None) -> DataFrame:
+    numbered, n = _groups(scores, group, truth)
+    draws = draws or GroupDraws(n, n_bootstrap)
+    reps = [R.balanced_accuracy_replicates(R.label_counts(scores, group, truth, p), numbered, group, truth, p, draws) for p in (a, b)]
     observed = [metrics.multiclass_metrics(scores, truth, p).select(F.col("balanced_accuracy").alias(n)) for p, n in ((a, "x"), (b, "z"))]
     difference = observed[0].join(F.broadcast(observed[1])).select((F.col("x") - F.col("z")).alias("difference"))
     return difference.join(F.broadcast(R.difference_summary(*reps, "balanced_accuracy")))
 
 
-def rate_interval(rows: DataFrame, group: str, flagged, n_bootstrap: int = 2000, draws: DataFrame | None = None) -> DataFrame:
+def rate_interval(rows: DataFrame, group: str, flagged, n_bootstrap: int = 2000, draws: GroupDraws | None = None) -> DataFrame:
     """(rate, ci_lo, ci_hi, n_replicates): share of flagged rows, groups resampled."""
-    n = rows.select(group).distinct().count()
-    draws = R.congruential_draws(rows.sparkSession, n, n_bootstrap) if draws is None else draws
+    numbered, n = R.pure_numbered_groups(rows.withColumn("_one", F.lit(1)), group, "_one")
     observed = rows.agg(F.avg(F.when(flagged, 1.0).otherwise(0.0)).alias("rate"))
-    return observed.join(F.broadcast(R.interval(R.rate_replicates(rows, group, flagged, draws), "rate")))
+    return observed.join(F.broadcast(R.interval(R.rate_replicates(rows, numbered, group, flagged, draws or GroupDraws(n, n_bootstrap)), "rate")))

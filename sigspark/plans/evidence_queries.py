@@ -12,8 +12,8 @@ from ..operators.scan import ordered
 from . import evaluation
 from .tables import label_scores, load, r6, scores
 
-BOOTSTRAPS = 200
-PERMUTATIONS = 200
+BOOTSTRAPS = 2000
+PERMUTATIONS = 2000
 KEPT_USERS_FOLDS = 5
 
 # ------------------------------------------------------------------ SQL fragments shared by the definitions
@@ -22,7 +22,7 @@ _GROUPS = "gr AS (SELECT g, y, row_number() OVER (ORDER BY g) - 1 AS k, count(*)
 
 
 def _draws(groups: str = "gr", reps: int = BOOTSTRAPS) -> str:
-    """SQL repeating operators.resampling.congruential_pick."""
+    """SQL repeating operators.replicates.picks, for up to BLOCK groups."""
     return f"""ng AS (SELECT count(*) AS n_g FROM {groups}),
 dx AS (SELECT r.rep, n_g, slot, (r.rep % 2147483647 + 1) * 69621 % 2147483647 AS r
       FROM ng, (SELECT unnest(range({reps})) AS rep) r, (SELECT unnest(range((SELECT n_g FROM ng))) AS slot) j),
@@ -79,8 +79,7 @@ SELECT round(obs.auc, 6) AS observed, count(*) AS n, round((1 + count(*) FILTER
   round(quantile_cont(reps.auc, 0.5), 6) AS null_median, round(quantile_cont(reps.auc, 0.95), 6) AS null_95th FROM obs, reps GROUP BY obs.auc""")
 def group_auc_permutation(spark, sf_dir):
     s = scores(spark, sf_dir)
-    numbered, n = R.pure_numbered_groups(s, "group_id", "y")
-    dealt = R.rotated_labels(numbered, "y", n, PERMUTATIONS)
+    dealt = R.rotations(R.pure_numbered_groups(s, "group_id", "y")[0], "y", PERMUTATIONS)
     out = evaluation.auc_permutation(s, "group_id", "y", "score", PERMUTATIONS, relabelled=dealt)
     return out.select("n", *[r6(F.col(c)).alias(c) for c in ("observed", "p_value", "null_median", "null_95th")])
 
@@ -128,8 +127,7 @@ SELECT round(obs.ba, 6) AS observed, count(*) AS n, round((1 + count(*) FILTER (
   round(quantile_cont(reps.ba, 0.5), 6) AS null_median, round(quantile_cont(reps.ba, 0.95), 6) AS null_95th FROM obs, reps GROUP BY obs.ba""")
 def balanced_accuracy_permutation(spark, sf_dir):
     s = label_scores(spark, sf_dir)
-    numbered, n = R.pure_numbered_groups(s, "group_id", "truth")
-    dealt = R.rotated_labels(numbered, "truth", n, PERMUTATIONS)
+    dealt = R.rotations(R.pure_numbered_groups(s, "group_id", "truth")[0], "truth", PERMUTATIONS)
     out = evaluation.labels_permutation(s, "group_id", "truth", "predicted", PERMUTATIONS, relabelled=dealt)
     return out.select("n", *[r6(F.col(c)).alias(c) for c in ("observed", "p_value", "null_median", "null_95th")])
 

@@ -14,7 +14,7 @@ from .tables import load, r6, scores
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 FEATURES = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
-ROUNDS, BOOTSTRAPS, REFITS = 5, 100, 3
+ROUNDS, BOOTSTRAPS, REFITS = 5, 2000, 3
 
 
 def register(name: str, sql: str | None = None):

@@ -3,8 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.operators import metrics, ranks
+from sigspark.operators import metrics, ranks, replicates
 from sigspark.operators import resampling as R
+from sigspark.operators.replicates import GroupDraws, GroupShuffles, Rotations
 from sigspark.plans import evaluation, experiments
 
 
@@ -28,53 +29,171 @@ def scores(spark, table):
     return spark.createDataFrame(table).cache()
 
 
-def reference(table, column, draws):
-    out = {}
-    for rep, part in draws.groupby("rep"):
-        idx = np.concatenate([np.flatnonzero(table["group_id"].to_numpy() == g) for g, w in zip(part["_g"], part["w"]) for _ in range(w)])
-        y, s = table["y"].to_numpy()[idx], table[column].to_numpy()[idx]
-        if 0 < y.sum() < len(y):
-            out[rep] = auc(y, s)
-    return out
+def pick(rep, slot, n):
+    """One pick in Python's unbounded integers."""
+    p = 2147483647
+    r = (rep % p + 1) * 69621 % p
+    h = ((slot % p + 1) * 48271 + slot // p * 40692 % p + r) % p
+    a = h * (h + 16807) % p
+    b = a * ((a + r) % p) % p
+    c = b * (b + 12345) % p
+    return (c * p + b) % n
 
 
-@pytest.mark.parametrize("shared", [1 << 26, 0])
-@pytest.mark.parametrize("rows_per_range", [10 ** 6, 60])
-def test_bootstrap_replicates_equal_resampled_rows(spark, table, scores, shared, rows_per_range):
-    numbered, n = R.pure_numbered_groups(scores, "group_id", "y")
-    draws = R.congruential_draws(spark, n, 30)
-    w = R.bootstrap_weights(numbered, "group_id", "y", draws)
-    got = {r["rep"]: r["auc"] for r in R.auc_replicates(scores, "group_id", "score", w, n, 30, rows_per_range, shared).collect()}
-    want = reference(table, "score", draws.toPandas())
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+def all_weights(draws):
+    return np.concatenate([draws.weights(np.arange(draws.n_groups), reps) for reps in replicates.chunks(draws.n_replicates)], axis=1)
 
 
-def test_draws_of_very_many_groups_do_not_overflow(spark):
-    picks = spark.range(5).select(R.congruential_pick(F.col("id") + 10**6, F.lit(10**12) + F.col("id") * 3, F.lit(10**15)).alias("g")).collect()
-    assert all(0 <= r["g"] < 10**15 for r in picks) and len({r["g"] for r in picks}) == 5
+def all_codes(source, n):
+    return np.concatenate([source.codes(np.arange(n), reps) for reps in replicates.chunks(source.n_replicates)], axis=1)
 
 
-def test_draws_differ_between_replicates_and_are_even(spark):
-    d = R.congruential_draws(spark, 50, 400).toPandas()
-    assert (d.groupby("rep")["w"].sum() == 50).all()
-    assert 300 < d.groupby("_g")["w"].sum().min() and d.groupby("_g")["w"].sum().max() < 500
-    assert 0.30 < (1 - len(d) / (50 * 400)) < 0.43                               # a bootstrap leaves out about 1 / e
-    assert d.groupby("rep").apply(lambda g: tuple(zip(g["_g"], g["w"])), include_groups=False).nunique() == 400
+def resampled(table, column, weights):
+    """AUC of rows copied out by hand, per replicate; None where a class is missing."""
+    out = []
+    for w in weights.T.astype(int):
+        idx = np.repeat(np.arange(len(table)), w[table["group_id"].to_numpy()])
+        y, s = table["y"].to_numpy()[idx], table[column].to_numpy()[idx]
+        out.append(auc(y, s) if 0 < y.sum() < len(y) else None)
+    return {i: v for i, v in enumerate(out) if v is not None}
 
 
-def test_one_replicate_is_enough(spark, scores):
-    numbered, n = R.pure_numbered_groups(scores, "group_id", "y")
-    w = R.bootstrap_weights(numbered, "group_id", "y", R.congruential_draws(spark, n, 1))
-    got = [R.auc_replicates(scores, "group_id", "score", w, n, 1, 60, shared).first()["auc"] for shared in (1 << 26, 0)]
-    assert abs(got[0] - got[1]) < 1e-12
+@pytest.mark.parametrize("rows_per_range", [10 ** 6, 60, 7])
+@pytest.mark.parametrize("column", ["score", "constant"])
+def test_bootstrap_replicates_equal_resampled_rows(table, scores, column, rows_per_range):
+    """Ranges of 7 rows cut ties of one score into many tasks; the constant is one tie of all groups."""
+    pdf, df = table.assign(constant=1.5), scores.withColumn("constant", F.lit(1.5))
+    numbered, n = R.pure_numbered_groups(df, "group_id", "y")
+    draws = GroupDraws(n, 70)
+    got = {r["rep"]: r["auc"] for r in R.auc_replicates(df, numbered, "group_id", "y", column, draws, rows_per_range).collect()}
+    want = resampled(pdf, column, all_weights(draws))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
-def test_congruential_draws_are_even(spark):
-    d = R.congruential_draws(spark, 50, 400)
-    assert d.agg(F.sum("w")).first()[0] == 50 * 400
-    per = d.groupBy("_g").agg(F.sum("w").alias("w")).toPandas()["w"]
-    assert per.min() > 300 and per.max() < 500
+@pytest.mark.parametrize("rows_per_range", [10 ** 6, 7])
+def test_permutation_replicates_equal_relabelled_rows(table, scores, rows_per_range):
+    numbered, n = R.pure_numbered_groups(scores, "group_id", "y")
+    for source in (R.shuffles(numbered, "y", 70, 3), R.rotations(numbered, "y", 70)):
+        got = {r["rep"]: r["auc"] for r in R.auc_replicates(scores, numbered, "group_id", "y", "score", source, rows_per_range).collect()}
+        want = {k: auc(c[table["group_id"].to_numpy()] == 1, table["score"].to_numpy()) for k, c in enumerate(all_codes(source, n).T)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_a_score_of_a_third_of_all_rows_is_cut(spark):
+    """One score in 3 000 groups: no range task holds more than its share of them, and the AUC is the plain one."""
+    pdf = pd.DataFrame({"group_id": np.arange(9000), "y": np.arange(9000) % 2 == 0, "score": np.where(np.arange(9000) < 3000, 0.5, (np.arange(9000) * 7919 % 1000) / 1000)})
+    df = spark.createDataFrame(pdf)
+    numbered, n = R.pure_numbered_groups(df, "group_id", "y")
+    placed = df.groupBy("group_id", "score").count().join(numbered, "group_id")
+    ranged, _ = R.with_ranges(placed, ["score", "_g"], 500)
+    assert ranged.groupBy(R.RANGE).count().agg(F.max("count")).first()[0] < 1500
+    draws = GroupDraws(n, 3)
+    got = {r["rep"]: r["auc"] for r in R.auc_replicates(df, numbered, "group_id", "y", "score", draws, 500).collect()}
+    want = resampled(pdf, "score", all_weights(draws))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_picks_do_not_overflow():
+    slots = 10**12 + np.arange(5) * 3
+    got = replicates.picks(np.arange(5) + 10**6, slots, 10**15)
+    assert got.tolist() == [pick(10**6 + i, int(s), 10**15) for i, s in enumerate(slots)] and len(set(got.tolist())) == 5
+
+
+def test_one_block_draws_are_the_plain_picks():
+    w = all_weights(GroupDraws(50, 3))
+    want = np.zeros((50, 3))
+    for rep in range(3):
+        for slot in range(50):
+            want[pick(rep, slot, 50), rep] += 1
+    assert (w == want).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 50, replicates.BLOCK, replicates.BLOCK + 1, 3 * replicates.BLOCK + 17])
+def test_draws_are_as_many_as_groups_and_even(n):
+    w = all_weights(GroupDraws(n, 130, seed=5))
+    assert (w.sum(axis=0) == n).all()
+    if n >= 50:
+        assert abs((w == 0).mean() - np.exp(-1)) < 0.03 and abs(w.var() - 1) < 0.1         # as of drawing with replacement
+        assert len({tuple(c) for c in w.T.astype(int).tolist()}) == 130
+        assert (all_weights(GroupDraws(n, 130, seed=6)) != w).any()
+
+
+def test_draws_of_some_groups_are_those_of_all():
+    """A task that holds few groups, over several blocks, sees what a task that holds all does."""
+    draws = GroupDraws(5 * replicates.BLOCK + 3, 70, seed=2)
+    some = np.array([0, 5, replicates.BLOCK, 4 * replicates.BLOCK - 1, 5 * replicates.BLOCK + 2])
+    for reps in replicates.chunks(70):
+        assert (draws.weights(some, reps) == draws.weights(np.arange(draws.n_groups), reps)[some]).all()
+
+
+@pytest.mark.parametrize("sizes", [(1,), (1, 1), (3, 2), (7, 5, 3), (500, 501)])
+def test_shuffles_keep_class_sizes(sizes):
+    source, n = GroupShuffles(sizes, 200, seed=1), sum(sizes)
+    codes = all_codes(source, n)
+    assert all(np.bincount(c, minlength=len(sizes)).tolist() == list(sizes) for c in codes.T)
+    places = np.concatenate([source.places(np.arange(n), reps) for reps in replicates.chunks(200)], axis=1)
+    assert all(sorted(p) == list(range(n)) for p in places.T.tolist())
+    if n > 100:
+        assert abs(np.corrcoef(places[:, 0], np.arange(n))[0, 1]) < 0.15 and abs(np.corrcoef(places[:, 0], places[:, 1])[0, 1]) < 0.15
+
+
+def test_shuffles_of_few_groups_are_even():
+    """All 10 ways to give 2 of 5 groups the second label come up about equally often."""
+    ways = pd.Series([tuple(c) for c in all_codes(GroupShuffles((3, 2), 4000, seed=9), 5).T.tolist()]).value_counts()
+    assert len(ways) == 10 and ways.min() > 300 and ways.max() < 500
+
+
+def test_rotations_are_for_few_groups():
+    assert Rotations(np.array([0, 1, 1]), 2).codes(np.arange(3), np.arange(2)).T.tolist() == [[1, 0, 1], [1, 1, 0]]
+    with pytest.raises(ValueError, match="rotations"):
+        Rotations(np.broadcast_to(np.uint8(0), replicates.MAX_ROTATED + 1), 1)
+
+
+def test_label_replicates_equal_resampled_rows(spark):
+    rng = np.random.default_rng(4)
+    g = np.repeat(np.arange(30), 12)
+    pdf = pd.DataFrame({"g": g, "y": np.array(list("abc"))[g % 3], "p": rng.choice(list("abcz"), size=360)})
+    df = spark.createDataFrame(pdf)
+    numbered, n = R.pure_numbered_groups(df, "g", "y")
+    counts, draws = R.label_counts(df, "g", "y", "p"), GroupDraws(30, 70)
+
+    def balanced(truth, predicted):
+        return np.mean([(predicted[truth == c] == c).mean() for c in np.unique(truth)])
+    got = {r["rep"]: r["balanced_accuracy"] for r in R.balanced_accuracy_replicates(counts, numbered, "g", "y", "p", draws).collect()}
+    for rep, w in enumerate(all_weights(draws).T.astype(int)):
+        idx = np.repeat(np.arange(360), w[g])
+        assert abs(got[rep] - balanced(pdf["y"].to_numpy()[idx], pdf["p"].to_numpy()[idx])) < 1e-12
+    source = R.shuffles(numbered, "y", 70, 1)
+    got = {r["rep"]: r["balanced_accuracy"] for r in R.permuted_balanced_accuracy(counts, numbered, "g", "y", "p", source).collect()}
+    for rep, c in enumerate(all_codes(source, 30).T):
+        assert abs(got[rep] - balanced(np.array(list("abc"))[c[g]], pdf["p"].to_numpy())) < 1e-12
+    got = {r["rep"]: r["rate"] for r in R.rate_replicates(df, numbered, "g", F.col("p") == "z", draws).collect()}
+    for rep, w in enumerate(all_weights(draws).T):
+        assert abs(got[rep] - (w[g] * (pdf["p"] == "z")).sum() / w[g].sum()) < 1e-12
+
+
+def test_null_groups_and_scores_beyond_numbers(spark):
+    """Rows without a group are one group; null is the lowest score, not-a-number the highest, each tied with itself."""
+    rows = [(None, True, float("nan")), (None, True, 0.2), ("a", False, float("nan")), ("a", False, 0.1), ("b", False, 0.2), ("c", True, float("nan")), ("c", True, None), ("b", False, None), ("b", False, 0.0)]
+    df = spark.createDataFrame(rows, "g string, y boolean, s double")
+    numbered, n = R.pure_numbered_groups(df, "g", "y")
+    draws = GroupDraws(n, 20)
+    w, position = all_weights(draws), {r["g"]: r["_g"] for r in numbered.collect()}
+    for size in (1, 100):
+        got = {r["rep"]: r["auc"] for r in R.auc_replicates(df, numbered, "g", "y", "s", draws, size).collect()}
+        for rep in range(20):
+            up, down = ([(-9.0 if s is None else 9.0 if s != s else s, w[position[g], rep]) for g, y, s in rows if y == side] for side in (True, False))
+            wins = sum(a * b * (1 if s > t else 0.5 if s == t else 0) for s, a in up for t, b in down)
+            total = sum(a for _, a in up) * sum(b for _, b in down)
+            assert (rep in got) == (total > 0) and (total == 0 or abs(got[rep] - wins / total) < 1e-12)
+
+
+def test_paired_tables_need_identical_rows(spark):
+    a = spark.createDataFrame([(1, "g", True, 0.1), (2, "h", False, 0.2)], "row_id int, g string, y boolean, s double")
+    assert sorted(map(tuple, evaluation.paired_tables(a, a, "row_id", "g", "y", "s").collect())) == [(1, "g", True, 0.1, 0.1), (2, "h", False, 0.2, 0.2)]
+    for b, reason in ((a.where("row_id = 1"), "identical rows"), (a.union(a), "each row once"), (a.withColumn("y", ~F.col("y")), "equal groups and labels")):
+        with pytest.raises(ValueError, match=reason):
+            evaluation.paired_tables(a, b, "row_id", "g", "y", "s")
 
 
 def test_effect_is_found_and_noise_is_not(scores):
