@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.publication import Publication
 from .scan import lookup_join, ordered
 
 NO_LABEL = "None"
@@ -203,76 +204,48 @@ REGISTRY = T.StructType([
 
 
 class SplitRegistry:
-    """Split tables under one folder: ``assignments/split_id=…`` and an append-only ``registry`` of entries.
+    """Published split tables under one folder, each with its digest, counts and notes.
 
-    The latest entry of a split id decides. An id is never reused: saving the same assignment again is a no-op,
-    another assignment or a retired id is an error.
+    An id is never reused: saving the same assignment again is a no-op, another assignment or a retired id is an error.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.published = spark, Publication(spark, folder)
 
-    def _path(self, split_id: str) -> str:
-        return f"{self.folder}/assignments/split_id={split_id.replace('/', '__')}"
+    @staticmethod
+    def _line(entry: dict) -> dict:
+        return {"split_id": entry["id"], **entry["info"], "created": entry["created"], "retired": entry["retired"], "reason": entry["reason"]}
 
     def entries(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(REGISTRY).json(f"{self.folder}/registry")
-        except Exception as error:                          # nothing saved yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], REGISTRY)
-
-    def _entry(self, split_id: str):
-        found = self.entries().where(F.col("split_id") == split_id).collect()     # a save and at most one retirement
-        return next((r for r in found if r["retired"]), found[0] if found else None)
+        lines = [self._line(e) for e in self.published.entries()]
+        return self.spark.createDataFrame([tuple(e[f] for f in REGISTRY.fieldNames()) for e in lines], REGISTRY)
 
     def save(self, split_id: str, kind: str, strategy: str, captures: DataFrame, assignment: DataFrame, *,
-             label: str = "label_uas_present", seed: int | None = None, notes: str | None = None, check_groups: bool = True):
+             label: str = "label_uas_present", seed: int | None = None, notes: str | None = None, check_groups: bool = True) -> dict:
         if check_groups:
             problems = leakage_problems(captures, assignment).limit(5).collect()
             if problems:
                 raise ValueError(f"{split_id}: " + "; ".join(f"{p['rule']} {p['entity_id']} {p['detail']}" for p in problems))
         digest = block_digest(assignment).first()
-        known = self._entry(split_id)
-        if known is not None and known["retired"]:
-            raise ValueError(f"{split_id} was retired; retired ids are never reused")
-        if known is not None:
-            if known["assignment_sha256"] == digest["assignment_sha256"]:
-                return known
+        known = self.published.entry(split_id)
+        if known and not known["retired"]:
+            if known["info"]["assignment_sha256"] == digest["assignment_sha256"]:
+                return self._line(known)
             raise ValueError(f"{split_id} exists with a different assignment; retire it or use a new id")
-        assignment.select("capture_id", "partition").write.mode("errorifexists").parquet(self._path(split_id))
-        joined = assignment.join(captures, "capture_id")
         tally: dict[str, dict[str, int]] = {}
-        for r in counts_by_partition_label(joined, label).collect():              # partitions x label values
+        for r in counts_by_partition_label(assignment.join(captures, "capture_id"), label).collect():              # partitions x label values
             tally.setdefault(r["partition"], {})[r["label"]] = r["n"]
         datasets = [r[0] for r in assignment.select(F.split("capture_id", "/")[0]).distinct().orderBy(1).collect()]
-        row = [(split_id, kind, strategy, seed, datasets, digest["captures"], digest["assignment_sha256"], tally,
-                check_groups, notes)]
-        self._append(row, None)
-        return self._entry(split_id)
-
-    def _append(self, row: list[tuple], reason: str | None) -> None:
-        head = T.StructType(REGISTRY.fields[:10])
-        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
-        entry = self.spark.createDataFrame(row, head)
-        entry = entry.withColumn("created", now)
-        if reason is not None:
-            entry = entry.withColumn("retired", now).withColumn("reason", F.lit(reason))
-        entry.write.mode("append").json(f"{self.folder}/registry")
+        info = {"kind": kind, "strategy": strategy, "seed": seed, "datasets": datasets, "captures": digest["captures"],
+                "assignment_sha256": digest["assignment_sha256"], "counts": tally, "group_leakage_checked": check_groups, "notes": notes}
+        return self._line(self.published.publish(split_id, {"assignment": assignment.select("capture_id", "partition")}, info))
 
     def retire(self, split_id: str, reason: str) -> None:
-        known = self._entry(split_id)
-        if known is None or known["retired"]:
-            raise KeyError(split_id)
-        self._append([tuple(known[c.name] for c in REGISTRY.fields[:10])], reason)
+        self.published.retire(split_id, reason)
 
     def load(self, split_id: str) -> DataFrame:
-        known = self._entry(split_id)
-        if known is None or known["retired"]:
-            raise KeyError(split_id)
-        stored = self.spark.read.parquet(self._path(split_id))
-        if block_digest(stored).first()["assignment_sha256"] != known["assignment_sha256"]:
+        known, stored = self.published.entry(split_id), self.published.read(split_id, "assignment", verify=False)
+        if block_digest(stored).first()["assignment_sha256"] != known["info"]["assignment_sha256"]:
             raise ValueError(f"{split_id}: assignment no longer matches the registry")
         return stored
 

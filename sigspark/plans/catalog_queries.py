@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import grammars as G
 from ..functions.columns import micros
-from ..operators import catalog, claims, joins, profiles
-from ..sources import blocks, ingest, materialize
+from ..operators import catalog, claims, joins, profiles, splits
+from ..session import scratch_path
+from ..sources import blocks, ingest, materialize, tables
+from ..sources.publication import Publication
 from .tables import load, r6
 
 QUERIES: dict = {}
@@ -406,3 +408,94 @@ def cached_feature_difference(spark, sf_dir):
 def replicated_metadata(spark, sf_dir):
     s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return joins.replicate_rows(s, (F.col("s_suppkey") % 4).cast("int"))
+
+
+# ------------------------------------------------------------------ publication
+def _valid_index(spark: SparkSession, sf_dir: str, orders: DataFrame) -> dict[str, DataFrame]:
+    """Orders as captures, their line numbers as artifacts, customers as groups; all counts declared as found."""
+    l = (load(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+         .groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.sum(F.col("l_quantity").cast("long")).alias("size")))
+    id_of = lambda kind, key: F.concat(F.lit(f"t/{kind}"), F.col(key).cast("string"))
+    lines = l.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n_artifacts"))
+    captures = (orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+                .select(id_of("o", "o_orderkey").alias("capture_id"), F.lit("t").alias("dataset_id"), id_of("c", "o_custkey").alias("group_id"), F.coalesce("n_artifacts", F.lit(0)).alias("n_artifacts"),
+                        F.lit("VERIFIED").alias("label_status"), F.col("o_orderstatus").alias("label_class")))
+    artifacts = l.select(F.concat(id_of("o", "l_orderkey"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("artifact_id"), F.lit("t").alias("dataset_id"), F.col("l_partkey").cast("string").alias("storage_relpath"),
+                         id_of("o", "l_orderkey").alias("capture_id"), F.col("size").alias("size_bytes"))
+    found = {"artifacts": artifacts, "captures": captures, "groups": catalog.groups_from(captures, "customer", "one customer", "VERIFIED")}
+    return {name: found[name].select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in found[name].columns]) if name in found else spark.createDataFrame([], schema)
+            for name, schema in tables.INDEX.items()}
+
+
+@register("published_index", """SELECT c.o_orderkey, 't/c' || c.o_custkey AS group_id, count(DISTINCT l.l_linenumber)::INT AS n_artifacts, coalesce(sum(l.l_quantity::BIGINT), 0)::BIGINT AS size_bytes, 2::BIGINT AS version
+FROM orders c LEFT JOIN lineitem l ON l_orderkey = o_orderkey GROUP BY 1, 2""")
+def published_index(spark, sf_dir):
+    """An index published without the orders still open, then with them as a second version, and read back checked."""
+    orders, root = load(spark, sf_dir, "orders"), scratch_path(spark, "index")
+    tables.write_index(_valid_index(spark, sf_dir, orders.where("o_orderstatus <> 'O'")), root, "t")
+    entry = tables.write_index(_valid_index(spark, sf_dir, orders), root, "t")
+    captures = tables.read_index(spark, root, "captures", "t", verify=True)
+    sizes = tables.read_index(spark, root, "artifacts", "t", verify=True).groupBy("capture_id").agg(F.sum("size_bytes").alias("size_bytes"))
+    return captures.join(sizes, "capture_id", "left").select(F.substring("capture_id", 4, 20).cast("long").alias("o_orderkey"), "group_id", "n_artifacts", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"),
+                                                             F.lit(entry["version"]).cast("long").alias("version"))
+
+
+@register("published_splits", """SELECT 't/kept' AS split_id, 'd/o' || o_orderkey AS capture_id, 'fold' || (o_custkey % 3) AS partition, (SELECT count(*) FROM orders) AS captures, false AS retired FROM orders
+UNION ALL SELECT 't/withdrawn', NULL, NULL, (SELECT count(*) FROM orders), true""")
+def published_splits(spark, sf_dir):
+    """A split by customer that is saved twice and loaded, and one that is retired; one row per assignment and retired id."""
+    o = load(spark, sf_dir, "orders")
+    captures = o.select(F.concat(F.lit("d/o"), F.col("o_orderkey").cast("string")).alias("capture_id"), F.col("o_custkey").alias("group_id"), F.col("o_orderstatus").alias("label"))
+    by_customer = captures.select("capture_id", F.concat(F.lit("fold"), (F.col("group_id") % 3).cast("string")).alias("partition"))
+    registry = splits.SplitRegistry(spark, scratch_path(spark, "splits"))
+    for name in ("t/kept", "t/withdrawn", "t/kept"):                               # the second save of an id changes nothing
+        registry.save(name, "experiment", "customer", captures, by_customer, label="label")
+    registry.retire("t/withdrawn", "example")
+    entries = registry.entries().select("split_id", "captures", F.col("retired").isNotNull().alias("retired"))
+    loaded = registry.load("t/kept").withColumn("split_id", F.lit("t/kept"))
+    return F.broadcast(entries).join(loaded, "split_id", "left").select("split_id", "capture_id", "partition", "captures", "retired")
+
+
+@register("publication_refusals", """SELECT * FROM (VALUES ('changed content', true), ('other content under one id', true), ('retired id', true), ('same content again', false), ('unfinished writer', false)) t(attempt, refused)""")
+def publication_refusals(spark, sf_dir):
+    """What a publication of all events refuses, and what it takes."""
+    e, box = load(spark, sf_dir, "events"), Publication(spark, scratch_path(spark, "events"))
+    box.publish("e", {"events": e})
+
+    def refused(f) -> bool:
+        try:
+            f()
+        except (KeyError, ValueError):
+            return True
+        return False
+    outcome = {"same content again": refused(lambda: box.publish("e", {"events": e})), "other content under one id": refused(lambda: box.publish("e", {"events": e.withColumn("value", -F.col("value"))}))}
+    e.write.parquet(f"{box.root}/tables/unnamed/events")                           # a writer that died before its manifest
+    outcome["unfinished writer"] = refused(lambda: box.read("e", "events"))
+    e.where("user_id = 0").write.mode("append").parquet(box.path(box.entry("e"), "events"))
+    outcome["changed content"] = refused(lambda: box.read("e", "events"))
+    box.retire("e", "changed behind its manifest")
+    outcome["retired id"] = refused(lambda: box.publish("e", {"events": e}))
+    return spark.createDataFrame(sorted(outcome.items()), "attempt string, refused boolean")
+
+
+@register("materialized_sums", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def materialized_sums(spark, sf_dir):
+    """Sums kept under a fingerprint of their input: the second call reads what the first wrote."""
+    e, folder = load(spark, sf_dir, "events"), scratch_path(spark, "sums")
+
+    def build() -> DataFrame:
+        return e.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+    def unwanted() -> DataFrame:
+        raise AssertionError("a stored table is not built again")
+    materialize.materialize(spark, folder, "sums", {}, {"events": e}, build)
+    return materialize.materialize(spark, folder, "sums", {}, {"events": e}, unwanted).select("user_id", "n", F.round("total", 4).alias("total"))
+
+
+@register("result_log", "SELECT event_type, count(*) AS n, 'counts' AS test FROM events GROUP BY 1 UNION ALL SELECT event_type, count(DISTINCT user_id), 'users' FROM events GROUP BY 1")
+def result_log(spark, sf_dir):
+    """Two results appended to one log and read back."""
+    e, path = load(spark, sf_dir, "events"), scratch_path(spark, "results")
+    materialize.append_results(e.groupBy("event_type").agg(F.count("*").alias("n")), path, "counts")
+    materialize.append_results(e.groupBy("event_type").agg(F.countDistinct("user_id").alias("n")), path, "users")
+    return tables.read_json(spark, path, "event_type string, n long, test string, recorded_at timestamp").where("recorded_at IS NOT NULL").drop("recorded_at")

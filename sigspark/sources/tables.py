@@ -7,24 +7,31 @@ from pyspark.sql import types as T
 
 from ..operators import catalog
 from ..schemas import CLAIMS, INDEX
+from .publication import Publication
 
 
-def read_index(spark: SparkSession, root: str, name: str, dataset_id: str | None = None) -> DataFrame:
-    """One index table; the dataset filter prunes partitions."""
-    schema = INDEX[name]
+def read_index(spark: SparkSession, root: str, name: str, dataset_id: str | None = None, verify: bool = False) -> DataFrame:
+    """One index table of one dataset or of all; only the files of their latest versions are listed. ``verify`` also compares each
+    dataset's content with its manifest. Unknown and retired datasets have no rows."""
+    schema, index = INDEX[name], Publication(spark, root)
     if "dataset_id" not in schema.fieldNames():
         schema = T.StructType([*schema.fields, T.StructField("dataset_id", T.StringType())])
-    df = spark.read.schema(schema).parquet(f"{root}/{name}")
-    return df if dataset_id is None else df.where(F.col("dataset_id") == dataset_id)
-
-
-def write_index(tables: dict[str, DataFrame], root: str, dataset_id: str) -> None:
-    """Validate, then replace the partitions of one dataset in all five tables."""
+    known = index.entries() if dataset_id is None else [e for e in [index.entry(dataset_id)] if e]
+    live = [e for e in known if not e["retired"]]
+    if verify:
+        for e in live:
+            index.read(e["id"], name)
+    if not live:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[index.path(e, name) for e in live])
+
+
+def write_index(tables: dict[str, DataFrame], root: str, dataset_id: str) -> dict:
+    """Validate, then publish the five tables of one dataset as its next version, all at once. Returns the manifest."""
     catalog.assert_valid(tables, dataset_id)
-    for name, schema in INDEX.items():
-        out = tables[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        (out.withColumn("dataset_id", F.lit(dataset_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("dataset_id").parquet(f"{root}/{name}"))
+    out = {name: tables[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).withColumn("dataset_id", F.lit(dataset_id))
+           for name, schema in INDEX.items()}
+    return Publication(tables["captures"].sparkSession, root).publish(dataset_id, out, replace=True)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, **options: str) -> DataFrame:
