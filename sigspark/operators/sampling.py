@@ -5,8 +5,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+from .replicates import PRIME
 from .scan import ordered
 
+MAX_DRAWN = 1024                                    # training units of one draw
+
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows per key. Spark prunes to n rows per key in every input partition before the shuffle."""
@@ -27,18 +31,40 @@ def running_quota(df: DataFrame, keys: list[str], order: list[str], amount: str,
     return scan.frame().where(F.coalesce(F.col("_before"), F.lit(0)) < quota).drop("_before")
 
 
+def _pick(rep: Column, slot: Column, n: Column) -> Column:
+    """``replicates.picks`` as a column expression."""
+    p = F.lit(PRIME).cast("long")
+    r = (F.pmod(rep, p) + 1) * F.lit(69621) % p
+    h = ((F.pmod(slot, p) + 1) * F.lit(48271) + F.floor(slot / p) * F.lit(40692) % p + r) % p
+    a = h * (h + F.lit(16807)) % p
+    b = a * ((a + r) % p) % p
+    c = b * (b + F.lit(12345)) % p
+    return (c * p + b) % n
+
+
 def training_draws(units: DataFrame, held_out: DataFrame, unit: str, k: int, draws: int, seed: int = 0) -> DataFrame:
-    """(held_out, draw, unit): k training units per held-out unit and draw; held-out units with fewer than k others are
-    left out.
+    """(held_out, draw, unit): k training units per held-out unit and draw, each set drawn anew and without replacement;
+    held-out units with fewer than k others are left out.
 
-    Units are ranked once per draw in a hash order; the k units of a held-out unit are the first k others in that
-    ranking, so only k + 1 units per draw are needed and no (held-out, unit) grid is formed.
+    Units are numbered in sorted order. The j-th pick is a place among the units not yet taken, moved past the taken ones
+    below it; the held-out unit counts as taken from the start. So a draw is computed from (seed, k, draw, held-out unit)
+    alone, draws are independent between held-out units and values of k, and no (held-out, unit) grid is formed.
     """
-    per_draw = units.select(unit).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    ranked = first_n(per_draw, ["draw"], [F.xxhash64(F.lit(seed), "draw", F.col(unit)), F.col(unit)], k + 1)
-    pool = ranked.groupBy("draw").agg(F.array_sort(F.collect_list(
-        F.struct(F.xxhash64(F.lit(seed), "draw", F.col(unit)).alias("h"), F.col(unit).alias("u")))).alias("pool"))   # k + 1 units
-    targets = held_out.select(F.col(unit).alias("held_out")).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    others = F.filter(F.col("pool"), lambda p: p["u"] != F.col("held_out"))
-    return (targets.join(F.broadcast(pool), "draw").withColumn("chosen", F.slice(others, 1, k))
-            .where(F.size("chosen") == k).select("held_out", "draw", F.explode("chosen.u").alias(unit)))
+    if not 0 < k <= MAX_DRAWN:
+        raise ValueError(f"k must be from 1 to {MAX_DRAWN}")
+    names = units.select(unit).where(F.col(unit).isNotNull()).distinct()
+    n = names.count()
+    numbered = cut_lineage(ordered(names, [], [unit], n_rows=n).row_number("_at").frame().select((F.col("_at") - 1).alias("_at"), unit))
+    targets = (held_out.select(F.col(unit).alias("held_out")).distinct().join(numbered.withColumnRenamed(unit, "held_out"), "held_out", "left")
+               .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))))
+    taken = F.when(F.col("_at").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("_at"))
+    own = F.coalesce(F.col("_at"), F.lit(n) + F.pmod(F.xxhash64("held_out"), F.lit(PRIME)))
+    rep = F.lit(seed * 1_000_003 + k * 1009) + F.col("draw").cast("long") * 65537
+
+    def take(so_far: Column, j: Column) -> Column:
+        free = _pick(rep, own * MAX_DRAWN + j, F.lit(n).cast("long") - F.size(so_far))
+        return F.array_append(so_far, F.aggregate(F.array_sort(so_far), free, lambda place, t: place + F.when(t <= place, 1).otherwise(0).cast("long")))
+    chosen = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), taken, take)
+    drawn = (targets.where(F.lit(n) - F.size(taken) >= k)
+             .select("held_out", "draw", F.explode(F.slice(chosen, F.size(taken) + 1, k)).alias("_at")))
+    return drawn.join(numbered, "_at").select("held_out", "draw", unit)

@@ -526,7 +526,21 @@ def first_loud_rows(spark, sf_dir):
     return sampling.first_n(e, ["user_id"], [F.col("ts"), F.col("event_id")], 10).drop("ts")
 
 
-@register("training_draws")
+def _training_draws(k: int, draws: int) -> str:
+    """SQL repeating operators.sampling.training_draws: k picks, each moved past what is taken."""
+    p, steps, state = 2147483647, [], "u0"
+    for j in range(k):
+        steps.append(f"""h{j} AS (SELECT *, ((own * 1024 + {j}) % {p} + 1) * 48271 % {p} + (own * 1024 + {j}) // {p} * 40692 % {p} + r AS hx FROM {state}),
+a{j} AS (SELECT *, (hx % {p}) * (hx % {p} + 16807) % {p} AS ax FROM h{j}), b{j} AS (SELECT *, ax * ((ax + r) % {p}) % {p} AS bx FROM a{j}),
+u{j + 1} AS (SELECT held_out, own, draw, r, n, list_append(taken, list_reduce(list_prepend(((bx * (bx + 12345) % {p}) * {p} + bx) % (n - {j + 1}), list_sort(taken)), lambda x, t: x + (t <= x)::BIGINT)) AS taken FROM b{j})""")
+        state = f"u{j + 1}"
+    return f"""WITH s AS (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT l_suppkey FROM lineitem)),
+u0 AS (SELECT l_suppkey AS held_out, pos AS own, d.draw::INT AS draw, ({k * 1009} + d.draw * 65537 + 1) * 69621 % {p} AS r, n, [pos] AS taken FROM s, (SELECT unnest(range({draws})) AS draw) d),
+{", ".join(steps)}
+SELECT held_out, draw, s.l_suppkey FROM (SELECT held_out, draw, unnest(taken[2:]) AS pos FROM {state}) JOIN s USING (pos)"""
+
+
+@register("training_draws", _training_draws(4, 5))
 def training_draws(spark, sf_dir):
     """Five draws of four training suppliers for every held-out supplier of the events-by-supplier design."""
     s = load(spark, sf_dir, "lineitem").select("l_suppkey").distinct()

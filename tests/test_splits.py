@@ -108,3 +108,23 @@ def test_training_draws_leave_the_held_out_unit_out(spark):
     out = training_draws(u, u, "unit", 3, 4).toPandas()
     assert (out["held_out"] != out["unit"]).all()
     assert (out.groupby(["held_out", "draw"]).size() == 3).all() and len(out) == 8 * 4 * 3
+    assert not out.duplicated().any()
+
+
+def test_training_draws_are_independent(spark):
+    """Each set is drawn anew: k = 1 is not the start of k = 2, held-out units do not share their draws, all units come up."""
+    from sigspark.operators.sampling import training_draws
+    u = spark.range(40).select("id")
+    one, two = (training_draws(u, u, "id", k, 50, 7).toPandas() for k in (1, 2))
+    pairs = two.groupby(["held_out", "draw"])["id"].agg(set)
+    nested = [r.id in pairs[(r.held_out, r.draw)] for r in one.itertuples()]
+    assert 0.02 < sum(nested) / len(nested) < 0.09                                   # 2 of 39 by chance
+    for frame, k in ((one, 1), (two, 2)):
+        per_draw = frame.groupby("draw")["id"].nunique()
+        assert per_draw.min() > 15                                                  # shared draws would show two or three
+        seen = frame.groupby("id").size()
+        assert len(seen) == 40 and seen.min() > 25 * k and seen.max() < 85 * k
+    assert training_draws(u.where("id < 3"), u.where("id < 4"), "id", 3, 2).select("held_out").distinct().collect() == [(3,)]
+    assert training_draws(u.where("id < 3"), u.limit(0), "id", 2, 2).count() == 0
+    with pytest.raises(ValueError):
+        training_draws(u, u, "id", 0, 2)
