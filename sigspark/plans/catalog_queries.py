@@ -1,7 +1,11 @@
 """Registered queries over catalogs, stored content and claims, on the driver's relational and text tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+import zipfile
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -9,7 +13,7 @@ from ..functions import grammars as G
 from ..functions.columns import micros
 from ..operators import catalog, claims, joins, profiles, splits
 from ..session import scratch_path
-from ..sources import blocks, ingest, materialize, tables
+from ..sources import blocks, files, ingest, materialize, tables
 from ..sources.publication import Publication
 from .tables import load, r6
 
@@ -410,6 +414,116 @@ def replicated_metadata(spark, sf_dir):
     return joins.replicate_rows(s, (F.col("s_suppkey") % 4).cast("int"))
 
 
+# ------------------------------------------------------------------ files by byte range
+_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT)"
+_SHARES = """WITH b AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), t AS (SELECT doc_id, strlen(text) AS n, """ + _BYTES + """ AS v FROM b)
+"""
+
+
+def _document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.encode("text", "UTF-8").alias("content"))
+
+
+def _in_blocks(written: DataFrame, signal: DataFrame, block: int, level: Column) -> DataFrame:
+    """written (doc_id, path, lo, n) and the blocks of the paths -> per document what of it came back: length, sum, last value."""
+    touched = F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("lo") + F.col("n") - 1) / block)))
+    asked = written.where("n > 0").select("doc_id", F.col("path").alias("capture_id"), "lo", "n", touched.alias("block_index"))
+    held = signal.select("capture_id", "block_index", "start", level.alias("v"))
+    first = F.greatest(F.col("lo") - F.col("start"), F.lit(0))
+    cut = F.slice("v", (first + 1).cast("int"), (F.least(F.col("lo") + F.col("n") - F.col("start"), F.lit(block)) - first).cast("int"))
+    found = (asked.join(held, ["capture_id", "block_index"]).select("doc_id", "block_index", cut.alias("v"))
+             .groupBy("doc_id").agg(F.sum(F.size("v")).cast("long").alias("n"), F.sum(C.array_sum(F.col("v"))).cast("long").alias("total"), F.max_by(F.try_element_at("v", F.lit(-1)), "block_index").cast("long").alias("last")))
+    return written.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0)).alias("total"), "last")
+
+
+_BACK = _SHARES + "SELECT doc_id, n::BIGINT AS n, coalesce(list_sum(v), 0)::BIGINT AS total, v[-1]::BIGINT AS last FROM t"
+
+
+@register("wav_byte_ranges", _BACK)
+def wav_byte_ranges(spark, sf_dir):
+    """Texts as 16-bit samples of WAV files whose notes stand before the samples; read back block by block."""
+    def write(out, keys, contents):
+        notes = struct.pack("<4sI", b"LIST", 10_000) + bytes(10_000)
+        size = 2 * sum(map(len, contents))
+        out.write(struct.pack("<4sI4s4sIHHIIHH", b"RIFF", 28 + len(notes) + 8 + size, b"WAVE", b"fmt ", 16, 1, 1, 48_000, 96_000, 2, 16) + notes + struct.pack("<4sI", b"data", size))
+        at = 0
+        for key, content in zip(keys, contents):
+            out.write(np.frombuffer(content, np.uint8).astype("<i2").tobytes())
+            yield key, at, len(content)
+            at += len(content)
+
+    block = 1 << 14
+    written = files.write_files(_document_bytes(spark, sf_dir), scratch_path(spark, "wav"), ".wav", "doc_id long, lo long, n long", write)
+    catalog_rows = ingest.wav_file_catalog(written.select("path").distinct()).withColumn("capture_id", F.col("path"))
+    signal = ingest.wav_file_blocks(ingest.wav_file_plan(catalog_rows, block), block)
+    return _in_blocks(written, signal, block, F.transform("i", lambda v: v.cast("double") * 32768))
+
+
+@register("iq_byte_ranges", _BACK)
+def iq_byte_ranges(spark, sf_dir):
+    """Texts as I of raw 16-bit I/Q files, Q the negative; read back block by block, I and Q added up apart."""
+    def write(out, keys, contents):
+        at = 0
+        for key, content in zip(keys, contents):
+            x = np.frombuffer(content, np.uint8).astype("<i2")
+            out.write(np.stack([x, -x], 1).tobytes())
+            yield key, at, len(content)
+            at += len(content)
+
+    block = 1 << 14
+    written = files.write_files(_document_bytes(spark, sf_dir), scratch_path(spark, "iq"), ".iq", "doc_id long, lo long, n long", write)
+    sizes = written.groupBy("path").agg((4 * F.max(F.col("lo") + F.col("n"))).alias("size_bytes")).withColumn("capture_id", F.col("path"))
+    signal = ingest.iq_file_blocks(ingest.iq_file_plan(sizes, block, kind="int16"), block, "int16")
+    return _in_blocks(written, signal, block, F.zip_with("i", "q", lambda i, q: (i.cast("double") - q) / 2))
+
+
+@register("zip_byte_ranges", "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS size_bytes, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def zip_byte_ranges(spark, sf_dir):
+    """Texts as members of archives, packed or stored; listed from the central directories and read back by offset."""
+    def write(out, keys, contents):
+        with zipfile.ZipFile(out, "w") as z:
+            for key, content in zip(keys, contents):
+                z.writestr(f"documents/{key}.txt", content, zipfile.ZIP_DEFLATED if key % 2 else zipfile.ZIP_STORED)
+                yield (key,)
+
+    written = files.write_files(_document_bytes(spark, sf_dir), scratch_path(spark, "zip"), ".zip", "doc_id long", write)
+    members = ingest.zip_members(written.select("path").distinct())
+    content = ingest.zip_contents(members).withColumn("doc_id", F.regexp_extract("member", r"(-?\d+)\.txt$", 1).cast("long"))
+    return content.select("doc_id", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@register("inventory_rounds", """WITH t AS (SELECT item_id, item_id % 7 = 0 AS gone, CASE WHEN item_id % 5 = 0 AND item_id % 7 <> 0 THEN text || '+' ELSE text END AS text FROM benchmark)
+SELECT item_id, strlen(text)::BIGINT AS size, sha256(text) AS sha256, CASE WHEN NOT gone AND (item_id % 3 = 0 OR item_id % 5 = 0) THEN 2 ELSE 1 END::BIGINT AS read_in, CASE WHEN gone THEN 2 END::BIGINT AS gone_in
+FROM t WHERE NOT gone OR item_id % 3 <> 0""")
+def inventory_rounds(spark, sf_dir):
+    """Benchmark items as files, taken stock of three times: first without a third of them, again with nothing changed, then with
+    that third, every fifth rewritten and a folder with every seventh no longer listed."""
+    items = load(spark, sf_dir, "benchmark").select("item_id", "text", (F.col("item_id") % 7 == 0).alias("left"))
+    root = scratch_path(spark, "inventory")
+    box = Publication(spark, f"{root}/published")
+
+    def write(rows: DataFrame) -> None:
+        def put(batches):
+            for b in batches:
+                for folder, key, content in zip(b["folder"], b["item_id"], b["content"]):
+                    fs, inner = files.filesystem(folder)
+                    fs.create_dir(inner, recursive=True)
+                    with fs.open_output_stream(f"{inner}/{key}.bin", compression=None) as out:
+                        out.write(bytes(content))
+                yield b[["item_id"]]
+        folder = F.when(F.col("left"), f"{root}/files/left").otherwise(f"{root}/files/kept")
+        rows.select(folder.alias("folder"), "item_id", F.encode("text", "UTF-8").alias("content")).mapInPandas(put, "item_id long").count()
+
+    write(items.where("item_id % 3 <> 0"))
+    for _ in range(2):
+        first = ingest.update_inventory(box, "items", files.list_files(spark, [f"{root}/files"]))
+    assert first["version"] == 1
+    write(items.where("item_id % 3 = 0 AND NOT left"))
+    write(items.where("item_id % 5 = 0 AND NOT left").withColumn("text", F.concat("text", F.lit("+"))))
+    ingest.update_inventory(box, "items", files.list_files(spark, [f"{root}/files/kept"]))
+    return box.read("items", "files").select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long").alias("item_id"), "size", "sha256", "read_in", "gone_in")
+
+
 # ------------------------------------------------------------------ publication
 def _valid_index(spark: SparkSession, sf_dir: str, orders: DataFrame) -> dict[str, DataFrame]:
     """Orders as captures, their line numbers as artifacts, customers as groups; all counts declared as found."""
