@@ -1,9 +1,12 @@
 """Licence scan: winnowed fingerprints, an inverted index, banded alignment (operator 8).
 
 Word k-grams of the templates are hashed and winnowed (the smallest hash of every window is kept), which guarantees that a
-shared run of K + WINDOW - 1 words shares a fingerprint. The index maps a fingerprint to the templates and places that have
-it. Fingerprints of a text that fall on nearly one diagonal make a candidate; a banded alignment of template and text words
-then gives the matched coverage and the span. The templates are a fixed list, so the index is a small broadcast.
+shared run of K + WINDOW - 1 words shares a fingerprint. A notice of SHORT words or fewer may lose all of those to one edit, so
+it is indexed by every pair of neighbouring words: with COVERAGE of its words matched and nothing put between them, a pair is
+left. The index maps a fingerprint to the templates and places that have it. Fingerprints of a text that fall on nearly one
+diagonal make a candidate; a banded alignment of template and text words then gives the matched coverage and the span.
+Coverage counts words alike: a notice of five words matches with its licence's name exchanged, at 0.8, where no template fits
+better. The templates are a fixed list, so the index is a small broadcast.
 """
 from __future__ import annotations
 
@@ -19,6 +22,7 @@ from .common import load
 from .decontaminate import LETTERS
 
 K, WINDOW = 3, 3                                    # words of a fingerprint, fingerprints of a winnowing window
+SHORT = 40                                          # words up to which a template is indexed by pairs
 BAND = 8                                            # words that text and template may run apart in an alignment
 COVERAGE = 0.8                                      # share of template words that must match
 TEMPLATE_WORDS = 100_000                            # all templates together, at most
@@ -45,6 +49,26 @@ License, or (at your option) any later version."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
 form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL
+THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB_CLAUSES = """1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be
+removed or altered from any source distribution."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use,
+reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to
+the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the
+Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language
+processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND
+NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"""
+
 # Public licence texts and customary notices (name, wording).
 TEMPLATES = (
     ("MIT", _MIT), ("BSD-2-Clause", _BSD_2), ("BSD-3-Clause", _BSD_3), ("ISC", _ISC), ("Zlib", _ZLIB), ("Apache-2.0", _APACHE), ("GPL-3.0", _GPL), ("Unlicense", _UNLICENSE),
@@ -54,21 +78,26 @@ TEMPLATES = (
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3."), ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("BSD-2-Clause", f"{_BSD_2} {_BSD_DISCLAIMER}"), ("BSD-3-Clause", f"{_BSD_3} {_BSD_DISCLAIMER}"), ("ISC", f"{_ISC} {_ISC_DISCLAIMER}"), ("Zlib", f"{_ZLIB}: {_ZLIB_CLAUSES}"), ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."), ("AGPL-3.0", _GPL.replace("GNU General", "GNU Affero General")), ("LGPL-3.0", _GPL.replace("GNU General", "GNU Lesser General")),
+    ("GPL-2.0", _GPL.replace("version 3", "version 2")), ("MPL-2.0", _MPL), ("EPL-2.0", _EPL),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("CC0-1.0", "dedicated to the public domain under CC0 1.0"),
 )
 MATCH = "array<struct<licence:string,template:int,coverage:double,first_word:long,last_word:long>>"
 
 
-def _grams(numbers: np.ndarray) -> np.ndarray:
-    """A hash per K words; the largest value where a word is in no template. Depends on the words alone."""
-    n = len(numbers) - K + 1
+def _grams(numbers: np.ndarray, k: int = K) -> np.ndarray:
+    """A hash per k words; the largest value where a word is in no template. Depends on the words alone."""
+    n = len(numbers) - k + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
-    for k in range(K):
-        h = (h ^ numbers[k:n + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    known = np.ones(n, bool)
+    for at in range(k):
+        word = numbers[at:n + at]
+        h = (h ^ word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    known = np.lib.stride_tricks.sliding_window_view(numbers, K).min(1) > 0
+        known &= word > 0
     return np.where(known, h >> np.uint64(1), np.uint64(2**64 - 1))
 
 
@@ -116,36 +145,46 @@ class Index:
         if sum(map(len, self.templates)) > TEMPLATE_WORDS or min(map(len, self.templates), default=K) < K:
             raise ValueError(f"templates need {K} words each and {TEMPLATE_WORDS} together at most")
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, numbers in enumerate(self.templates):
-            grams = _grams(numbers)
-            for at in winnow(grams).tolist():
-                self.places[int(grams[at])].append((t, at))
-        self.prints = np.array(sorted(self.places), np.uint64)
+            short = len(numbers) <= SHORT
+            grams = _grams(numbers, 2 if short else K)
+            for at in (range(len(grams)) if short else winnow(grams).tolist()):
+                (self.pairs if short else self.places)[int(grams[at])].append((t, at))
+        self.prints, self.pair_prints = np.array(sorted(self.places), np.uint64), np.array(sorted(self.pairs), np.uint64)
+
+    def _hits(self, numbers: np.ndarray) -> dict[int, list[int]]:
+        """Diagonals of each template's fingerprints in the text."""
+        grams, pairs = _grams(numbers), _grams(numbers, 2)
+        places = winnow(grams)
+        hits: dict[int, list[int]] = defaultdict(list)
+        for found, keys, own in ((places[np.isin(grams[places], self.prints)], grams, self.places), (np.flatnonzero(np.isin(pairs, self.pair_prints)), pairs, self.pairs)):
+            for at in found.tolist():
+                for t, place in own[int(keys[at])]:
+                    hits[t].append(at - place)
+        return hits
 
     def matches(self, text: str | None, coverage: float) -> list[dict]:
         words = [] if text is None else text.encode("utf-8", "surrogatepass").translate(LETTERS).split()
         numbers = np.fromiter(map(self.number.get, words, iter(lambda: 0, None)), np.int64, len(words))
-        grams = _grams(numbers)
-        places = winnow(grams)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at in places[np.isin(grams[places], self.prints)].tolist():
-            for t, own in self.places[int(grams[at])]:
-                hits[t].append((at - own, at))
         found = []
-        for t, diagonals in hits.items():
+        for t, diagonals in self._hits(numbers).items():
             template = self.templates[t]
+            shared = np.concatenate([[0], np.cumsum(np.isin(numbers, template))])
             for start, stop in self._groups(sorted(diagonals), len(template)):
                 a, b = max(0, start - BAND), min(len(words), stop + len(template) + BAND)
+                if shared[b] - shared[a] < coverage * len(template):           # too few words of the template are there
+                    continue
                 count, first, last = align(template, numbers[a:b])
                 if count >= coverage * len(template):
                     found.append({"licence": self.names[t], "template": t, "coverage": count / len(template), "first_word": a + first, "last_word": a + last})
         return self._longest(found)
 
     @staticmethod
-    def _groups(diagonals: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    def _groups(diagonals: list[int], length: int) -> list[tuple[int, int]]:
         """Ranges of nearly equal diagonals."""
         out: list[list[int]] = []
-        for d, _ in diagonals:
+        for d in diagonals:
             if out and d - out[-1][1] <= BAND and d - out[-1][0] <= 2 * BAND:
                 out[-1][1] = d
             else:

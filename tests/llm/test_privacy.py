@@ -128,3 +128,76 @@ def test_winnowing_keeps_a_fingerprint_of_every_window():
     for i in range(len(grams) - licences.WINDOW + 1):
         window = grams[i:i + licences.WINDOW]
         assert any(i + k in places and window[k] == window.min() for k in range(licences.WINDOW))
+
+
+FILL = [f"w{k}" for k in range(50)] + ["the", "license", "under", "software", "of", "and", "this", "is"]
+
+
+def normal(wording):
+    return wording.encode().translate(licences.LETTERS).decode().split()
+
+
+def edited(draw, words, n):
+    """The words with n of them changed, left out or preceded by another."""
+    out = list(words)
+    for _ in range(n):
+        at, kind = int(draw.integers(0, len(out))), int(draw.integers(0, 3))
+        new = FILL[int(draw.integers(0, len(FILL)))]
+        out[at:at + 1] = [[new], [], [new, out[at]]][kind]
+    return out
+
+
+def aligned_everywhere(index, text):
+    """Templates that the unbanded alignment finds anywhere in the text at the coverage asked for."""
+    numbers = [index.number.get(w, 0) for w in map(str.encode, text.split())]
+    return {t for t, template in enumerate(index.templates) if np.isin(numbers, template).sum() >= licences.COVERAGE * len(template) and brute(template.tolist(), numbers) >= licences.COVERAGE * len(template)}
+
+
+def found_before_overlaps(index, text):
+    index._longest, kept = (lambda found: found), index._longest
+    try:
+        return {m["template"] for m in index.matches(text, licences.COVERAGE)}
+    finally:
+        index._longest = kept
+
+
+def test_one_edit_hides_no_notice():
+    index = licences.Index(licences.TEMPLATES)
+    for t, (_, wording) in enumerate(licences.TEMPLATES):
+        words = normal(wording)
+        if len(words) > licences.SHORT:
+            places = range(0, len(words), 7)
+        else:
+            places = range(len(words))
+        for at in places:
+            for new in ([], ["other"], ["other", words[at]]):
+                text = " ".join(["before", *words[:at], *new, *words[at + 1:], "after"])
+                matched = len(words) - (len(new) < 2)
+                assert matched < licences.COVERAGE * len(words) or t in found_before_overlaps(index, text), text
+    assert [m["coverage"] for m in index.matches("Released under the Expat MIT License.", licences.COVERAGE)] == [1.0]
+
+
+def test_recall_against_the_full_alignment():
+    """Short notices with up to a fifth of their words edited, in filler text, against every template."""
+    draw, index, wanted, hit = np.random.default_rng(3), licences.Index(licences.TEMPLATES), 0, 0
+    for _ in range(6):
+        for _, wording in licences.TEMPLATES:
+            words = normal(wording)
+            if len(words) > 60:
+                continue
+            before, after = (draw.choice(FILL, int(draw.integers(0, 12))).tolist() for _ in range(2))
+            text = " ".join([*before, *edited(draw, words, int(draw.integers(0, len(words) // 5 + 1))), *after])
+            want = aligned_everywhere(index, text)
+            wanted, hit = wanted + len(want), hit + len(want & found_before_overlaps(index, text))
+    assert wanted > 80 and hit >= 0.97 * wanted, (hit, wanted)
+
+
+def test_long_texts_survive_many_edits():
+    draw, index = np.random.default_rng(4), licences.Index(licences.TEMPLATES)
+    long = [(t, normal(w)) for t, (_, w) in enumerate(licences.TEMPLATES) if len(normal(w)) > licences.SHORT]
+    for t, words in long:
+        for _ in range(5):
+            text = edited(draw, words, len(words) // 8)
+            numbers = np.array([index.number.get(w.encode(), 0) for w in text])
+            if licences.align(index.templates[t], numbers)[0] >= licences.COVERAGE * len(words):
+                assert t in found_before_overlaps(index, " ".join(text))
