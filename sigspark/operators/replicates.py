@@ -29,6 +29,47 @@ def picks(rep: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
     return (c * PRIME + b) % n
 
 
+def _below_prime(x: np.ndarray, spare: np.ndarray) -> None:
+    """x, less than twice PRIME, modulo PRIME, in place: the wrapped difference is the larger one where x is below."""
+    np.minimum(x, np.subtract(x, np.uint64(PRIME), out=spare), out=x)
+
+
+def _folded(x: np.ndarray, spare: np.ndarray) -> None:
+    """x, less than 2^62, modulo PRIME, in place: PRIME is 2^31 - 1, so high bits are added to low ones without a division."""
+    for _ in range(2):
+        np.right_shift(x, np.uint64(31), out=spare)
+        x &= np.uint64(PRIME)
+        x += spare
+    _below_prime(x, spare)
+
+
+def block_picks(reps: np.ndarray, first: int, n_slots: int, n: int) -> np.ndarray:
+    """(replicate, slot): ``picks`` of the slots from ``first`` on, in strips that stay in the processor's cache."""
+    slot = np.arange(first, first + n_slots)
+    base = (((slot % PRIME + 1) * 48271 + slot // PRIME * 40692 % PRIME) % PRIME).astype(np.uint64)
+    turn = ((reps % PRIME + 1) * 69621 % PRIME).astype(np.uint64)[:, None]
+    out = np.empty((len(reps), n_slots), dtype=np.int64)
+    for i in range(0, len(reps), 8):
+        r = turn[i:i + 8]
+        h = base + r
+        spare = np.empty_like(h)
+        _below_prime(h, spare)
+        a = h + np.uint64(16807)
+        a *= h
+        _folded(a, spare)
+        np.add(a, r, out=h)
+        _below_prime(h, spare)
+        h *= a
+        _folded(h, spare)
+        np.add(h, np.uint64(12345), out=a)
+        a *= h
+        _folded(a, spare)
+        a *= np.uint64(PRIME)
+        a += h
+        out[i:i + 8] = a & np.uint64(n - 1) if n & (n - 1) == 0 else a % np.uint64(n)
+    return out
+
+
 def chunks(n_replicates: int) -> list[np.ndarray]:
     return [np.arange(at, min(at + REPLICATES_AT_ONCE, n_replicates)) for at in range(0, n_replicates, REPLICATES_AT_ONCE)]
 
@@ -65,16 +106,17 @@ class GroupDraws:
             todo += [(lo, mid, first, cut, k), (mid, hi, cut, last, n - k)]
         return out
 
-    def weights(self, groups: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    def weights(self, groups: np.ndarray, reps: np.ndarray, kind: type = np.float64) -> np.ndarray:
         """(group, replicate): how often each of the sorted distinct ``groups`` is drawn; ``reps`` is one of ``chunks``."""
-        out = np.empty((len(groups), len(reps)))
+        out = np.empty((len(groups), len(reps)), dtype=kind)
         wanted, starts = np.unique(groups // BLOCK, return_index=True)
         ends, mixed = np.append(starts[1:], len(groups)), reps + self.seed * 1_000_003
         for block, lo, hi, n in zip(wanted.tolist(), starts, ends, self._per_block(wanted, reps)):
-            size, column = min(BLOCK, self.n_groups - block * BLOCK), np.repeat(np.arange(len(reps)), n)
-            slot = np.arange(len(column)) - np.repeat(np.cumsum(n) - n, n) + (block << 32)
-            w = np.bincount(column * size + picks(mixed[column], slot, size), minlength=len(reps) * size).reshape(len(reps), size)
-            out[lo:hi] = w[:, groups[lo:hi] - block * BLOCK].T
+            size = min(BLOCK, self.n_groups - block * BLOCK)
+            picked, w = block_picks(mixed, block << 32, int(n.max()), size), np.empty((len(reps), size), dtype=kind)
+            for row, drawn, k in zip(w, picked, n.tolist()):
+                row[:] = np.bincount(drawn[:k], minlength=size)
+            out[lo:hi] = (w if hi - lo == size else w[:, groups[lo:hi] - block * BLOCK]).T
         return out
 
 

@@ -21,9 +21,12 @@ from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .replicates import BLOCK, GroupDraws, GroupShuffles, Rotations, chunks
-from .scan import RANGE, null_safe, ordered, with_ranges
+from .scan import RANGE, lookup_join, null_safe, ordered, row_bound, with_ranges
 
 ROWS_PER_RANGE = 25_000                # 64 replicates of a range take about 50 MB in a task
+MAX_ROWS_PER_RANGE = 2_000_000         # and of the largest range of draws, which are summed in slices, about 500 MB
+DRAWN_RANGES = 24                      # ranges of draws are not made larger than this share of the rows
+SLICE = 1024                           # rows of a range that are summed at once: 64 replicates of them stay in a cache
 
 
 # ------------------------------------------------------------------ groups and draws
@@ -77,13 +80,99 @@ def _pair(source, groups: np.ndarray, positive: np.ndarray, reps: np.ndarray) ->
     return (codes == 1).astype(float), (codes == 0).astype(float)
 
 
+def _drawn_range(outer: np.ndarray, value: np.ndarray, n: np.ndarray, y: np.ndarray, at: np.ndarray, groups: np.ndarray, starts: np.ndarray, source: GroupDraws) -> Iterator[pd.DataFrame]:
+    """Sums of one range under group draws: its lowest score, its highest and all between, per replicate.
+
+    A group is positive or negative, never both, so the negatives of a slice are summed up once and each positive looks up
+    how many lie below it and how many not above it; half of both is its wins. Slices hold whole scores; a score
+    heavier than a slice is added up in parts.
+    """
+    ends, side = np.append(starts[1:], len(n)), np.stack([n * y, n * ~y])
+    score = np.repeat(np.arange(len(starts)), ends - starts)
+    ones, slices, k = bool((n == 1).all()), [], 1
+    while k < len(starts) - 1:
+        last = max(k, min(int(np.searchsorted(ends, starts[k] + SLICE, side="right")) - 1, len(starts) - 2))
+        rows, k = slice(int(starts[k]), int(ends[last])), last + 1
+        if rows.stop - rows.start > SLICE:
+            slices.append((rows, None, None, None, None))
+            continue
+        up, down = rows.start + np.flatnonzero(y[rows]), rows.start + np.flatnonzero(~y[rows])
+        slices.append((rows, up, down, *[np.searchsorted(score[down], score[up], side=s).astype(np.int32) for s in ("left", "right")]))
+
+    def both(rows: slice, w: np.ndarray) -> np.ndarray:
+        return sum(side[:, i:min(i + SLICE, rows.stop)] @ w[at[i:min(i + SLICE, rows.stop)]].astype(float) for i in range(rows.start, rows.stop, SLICE))
+
+    for reps in chunks(source.n_replicates):
+        w, none = source.weights(groups, reps, np.uint16), np.zeros(len(reps))
+        for k in {0, len(starts) - 1}:                                              # scores that a neighbour may share
+            pos, neg = both(slice(int(starts[k]), int(ends[k])), w)
+            yield pd.DataFrame({"k": outer[starts[k]], "at": value[starts[k]], "shared": True, "rep": reps, "pos": pos, "neg": neg, "wins": none})
+        if len(starts) < 3:
+            continue
+        pos, below, wins = np.zeros((3, len(reps)))
+        for rows, up, down, lo, hi in slices:
+            if up is None:
+                more, neg = both(rows, w)
+                wins, pos, below = wins + more * (below + 0.5 * neg), pos + more, below + neg
+                continue
+            sums = np.empty((len(down) + 1, len(reps)))
+            sums[0], sums[1:] = below, w[at[down]]
+            won = w[at[up]].astype(float)
+            if not ones:
+                sums[1:] *= n[down, None]
+                won *= n[up, None]
+            np.cumsum(sums, axis=0, out=sums)
+            wins = wins + 0.5 * np.einsum("ij,ij->j", won, sums[lo] + sums[hi])
+            pos, below = pos + won.sum(axis=0), sums[-1].copy()
+        yield pd.DataFrame({"k": outer[starts[1]], "at": value[starts[1]], "shared": False, "rep": reps, "pos": pos, "neg": below, "wins": wins})
+
+
+def _dealt_two_ways(source: GroupDraws | GroupShuffles | Rotations) -> bool:
+    """Does every group carry class 0 or class 1 in every replicate?"""
+    if isinstance(source, GroupShuffles):
+        return len(source.sizes) == 2
+    return isinstance(source, Rotations) and len(source.labels) > 0 and int(source.labels.max()) <= 1
+
+
+def _rank_sum_replicates(placed: DataFrame, n_rows: int, source: GroupShuffles | Rotations) -> DataFrame:
+    """(rep, auc) of labels dealt to whole groups, from the rank sums of the groups.
+
+    If every row is positive or negative, the wins of the positives are the sum of their (rows below + half of the rows tied) less
+    half the square of their number, whoever they are. So a replicate needs two numbers a group, and none of its rows.
+    """
+    total = placed.groupBy("_k", "_s").agg(F.sum("_n").alias("_t"))
+    ranked = ordered(total, [], ["_k", "_s"], n_rows=row_bound(placed, total, None)).running({"_upto": (F.sum, F.col("_t"))}).frame()
+    rows = lookup_join(placed, ranked.select("_k", "_s", (F.col("_upto") - F.col("_t") * 0.5).alias("_m"), F.col("_t").alias("_w")), ["_k", "_s"], "_w")
+    per = rows.groupBy("_g").agg(F.sum("_n").cast("double").alias("n"), F.sum(F.col("_n") * F.col("_m")).alias("t"))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((3, source.n_replicates))
+        for pdf in batches:
+            groups, values = pdf["_g"].to_numpy(), pdf[["n", "t"]].to_numpy(float).T
+            sums[2] += values[0].sum()
+            for at in range(0, len(groups), BLOCK):
+                for reps in chunks(source.n_replicates):
+                    sums[:2, reps] += values[:, at:at + BLOCK] @ (source.codes(groups[at:at + BLOCK], reps) == 1)
+        yield pd.DataFrame({"rep": np.arange(source.n_replicates), "pos": sums[0], "t": sums[1], "n": sums[2]})
+
+    sums = per.mapInPandas(summed, "rep long, pos double, t double, n double").groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("pos", "t", "n")])
+    pairs = F.col("pos") * (F.col("n") - F.col("pos"))
+    return sums.where(pairs > 0).select("rep", ((F.col("t") - 0.5 * F.col("pos") * F.col("pos")) / pairs).alias("auc"))
+
+
+def drawn_range_rows(n_groups: int, n_rows: int) -> int:
+    """Rows of a range of draws: four for each group whose draws it makes, while there are DRAWN_RANGES ranges to share the work."""
+    return max(ROWS_PER_RANGE, min(MAX_ROWS_PER_RANGE, 4 * n_groups, n_rows // DRAWN_RANGES))
+
+
 def auc_replicates(df: DataFrame, numbered: DataFrame, group: str, label: str, score: str, source: GroupDraws | GroupShuffles | Rotations,
-                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                   rows_per_range: int | None = None) -> DataFrame:
     """(rep, auc) for every replicate of ``source``; one-class replicates are dropped. Null is the lowest score and not-a-number
     the highest, each tied with itself, as in ``ranks.auc``.
 
     Shuffles: rows on (group, score) after partial aggregation, counts on group number's table and on range, range sums on
-    (replicate, score).
+    (replicate, score). A range makes the draws of all blocks that its groups lie in, so without ``rows_per_range`` ranges grow
+    with the number of groups; labels dealt two ways need no ranges.
     """
     counts = df.groupBy(group, score).agg(F.count("*").alias("_n"))
     known = numbered.select(group, "_g", F.col(label).cast("int").alias("_y"))
@@ -92,14 +181,23 @@ def auc_replicates(df: DataFrame, numbered: DataFrame, group: str, label: str, s
     rank = F.when(own.isNull(), 0).when(F.isnan(own) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(False), 2).otherwise(1)
     placed = cut_lineage(null_safe(counts, known, [group])
                          .select(rank.alias("_k"), F.when(rank == 1, own).otherwise(F.lit(0).cast(kind)).alias("_s"), "_g", "_y", "_n"))
-    ranged, n_ranges = with_ranges(placed, ["_k", "_s", "_g"], rows_per_range)
+    n_rows = placed.count()
+    if _dealt_two_ways(source):
+        return _rank_sum_replicates(placed, n_rows, source)
+    drawn = isinstance(source, GroupDraws)
+    if rows_per_range is None:
+        rows_per_range = drawn_range_rows(source.n_groups, n_rows) if drawn else ROWS_PER_RANGE
+    ranged, n_ranges = with_ranges(placed, ["_k", "_s", "_g"], rows_per_range, n_rows)
 
     def per_range(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_k", "_s"], kind="stable")
-        outer, value, n = pdf["_k"].to_numpy(), pdf["_s"].to_numpy(), pdf["_n"].to_numpy(float)[:, None]
+        outer, value, n = pdf["_k"].to_numpy(), pdf["_s"].to_numpy(), pdf["_n"].to_numpy(float)
         starts = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (outer[1:] != outer[:-1])])
         groups, first, at = np.unique(pdf["_g"].to_numpy(), return_index=True, return_inverse=True)
         positive, parts = pdf["_y"].to_numpy()[first], []
+        if drawn and np.isin(positive, (0, 1)).all():
+            return pd.concat(_drawn_range(outer, value, n, positive[at] == 1, at, groups, starts, source))
+        n = n[:, None]
         for reps in chunks(source.n_replicates):
             w_pos, w_neg = _pair(source, groups, positive, reps)
             pos, neg = np.add.reduceat(w_pos[at] * n, starts, axis=0), np.add.reduceat(w_neg[at] * n, starts, axis=0)
@@ -113,8 +211,8 @@ def auc_replicates(df: DataFrame, numbered: DataFrame, group: str, label: str, s
                                            "wins": (pos * (below + 0.5 * neg)).sum(axis=0)}))
         return pd.concat(parts)
 
-    # as many partitions as ranges: these are small in bytes but heavy in work, so they must not be coalesced
-    sums = (ranged.repartition(n_ranges, RANGE).groupBy(RANGE)
+    # ranges are small in bytes but heavy in work, so they must not be coalesced, nor two of them be dealt to one task while others have none
+    sums = (ranged.repartition(4 * n_ranges, RANGE).groupBy(RANGE)
             .applyInPandas(per_range, f"k int, at {kind.simpleString()}, shared boolean, rep long, pos double, neg double, wins double"))
     met = (sums.groupBy("rep", "k", "at").agg(F.max("shared").alias("shared"), *[F.sum(c).alias(c) for c in ("pos", "neg", "wins")])
            .withColumn("wins", F.when(F.col("shared"), 0.5 * F.col("pos") * F.col("neg")).otherwise(F.col("wins"))))

@@ -99,6 +99,37 @@ def test_picks_do_not_overflow():
     assert got.tolist() == [pick(10**6 + i, int(s), 10**15) for i, s in enumerate(slots)] and len(set(got.tolist())) == 5
 
 
+@pytest.mark.parametrize("first, n", [(0, 50), (0, replicates.BLOCK), (77 << 32, replicates.BLOCK), (1 << 50, 4095)])
+def test_picks_of_a_block_are_the_plain_picks(first, n):
+    reps = np.arange(9) * 1_000_003
+    assert replicates.block_picks(reps, first, 300, n).tolist() == [[pick(int(r), first + j, n) for j in range(300)] for r in reps]
+
+
+def test_draws_grow_with_the_rows_and_not_with_rows_times_groups():
+    """Six times the rows and groups: ranges x groups, the draws of a replicate, grow no faster up to the largest range."""
+    drawn = [n_groups * -(-n_rows // R.drawn_range_rows(n_groups, n_rows)) for n_groups, n_rows in [(90_000 * k, 6_000_000 * k) for k in (1, 6)]]
+    assert drawn[1] <= 6 * drawn[0] and R.drawn_range_rows(10 ** 9, 10 ** 12) == R.MAX_ROWS_PER_RANGE
+
+
+def test_two_classes_dealt_to_groups_need_no_range_of_rows(spark, scores):
+    numbered, _ = R.pure_numbered_groups(scores, "group_id", "y")
+    plan = R.auc_replicates(scores, numbered, "group_id", "y", "score", R.shuffles(numbered, "y", 70, 3), 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_slices_of_a_range_add_up(spark):
+    """One range of many slices, ties across them, a score heavier than a slice in the middle, weighted rows."""
+    rng = np.random.default_rng(1)
+    g = rng.integers(0, 300, 9000)
+    pdf = pd.DataFrame({"group_id": g, "y": g % 3 == 0, "score": np.where(np.arange(9000) < 2500, 40.0, rng.integers(0, 2000, 9000) / 20)})
+    df = spark.createDataFrame(pd.concat([pdf.assign(score=pdf["score"] + d) for d in (0, 0.001, 0.002)] + [pdf]))
+    numbered, n = R.pure_numbered_groups(df, "group_id", "y")
+    draws = GroupDraws(n, 5)
+    got = {r["rep"]: r["auc"] for r in R.auc_replicates(df, numbered, "group_id", "y", "score", draws).collect()}
+    want = resampled(df.toPandas(), "score", all_weights(draws))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_one_block_draws_are_the_plain_picks():
     w = all_weights(GroupDraws(50, 3))
     want = np.zeros((50, 3))
