@@ -119,9 +119,10 @@ def strip_weekday(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"^\p{Alpha}+\s+", "")
 
 
-def capture_length(duration_s: Column, sample_rate_hz: Column) -> Column:
-    """Samples per channel if the catalog knows both figures, else NULL. Half-even rounding."""
-    known = (duration_s > 0) & (sample_rate_hz > 0)
+def capture_length(duration_s: Column, sample_rate_hz: Column, empty: bool = False) -> Column:
+    """Samples per channel if the catalog knows both figures, else NULL. Half-even rounding. A duration of 0 counts as not
+    known, as a catalog writes it; with ``empty`` it is that of a capture without samples."""
+    known = (duration_s >= 0 if empty else duration_s > 0) & (sample_rate_hz > 0)
     return F.when(known, F.bround(duration_s * sample_rate_hz).cast("long"))
 
 
