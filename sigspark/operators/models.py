@@ -137,16 +137,18 @@ def fit(kind: str, train: DataFrame, features: list[str], label: str, rounds: in
     return Fitted(kind, classes, p, parts)
 
 
-def out_of_fold(rows: DataFrame, partition: str, features: list[str], label: str, kind: str, **options) -> DataFrame:
-    """Every row scored by a model fitted without its partition: ``score`` if binary, else ``predicted``. The loop is over
-    partitions; each fit and each scoring is a distributed job."""
+def fold_fits(rows: DataFrame, partition: str, features: list[str], label: str, kind: str, **options) -> dict:
+    """partition -> model fitted without it. The loop is over partitions; each fit is a distributed job."""
     names = [r[0] for r in rows.select(partition).distinct().orderBy(partition).collect()]
-    binary = len(class_list(rows, label)) == 2
-    parts = []
-    for name in names:
-        held = F.col(partition) == F.lit(name)
-        model = fit(kind, rows.where(~held), features, label, **options)
-        parts.append(model.score(rows.where(held)) if binary else model.predict(rows.where(held)))
+    return {name: fit(kind, rows.where(F.col(partition) != F.lit(name)), features, label, **options) for name in names}
+
+
+def out_of_fold(rows: DataFrame, partition: str, features: list[str], label: str, kind: str, **options) -> DataFrame:
+    """Every row scored by a model fitted without its partition: ``score`` if binary, else ``predicted``."""
+    binary, parts = len(class_list(rows, label)) == 2, []
+    for name, model in fold_fits(rows, partition, features, label, kind, **options).items():
+        held = rows.where(F.col(partition) == F.lit(name))
+        parts.append(model.score(held) if binary else model.predict(held))
     return union_all(parts)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import joins, metrics, ranks
 from ..operators import resampling as R
 from ..operators.replicates import GroupDraws, GroupShuffles, Rotations
+from ..session import cut_lineage
 
 
 def _groups(scores: DataFrame, group: str, label: str) -> tuple[DataFrame, int]:
@@ -26,6 +27,26 @@ def auc_interval(scores: DataFrame, group: str, label: str, score: str, n_bootst
     return observed.join(F.broadcast(R.interval(reps, "auc")))
 
 
+def auc_samples(scores: DataFrame, group: str, label: str, columns: list[str], n_bootstrap: int = 2000) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """score column -> (observed AUC, its replicates), all on the same draws: groups are numbered once, and the replicates of a column are
+    made once, however many intervals and differences are taken from them."""
+    numbered, n = _groups(scores, group, label)
+    y = F.col(label).cast("boolean")
+    return {c: (ranks.auc(scores, c, y), cut_lineage(R.auc_replicates(scores, numbered, group, label, c, GroupDraws(n, n_bootstrap)))) for c in columns}
+
+
+def sampled_interval(sample: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``auc_interval`` of one of ``auc_samples``."""
+    observed, reps = sample
+    return observed.join(F.broadcast(R.interval(reps, "auc")))
+
+
+def sampled_difference(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``paired_auc_difference`` of two of ``auc_samples``."""
+    observed = a[0].select(F.col("auc").alias("x")).join(F.broadcast(b[0].select(F.col("auc").alias("z")))).select((F.col("x") - F.col("z")).alias("difference"))
+    return observed.join(F.broadcast(R.difference_summary(a[1], b[1], "auc")))
+
+
 def auc_permutation(scores: DataFrame, group: str, label: str, score: str, n_permutations: int = 2000, seed: int = 0,
                     relabelled: GroupShuffles | Rotations | None = None) -> DataFrame:
     """(observed, n, p_value, null_median, null_95th): labels permuted between groups, scores fixed."""

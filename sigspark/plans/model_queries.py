@@ -74,9 +74,9 @@ def cross_dataset(spark, sf_dir):
 
 @register("within_dataset")
 def within_dataset(spark, sf_dir):
-    d = shifted(spark, sf_dir)
+    d = shifted(spark, sf_dir).select("unit", "y", *FEATURES)
     folds = splits.group_kfold(d, 3, "y", "unit")
-    return experiments.within(d.drop("partition"), folds, FEATURES, ["l_tax"], "y", "unit", "linear", BOOTSTRAPS)["versus_shortcut"]
+    return experiments.within(d, folds, FEATURES, ["l_tax"], "y", "unit", "linear", BOOTSTRAPS)["versus_shortcut"]
 
 
 @register("dataset_identification")

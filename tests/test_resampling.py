@@ -302,3 +302,22 @@ def test_poisson_bound():
     assert abs(poisson_upper(0) + np.log(0.05)) < 1e-9
     assert abs(poisson_upper(1) - 4.743865) < 1e-5 and abs(poisson_upper(10) - 16.96222) < 1e-4
     assert abs(poisson_upper(10 ** 8) - 100_016_450) < 20 and 1.6e5 < poisson_upper(10 ** 10) - 10 ** 10 < 1.7e5
+
+
+def test_samples_give_the_intervals_and_differences_of_the_plain_calls(scores):
+    samples = evaluation.auc_samples(scores, "group_id", "y", ["score", "flat"], 60)
+    assert evaluation.sampled_interval(samples["flat"]).collect() == evaluation.auc_interval(scores, "group_id", "y", "flat", 60).collect()
+    assert evaluation.sampled_difference(samples["score"], samples["flat"]).collect() == evaluation.paired_auc_difference(scores, "group_id", "y", "score", "flat", 60).collect()
+
+
+def test_widening_reads_its_rows_twice(spark):
+    """Once for the capped training rows, once for the test rows, whatever the number of variants."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(g):
+        seen.add(1)
+        return float(g % 2)
+    r = spark.range(320).select(F.col("id").alias("row_id"), (F.col("id") % 40).alias("unit"), (F.col("id") % 2 == 0).alias("y"), F.concat(F.lit("d"), (F.floor(F.col("id") / 2) % 4).cast("string")).alias("dataset"))
+    rows = r.withColumn("x", F.udf(counted, "double").asNondeterministic()("unit"))
+    out = experiments.widen(rows, experiments.source_variants(["d0", "d1", "d2", "d3"], "d0", "d1", "d2", ["d3"]), "d0", "dataset", "row_id", ["x"], "y", "unit", 50, kind="tree", n_bootstrap=20).collect()
+    assert len(out) == 4 and all(r["auc"] == 1 for r in out) and seen.value <= 2 * 320
