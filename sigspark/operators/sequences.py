@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import seconds
+from ..session import cut_lineage
 from .scan import ordered, row_bound
 
 
 def runs(df: DataFrame, keys: list[str], seq: str, target_rows: int | None = None) -> DataFrame:
-    """Gap-free runs of integers: (keys, run, first, last, n). Duplicates of a number are counted once."""
-    distinct = df.select(*keys, seq).distinct()
-    scan = ordered(distinct, keys, [seq], target_rows, row_bound(df, distinct, target_rows)).lag({"_prev": (seq, 1)})
+    """Gap-free runs of integers: (keys, run, first, last, n). Duplicates of a number are counted once. ``df`` is evaluated once."""
+    distinct = cut_lineage(df.select(*keys, seq).distinct())
+    scan = ordered(distinct, keys, [seq], target_rows).lag({"_prev": (seq, 1)})
     scan = scan.islands("run", F.col("_prev").isNull() | (F.col(seq) - F.col("_prev") != 1))
     return scan.frame().groupBy(*keys, "run").agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.count("*").alias("n"))
 

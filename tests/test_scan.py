@@ -119,3 +119,15 @@ def test_null_order_values_with_fine_cuts(spark, monkeypatch):
     rows = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("v"), F.col("id").alias("id"))
     got = scan.ordered(rows, [], ["v", "id"], target_rows=40).row_number("rn").frame()
     same(got, rows.withColumn("rn", F.row_number().over(Window.orderBy("v", "id")).cast("long")))
+
+
+def test_runs_evaluate_their_input_once(spark):
+    """Numbers that are dear to make, as row numbers of another scan are, are made once for counting, cutting and scanning."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return v
+    df = spark.range(500).select(F.lit(1).alias("k"), F.udf(counted, "long").asNondeterministic()("id").alias("i"))
+    got = sequences.runs(df.where("i % 100 <> 7"), ["k"], "i", 50).collect()
+    assert sorted(r["n"] for r in got) == [7, 92, 99, 99, 99, 99] and seen.value == 500
