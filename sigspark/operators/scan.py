@@ -7,7 +7,8 @@ ranges of bounded size, so the unit of work is (key, range). What a window needs
 * running sums, counts, maxima: each (key, range) is reduced to one row, the reductions are scanned (at most one row
   per range and key) and the carried value is joined back on (key, range), the partitioning the window already has.
 
-Inputs below ``target_rows`` get one range and the plan is an ordinary window. NULL keys form one key, whatever the size.
+Inputs in which no key holds more than ``target_rows`` get one range and the plan is an ordinary window. NULL keys form one
+key, whatever the size.
 """
 from __future__ import annotations
 
@@ -203,7 +204,17 @@ def row_bound(source: DataFrame, reduced: DataFrame, target_rows: int | None) ->
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], target_rows: int | None = None,
             n_rows: int | None = None) -> OrderedScan:
-    """Start an ordered scan. ``order`` must be total within a key, or results depend on ties."""
+    """Start an ordered scan. ``order`` must be total within a key, or results depend on ties.
+
+    Where no key holds more than a range's rows, a key is one unit of work already and the scan is a plain window: one count
+    per key is all that is read before it. Else the rows are cut into ranges.
+    """
+    target_rows = range_rows(df, target_rows)
+    if keys and (n_rows is None or n_rows > target_rows):
+        found = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
+        if (found[1] or 0) <= target_rows:
+            return OrderedScan(df.withColumn(RANGE, F.lit(0)), list(keys), list(order), 1)
+        n_rows = found[0]
     rows, n = with_ranges(df, order, target_rows, n_rows)
     return OrderedScan(rows, list(keys), list(order), n)
 

@@ -45,6 +45,13 @@ def test_lag_running_and_row_number(rows):
     same(got, want)
 
 
+def test_keys_that_fit_a_range_are_not_cut(rows):
+    largest = rows.groupBy("k").count().agg(F.max("count")).first()[0]
+    whole, cut = (ordered(rows, ["k"], ["t", "id"], target_rows=t) for t in (largest, largest - 1))
+    assert (whole.ranges, cut.ranges > 1) == (1, True)                           # 3 000 rows are two ranges either way
+    same(whole.row_number("rn").frame(), cut.row_number("rn").frame())
+
+
 def test_global_order(rows):
     w = Window.partitionBy(F.lit(0)).orderBy("v", "id")
     same(ordered(rows, [], ["v", "id"], target_rows=100).row_number("rn").frame(), rows.withColumn("rn", F.row_number().over(w).cast("long")))
