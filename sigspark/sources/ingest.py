@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,13 +117,13 @@ def wav_file_blocks(plan: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
     """Plan rows -> signal blocks; one positioned read of at most ``block`` frames a row, one channel per result row."""
     def read(batches):
         opened = Opened()
-        for b in batches:
+        for b in map(pa.RecordBatch.to_pandas, batches):
             for r in b.itertuples(index=False):
                 x = decode_samples(opened(r.path).read_at(int(r.bytes), int(r.offset)), r.format, int(r.bits), int(r.channels))
                 yield _frame([row for c, ch in enumerate(x) for row in _block_rows(r.capture_id, str(c + 1), ch, None, block, int(r.block_index) * block)])
         opened.close()
 
-    return plan.select("capture_id", "path", "block_index", "offset", "bytes", "format", "channels", "bits").mapInPandas(read, _BLOCKS)
+    return plan.select("capture_id", "path", "block_index", "offset", "bytes", "format", "channels", "bits").mapInArrow(read, _BLOCKS)
 
 
 def decode_samples(raw: bytes, kind: str, bits: int, channels: int) -> np.ndarray:
@@ -152,14 +153,22 @@ def _block_rows(capture: str, channel: str, i: np.ndarray, q: np.ndarray | None,
                "n": len(i[part]), "i": i[part], "q": None if q is None else q[part]}
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["capture_id", "channel", "block_index", "start", "n", "i", "q"])
+def _frame(rows: list[dict]) -> pa.RecordBatch:
+    """Block rows as an Arrow batch: samples go in as they lie in memory, never one by one."""
+    def lists(name: str) -> pa.ListArray:
+        held = [r[name] for r in rows]
+        ends = np.cumsum([0, *[0 if x is None else len(x) for x in held]], dtype=np.int32)
+        values = np.concatenate([np.empty(0, np.float32), *[x for x in held if x is not None]], dtype=np.float32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([x is None for x in held], pa.bool_()))
+
+    kinds = {"capture_id": pa.string(), "channel": pa.string(), "block_index": pa.int64(), "start": pa.int64(), "n": pa.int32()}
+    return pa.RecordBatch.from_arrays([*[pa.array([r[c] for r in rows], t) for c, t in kinds.items()], lists("i"), lists("q")], [*kinds, "i", "q"])
 
 
 def wav_blocks(files: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
     """files (capture_id, content) of valid WAVs -> signal blocks, one channel per row, q NULL."""
     def read(batches):
-        for b in batches:
+        for b in map(pa.RecordBatch.to_pandas, batches):
             for capture, content in zip(b["capture_id"], b["content"]):
                 content = bytes(content)
                 h = parse_wav_head(content[:WAV_HEAD])
@@ -169,7 +178,7 @@ def wav_blocks(files: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
                 x = decode_samples(raw, h["format"], h["bits"], h["channels"])
                 yield _frame([r for c, row in enumerate(x) for r in _block_rows(capture, str(c + 1), row, None, block)])
 
-    return files.select("capture_id", "content").mapInPandas(read, _BLOCKS)
+    return files.select("capture_id", "content").mapInArrow(read, _BLOCKS)
 
 
 def iq_blocks(files: DataFrame, kind: str = "float32", scale: float = 1.0, block: int = BLOCK_SAMPLES) -> DataFrame:
@@ -177,14 +186,14 @@ def iq_blocks(files: DataFrame, kind: str = "float32", scale: float = 1.0, block
     dtype = {"float32": "<f4", "int16": "<i2"}[kind]
 
     def read(batches):
-        for b in batches:
+        for b in map(pa.RecordBatch.to_pandas, batches):
             for capture, content in zip(b["capture_id"], b["content"]):
                 raw = bytes(content)
                 x = np.frombuffer(raw[: len(raw) // (2 * np.dtype(dtype).itemsize) * 2 * np.dtype(dtype).itemsize], dtype)
                 pairs = (x.reshape(-1, 2) / scale).astype(np.float32)
                 yield _frame(list(_block_rows(capture, "IQ", pairs[:, 0], pairs[:, 1], block)))
 
-    return files.select("capture_id", "content").mapInPandas(read, _BLOCKS)
+    return files.select("capture_id", "content").mapInArrow(read, _BLOCKS)
 
 
 def iq_file_blocks(plan: DataFrame, block: int = BLOCK_SAMPLES, kind: str = "float32", scale: float = 1.0) -> DataFrame:
@@ -194,14 +203,14 @@ def iq_file_blocks(plan: DataFrame, block: int = BLOCK_SAMPLES, kind: str = "flo
 
     def read(batches):
         opened = Opened()
-        for b in batches:
+        for b in map(pa.RecordBatch.to_pandas, batches):
             for capture, path, k in zip(b["capture_id"], b["path"], b["block_index"]):
                 raw = opened(path).read_at(block * frame, int(k) * block * frame)
                 pairs = (np.frombuffer(raw[: len(raw) // frame * frame], dtype).reshape(-1, 2) / scale).astype(np.float32)
                 yield _frame(list(_block_rows(capture, "IQ", pairs[:, 0], pairs[:, 1], block, int(k) * block)))
         opened.close()
 
-    return plan.select("capture_id", "path", "block_index").mapInPandas(read, _BLOCKS)
+    return plan.select("capture_id", "path", "block_index").mapInArrow(read, _BLOCKS)
 
 
 def iq_file_plan(files: DataFrame, block: int = BLOCK_SAMPLES, tasks: int | None = None, kind: str = "float32") -> DataFrame:

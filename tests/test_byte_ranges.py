@@ -157,3 +157,14 @@ def test_unchanged_files_are_dropped_before_any_content(spark):
     plan = ingest.hash_paths(listing, known, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan and plan.index("MapInPandas") < plan.index("LeftAnti")     # the readers stand above the anti join
     assert ingest.hash_paths(listing, known, 2).first()["sha256"] == "s"                    # there is no file x
+
+
+def test_samples_that_are_no_numbers_come_as_they_are(spark, tmp_path):
+    x = np.array([1, -1, np.nan, 2, np.inf, np.nan], "<f4")
+    (tmp_path / "x.iq").write_bytes(x.tobytes())
+    table = spark.createDataFrame([("c", str(tmp_path / "x.iq"), 24)], "capture_id string, path string, size_bytes long")
+    for got in (ingest.iq_file_blocks(ingest.iq_file_plan(table, 2, 2), 2), ingest.iq_blocks(spark.createDataFrame([("c", bytearray(x.tobytes()))], "capture_id string, content binary"), block=2)):
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        rows = got.orderBy("start").collect()
+        assert [r["n"] for r in rows] == [2, 1]
+        assert np.array_equal(np.concatenate([np.array([r["i"], r["q"]], float).T for r in rows]), x.reshape(-1, 2), equal_nan=True)
