@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,11 +82,11 @@ class Publication:
         return sorted((self._manifest(f, m[-1]) for f, m in latest if m), key=lambda e: e["id"])
 
     # -------------------------------------------------------------- tables
-    def publish(self, name: str, tables: dict[str, DataFrame], info: dict | None = None, replace: bool = False) -> dict:
+    def publish(self, name: str, tables: dict[str, DataFrame], info: dict | None = None, replace: bool = False, check: Callable[[dict[str, DataFrame]], None] | None = None) -> dict:
         """Write the tables and commit them as the next version of ``name``.
 
         The same content again is a no-op. Other content under a published id is an error unless ``replace``; a retired id is
-        an error always.
+        an error always. ``check`` is given the tables as written and raises where they must not appear.
         """
         known = self.entry(name)
         if known and known["retired"]:
@@ -94,10 +95,17 @@ class Publication:
         folder = f"{self.root}/tables/{self._folder(name)}/{version:012d}-{uuid.uuid4().hex[:12]}"
         for table, df in tables.items():
             df.write.mode("errorifexists").parquet(f"{folder}/{table}")
-        content = {t: fingerprint({t: self.spark.read.parquet(f"{folder}/{t}")})[t] for t in tables}     # of what was written, not of a second run
+        written = {t: self.spark.read.parquet(f"{folder}/{t}") for t in tables}
+        at, fs = self._open(folder)
+        if check:
+            try:
+                check(written)
+            except Exception:
+                fs.delete(at, True)
+                raise
+        content = {t: fingerprint({t: df})[t] for t, df in written.items()}     # of what was written, not of a second run
         if known and (known["content"] == content or not replace):
-            at, fs = self._open(folder)                                  # what this call wrote and no manifest names
-            fs.delete(at, True)
+            fs.delete(at, True)                                         # what this call wrote and no manifest names
             if known["content"] == content:
                 return known
             raise ValueError(f"{name} exists with other content; retire it or use a new id")

@@ -27,11 +27,13 @@ def read_index(spark: SparkSession, root: str, name: str, dataset_id: str | None
 
 
 def write_index(tables: dict[str, DataFrame], root: str, dataset_id: str) -> dict:
-    """Validate, then publish the five tables of one dataset as its next version, all at once. Returns the manifest."""
-    catalog.assert_valid(tables, dataset_id)
-    out = {name: tables[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).withColumn("dataset_id", F.lit(dataset_id))
-           for name, schema in INDEX.items()}
-    return Publication(tables["captures"].sparkSession, root).publish(dataset_id, out, replace=True)
+    """Write the five tables of one dataset, validate what was written, then publish it as the next version, all at once.
+    Returns the manifest.
+
+    Every rule reads its tables anew; the written ones are made once and give a rule only the columns it needs."""
+    out = {name: tables[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]) for name, schema in INDEX.items()}
+    out = {name: t if "dataset_id" in t.columns else t.withColumn("dataset_id", F.lit(dataset_id)) for name, t in out.items()}
+    return Publication(tables["captures"].sparkSession, root).publish(dataset_id, out, replace=True, check=lambda written: catalog.assert_valid(written, dataset_id))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, **options: str) -> DataFrame:

@@ -86,3 +86,23 @@ def test_a_split_killed_while_saved_can_be_saved_again(spark, tmp_path, monkeypa
     captures.select("capture_id", F.lit("f0").alias("partition")).limit(1).write.mode("append").parquet(registry.published.path(registry.published.entry("d/s"), "assignment"))
     with pytest.raises(ValueError, match="no longer matches"):
         registry.load("d/s")
+
+
+def test_an_index_is_made_once_and_an_invalid_one_leaves_nothing(spark, tmp_path):
+    from sigspark.schemas import INDEX
+    from sigspark.sources import tables
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    empty = {name: spark.createDataFrame([], schema) for name, schema in INDEX.items()}
+    one = lambda name, **v: spark.createDataFrame([tuple(v.get(f) for f in INDEX[name].fieldNames())], INDEX[name])
+    captures = one("captures", capture_id="x/c", dataset_id="x", group_id="x/g", n_artifacts=0, label_status="VERIFIED").mapInArrow(count, INDEX["captures"])
+    groups = one("groups", group_id="x/g", dataset_id="x", kind="k", basis="b", status="VERIFIED", n_captures=1)
+    assert tables.write_index(empty | {"captures": captures, "groups": groups}, str(tmp_path), "x")["version"] == 1
+    assert made.value == 1
+    with pytest.raises(ValueError):
+        tables.write_index(empty | {"captures": captures}, str(tmp_path), "x")
+    assert Publication(spark, str(tmp_path)).entry("x")["version"] == 1 and len(list((tmp_path / "tables").glob("*/*"))) == 1
