@@ -63,8 +63,10 @@ def stream_alarms_out_of_order(spark, sf_dir):
     events, at = load(spark, sf_dir, "events"), scratch_path(spark, "landed")
     hours = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
     part = F.floor(hours / 40) + F.pmod(F.xxhash64("event_id"), F.lit(2))
-    for number in [r[0] for r in events.select(part.alias("p")).distinct().orderBy("p").collect()]:         # one landing after another, as files arrive
-        events.where(part == number).coalesce(1).write.parquet(f"{at}/{number:06d}")
+    events.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(f"{at}-parts")                # the table is read once
+    parts = spark.read.parquet(f"{at}-parts")
+    for number in [r[0] for r in parts.select("part").distinct().orderBy("part").collect()]:                # one landing after another, as files arrive
+        parts.where(F.col("part") == number).drop("part").coalesce(1).write.parquet(f"{at}/{number:06d}")
     rows = alarms.replay(spark, f"{at}/*", "*.parquet", events.schema, files_per_batch=1).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("flag", F.col("value") > 60)
     return drained(spark, alarms.alarm_onsets(rows, "user_id", "ts", "event_id", "flag", delay="2 days", idle_seconds=30 * 3600), "onsets")
 

@@ -6,10 +6,10 @@ sensor costs one row per second and channel.
 """
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,8 +26,9 @@ class KOfNAlarm(StatefulProcessor):
     """Alarms of one key. State is one row: the flags up to the watermark that wait for their turn, the last n flags that had
     it, whether the alarm was on, and the timer that is set.
 
-    A row waits until the watermark has passed it, so rows come in event-time order whatever the micro-batches were. After a
-    release the timer waits for the next pending row or, if none is left, for the end of the idle time, when the state goes.
+    A row waits until the watermark has passed it, so rows come in event-time order whatever the micro-batches were. The key's
+    next rows release those that are due; the timer waits for the first pending row or, if none is left, for the end of the
+    idle time, when the state goes. So a key with rows in a micro-batch has one turn in it, and a silent one has its timer's.
     """
 
     def __init__(self, k: int, n: int, idle: int | None, tie_type: str):
@@ -37,48 +38,44 @@ class KOfNAlarm(StatefulProcessor):
         self.handle = handle
         self.memory = handle.getValueState("memory", f"at array<long>, ties array<{self.tie_type}>, flags array<int>, recent array<int>, active boolean, last long, timer long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, ties, flags, recent, active, last, timer = self.memory.get() if self.memory.exists() else ([], [], [], [], False, None, None)
-        at, ties, flags = list(at), list(ties), list(flags)
-        for batch in rows:
-            at += batch["alarm_at"].tolist()
-            ties += batch["alarm_tie"].tolist()
-            flags += batch["alarm_flag"].tolist()
-        self._wait(at, ties, flags, list(recent), active, last, timer)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.memory.exists():
-            return
-        at, ties, flags, recent, active, last, _ = self.memory.get()
-        at, ties, flags, recent, mark = list(at), list(ties), list(flags), list(recent), 1000 * timerValues.getCurrentWatermarkInMs()
-        due = sorted(i for i in range(len(at)) if at[i] <= mark)
-        starts = []
-        for i in sorted(due, key=lambda i: (at[i], ties[i])):
-            if self.idle is not None and last is not None and at[i] - last > self.idle:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r.alarm_at, r.alarm_tie, r.alarm_flag) for r in rows]
+        return self._turn(key, self.memory.get(), new, 1000 * timerValues.getCurrentWatermarkInMs(), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.memory.get()
+        return iter(()) if known is None else self._turn(key, known, [], 1000 * timerValues.getCurrentWatermarkInMs(), True)
+
+    def _turn(self, key, known: tuple | None, new: list, mark: int, expired: bool) -> Iterator[Row]:
+        """Take in the new rows and let go of those that the watermark has passed. Spark hands over all rows of a key and
+        micro-batch at once and drops what is not after the watermark before, so nothing can follow that belongs earlier."""
+        at, ties, flags, recent, active, last, timer = known or ([], [], [], [], False, None, None)
+        rows, recent, starts = sorted([*zip(at, ties, flags), *new], key=lambda r: r[0]), list(recent), []
+        n_due = bisect_right(rows, mark, key=lambda r: r[0])
+        for moment, tie, flag in sorted(rows[:n_due], key=lambda r: r[:2]):
+            if self.idle is not None and last is not None and moment - last > self.idle:
                 recent, active = [], False
-            recent, last = (recent + [int(flags[i])])[-self.n:], int(at[i])
+            recent, last = (recent + [int(flag)])[-self.n:], int(moment)
             now = sum(recent) >= self.k
             if now and not active:
-                starts.append(i)
+                starts.append(Row(alarm_key=key[0], alarm_at=last, alarm_tie=tie))
             active = now
-        if starts:
-            yield pd.DataFrame({"alarm_key": [key[0]] * len(starts), "alarm_at": [at[i] for i in starts], "alarm_tie": [ties[i] for i in starts]})
-        left = sorted(set(range(len(at))) - set(due))
-        if not left and (last is None or self.idle is not None and last + self.idle < mark):
-            self.memory.clear()
-        else:
-            self._wait([at[i] for i in left], [ties[i] for i in left], [flags[i] for i in left], recent, active, last, None)
+        self._wait(rows[n_due:], recent, active, last, None if expired else timer, mark)
+        return iter(starts)
 
-    def _wait(self, at: list, ties: list, flags: list, recent: list, active: bool, last: int | None, timer: int | None) -> None:
-        wanted = min(at) if at else None if self.idle is None else last + self.idle + 1
+    def _wait(self, left: list, recent: list, active: bool, last: int | None, timer: int | None, mark: int) -> None:
+        over = not left and (last is None or self.idle is not None and last + self.idle < mark)
+        wanted = None if over else left[0][0] if left else None if self.idle is None else last + self.idle + 1
         wanted = None if wanted is None else -(-int(wanted) // 1000)
-        if wanted != timer:
+        if wanted != timer:                                         # every call goes to the JVM and back
             if timer is not None:
                 self.handle.deleteTimer(timer)
             if wanted is not None:
                 self.handle.registerTimer(wanted)
-        self.memory.update(([int(a) for a in at], ties, [int(f) for f in flags], [int(r) for r in recent], bool(active), None if last is None else int(last), wanted))
+        if over:
+            self.memory.clear()
+        else:
+            self.memory.update(([int(r[0]) for r in left], [r[1] for r in left], [int(r[2]) for r in left], recent, bool(active), last, wanted))
 
     def close(self) -> None:
         pass
@@ -98,7 +95,7 @@ def alarm_onsets(flags: DataFrame, key: str, ts: str, tie: str, flag: str, k: in
             .select(F.col(key).alias("alarm_key"), F.col(ts).alias("alarm_time"), F.unix_micros(F.col(ts).cast("timestamp")).alias("alarm_at"), F.col(tie).alias("alarm_tie"), F.coalesce(F.col(flag).cast("int"), F.lit(0)).alias("alarm_flag")))
     out = T.StructType([T.StructField("alarm_key", kinds[key]), T.StructField("alarm_at", T.LongType()), T.StructField("alarm_tie", kinds[tie])])
     alarm = KOfNAlarm(k, n, None if idle_seconds is None else round(idle_seconds * 1e6), kinds[tie].simpleString())
-    found = rows.groupBy("alarm_key").transformWithStateInPandas(alarm, out, "append", "EventTime")
+    found = rows.groupBy("alarm_key").transformWithState(alarm, out, "append", "EventTime")
     return found.select(F.col("alarm_key").alias(key), F.timestamp_micros("alarm_at").cast(kinds[ts]).alias(ts), F.col("alarm_tie").alias(tie))
 
 

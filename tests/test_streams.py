@@ -57,3 +57,57 @@ def test_state_of_silent_keys_goes(spark, tmp_path):
     assert [tuple(r) for r in got] == [("gone", START + dt.timedelta(seconds=1), 2)]
     state = spark.read.format("statestore").option("stateVarName", "memory").load(str(tmp_path / "c"))
     assert {r[0] for r in state.select(F.col("key.alarm_key")).collect()} == {"here"}
+
+
+class Memory:
+    """One key's state and timers, counting the calls that would go to the JVM."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_key_with_rows_has_one_turn_a_batch():
+    class Clock:
+        def __init__(self, mark):
+            self.mark = mark
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+    alarm, memory, found = alarms.KOfNAlarm(2, 3, None, "int"), Memory(), []
+    alarm.init(memory)
+    rows = [(1000 * s, s, s % 5 < 2) for s in range(60)]            # (microseconds, tie, flag), ten a batch, five of them behind the watermark
+    for first in range(0, 60, 10):
+        memory.calls, clock = 0, Clock(first + 5)
+        batch = [alarms.Row(alarm_at=a, alarm_tie=t, alarm_flag=int(f)) for a, t, f in reversed(rows[first:first + 10])]
+        found += [r.alarm_at for r in alarm.handleInputRows(("a",), iter(batch), clock)]
+        for timer in sorted(t for t in memory.timers if t <= clock.mark):
+            found += [r.alarm_at for r in alarm.handleExpiredTimer(("a",), clock, None)]
+            memory.timers.discard(timer)
+        assert memory.calls <= 4, "state is read and written once, the timer moved once"
+    assert found == [1000 * s for s in range(1, 56, 5)]
