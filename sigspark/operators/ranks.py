@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import lookup_join, null_safe, ordered, row_bound
+from .scan import kept_counts, lookup_join, null_safe, ordered, row_bound
 
 
 def auc(df: DataFrame, score: str, positive: Column, keys: list[str] = (), target_rows: int | None = None) -> DataFrame:
@@ -98,8 +98,9 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: list[
     keys = list(keys)
     present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value))
     counts = present.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    upto = ordered(counts, keys, [value], target_rows, row_bound(present, counts, target_rows)).running({"hi": (F.sum, F.col("c"))}).frame()
-    sizes = present.groupBy(*keys).agg(F.count("*").alias("n"))
+    counts, n_rows = kept_counts(present, counts, target_rows)
+    upto = ordered(counts, keys, [value], target_rows, n_rows).running({"hi": (F.sum, F.col("c"))}).frame()
+    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
     # a value covers the zero-based positions [hi - c, hi); only the values at the wanted positions survive
     placed = null_safe(upto, sizes, keys)
     lo = F.col("hi") - F.col("c")

@@ -202,6 +202,16 @@ def row_bound(source: DataFrame, reduced: DataFrame, target_rows: int | None) ->
     return n if n <= range_rows(source, target_rows) else reduced.count()
 
 
+def kept_counts(source: DataFrame, reduced: DataFrame, target_rows: int | None) -> tuple[DataFrame, int]:
+    """The reduced table and its ``row_bound``. A source larger than a range is reduced once and the result kept, since a scan in
+    ranges reads it again for its sizes, its cut points and the values carried over."""
+    n = source.count()
+    if n <= range_rows(source, target_rows):
+        return reduced, n
+    kept = cut_lineage(reduced)
+    return kept, kept.count()
+
+
 def ordered(df: DataFrame, keys: list[str], order: list[str], target_rows: int | None = None,
             n_rows: int | None = None) -> OrderedScan:
     """Start an ordered scan. ``order`` must be total within a key, or results depend on ties.

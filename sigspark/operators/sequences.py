@@ -124,13 +124,14 @@ def boundary_steps(samples: DataFrame, keys: list[str], position: str, value: st
     """Per key: is the jump across part boundaries like the steps inside parts?
 
     (keys, boundaries, share_above_p99, ratio): share of boundary jumps above the within-part 99th percentile, and the
-    median boundary jump over the median inner step. Parts are ``clip`` samples long.
+    median boundary jump over the median inner step. Parts are ``clip`` samples long. ``samples`` is evaluated once, and so are
+    the steps, which five reductions read.
     """
     from .ranks import exact_quantiles
 
-    scan = ordered(samples.select(*keys, position, value), keys, [position], target_rows).lag({"_prev": (value, 1)})
-    steps = scan.frame().where(F.col("_prev").isNotNull()).select(
-        *keys, (F.col(position) % clip == 0).alias("boundary"), F.abs(F.col(value) - F.col("_prev")).alias("step"))
+    scan = ordered(cut_lineage(samples.select(*keys, position, value)), keys, [position], target_rows).lag({"_prev": (value, 1)})
+    steps = cut_lineage(scan.frame().where(F.col("_prev").isNotNull()).select(
+        *keys, (F.col(position) % clip == 0).alias("boundary"), F.abs(F.col(value) - F.col("_prev")).alias("step")))
     inner = exact_quantiles(steps.where(~F.col("boundary")), "step", {"p99": 0.99, "inner_median": 0.5}, keys, target_rows)
     at = steps.where("boundary")
     medians = exact_quantiles(at, "step", {"jump_median": 0.5}, keys, target_rows).drop("n")

@@ -138,3 +138,19 @@ def test_runs_evaluate_their_input_once(spark):
     df = spark.range(500).select(F.lit(1).alias("k"), F.udf(counted, "long").asNondeterministic()("id").alias("i"))
     got = sequences.runs(df.where("i % 100 <> 7"), ["k"], "i", 50).collect()
     assert sorted(r["n"] for r in got) == [7, 92, 99, 99, 99, 99] and seen.value == 500
+
+
+def test_boundary_steps_and_quantiles_evaluate_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return float(v * 7 % 101)
+    df = spark.range(500).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.udf(counted, "double").asNondeterministic()("id").alias("v"))
+    steps = np.abs(np.diff([i * 7 % 101 for i in range(500)]))
+    at = np.arange(1, 500) % 25 == 0
+    got = sequences.boundary_steps(df, ["k"], "i", "v", 25, 50).collect()[0]
+    assert got["boundaries"] == at.sum() and got["ratio"] == np.median(steps[at]) / np.median(steps[~at]) and seen.value == 500
+    seen.value = 0
+    got = ranks.exact_quantiles(df, "v", {"q": 0.3}, ["k"], 50).collect()[0]
+    assert got["n"] == 500 and got["q"] == pytest.approx(np.quantile([i * 7 % 101 for i in range(500)], 0.3)) and seen.value <= 1000     # counted, then reduced
