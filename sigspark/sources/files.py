@@ -79,8 +79,8 @@ def list_files(spark: SparkSession, roots: list[str], tasks: int | None = None)
     return out
 
 
-def write_files(rows: DataFrame, folder: str, suffix: str, columns: str, write: Callable, max_bytes: int = 64 << 20) -> DataFrame:
-    """Pack rows (key, content binary) into files of about ``max_bytes`` content; the returned manifest names those that count.
+def write_files(rows: DataFrame, folder: str, suffix: str, columns: str, write: Callable, max_bytes: int = 16 << 20) -> DataFrame:
+    """Pack rows (key, content binary) into files of about ``max_bytes`` content, as much as a task holds; the returned manifest names those that count.
 
     ``write(stream, keys, contents)`` writes one file and yields one tuple of ``columns`` per key. The manifest is stored below
     the folder before it is returned. A task that is repeated writes under new names, which no manifest row carries.

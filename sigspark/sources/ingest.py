@@ -22,6 +22,7 @@ from .files import PIECE, Opened, n_tasks, open_input
 from .publication import Publication
 
 WAV_HEAD = 4096
+HELD_BYTES, HELD_ROWS = 4 << 20, 1000               # of archive members, until a task hands them over
 WAV_COLUMNS = "valid boolean, format string, channels int, sample_rate_hz double, bits int, data_bytes long, data_start int, duration_s double"
 # WAVE format tags
 WAV_FORMATS = {1: "pcm", 3: "float", 65534: "extensible"}
@@ -342,25 +343,35 @@ def _unpacked(read_at, offset: int, packed: int, method: int, piece: int) -> Ite
 def zip_pieces(members: DataFrame, piece: int = PIECE, tasks: int | None = None) -> DataFrame:
     """Rows of :func:`zip_members` -> (archive, member, part, content): one member in numbered pieces of at most ``piece`` bytes.
 
-    Members are read by offset, so tasks share an archive and no row holds more than a piece. Size and checksum are compared
+    Members are read by offset, so tasks share an archive and no row holds more than a piece. A task hands pieces over as soon as
+    it holds HELD_BYTES of them, small members many at a time. Size and checksum are compared
     with the directory; a difference is an error. An empty member has one empty piece.
     """
     def read(batches):
-        opened = Opened()
+        opened, names, held, size_held = Opened(), ["archive", "member", "part", "content"], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), (pa.string(), pa.string(), pa.int32(), pa.binary()))], names)
+
         for b in batches:
-            for r in b.itertuples(index=False):
+            for r in b.to_pylist():
                 crc, size, part = 0, 0, 0
-                for part, content in enumerate(_unpacked(opened(r.archive).read_at, int(r.offset), int(r.packed_bytes), int(r.method), piece), 1):
+                pieces = _unpacked(opened(r["archive"]).read_at, r["offset"], r["packed_bytes"], r["method"], piece)
+                for part, content in enumerate(pieces if r["size_bytes"] else itertools.chain(pieces, [b""]), 1):
                     crc, size = zlib.crc32(content, crc), size + len(content)
-                    yield pd.DataFrame({"archive": [r.archive], "member": [r.member], "part": [part - 1], "content": [content]})
-                if size != r.size_bytes or f"{crc:08x}" != r.crc32:
-                    raise ValueError(f"{r.archive}: {r.member} does not match its directory entry")
-                if part == 0:
-                    yield pd.DataFrame({"archive": [r.archive], "member": [r.member], "part": [0], "content": [b""]})
+                    held.append((r["archive"], r["member"], part - 1, content))
+                    size_held += len(content)
+                    if size_held >= HELD_BYTES or len(held) >= HELD_ROWS:
+                        yield batch()
+                        held, size_held = [], 0
+                if size != r["size_bytes"] or f"{crc:08x}" != r["crc32"]:
+                    raise ValueError(f"{r['archive']}: {r['member']} does not match its directory entry")
+        if held:
+            yield batch()
         opened.close()
 
     spread = members.select(*_MEMBER_NAMES).repartition(n_tasks(members, tasks), "archive", "member").sortWithinPartitions("archive", "offset")
-    return spread.mapInPandas(read, "archive string, member string, part int, content binary")
+    return spread.mapInArrow(read, "archive string, member string, part int, content binary")
 
 
 def zip_contents(members: DataFrame, tasks: int | None = None) -> DataFrame:

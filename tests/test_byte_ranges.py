@@ -168,3 +168,33 @@ def test_samples_that_are_no_numbers_come_as_they_are(spark, tmp_path):
         rows = got.orderBy("start").collect()
         assert [r["n"] for r in rows] == [2, 1]
         assert np.array_equal(np.concatenate([np.array([r["i"], r["q"]], float).T for r in rows]), x.reshape(-1, 2), equal_nan=True)
+
+
+def test_a_task_holds_one_small_file(spark, tmp_path):
+    """40 MB in one task are packed into files of 16 MB, since what goes into a file is held until it is written."""
+    def write(out, keys, contents):
+        for key, content in zip(keys, contents):
+            out.write(content)
+            yield key, len(content)
+    rows = spark.range(0, 40, 1, 1).select(F.col("id").alias("key"), F.encode(F.repeat(F.lit("x"), 1 << 20), "UTF-8").alias("content"))
+    held = files.write_files(rows, str(tmp_path / "out"), ".bin", "id long, n long", write).groupBy("path").agg(F.sum("n").alias("n")).collect()
+    assert sum(r["n"] for r in held) == 40 << 20 and max(r["n"] for r in held) <= 17 << 20
+
+
+def test_members_are_handed_over_by_number_and_size(tmp_path, monkeypatch):
+    """Small members share a batch, large ones do not gather, and a run of empty ones ends too."""
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        for k in range(25):
+            z.writestr(f"{k:02d}", b"" if k < 10 else b"1" if k < 20 else bytes(600))
+    raw, read = (tmp_path / "x.zip").read_bytes(), {}
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *args: read.setdefault(name, args) and self
+    monkeypatch.setattr(ingest, "n_tasks", lambda *_: 1)
+    monkeypatch.setattr(ingest, "HELD_ROWS", 8)
+    monkeypatch.setattr(ingest, "HELD_BYTES", 1000)
+    ingest.zip_pieces(Rows())
+    listed = [m | {"archive": str(tmp_path / "x.zip")} for m in ingest._directory("x", lambda n, at: raw[at:at + n], len(raw))]
+    batches = list(read["mapInArrow"][0](iter([ingest.pa.RecordBatch.from_pylist(listed)])))
+    assert [b.num_rows for b in batches] == [8, 8, 6, 2, 1] and sum(len(c) for b in batches for c in b.column("content").to_pylist()) == 10 + 5 * 600
