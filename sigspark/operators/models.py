@@ -27,14 +27,17 @@ def class_list(df: DataFrame, label: str) -> list:
     return sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
 
 
-def balanced_weights(df: DataFrame, label: str, classes: list) -> DataFrame:
+def class_counts(df: DataFrame, label: str) -> dict:
+    """Class name -> rows, in name order."""
+    found = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*")).collect()       # a handful
+    return dict(sorted((r[0], r[1]) for r in found))
+
+
+def balanced_weights(df: DataFrame, label: str, counts: dict) -> DataFrame:
     """Add ``_weight`` = n / (classes * n_class) and ``_y``, the class position."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count("*")).collect()}
-    n = sum(counts.get(c, 0) for c in classes)
-    present = [c for c in classes if counts.get(c)]
-    weight, index = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for i, c in enumerate(classes):
-        weight = F.when(F.col(label) == F.lit(c), n / (len(present) * counts[c]) if counts.get(c) else 1.0).otherwise(weight)
+    n, weight, index = sum(counts.values()), F.lit(None).cast("double"), F.lit(None).cast("double")
+    for i, (c, own) in enumerate(counts.items()):
+        weight = F.when(F.col(label) == F.lit(c), n / (len(counts) * own)).otherwise(weight)
         index = F.when(F.col(label) == F.lit(c), float(i)).otherwise(index)
     return df.withColumn("_weight", weight).withColumn("_y", index)
 
@@ -110,16 +113,22 @@ class Fitted:
         return self.probabilities(df).withColumn(output, F.element_at(names, best)).drop("probabilities")
 
 
-def fit(kind: str, train: DataFrame, features: list[str], label: str, rounds: int = GBM_ROUNDS, seed: int = 0) -> Fitted:
+def fit(kind: str, train: DataFrame, features: list[str], label: str, rounds: int = GBM_ROUNDS, seed: int = 0, counts: dict | None = None) -> Fitted:
+    """``counts``: rows of each class in ``train``, if the caller knows them.
+
+    The source is read once. What is kept are the plain columns, a fraction of the size of vectors; every pass of the estimator
+    makes its vectors from them.
+    """
     if kind not in KINDS:
         raise ValueError(kind)
-    train = train.where(F.col(label).isNotNull())
-    classes = class_list(train, label)
-    if len(classes) < 2:
-        raise ValueError("training side has one class")
-    p = Preparation.learn(kind, train, features)
-    ready = p.apply(balanced_weights(train.select(*features, label), label, classes)).select("_features", "_y", "_weight").persist()
+    kept = train.where(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label])).persist()
     try:
+        counts = class_counts(kept, label) if counts is None else counts
+        classes = list(counts)
+        if len(classes) < 2:
+            raise ValueError("training side has one class")
+        p = Preparation.learn(kind, kept, features)
+        ready = p.apply(balanced_weights(kept, label, counts)).select("_features", "_y", "_weight")
         common = {"featuresCol": "_features", "labelCol": "_y", "weightCol": "_weight"}
         if kind == "tree":
             parts = [DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=20, seed=seed, **common).fit(ready)]
@@ -133,29 +142,45 @@ def fit(kind: str, train: DataFrame, features: list[str], label: str, rounds: in
             else:
                 parts = [gbt.fit(ready.withColumn("_y", (F.col("_y") == float(i)).cast("double"))) for i in range(len(classes))]
     finally:
-        ready.unpersist()
+        kept.unpersist()
     return Fitted(kind, classes, p, parts)
 
 
-def fold_fits(rows: DataFrame, partition: str, features: list[str], label: str, kind: str, **options) -> dict:
+def fold_counts(rows: DataFrame, partition: str, label: str) -> dict:
+    """partition -> {class: rows}, both in name order; from one pass."""
+    found = rows.groupBy(partition, label).agg(F.count("*").alias("n")).orderBy(partition, label).collect()     # folds x classes
+    out = {r[0]: {} for r in found}
+    for r in found:
+        if r[1] is not None:
+            out[r[0]][r[1]] = r[2]
+    return out
+
+
+def _pooled(counts: list[dict]) -> dict:
+    return {c: sum(d.get(c, 0) for d in counts) for c in sorted({c for d in counts for c in d})}
+
+
+def fold_fits(rows: DataFrame, partition: str, features: list[str], label: str, kind: str, per_fold: dict | None = None, **options) -> dict:
     """partition -> model fitted without it. The loop is over partitions; each fit is a distributed job."""
-    names = [r[0] for r in rows.select(partition).distinct().orderBy(partition).collect()]
-    return {name: fit(kind, rows.where(F.col(partition) != F.lit(name)), features, label, **options) for name in names}
+    per_fold = fold_counts(rows, partition, label) if per_fold is None else per_fold
+    return {name: fit(kind, rows.where(F.col(partition) != F.lit(name)), features, label, counts=_pooled([d for other, d in per_fold.items() if other != name and None not in (other, name)]), **options)
+            for name in per_fold}
 
 
 def out_of_fold(rows: DataFrame, partition: str, features: list[str], label: str, kind: str, **options) -> DataFrame:
     """Every row scored by a model fitted without its partition: ``score`` if binary, else ``predicted``."""
-    binary, parts = len(class_list(rows, label)) == 2, []
-    for name, model in fold_fits(rows, partition, features, label, kind, **options).items():
+    per_fold = fold_counts(rows, partition, label)
+    binary, parts = len(_pooled(list(per_fold.values()))) == 2, []
+    for name, model in fold_fits(rows, partition, features, label, kind, per_fold, **options).items():
         held = rows.where(F.col(partition) == F.lit(name))
         parts.append(model.score(held) if binary else model.predict(held))
     return union_all(parts)
 
 
-def held_out(rows: DataFrame, folds: list[tuple[Column, Column]], features: list[str], label: str, kind: str = "gbm", **options) -> DataFrame:
+def held_out(rows: DataFrame, folds: list[tuple[Column, Column]], features: list[str], label: str, kind: str = "gbm", classes: list | None = None, **options) -> DataFrame:
     """Pooled test rows over designed (train, test) folds with ``predicted`` and ``probabilities`` (in the sorted order of
-    all classes; a class the fold never saw gets 0)."""
-    classes = class_list(rows, label)
+    all classes; a class the fold never saw gets 0). ``classes``: those of ``rows``, if the caller knows them."""
+    classes = class_list(rows, label) if classes is None else classes
     parts = []
     for train, test in folds:
         model = fit(kind, rows.where(train), features, label, **options)
