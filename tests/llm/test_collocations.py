@@ -70,3 +70,18 @@ def test_scores_past_64_bits(spark, monkeypatch):
     monkeypatch.setattr(c, "phrase_counts", lambda *_: table)
     found = c.collocations(table).collect()
     assert [(r.phrase, r.score) for r in found] == [("a b", 2_000_000 * (big - 3) // (2 * big - 1))]
+
+
+def test_a_merge_holds_few_bytes_for_a_window():
+    """Two workers of an executor merge at once; what one holds at most is a small multiple of the 20 bytes of a window's cells."""
+    import random
+    import tracemalloc
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    chunks = [x for _ in range(6) for x in c._chunks("en", " ".join(draw.choices(words, k=60_000)).encode(), {})]
+    tracemalloc.start()
+    _, ranks, counts = c._merged([x[2] for x in chunks], [x[3] for x in chunks])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() == 360_000 and ranks.shape[1] > 350_000
+    assert peak < 100 * 360_000
