@@ -12,7 +12,7 @@ import re
 import struct
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,10 +43,22 @@ _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
 # Fixed values of the vocabulary: its own split, for Latin text, and how it writes bytes.
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9À-ÖØ-öø-ɏ]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 _LATIN = re.compile("[\x00-\x7fÀ-ɏ]*").fullmatch
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([\x00-\x7fÀ-ɏ]*)").fullmatch
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_SIGNS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
-_SPACE_SIGN, _ENDS = _BYTE_SIGNS[32], ("", ",", ".", ";", ":", "!", "?")
+_SPACE_SIGN = _BYTE_SIGNS[32]
+
+
+class _Memory(dict):
+    """Ids of pieces; a piece that is missing is looked for in the generation before, or made."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]):
+        self.make, self.older = make, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.older.get(piece) or self.make(piece)
+        return ids
 
 
 class Encoder:
@@ -67,9 +79,9 @@ class Encoder:
         contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self._added = re.compile("|".join(map(re.escape, contents))).search if contents else None
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Memory(self._word, {})
         self._short = lru_cache(1 << 16)(self._pre_token)
+        self._rest = lru_cache(1 << 12)(self._new)
 
     def _pre_token(self, text: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
@@ -83,14 +95,19 @@ class Encoder:
         return b"".join([self._short(t) if len(t) < 6 else self._pre_token(t) for t in _SPLIT.findall(text)])
 
     def _word(self, piece: str) -> bytes:
-        """Ids of a space and ``piece``. Letters of ASCII alone are one pre-token, a sign after them another, and no pattern need tell."""
-        if piece.isascii():
-            word, sign = (piece, "") if piece.isalpha() else (piece[:-1], piece[-1:])
-            if word.isalpha() and sign in _ENDS:
-                found = (self.known.get(word) or self.older.get(word)) if sign else None
-                found = found or array("I", [t.id for t in self.model.tokenize(_SPACE_SIGN + word)]).tobytes()
-                return found + self._short(sign) if sign else found
-        return self._new(" " + piece)
+        """Ids of a space and ``piece``. Of Latin text the letters it begins with are one pre-token, whatever follows; often it is a sign or two."""
+        found = _WORD(piece)
+        if found is None:
+            return self._new(" " + piece)
+        word, rest = found.groups()
+        if rest:
+            return (self.known.get(word) or self.known.older.get(word) or self._letters(word)) + (self._rest(rest) if len(rest) < 4 else self._new(rest))
+        return self._letters(word)
+
+    def _letters(self, word: str) -> bytes:
+        if not word.isascii():
+            return self._pre_token(" " + word)
+        return array("I", [t.id for t in self.model.tokenize(_SPACE_SIGN + word)]).tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         even = not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ") and not (any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else _OTHER_SPACE(text))
@@ -98,16 +115,16 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32; null counts as empty."""
-        whole = {k: self._whole(t) for k, t in enumerate(texts) if t and self._added(t)} if self._added else {}
-        pieces = [self._pieces("" if k in whole else t or "") for k, t in enumerate(texts)]
-        heads = [self._new(p.pop(0)) for p in pieces]
         if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        for p in set().union(*pieces).difference(known):
-            known[p] = older[p] if p in older else self._word(p)
-        of = known.__getitem__
-        return [whole[k] if k in whole else h + b"".join(map(of, p)) for k, (h, p) in enumerate(zip(heads, pieces))]
+            self.known.older = {}
+            self.known = _Memory(self._word, self.known)
+        return [self._text(t or "") for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if self._added and self._added(text):
+            return self._whole(text)
+        head, *pieces = self._pieces(text)
+        return self._new(head) + b"".join(map(self.known.__getitem__, pieces))
 
 
 @lru_cache(2)

@@ -140,3 +140,20 @@ def test_a_damaged_frame_is_noticed(spark, tmp_path):
 def test_pieces_of_a_text_encode_apart(texts):
     encoder = f._encoder(BPE)
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_remembered_word_is_not_split_again_before_other_signs():
+    encoder = f.Encoder(BPE, True)
+    model, asked = encoder.model, []
+
+    class Counting:
+        def tokenize(self, text):
+            asked.append(text)
+            return model.tokenize(text)
+    encoder.model = Counting()
+    encoder.encode(["x können vitreré ortion &&& .\nDe"])
+    asked.clear()
+    texts = ["x können, können&&& können.\nDe vitreré vitreré. vitreré*** ortion&&&"]
+    ids = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
+    assert ids == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not any(len(t) > 5 for t in asked)
