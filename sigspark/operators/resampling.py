@@ -165,15 +165,8 @@ def drawn_range_rows(n_groups: int, n_rows: int) -> int:
     return max(ROWS_PER_RANGE, min(MAX_ROWS_PER_RANGE, 4 * n_groups, n_rows // DRAWN_RANGES))
 
 
-def auc_replicates(df: DataFrame, numbered: DataFrame, group: str, label: str, score: str, source: GroupDraws | GroupShuffles | Rotations,
-                   rows_per_range: int | None = None) -> DataFrame:
-    """(rep, auc) for every replicate of ``source``; one-class replicates are dropped. Null is the lowest score and not-a-number
-    the highest, each tied with itself, as in ``ranks.auc``.
-
-    Shuffles: rows on (group, score) after partial aggregation, counts on group number's table and on range, range sums on
-    (replicate, score). A range makes the draws of all blocks that its groups lie in, so without ``rows_per_range`` ranges grow
-    with the number of groups; labels dealt two ways need no ranges.
-    """
+def placed_counts(df: DataFrame, numbered: DataFrame, group: str, label: str, score: str) -> tuple[DataFrame, int]:
+    """Rows of each (group, score), with the group's number and label, and how many such pairs there are."""
     counts = df.groupBy(group, score).agg(F.count("*").alias("_n"))
     known = numbered.select(group, "_g", F.col(label).cast("int").alias("_y"))
     kind, own = df.schema[score].dataType, F.col(score)
@@ -181,7 +174,21 @@ def auc_replicates(df: DataFrame, numbered: DataFrame, group: str, label: str, s
     rank = F.when(own.isNull(), 0).when(F.isnan(own) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(False), 2).otherwise(1)
     placed = cut_lineage(null_safe(counts, known, [group])
                          .select(rank.alias("_k"), F.when(rank == 1, own).otherwise(F.lit(0).cast(kind)).alias("_s"), "_g", "_y", "_n"))
-    n_rows = placed.count()
+    return placed, placed.count()
+
+
+def auc_replicates(df: DataFrame, numbered: DataFrame, group: str, label: str, score: str, source: GroupDraws | GroupShuffles | Rotations,
+                   rows_per_range: int | None = None, placed: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """(rep, auc) for every replicate of ``source``; one-class replicates are dropped. Null is the lowest score and not-a-number
+    the highest, each tied with itself, as in ``ranks.auc``.
+
+    Shuffles: rows on (group, score) after partial aggregation, counts on group number's table and on range, range sums on
+    (replicate, score). A range makes the draws of all blocks that its groups lie in, so without ``rows_per_range`` ranges grow
+    with the number of groups; labels dealt two ways need no ranges. ``placed``: the ``placed_counts`` of these rows, if the caller
+    has made them.
+    """
+    kind = df.schema[score].dataType
+    placed, n_rows = placed or placed_counts(df, numbered, group, label, score)
     if _dealt_two_ways(source):
         return _rank_sum_replicates(placed, n_rows, source)
     drawn = isinstance(source, GroupDraws)

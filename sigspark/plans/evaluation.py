@@ -60,9 +60,13 @@ def auc_permutation(scores: DataFrame, group: str, label: str, score: str, n_per
 def external(scores: DataFrame, group: str, label: str, score: str, n_permutations: int = 2000, n_bootstrap: int = 2000,
              seed: int = 0) -> DataFrame:
     """A fixed model on an external test set: AUC, interval, permutation test in one row."""
-    ci = auc_interval(scores, group, label, score, n_bootstrap)
-    p = auc_permutation(scores, group, label, score, n_permutations, seed).select("p_value", "null_median", "null_95th")
-    return ci.join(F.broadcast(p))
+    numbered, n = _groups(scores, group, label)
+    placed = R.placed_counts(scores, numbered, group, label, score)             # groups, their counts and the AUC serve both
+    observed = cut_lineage(ranks.auc(scores, score, F.col(label).cast("boolean")))
+    reps, null = (R.auc_replicates(scores, numbered, group, label, score, source, placed=placed)
+                  for source in (GroupDraws(n, n_bootstrap), R.shuffles(numbered, label, n_permutations, seed)))
+    p = R.permutation_summary(null, "auc", observed.select("auc")).select("p_value", "null_median", "null_95th")
+    return observed.join(F.broadcast(R.interval(reps, "auc"))).join(F.broadcast(p))
 
 
 def subset_auc(scores: DataFrame, group: str, label: str, score: str, keep, n_bootstrap: int = 2000) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.plans import experiments, registry
+from sigspark.plans import evaluation, experiments, registry
 
 QUERIES = registry.queries()
 
@@ -48,3 +48,15 @@ def test_a_shortcut_baseline_carries_no_other_column(spark):
     read = rows.withColumn("wide", F.raise_error(F.lit("a column that no step needs was read")).cast("string"))
     found = [experiments.shortcut_baseline(r, ["level"], "y", "unit", 3, 50).first() for r in (rows, read)]
     assert found[0] == found[1] and found[0].n_pos + found[0].n_neg == 480
+
+
+def test_an_external_evaluation_places_the_groups_once(spark, monkeypatch):
+    rows, made = _grouped(spark), []
+    ci = evaluation.auc_interval(rows, "unit", "y", "level", 60).first()
+    p = evaluation.auc_permutation(rows, "unit", "y", "level", 70).first()
+    for name in ("pure_numbered_groups", "placed_counts"):
+        step = getattr(evaluation.R, name, None) or (lambda *_: None)
+        monkeypatch.setattr(evaluation.R, name, lambda *a, step=step, name=name: made.append(name) or step(*a), raising=False)
+    both = evaluation.external(rows, "unit", "y", "level", 70, 60).first()
+    assert sorted(made) == ["placed_counts", "pure_numbered_groups"]
+    assert both.asDict() == {**ci.asDict(), **{c: p[c] for c in ("p_value", "null_median", "null_95th")}}
