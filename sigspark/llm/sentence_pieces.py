@@ -31,7 +31,7 @@ from .common import load
 SPACE = "▁"
 BLOCK_BYTES = 4 << 20                               # text of one block
 ZSTD_BYTES = 100_000                                # of common units, as a dictionary for compressing texts on their way
-COMMON_UNITS, SAMPLE_BYTES = 100_000, 32 << 20      # units that are broadcast, at most, and the text they are chosen from
+COMMON_UNITS, SAMPLE_BYTES = 300_000, 32 << 20      # units that are broadcast, at most, and the text they are chosen from
 SHORT = 62                                          # longest unit whose boundaries fit the bits of a long
 LETTER = r"[A-Za-z\u00AA-\u02FF\u0370-\u1FFF]"        # one class that Java and Python read alike
 
@@ -240,6 +240,11 @@ class _Reader:
     def units(self, text: str) -> list[str]:
         return self.cut(self.lead + text.replace(" ", SPACE)) if text else []
 
+    def by_first(self, ids: dict[str, bytes]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """``ids`` of units by word, for units that are a space and a word as it stands in even texts, and of all others by unit."""
+        whole = {u[1:]: i for u, i in ids.items() if self.by_words and u[:1] == SPACE}
+        return whole, {u: i for u, i in ids.items() if not (self.by_words and u[:1] == SPACE)}
+
     def units_of_word(self, word: str) -> list[str]:
         return self.cut(SPACE + word) if self.may_cut(word) else [SPACE + word]
 
@@ -270,7 +275,7 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> D
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     frequent = _common(docs, pieces, total)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(_Reader(pieces).by_first(frequent))
     sample = " ".join(frequent)[-ZSTD_BYTES:].replace(SPACE, "").encode("utf-8", "surrogatepass")
     kind = docs.schema["doc_id"].dataType.simpleString()
     readers: list[_Reader] = []                                     # one in a task, for all its blocks
@@ -294,32 +299,42 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> D
         for d in data:
             yield release.decompress(d.as_py()).decode("utf-8", "surrogatepass") if d.is_valid else ""
 
-    def cut_up(data: pa.ChunkedArray, reader: _Reader) -> tuple[dict[str, list[str]], list[str], list[str]]:
-        """Units of every distinct word of a block's even texts, and its distinct units that are not common: those that are asked for, in order, and the long ones."""
+    def cut_up(data: pa.ChunkedArray, reader: _Reader) -> tuple[dict[str, bytes], dict[str, list[str]], dict[str, bytes], list[str], list[str]]:
+        """Of a block: ids of its common words, units of all other distinct words of even texts, ids of the common ones among these and the
+        units of other texts, and those that are not common: the ones that are asked for, in order, and the long ones."""
+        by_word, by_unit = shared.value
         words: set[str] = set()
-        rare: set[str] = set()
+        found: set[str] = set()
         for text in texts_of(data):
             if reader.even(text):
                 words.update(text.split(" "))
             else:
-                rare.update(reader.units(text))
-        parts = {w: reader.units_of_word(w) for w in words}
-        rare = rare.union(*parts.values()).difference(shared.value)
-        return parts, sorted(u for u in rare if len(u) <= SHORT), [u for u in rare if len(u) > SHORT]
+                found.update(reader.units(text))
+        other = words.difference(by_word)
+        parts = {w: reader.units_of_word(w) for w in other}
+        known, rare = {}, []
+        for u in found.union(*parts.values()):
+            ids = by_word.get(u[1:]) if by_word and u[:1] == SPACE else by_unit.get(u)
+            if ids is None:
+                rare.append(u)
+            else:
+                known[u] = ids
+        return {w: by_word[w] for w in words.difference(other)}, parts, known, sorted(u for u in rare if len(u) <= SHORT), [u for u in rare if len(u) > SHORT]
 
     def listed(block: pa.Table) -> pa.Table:
-        names = cut_up(block["data"], own_reader())[1]
+        names = cut_up(block["data"], own_reader())[3]
         slots = np.arange(len(names), dtype=np.int64) + (block["block"][0].as_py() << 32)
         return pa.Table.from_arrays([pa.array(names, pa.string()), pa.array(slots)], names=["unit", "slot"])
 
     def look_up(texts: pa.Table, found: pa.Table) -> pa.Table:
-        reader, common = own_reader(), shared.value
-        parts, names, long_units = cut_up(texts["data"], reader)
-        own = {u: reader.long_ids(u) for u in long_units}
+        reader = own_reader()
+        of_words, parts, own, names, long_units = cut_up(texts["data"], reader)
+        own.update((u, reader.long_ids(u)) for u in long_units)
         for place, mask in zip(found["place"].to_pylist(), found["mask"].to_pylist()):
             own[names[place]] = reader.ids(names[place], mask)
-        of_word = {w: b"".join([common.get(u) or own[u] for u in us]) for w, us in parts.items()}.__getitem__
-        ids = [b"".join(map(of_word, t.split(" ")) if reader.even(t) else [common.get(u) or own[u] for u in reader.units(t)]) for t in texts_of(texts["data"])]
+        of_words.update((w, own[us[0]] if len(us) == 1 else b"".join([own[u] for u in us])) for w, us in parts.items())
+        of_word, of_unit = of_words.__getitem__, own.__getitem__
+        ids = [b"".join(map(of_word, t.split(" ")) if reader.even(t) else map(of_unit, reader.units(t))) for t in texts_of(texts["data"])]
         ends = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
         values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
         return pa.Table.from_arrays([texts["doc_id"], pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])

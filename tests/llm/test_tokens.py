@@ -157,3 +157,12 @@ def test_a_remembered_word_is_not_split_again_before_other_signs():
     ids = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
     assert ids == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert not any(len(t) > 5 for t in asked)
+
+
+def test_common_words_are_looked_up_as_they_stand(pieces):
+    reader = p._Reader(pieces)
+    by_word, by_unit = reader.by_first({"▁the": b"1", "▁": b"2", "ing": b"3", ",": b"4", "▁▁": b"5"})
+    assert by_word == {"the": b"1", "": b"2", "▁": b"5"} and by_unit == {"ing": b"3", ",": b"4"}
+    assert all(reader.units_of_word(w) == ["▁" + w] for w in ("the", ""))
+    plain = p._Reader(p.Pieces("unigram", (("a", 300, -3.0),), tuple(range(256)), prefix=False, control=()))
+    assert plain.by_first({"▁a": b"1", "a": b"2"}) == ({}, {"▁a": b"1", "a": b"2"})
