@@ -37,15 +37,18 @@ def duplicate_keys(df: DataFrame, key: str, rule: str) -> DataFrame:
 
 
 def dangling(children: DataFrame, fk: str, parents: DataFrame, pk: str, entity: str, rule: str) -> DataFrame:
-    """Children whose non-NULL reference names no parent."""
-    known = parents.select(F.col(pk).alias("_pk"))
+    """Children whose non-NULL reference names no parent.
+
+    Keys meet by merge: a column of ids packs to a byte a row on disk, so by its estimate Spark would send all of them through
+    the driver."""
+    known = parents.select(F.col(pk).alias("_pk")).hint("merge")
     lost = children.where(F.col(fk).isNotNull()).select(entity, fk).join(known, F.col(fk) == F.col("_pk"), "left_anti")
     return problem(lost, rule, entity, F.col(fk))
 
 
 def count_mismatch(parents: DataFrame, pk: str, declared: str, children: DataFrame, fk: str, rule: str) -> DataFrame:
     """Parents whose declared number of children differs from the number that points at them."""
-    found = children.where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_pk")).agg(F.count("*").alias("_n"))
+    found = children.where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_pk")).agg(F.count("*").alias("_n")).hint("merge")         # as in dangling
     j = parents.select(F.col(pk).alias("_pk"), F.col(declared).alias("_d")).join(found, "_pk", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     bad = j.where(~F.col("_d").eqNullSafe(F.col("_n")))
     return problem(bad, rule, "_pk", F.concat_ws(" vs ", F.col("_d").cast("string"), F.col("_n").cast("string")))

@@ -277,3 +277,19 @@ def test_claim_files_name_their_dataset(spark, tmp_path):
     shutil.copy(tmp_path / "d.json", tmp_path / "e.json")
     got = tables.claim_file_problems(tables.read_claims(spark, str(tmp_path / "[de].json"))).collect()
     assert [r["detail"] for r in got] == ["e"]
+
+
+def test_keys_never_go_through_the_driver(spark, tmp_path):
+    """Ids pack so well that a table of millions looks small enough to broadcast; small tables stand for it here."""
+    from sigspark.plans import catalog_queries as Q
+    spark.createDataFrame([(k, k % 3, "O" if k % 2 else "F") for k in range(20)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k % 15, k // 15, k, 2.0) for k in range(40)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = Q._valid_index(spark, str(tmp_path), spark.read.parquet(f"{tmp_path}/orders.parquet"))
+    for name, t in made.items():
+        t.write.parquet(f"{tmp_path}/index/{name}")
+    written = {name: spark.read.parquet(f"{tmp_path}/index/{name}") for name in made}
+    found, answer = catalog.index_problems(written, "t"), Q.published_index(spark, str(tmp_path))
+    for df in (*made.values(), found, answer):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 0 and catalog.dangling(written["artifacts"], "capture_id", written["captures"].where("capture_id <> 't/o4'"), "capture_id", "artifact_id", "lost").count() == 3
+    assert {(r["o_orderkey"], r["n_artifacts"], r["size_bytes"]) for r in answer.collect()} == {(k, (3 if k < 10 else 2) if k < 15 else 0, (6 if k < 10 else 4) if k < 15 else 0) for k in range(20)}
