@@ -3,22 +3,33 @@
 tree    depth-3 tree, leaves of at least 20 rows
 linear  standardised logistic regression, unit penalty
 gbm     boosted depth-3 trees, step 0.05, 200 rounds; missing values are imputed and flagged
+
+A boosting round passes over all rows once a level, and trees see no more of a row than the bin of each value. Rows of a cell
+(equal bins) are therefore merged before boosting into points that carry the rows' weights, so the passes are bounded by the
+number of cells, not rows, where features are few.
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .catalog import union_all
 from .ranks import exact_quantiles
 
 KINDS = ("tree", "linear", "gbm")
 GBM_ROUNDS = 200
+BINS, LEAF_ROWS = 32, 20
+CUT_ROWS = 40_000               # rows that bins are cut from; the estimator would take 10 000
+POINTS_A_TASK = 100_000
+JOBS = 3                        # boosted models fitted at a time: a round is three short jobs
 _DONE = "_features", "rawPrediction", "probability", "prediction", "_y", "_weight"
 
 
@@ -50,9 +61,11 @@ class Preparation:
     centre: dict[str, float] = field(default_factory=dict)
     scale: dict[str, float] = field(default_factory=dict)
     fill: dict[str, float] = field(default_factory=dict)
+    cuts: dict[str, list[float]] = field(default_factory=dict)
 
     @staticmethod
-    def learn(kind: str, train: DataFrame, features: list[str]) -> "Preparation":
+    def learn(kind: str, train: DataFrame, features: list[str], share: float = 1.0, seed: int = 0) -> "Preparation":
+        """``train`` has ``_weight`` for "gbm", whose bins are cut from this share of the rows."""
         p = Preparation(features)
         if kind == "linear":
             row = train.select(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -65,9 +78,13 @@ class Preparation:
                     clean = train.where(~F.isnan(F.col(c).cast("double")))
                     found = exact_quantiles(clean, c, {"m": 0.5}).first()
                     p.fill[c] = found["m"] if found and found["m"] is not None else 0.0
+            ready, names = p.columns(train)
+            some = np.array((ready.sample(share, seed) if share < 1 else ready).select(*names, "_weight").collect(), float).reshape(-1, len(names) + 1)
+            p.cuts = {c: _cuts(some[:, i], some[:, -1]) for i, c in enumerate(names)}
         return p
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def columns(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Rows with the transformed columns, and their names."""
         columns = []
         for c in self.features:
             x = F.col(c).cast("double")
@@ -80,9 +97,66 @@ class Preparation:
                 columns.append(x.alias(f"_f_{c}"))
         inner = df.select("*", *columns)
         names = [c for c in inner.columns if c not in df.columns]
+        if self.cuts:
+            bins = [f"_b{c}" for c in names]
+            inner = Bucketizer(inputCols=names, outputCols=bins, splitsArray=[[-np.inf, *self.cuts[c], np.inf] for c in names]).transform(inner).drop(*names)
+            inner, names = inner.withColumns({b: F.col(b).cast("byte") for b in bins}), bins        # numbers; the column it made is marked as categories
+        return inner, names
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        inner, names = self.columns(df)
         return VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="error").transform(inner).drop(*names)
 
 
+def _cuts(values: np.ndarray, weights: np.ndarray) -> list[float]:
+    """Points between neighbouring values, or those that leave about equal weight in each bin if there are more values than bins."""
+    found, at = np.unique(values, return_inverse=True)
+    last = np.arange(len(found) - 1)                            # of each bin
+    if len(found) > BINS:
+        below = np.cumsum(np.bincount(at, weights))
+        last = np.unique(np.searchsorted(below, below[-1] * np.arange(1, BINS) / BINS))
+        last = last[last < len(found) - 1]
+    low, high = found[last], found[last + 1]
+    middle = low / 2 + high / 2
+    cuts = np.unique(np.where(middle > low, middle, high))
+    return [float(c) for c in cuts[np.isfinite(cuts)]] or [float(found[0]) if len(found) and np.isfinite(found[0]) else 0.0]
+
+
+def merged(binned: DataFrame, names: list[str], counts: dict) -> DataFrame:
+    """Cells (equal bins) with ``points``, an array of (_y, _weight, n): n points of that weight stand for a class's rows.
+
+    Together the points have the weight of the rows. A cell of fewer than ``LEAF_ROWS`` rows has a point for each, another at
+    least that many; so of any cells, points are too few for a leaf exactly when rows are.
+    """
+    cells = binned.groupBy(*names).agg(*[F.count_if(F.col("_y") == float(i)).alias(f"_n{i}") for i in range(len(counts))], F.count("*").alias("_n"))
+    points = []
+    for i, own in enumerate(counts.values()):
+        rows = F.col(f"_n{i}")
+        k = F.when(F.col("_n") < LEAF_ROWS, rows).otherwise(F.ceil(rows * LEAF_ROWS / F.col("_n"))).cast("int")
+        weight = rows * (sum(counts.values()) / (len(counts) * own)) / F.greatest(k, F.lit(1))
+        points.append(F.struct(F.lit(float(i)).alias("_y"), weight.alias("_weight"), k.alias("n")))
+    return cells.select(*names, F.filter(F.array(*points), lambda p: p["n"] > 0).alias("points"))
+
+
+def _boost(kept: DataFrame, weighted: DataFrame, preparation: Preparation, counts: dict, rounds: int, seed: int) -> list:
+    context = kept.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:                      # a round's errors build on those before it; without it their lineage only grows
+        context.setCheckpointDir(shared_dir(kept.sparkSession))
+    binned, names = preparation.columns(weighted)
+    cells = merged(binned, names, counts).persist()
+    try:
+        n = cells.agg(F.sum(F.aggregate("points", F.lit(0), lambda a, p: a + p["n"]))).first()[0]
+        kept.unpersist()                                        # the cells stand for it from here on
+        points = cells.repartition(-(-n // POINTS_A_TASK)).select(*names, F.inline("points")).select(*names, "_y", "_weight", F.explode(F.sequence(F.lit(1), "n")))
+        ready = VectorAssembler(inputCols=names, outputCol="_features").transform(points).select("_features", "_y", "_weight")
+        gbt = GBTClassifier(maxDepth=3, stepSize=0.05, maxIter=rounds, maxBins=BINS, minInstancesPerNode=LEAF_ROWS, seed=seed, featuresCol="_features", labelCol="_y", weightCol="_weight")
+        if len(counts) == 2:
+            return [gbt.fit(ready)]
+        return [gbt.fit(ready.withColumn("_y", (F.col("_y") == float(i)).cast("double"))) for i in range(len(counts))]
+    finally:
+        cells.unpersist()
+
+
 @dataclass
 class Fitted:
     kind: str
@@ -127,20 +201,17 @@ def fit(kind: str, train: DataFrame, features: list[str], label: str, rounds: in
         classes = list(counts)
         if len(classes) < 2:
             raise ValueError("training side has one class")
-        p = Preparation.learn(kind, kept, features)
-        ready = p.apply(balanced_weights(kept, label, counts)).select("_features", "_y", "_weight")
+        weighted = balanced_weights(kept, label, counts)
+        p = Preparation.learn(kind, weighted, features, CUT_ROWS / sum(counts.values()), seed)
+        if kind == "gbm":
+            return Fitted(kind, classes, p, _boost(kept, weighted, p, counts, rounds, seed))
+        ready = p.apply(weighted).select("_features", "_y", "_weight")
         common = {"featuresCol": "_features", "labelCol": "_y", "weightCol": "_weight"}
         if kind == "tree":
-            parts = [DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=20, seed=seed, **common).fit(ready)]
-        elif kind == "linear":
+            parts = [DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=LEAF_ROWS, seed=seed, **common).fit(ready)]
+        else:
             total = ready.agg(F.sum("_weight")).first()[0]
             parts = [LogisticRegression(regParam=1.0 / total, standardization=False, maxIter=200, **common).fit(ready)]
-        else:
-            gbt = GBTClassifier(maxDepth=3, stepSize=0.05, maxIter=rounds, minInstancesPerNode=20, seed=seed, **common)
-            if len(classes) == 2:
-                parts = [gbt.fit(ready)]
-            else:
-                parts = [gbt.fit(ready.withColumn("_y", (F.col("_y") == float(i)).cast("double"))) for i in range(len(classes))]
     finally:
         kept.unpersist()
     return Fitted(kind, classes, p, parts)
@@ -163,8 +234,11 @@ def _pooled(counts: list[dict]) -> dict:
 def fold_fits(rows: DataFrame, partition: str, features: list[str], label: str, kind: str, per_fold: dict | None = None, **options) -> dict:
     """partition -> model fitted without it. The loop is over partitions; each fit is a distributed job."""
     per_fold = fold_counts(rows, partition, label) if per_fold is None else per_fold
-    return {name: fit(kind, rows.where(F.col(partition) != F.lit(name)), features, label, counts=_pooled([d for other, d in per_fold.items() if other != name and None not in (other, name)]), **options)
-            for name in per_fold}
+
+    def one(name) -> Fitted:
+        return fit(kind, rows.where(F.col(partition) != F.lit(name)), features, label, counts=_pooled([d for other, d in per_fold.items() if other != name and None not in (other, name)]), **options)
+    with ThreadPoolExecutor(JOBS if kind == "gbm" else 1) as pool:
+        return dict(zip(per_fold, pool.map(one, per_fold)))
 
 
 def out_of_fold(rows: DataFrame, partition: str, features: list[str], label: str, kind: str, **options) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Registered model and experiment queries. Fits use few boosting rounds and permutations so that they stay cheap to
-check; the defaults of the library are the full figures."""
+"""Registered model and experiment queries. Boosted models have all their rounds; `evaluate_with_refits` refits few
+times so that it stays cheap to check."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,7 +69,7 @@ def evaluate_with_refits(spark, sf_dir):
 @register("cross_dataset")
 def cross_dataset(spark, sf_dir):
     d = shifted(spark, sf_dir)
-    return experiments.cross(d.where("dataset = 'b'"), d.where("dataset = 'a'"), FEATURES, "y", "unit", "gbm", n_permutations=BOOTSTRAPS, n_bootstrap=BOOTSTRAPS, rounds=ROUNDS)["result"]
+    return experiments.cross(d.where("dataset = 'b'"), d.where("dataset = 'a'"), FEATURES, "y", "unit", "gbm", n_permutations=BOOTSTRAPS, n_bootstrap=BOOTSTRAPS)["result"]
 
 
 @register("within_dataset")
