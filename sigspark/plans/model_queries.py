@@ -14,7 +14,7 @@ from .tables import load, r6, scores
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 FEATURES = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
-ROUNDS, BOOTSTRAPS, REFITS = 5, 2000, 3
+BOOTSTRAPS, REFITS = 2000, 3
 
 
 def register(name: str, sql: str | None = None):
@@ -57,7 +57,7 @@ def model_linear(spark, sf_dir):
 
 @register("model_gbm_out_of_fold")
 def model_gbm_out_of_fold(spark, sf_dir):
-    s = models.out_of_fold(shifted(spark, sf_dir), "partition", FEATURES, "y", "gbm", rounds=ROUNDS)
+    s = models.out_of_fold(shifted(spark, sf_dir), "partition", FEATURES, "y", "gbm")
     return ranks.auc(s, "score", F.col("y"), ["partition"]).withColumn("auc", r6(F.col("auc")))
 
 

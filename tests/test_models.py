@@ -52,7 +52,7 @@ def test_only_what_is_asked_for_is_fitted(spark, monkeypatch):
     assert out["rows"].count() == 240 and out["baseline"].count() == 1 and out["versus_baseline"].count() == 1 and fits == [["x", "w"]] * 2 + [["w"]] * 2
 
 
-@pytest.mark.parametrize("name, fits", [("cross_dataset", 1)])
+@pytest.mark.parametrize("name, fits", [("cross_dataset", 1), ("model_gbm_out_of_fold", 3)])
 def test_registered_boosted_models_have_all_their_rounds(spark, tmp_path, monkeypatch, name, fits):
     asked, fit = [], models.fit
     monkeypatch.setattr(models, "fit", lambda *a, rounds=models.GBM_ROUNDS, **k: asked.append(rounds) or fit(*a, rounds=2, **k))
