@@ -114,7 +114,9 @@ def _cuts(values: np.ndarray, weights: np.ndarray) -> list[float]:
     last = np.arange(len(found) - 1)                            # of each bin
     if len(found) > BINS:
         below = np.cumsum(np.bincount(at, weights))
-        last = np.unique(np.searchsorted(below, below[-1] * np.arange(1, BINS) / BINS))
+        wanted = below[-1] * np.arange(1, BINS) / BINS
+        last = np.searchsorted(below, wanted).clip(1, len(found) - 1)
+        last = np.unique(np.where(wanted - below[last - 1] < below[last] - wanted, last - 1, last))     # the nearest, as the estimator does
         last = last[last < len(found) - 1]
     low, high = found[last], found[last + 1]
     middle = low / 2 + high / 2
@@ -234,9 +236,12 @@ def _pooled(counts: list[dict]) -> dict:
 def fold_fits(rows: DataFrame, partition: str, features: list[str], label: str, kind: str, per_fold: dict | None = None, **options) -> dict:
     """partition -> model fitted without it. The loop is over partitions; each fit is a distributed job."""
     per_fold = fold_counts(rows, partition, label) if per_fold is None else per_fold
+    counts = {name: _pooled([d for other, d in per_fold.items() if other != name and None not in (other, name)]) for name in per_fold}
+    if any(len(c) < 2 for c in counts.values()):                # before any fit is paid for
+        raise ValueError("training side has one class")
 
     def one(name) -> Fitted:
-        return fit(kind, rows.where(F.col(partition) != F.lit(name)), features, label, counts=_pooled([d for other, d in per_fold.items() if other != name and None not in (other, name)]), **options)
+        return fit(kind, rows.where(F.col(partition) != F.lit(name)), features, label, counts=counts[name], **options)
     with ThreadPoolExecutor(JOBS if kind == "gbm" else 1) as pool:
         return dict(zip(per_fold, pool.map(one, per_fold)))
 

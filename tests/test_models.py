@@ -85,6 +85,17 @@ def test_bins_are_cut_between_values():
     assert models._cuts(np.repeat([1.0, 2.0, 4.0], [998, 1, 1]), one) == [1.5, 3.0]         # rare values keep their bins
     many = models._cuts(np.arange(1000.0), one)
     assert len(many) == 31 and np.abs(np.diff([0, *many, 1000]) - 1000 / 32).max() < 1.5
+    near = models._cuts(np.arange(33.0), np.r_[np.full(32, 1.0), 0.1])
+    assert near[0] == 0.5 and near[-1] == 30.5                                              # the cut whose weight below is nearest, not the next
     heavy = models._cuts(np.r_[np.zeros(900), np.arange(1.0, 101)], one)
     assert heavy[0] == 0.5 and heavy == sorted(set(heavy)) and len(heavy) > 1
     assert models._cuts(np.array([3.0, 3.0]), one[:2]) == [3.0]
+
+
+def test_a_fold_without_two_classes_outside_it_stops_before_any_fit(spark, monkeypatch):
+    rows = spark.range(90).select((F.col("id") % 3 == 0).alias("y"), (F.col("id") % 5 * 1.0).alias("x"), F.when(F.col("id") % 3 == 0, "only").otherwise("rest").alias("fold"))
+    fits = []
+    monkeypatch.setattr(models, "fit", lambda *a, **k: fits.append(a))
+    with pytest.raises(ValueError, match="one class"):
+        models.out_of_fold(rows, "fold", ["x"], "y", "gbm")
+    assert fits == []
